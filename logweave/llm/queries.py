@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from .decontam import OP4_SQL, op4_decontam
+from .langid import op8_langid
+from .licenses import op1_licenses
 from .mixing import OP10_SQL, op10_mix
 from .secrets import OP6_SQL, op6_secrets
+from .tokens import op9_tokens
 from .topk import OP7_SQL, op7_topk
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op4_decontam": op4_decontam,
     "op6_secrets": op6_secrets,
     "op7_topk": op7_topk,
+    "op8_langid": op8_langid,
+    "op9_tokens": op9_tokens,
     "op10_mix": op10_mix,
 }
 SQL = {
+    "op4_decontam": OP4_SQL,
     "op6_secrets": OP6_SQL,
     "op7_topk": OP7_SQL,
     "op10_mix": OP10_SQL,
