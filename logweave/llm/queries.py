@@ -6,12 +6,14 @@ from .decontam import OP4_SQL, op4_decontam
 from .langid import op8_langid
 from .licenses import op1_licenses
 from .mixing import OP10_SQL, op10_mix
+from .neardup import op2_ngram_join
 from .secrets import OP6_SQL, op6_secrets
 from .tokens import op9_tokens
 from .topk import OP7_SQL, op7_topk
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_ngram_join": op2_ngram_join,
     "op4_decontam": op4_decontam,
     "op6_secrets": op6_secrets,
     "op7_topk": op7_topk,
