@@ -49,23 +49,26 @@ def _links(nodes: np.ndarray, part: np.ndarray, sets: list[np.ndarray], weights:
     return nodes[linked], nodes[[top(i) for i in linked]] if len(linked) else nodes[:0], count[linked]
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Deal members(grp, node, size) out to pairs of blocks: (grp, node, x, y, part).
+def deal(members: DataFrame) -> DataFrame:
+    """Add blocks and part to members(grp, node, size, ...): into how many blocks a group is cut, and which one a node is in.
 
-    Groups within the bounds are one block; others are cut by a hash of the node, and each block meets each other block
-    in a task of its own, so that no task holds more than two blocks.
+    Groups within the bounds are one block; others are cut by a hash of the node.
     """
     totals = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     totals = totals.select("grp", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    m = members.join(totals, "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return m.select("grp", "node", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part")
+    return members.join(totals, "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def block_pairs(sets: DataFrame) -> DataFrame:
+    """Send each set to the pairs (x, y) of its block with each block of its group, so that no task holds more than two blocks."""
+    m = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return m.withColumns({"x": F.least("part", "with"), "y": F.greatest("part", "with")})
 
 
 def join_groups(dealt: DataFrame, need) -> DataFrame:
     """(node, other, links) from dealt(grp, x, y, part, node, weight, tokens): links are found pair of blocks by pair of blocks.
 
-    Rows of a pair arrive together, sorted, and are joined as soon as the next pair begins.
+    Rows of a pair arrive together, sorted, and are joined as soon as the next pair begins. A node given twice counts once.
     """
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
@@ -94,6 +97,8 @@ def join_groups(dealt: DataFrame, need) -> DataFrame:
                 if key != (now := (groups[i], xs[i], ys[i])):
                     close()
                     key = now
+                if held and held[-1][1] == nodes[i]:
+                    continue
                 held.append((parts[i], nodes[i], weights[i], np.sort(flat[offs[i] : offs[i + 1]])))
             if sum(map(len, out[0])) > 10_000:
                 yield ready()

@@ -34,14 +34,15 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join a wide table with a narrow stashed one: broadcast if counted as small, else shuffled.
+def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join a wide table with a narrow stashed one on a column of both; nulls meet nulls, and big's column stays.
 
-    The counted bound is BROADCAST_ROWS; beyond it the narrow side becomes the build side
-    of a shuffled hash join. Either way no row is lost.
+    The narrow side is broadcast if it is counted as BROADCAST_ROWS at most; beyond that it
+    becomes the build side of a shuffled hash join. Either way no row is lost.
     """
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(small.hint("broadcast" if few else "shuffle_hash"), on, how)
+    small = small.withColumnRenamed(on, "lookup_key").hint("broadcast" if few else "shuffle_hash")
+    return big.join(small, big[on].eqNullSafe(small["lookup_key"]), how).drop("lookup_key")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,6 +43,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stash(labels.select("node", F.col("root").alias("component")))
 
 
+def shared_only(postings: DataFrame) -> DataFrame:
+    """The postings(key, node, salt) whose key has another node; those of salted, common keys all stay."""
+    others = F.count("*").over(Window.partitionBy("key", "salt"))
+    return postings.withColumn("others", others).where((F.col("others") > 1) | (F.col("salt") > 0)).drop("others")
+
+
 def group_edges(postings: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the nodes of each key of postings(key, node, salt) through its smallest node.
 

@@ -9,15 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, jaccard_need, join_groups
+from .blocks import block_pairs, deal, jaccard_need, join_groups
 from .common import lookup_join, mix64, slices, stash, table, utf8
-from .components import connected_components, group_edges
+from .components import connected_components, group_edges, shared_only
 from .shingles import shingle_sets
 
 WIDTH = 5
 PERCENT = 80
 #: The commonest shingles go last in the order of tokens; it is an order only and leaves nothing out.
-COMMON_LIMIT = 100_000
+COMMON_LIMIT = 200_000
+#: One more than a set's size divided by this is how many tokens two sets that link must share among their first ones.
+SHARED = 10
+#: Rounds of dropping nodes that cannot reach that number.
+PRUNING = 2
 #: Tasks into which a common token's nodes are split before their smallest nodes meet.
 SALTS = 64
 _COUNTED = 4_000_000
@@ -40,6 +44,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
+        seen: set[int] = set()
         schema = pa.schema([("common", pa.bool_()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
         def often() -> pa.RecordBatch:
@@ -53,7 +58,10 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             node = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), part.column("doc_id").cast(pa.int64()), node, pa.array(n)], schema=schema)
-            pending.extend(sets)
+            for s, name in zip(sets, node.to_pylist()):
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    pending.append(s)
             if sum(map(len, pending)) > _COUNTED:
                 yield often()
         if pending:
@@ -64,7 +72,11 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """(key, node, salt): the first tokens of each set, so many that two sets that link share one of them; salt splits common tokens."""
+    """(key, node, salt): the first tokens of each set in the global order; salt splits common tokens.
+
+    Of a set of n tokens there are n - ceil(n * percent / 100) + l with l = 1 + n // SHARED: two sets that link have the
+    smaller l of the two in common among them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = common.value
@@ -75,7 +87,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
                 if not len(s) or (node := _node(s)) in done:
                     continue
                 done.add(node)
-                n = len(s) - -(-len(s) * percent // 100) + 1
+                n = len(s) - -(-len(s) * percent // 100) + 1 + len(s) // SHARED
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     often = np.where(tokens[at] == s, counts[at], 0)
@@ -95,8 +107,8 @@ def _prefixes(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Documents whose sets of word shingles have a Jaccard similarity of at least percent / 100, as classes.
 
-    Equal sets are one node. Tokens have one global order, rare ones first, and two sets that link share one of their
-    first n - ceil(n * percent / 100) + 1 tokens; nodes that share such a token are connected, and the sets of each
+    Equal sets are one node. Tokens have one global order, rare ones first, and two sets that link share a number of their
+    first tokens that follows from their sizes; nodes that cannot reach it are dropped, those left that share a first token are connected, and the sets of each
     connected group are shipped once and joined exactly over a trie, in blocks of bounded size (``blocks``, ``trie``).
     The links found make the classes by distributed union-find.
 
@@ -112,22 +124,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     common = docs.sparkSession.sparkContext.broadcast((tokens[order], counts[order]))
-    edges = group_edges(_prefixes(d, width, percent, common))
-    groups = connected_components(edges).withColumnRenamed("component", "grp")
-
     nodes = stash(names.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.max("n").alias("size")))
-    members = stash(groups.join(nodes, "node"))
-    dealt = block_pairs(members.select("grp", "node", "size"))
-    wanted = stash(members.select(F.col("node").alias("want"), F.col("first").alias("doc_id")))
-    rows = lookup_join(d, wanted, "doc_id") if wanted.where("doc_id IS NULL").isEmpty() else d.join(wanted, d["doc_id"].eqNullSafe(wanted["doc_id"])).select(d["*"], "want")
+    shared = stash(shared_only(_prefixes(d, width, percent, common).distinct()))
+    # A partner has percent of the size at least.
+    least = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / SHARED)
+    for _ in range(PRUNING):
+        able = shared.groupBy("node").agg(F.count("*").alias("met")).join(nodes, "node").where(F.col("met") >= least).select("node")
+        shared = stash(shared_only(shared.join(able, "node")))
+    edges = group_edges(shared)
+    groups = connected_components(edges).withColumnRenamed("component", "grp")
+    members = deal(groups.join(nodes, "node"))
+    wanted = stash(members.select("node", "weight", "grp", "blocks", "part", F.col("first").alias("doc_id")))
+    rows = lookup_join(d, wanted, "doc_id")
+    kept = ["node", "weight", "grp", "blocks", "part"]
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, width):
-            pairs = [(w, s) for w, s in zip(part.column("want").to_pylist(), sets) if len(s) and _node(s) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.int64()), pa.array([s.view(np.int64) for _, s in pairs], pa.list_(pa.int64()))], ["node", "tokens"])
+            # Rows that share an id may have another text; only the node's own set goes on.
+            own = [i for i, (w, s) in enumerate(zip(part.column("node").to_pylist(), sets)) if len(s) and _node(s) == w]
+            tokens = pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(own, pa.int64())) for c in kept), tokens], [*kept, "tokens"])
 
-    sets = rows.select("want", "text").mapInArrow(tokenize, "node long, tokens array<long>").dropDuplicates(["node"])
-    links = stash(join_groups(dealt.join(members.select("node", "weight"), "node").join(sets, "node"), jaccard_need(percent)))
+    sets = rows.select(*kept, "text").mapInArrow(tokenize, "node long, weight long, grp long, blocks int, part int, tokens array<long>")
+    links = stash(join_groups(block_pairs(sets), jaccard_need(percent)))
     classes = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
     info = nodes.join(classes, "node", "left").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first", "weight", F.coalesce("links", F.lit(0)).alias("links"))
