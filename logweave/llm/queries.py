@@ -5,16 +5,20 @@ from __future__ import annotations
 from .decontam import OP4_SQL, op4_decontam
 from .langid import op8_langid
 from .licenses import op1_licenses
+from .linededup import op5_line_dedup
 from .mixing import OP10_SQL, op10_mix
 from .neardup import op2_ngram_join
 from .secrets import OP6_SQL, op6_secrets
+from .substrings import op3_suffix_dedup
 from .tokens import op9_tokens
 from .topk import OP7_SQL, op7_topk
 
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontam": op4_decontam,
+    "op5_line_dedup": op5_line_dedup,
     "op6_secrets": op6_secrets,
     "op7_topk": op7_topk,
     "op8_langid": op8_langid,
