@@ -1,4 +1,616 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and their SQL.
 
-QUERIES = {}
-SQL = {}
+Lines come from ``documents`` (each text a file), ``events`` (each row a log line, one file per day), and ``lineitem`` (each order bucket a
+log with traces, indents, JSON and blank lines written from the row).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.extend import file_metrics
+from ..functions.text import mask_tokens, shannon_entropy
+from ..operators import detectors as D
+from ..operators import incremental as I
+from ..operators import prefix as P
+from ..operators import ranges as M
+from ..operators import samples as R
+from ..operators import stats as A
+from ..operators import trace as T
+from ..sources import files as S
+from ..sources.lines import lines_from_column, lines_from_rows
+
+PATTERNS = {"p1": "the", "p2": "license"}
+LIMIT = 100
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_from_column(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per day."""
+    e = _table(spark, sf_dir, "events")
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" user="), F.col("user_id").cast("string"), F.lit(" type="), F.col("event_type"))
+    return lines_from_rows(e, F.date_format("ts", "yyyy-MM-dd"), ["ts", "event_id"], line)
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten files of application log, by the last digit of the order."""
+    li = _table(spark, sf_dir, "lineitem")
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    ok = k.cast("string")
+    line = (
+        F.when(n == 1, F.concat(F.lit("INFO order "), ok, F.lit("\r"))).when(n == 2, F.concat(F.lit("ValueError: order "), ok)).when(n == 3, F.concat(F.lit("    at step "), ok))
+        .when(n == 4, F.concat(F.lit("\tat part "), F.col("l_partkey").cast("string"))).when(n == 5, F.concat(F.lit("      in supplier "), F.col("l_suppkey").cast("string")))
+        .when(n == 6, F.lit("")).otherwise(F.concat(F.lit('{"order": '), ok, F.lit(', "part": '), F.col("l_partkey").cast("string"), F.lit(', "supplier": '), F.col("l_suppkey").cast("string"), F.lit(', "note": "'), F.repeat(F.lit("x"), 60), F.lit('"}')))
+    )
+    return lines_from_rows(li, (k % 10).cast("string"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line)
+
+
+DL = """dl AS (SELECT file_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, CAST(strlen(line) AS INT) AS byte_len
+FROM (SELECT CAST(doc_id AS VARCHAR) AS file_id, unnest(l) AS line, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS line_no FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))))"""
+EL = """el AS (SELECT file_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, strlen(line) AS byte_len, ts
+FROM (SELECT strftime(ts, '%Y-%m-%d') AS file_id, ts, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS line_no,
+strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END || ' user=' || user_id || ' type=' || event_type AS line FROM events))"""
+OL = """ol AS (SELECT file_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, strlen(line) AS byte_len
+FROM (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS file_id, row_number() OVER (PARTITION BY l_orderkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no,
+CASE l_linenumber WHEN 1 THEN 'INFO order ' || l_orderkey || chr(13) WHEN 2 THEN 'ValueError: order ' || l_orderkey WHEN 3 THEN '    at step ' || l_orderkey WHEN 4 THEN chr(9) || 'at part ' || l_partkey WHEN 5 THEN '      in supplier ' || l_suppkey WHEN 6 THEN ''
+ELSE '{"order": ' || l_orderkey || ', "part": ' || l_partkey || ', "supplier": ' || l_suppkey || ', "note": "' || repeat('x', 60) || '"}' END AS line FROM lineitem))"""
+TR = "tr AS (SELECT dl.*, p.pattern_id FROM dl JOIN (VALUES ('p1', 'the'), ('p2', 'license')) p(pattern_id, re) ON regexp_matches(line, re))"
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+# Sources
+
+
+@register("lines_from_documents", f"WITH {DL} SELECT * FROM dl")
+def _(spark, sf):
+    return doc_lines(spark, sf)
+
+
+@register("lines_from_events", f"WITH {EL} SELECT file_id, line_no, line, byte_start, byte_len FROM el")
+def _(spark, sf):
+    return event_lines(spark, sf)
+
+
+@register("dir_rollup", "SELECT 'src/' || source AS dir, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents GROUP BY 1")
+def _(spark, sf):
+    return S.dir_rollup(_doc_files(spark, sf))
+
+
+def _doc_files(spark, sf):
+    d = _table(spark, sf, "documents")
+    return d.select(F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("size_bytes"), F.col("doc_id").cast("string").alias("file_id"))
+
+
+@register("dir_listing", "SELECT source AS name, true AS is_dir, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents GROUP BY 1")
+def _(spark, sf):
+    return S.dir_listing(_doc_files(spark, sf), "src")
+
+
+@register("allowed_roots", "SELECT 'src/' || source || '/' || doc_id AS path, strlen(text) AS size_bytes FROM documents WHERE source IN ('src1', 'src2')")
+def _(spark, sf):
+    return S.allowed_roots(_doc_files(spark, sf), ["src/src1", "src/src2/"]).select("path", "size_bytes")
+
+
+@register("compression_of", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'gzip' WHEN page_id % 4 = 1 THEN 'bz2' END AS compression FROM pages")
+def _(spark, sf):
+    ends = F.element_at(F.array(F.lit(".GZ"), F.lit(".bz2"), F.lit(".tar.gz"), F.lit(".html")), (F.col("page_id") % 4 + 1).cast("int"))
+    return _table(spark, sf, "pages").select("page_id", S.compression_of(F.concat(F.col("url"), ends)).alias("compression"))
+
+
+@register("text_files", f"WITH {DL} SELECT DISTINCT file_id, true AS is_text FROM dl")
+def _(spark, sf):
+    return S.text_files(doc_lines(spark, sf))
+
+
+# Search
+
+
+@register("trace_documents", f"WITH {DL}, {TR} SELECT * FROM tr")
+def _(spark, sf):
+    return T.trace(doc_lines(spark, sf), PATTERNS)
+
+
+@register("trace_ignore_case", f"WITH {DL} SELECT dl.*, 'p1' AS pattern_id FROM dl WHERE regexp_matches(line, '(?i)license')")
+def _(spark, sf):
+    return T.trace(doc_lines(spark, sf), ["LICENSE"], "i")
+
+
+@register("trace_words", f"WITH {DL} SELECT dl.*, 'p1' AS pattern_id FROM dl WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')")
+def _(spark, sf):
+    return T.trace(doc_lines(spark, sf), ["the"], "w")
+
+
+@register("trace_whole_line", f"WITH {OL} SELECT ol.*, 'p1' AS pattern_id FROM ol WHERE regexp_matches(line, '^INFO order [0-9]+\\r?$')")
+def _(spark, sf):
+    return T.trace(order_lines(spark, sf), [r"INFO order \d+"], "x")
+
+
+@register("trace_fixed", f"WITH {OL} SELECT ol.*, 'p1' AS pattern_id FROM ol WHERE contains(line, '\"order\": 1')")
+def _(spark, sf):
+    return T.trace(order_lines(spark, sf), ['"order": 1'], "F")
+
+
+@register(
+    "submatches",
+    f"""WITH {DL}, g AS (SELECT file_id, line_no, byte_start, regexp_extract_all(line, 'th[a-z]+') AS m, string_split_regex(line, 'th[a-z]+') AS s FROM dl WHERE regexp_matches(line, 'th[a-z]+'))
+SELECT file_id, line_no, i AS n, m[i] AS text, CAST(strlen(array_to_string(s[1:i], '') || array_to_string(m[1:i-1], '')) AS INT) AS "start", byte_start + strlen(array_to_string(s[1:i], '') || array_to_string(m[1:i-1], '')) AS "offset" FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM g)""",
+)
+def _(spark, sf):
+    m = T.with_submatches(T.trace(doc_lines(spark, sf), ["th[a-z]+"]), ["th[a-z]+"])
+    x = m.select("file_id", "line_no", "offsets", F.posexplode("submatches").alias("pos", "s"))
+    return x.select("file_id", "line_no", (F.col("pos") + 1).cast("long").alias("n"), "s.text", "s.start", F.element_at("offsets", F.col("pos") + 1).alias("offset"))
+
+
+@register("match_context", f"WITH {DL}, {TR} SELECT pattern_id, tr.file_id, tr.line_no AS match_line, dl.line_no AS ctx_line, dl.byte_start, dl.line FROM tr JOIN dl ON dl.file_id = tr.file_id AND dl.line_no BETWEEN tr.line_no - 1 AND tr.line_no + 2 WHERE pattern_id = 'p2'")
+def _(spark, sf):
+    lines = doc_lines(spark, sf)
+    return T.match_context(lines, T.trace(lines, {"p2": "license"}), 1, 2)
+
+
+@register(
+    "context_union",
+    f"""WITH {DL}, u AS (SELECT DISTINCT dl.file_id, dl.line_no, dl.byte_start, dl.line FROM dl JOIN dl m ON dl.file_id = m.file_id AND dl.line_no BETWEEN m.line_no - 1 AND m.line_no + 1 WHERE regexp_matches(m.line, 'license')),
+n AS (SELECT *, CASE WHEN line_no - coalesce(lag(line_no) OVER (PARTITION BY file_id ORDER BY line_no), -1) > 1 THEN 1 ELSE 0 END AS n FROM u)
+SELECT file_id, line_no, byte_start, line, CAST(sum(n) OVER (PARTITION BY file_id ORDER BY line_no) AS BIGINT) AS block FROM n""",
+)
+def _(spark, sf):
+    lines = doc_lines(spark, sf)
+    return T.context_union(lines, T.trace(lines, {"p2": "license"}), 1, 1)
+
+
+@register("trace_topk", f"WITH {DL}, {TR} SELECT * FROM tr ORDER BY CAST(file_id AS INT), byte_start, pattern_id LIMIT {LIMIT}")
+def _(spark, sf):
+    return T.trace_topk(T.trace(doc_lines(spark, sf), PATTERNS), LIMIT)
+
+
+@register("trace_file_counts", f"WITH {DL}, {TR} SELECT CAST(doc_id AS VARCHAR) AS file_id, (SELECT count(*) FROM tr WHERE tr.file_id = CAST(doc_id AS VARCHAR)) AS n_matches FROM documents")
+def _(spark, sf):
+    return T.trace_file_counts(T.trace(doc_lines(spark, sf), PATTERNS), _doc_files(spark, sf))
+
+
+@register("trace_summary", f"WITH {DL}, {TR} SELECT count(*) AS n_files, (SELECT count(DISTINCT file_id) FROM tr) AS n_files_hit, (SELECT count(*) FROM tr) AS n_matches, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes, (SELECT count(*) FROM tr) > 1000 AS limit_hit FROM documents")
+def _(spark, sf):
+    return T.trace_summary(T.trace(doc_lines(spark, sf), PATTERNS), _doc_files(spark, sf), 1000)
+
+
+@register(
+    "pattern_profile",
+    f"""WITH {DL}, p AS (SELECT pattern_id, file_id, len(regexp_extract_all(line, re)) AS n FROM dl, (VALUES ('p1', 'the'), ('p2', 'license')) p(pattern_id, re))
+SELECT pattern_id, CAST(count(*) FILTER (n > 0) AS BIGINT) AS n_lines, count(DISTINCT CASE WHEN n > 0 THEN file_id END) AS n_files, CAST(sum(n) AS BIGINT) AS n_submatches, count(*) FILTER (n > 0) / count(*) AS hit_rate FROM p GROUP BY 1""",
+)
+def _(spark, sf):
+    return T.pattern_profile(doc_lines(spark, sf), PATTERNS)
+
+
+@register("highlight", f"WITH {DL} SELECT file_id, line_no, regexp_replace(line, '(license)', '<<\\1>>', 'g') AS marked FROM dl WHERE regexp_matches(line, 'license')")
+def _(spark, sf):
+    return T.trace(doc_lines(spark, sf), ["license"]).select("file_id", "line_no", T.highlight(F.col("line"), "license").alias("marked"))
+
+
+@register("match_events", f"WITH {DL}, {TR} SELECT 'match_found' AS event, file_id, pattern_id, byte_start AS \"offset\", line_no, line AS line_text FROM tr")
+def _(spark, sf):
+    return T.match_events(T.trace(doc_lines(spark, sf), PATTERNS))
+
+
+# Random access: the targets of each file follow from its id
+
+
+def _targets(spark, sf):
+    return _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), (F.col("doc_id") % 12 + 1).alias("target"))
+
+
+@register(
+    "sample_lines",
+    f"""WITH {DL}, t AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id % 12 + 1 AS target FROM documents), ok AS (SELECT t.* FROM t JOIN dl ON t.file_id = dl.file_id AND line_no = target)
+SELECT ok.file_id, target, line_no, byte_start, line, true AS found FROM ok JOIN dl ON ok.file_id = dl.file_id AND line_no BETWEEN target - 1 AND target + 1
+UNION ALL SELECT file_id, target, -1, -1, NULL, false FROM t WHERE file_id NOT IN (SELECT file_id FROM ok)""",
+)
+def _(spark, sf):
+    return R.sample_lines(doc_lines(spark, sf), _targets(spark, sf), 1, 1).fillna(-1, ["line_no", "byte_start"])
+
+
+@register("sample_line_ranges", f"WITH {DL} SELECT dl.file_id, doc_id % 12 + 1 AS \"start\", doc_id % 12 + 4 AS \"end\", line_no, line FROM dl JOIN documents ON file_id = CAST(doc_id AS VARCHAR) WHERE line_no BETWEEN doc_id % 12 + 1 AND doc_id % 12 + 4")
+def _(spark, sf):
+    r = _targets(spark, sf).select("file_id", F.col("target").alias("start"), (F.col("target") + 3).alias("end"))
+    return R.sample_line_ranges(doc_lines(spark, sf), r)
+
+
+def _offsets(spark, sf):
+    return _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), (F.col("doc_id") * 7 % 3000).alias("offset"))
+
+
+@register("offset_to_line", f"WITH {DL}, o AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id * 7 % 3000 AS o FROM documents) SELECT o.file_id, o AS \"offset\", coalesce(line_no, -1) AS line_no FROM o LEFT JOIN dl ON o.file_id = dl.file_id AND o BETWEEN byte_start AND byte_start + byte_len")
+def _(spark, sf):
+    return R.offset_to_line(doc_lines(spark, sf), _offsets(spark, sf))
+
+
+@register("sample_offsets", f"WITH {DL}, o AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id * 7 % 3000 AS o FROM documents) SELECT o.file_id, o AS \"offset\", c.line_no, c.byte_start, c.line FROM o JOIN dl ON o.file_id = dl.file_id AND o BETWEEN dl.byte_start AND dl.byte_start + dl.byte_len JOIN dl c ON c.file_id = o.file_id AND c.line_no BETWEEN dl.line_no - 1 AND dl.line_no + 1")
+def _(spark, sf):
+    return R.sample_offsets(doc_lines(spark, sf), _offsets(spark, sf), 1, 1)
+
+
+@register(
+    "sample_byte_ranges",
+    f"""WITH {DL}, z AS (SELECT file_id, max(byte_start + byte_len + 1) AS size FROM dl GROUP BY 1), r AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id * 7 % 3000 AS a, doc_id * 7 % 3000 + 400 AS b FROM documents)
+SELECT r.file_id, a AS "start", b AS "end", line_no, line FROM r JOIN z USING (file_id) JOIN dl ON dl.file_id = r.file_id AND byte_start <= b AND byte_start + byte_len >= a WHERE b < size""",
+)
+def _(spark, sf):
+    r = _offsets(spark, sf).select("file_id", F.col("offset").alias("start"), (F.col("offset") + 400).alias("end"))
+    return R.sample_byte_ranges(doc_lines(spark, sf), r)
+
+
+@register("line_to_offset", f"WITH {DL}, t AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id % 12 + 1 AS target FROM documents) SELECT t.*, coalesce(byte_start, -1) AS \"start\", coalesce(byte_start + byte_len, -1) AS \"end\" FROM t LEFT JOIN dl ON t.file_id = dl.file_id AND line_no = target")
+def _(spark, sf):
+    return R.line_to_offset(doc_lines(spark, sf), _targets(spark, sf)).fillna(-1)
+
+
+@register("resolve_negative", f"WITH {DL} SELECT file_id, greatest(count(*) - 3 + 1, 1) AS line_no, greatest(sum(byte_len + 1) - 100, 0)::BIGINT AS byte FROM dl GROUP BY 1")
+def _(spark, sf):
+    t = doc_lines(spark, sf).groupBy("file_id").agg(F.count("*").alias("n"), F.sum(F.col("byte_len").cast("long") + 1).alias("b"))
+    return t.select("file_id", R.resolve_negative(F.lit(-3), F.col("n")).alias("line_no"), R.resolve_negative(F.lit(-100), F.col("b"), False).alias("byte"))
+
+
+@register("parse_spec", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id WHEN 1 THEN -doc_id WHEN 2 THEN doc_id ELSE 0 END AS \"start\", CASE doc_id % 4 WHEN 2 THEN doc_id + 5 ELSE 0 END AS \"end\", CASE doc_id % 4 WHEN 3 THEN 'reversed' ELSE 'ok' END AS status FROM documents WHERE doc_id > 0")
+def _(spark, sf):
+    d = _table(spark, sf, "documents").where("doc_id > 0")
+    s = F.col("doc_id").cast("string")
+    spec = F.when(F.col("doc_id") % 4 == 0, s).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("-"), s)).when(F.col("doc_id") % 4 == 2, F.concat(s, F.lit("-"), (F.col("doc_id") + 5).cast("string"))).otherwise(F.concat(s, F.lit("-"), (F.col("doc_id") - 1).cast("string")))
+    return d.select("doc_id", R.parse_spec(spec).alias("x")).select("doc_id", "x.*").fillna(0)
+
+
+@register(
+    "nearest_checkpoint",
+    f"""WITH {EL}, t AS (SELECT file_id, line_no AS target FROM el WHERE line_no % 7 = 3) SELECT t.file_id, target, max(el.line_no) AS line_no, max(el.byte_start) AS byte_offset FROM t JOIN el ON el.file_id = t.file_id AND el.line_no <= target AND (el.line_no - 1) % 50 = 0 GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    t = lines.where("line_no % 7 = 3").select("file_id", F.col("line_no").alias("target"))
+    return R.nearest_checkpoint(A.checkpoints_every(lines, 50), t).select("file_id", "target", "line_no", "byte_offset")
+
+
+@register("approx_offset_to_line")
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    return R.approx_offset_to_line(A.checkpoints_every(lines, 50), lines.select("file_id", F.col("byte_start").alias("offset")))
+
+
+@register("blocks_for_lines", f"WITH {EL}, b AS (SELECT file_id, byte_start // 4096 AS block_no, min(line_no) AS a, max(line_no) AS z FROM el GROUP BY 1, 2) SELECT b.file_id, block_no, CAST(count(*) AS INT) AS n FROM b JOIN el ON el.file_id = b.file_id AND line_no BETWEEN a AND z WHERE line_no % 7 = 3 GROUP BY 1, 2")
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    t = lines.where("line_no % 7 = 3").select("file_id", F.col("line_no").alias("target"))
+    return R.blocks_for_lines(A.block_map(lines, 4096), t).select("file_id", "block_no", F.size("lines").alias("n"))
+
+
+@register("blocks_for_bytes", f"WITH {EL}, b AS (SELECT file_id, byte_start // 4096 AS block_no, min(byte_start) AS a, max(byte_start + byte_len + 1) AS z FROM el GROUP BY 1, 2) SELECT file_id, 1000 AS \"start\", 9000 AS \"end\", block_no FROM b WHERE a < 9000 AND z > 1000")
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    r = lines.select("file_id").distinct().select("file_id", F.lit(1000).alias("start"), F.lit(9000).alias("end"))
+    return R.blocks_for_bytes(A.block_map(lines, 4096), r)
+
+
+@register("total_lines", f"WITH {DL} SELECT file_id, count(*) AS n_lines FROM dl GROUP BY 1")
+def _(spark, sf):
+    return R.total_lines(doc_lines(spark, sf))
+
+
+# Statistics
+
+
+def _stats_sql(cte: str, name: str, length: str, std: str) -> str:
+    n = f"CASE WHEN trim(replace(replace(line, chr(13), ''), chr(9), '')) <> '' THEN {length}(rtrim(line, chr(13))) END"
+    return (
+        f"WITH {cte} SELECT file_id, count(*) AS n_lines, count(*) - count({n}) AS n_empty, max({n}) AS max_len, round(avg({n}), 6) AS avg_len, round(quantile_cont({n}, 0.5), 6) AS median_len, round(quantile_cont({n}, 0.95), 6) AS p95_len, "
+        f"round(quantile_cont({n}, 0.99), 6) AS p99_len, round(CASE WHEN count({n}) = 1 THEN 0 ELSE {std}({n}) END, 6) AS std_len FROM {name} GROUP BY 1"
+    )
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@register("line_stats_bytes", _stats_sql(DL, "dl", "strlen", "stddev_samp"))
+def _(spark, sf):
+    return _rounded(A.line_stats(doc_lines(spark, sf)))
+
+
+@register("line_stats_chars", _stats_sql(OL, "ol", "length", "stddev_pop"))
+def _(spark, sf):
+    return _rounded(A.line_stats(order_lines(spark, sf), "chars", "population"))
+
+
+@register(
+    "line_stats_all",
+    f"""WITH {OL}, s AS (SELECT file_id, list_sort(list(length(rtrim(line, chr(13))))) AS a FROM ol GROUP BY 1)
+SELECT file_id, len(a) AS n_lines, len(list_filter(a, lambda x: x = 0)) AS n_empty, list_max(a) AS max_len, round(list_avg(a), 1) AS avg_len, round(list_aggregate(a, 'quantile_cont', 0.5), 1) AS median_len,
+a[CAST(least(floor(len(a) * 0.95), len(a) - 1) AS INT) + 1] AS p95_len, a[CAST(least(floor(len(a) * 0.99), len(a) - 1) AS INT) + 1] AS p99_len FROM s""",
+)
+def _(spark, sf):
+    return A.line_stats_all(order_lines(spark, sf))
+
+
+@register("longest_line", f"WITH {DL} SELECT file_id, line_no, byte_start, length(line) AS len FROM dl WHERE trim(line) <> '' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY length(line) DESC, line_no) = 1")
+def _(spark, sf):
+    return A.longest_line(doc_lines(spark, sf))
+
+
+@register("line_ending", f"WITH {OL} SELECT file_id, 'mixed' AS line_ending FROM ol GROUP BY 1 UNION ALL SELECT 'doc' || doc_id, 'LF' FROM documents")
+def _(spark, sf):
+    docs = A.line_ending(doc_lines(spark, sf)).select(F.concat(F.lit("doc"), F.col("file_id")).alias("file_id"), "line_ending")
+    return A.line_ending(order_lines(spark, sf)).unionByName(docs)
+
+
+@register("line_length_sample")
+def _(spark, sf):
+    return A.line_length_sample(order_lines(spark, sf), 500)
+
+
+@register("checkpoints", f"WITH {EL} SELECT file_id, min(line_no) AS line_no, min(byte_start) AS byte_offset FROM el GROUP BY file_id, byte_start // 1024")
+def _(spark, sf):
+    return A.checkpoints(event_lines(spark, sf), 1024)
+
+
+@register("checkpoints_every", f"WITH {EL} SELECT file_id, line_no, byte_start AS byte_offset FROM el WHERE (line_no - 1) % 50 = 0")
+def _(spark, sf):
+    return A.checkpoints_every(event_lines(spark, sf), 50)
+
+
+@register("block_map", f"WITH {EL} SELECT file_id, byte_start // 4096 AS block_no, min(line_no) AS first_line, max(line_no) AS last_line, min(byte_start) AS start_offset, max(byte_start + byte_len + 1) AS end_offset, count(*) AS n_lines FROM el GROUP BY 1, 2")
+def _(spark, sf):
+    return A.block_map(event_lines(spark, sf), 4096)
+
+
+@register("human_size", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.2f B', strlen(text)::DOUBLE) ELSE printf('%.2f KB', strlen(text) / 1024.0::DOUBLE) END AS size FROM documents WHERE strlen(text) < 1048576")
+def _(spark, sf):
+    return _table(spark, sf, "documents").where(F.octet_length("text") < 1048576).select("doc_id", A.human_size(F.octet_length("text")).alias("size"))
+
+
+@register("corpus_profile", f"WITH {DL}, s AS (SELECT file_id, count(*) AS n, sum(byte_len + 1)::BIGINT AS b FROM dl GROUP BY 1) SELECT file_id AS dir, file_id, n AS n_lines, b AS n_bytes, 0 AS level FROM s UNION ALL SELECT file_id, NULL, n, b, 1 FROM s UNION ALL SELECT NULL, NULL, sum(n)::BIGINT, sum(b)::BIGINT, 3 FROM s")
+def _(spark, sf):
+    return A.corpus_profile(doc_lines(spark, sf))
+
+
+@register("compression_ratio", f"WITH {DL} SELECT file_id, sum(byte_len + 1) / n_chars AS ratio FROM dl JOIN documents ON file_id = CAST(doc_id AS VARCHAR) WHERE n_chars > 0 GROUP BY file_id, n_chars")
+def _(spark, sf):
+    files = _table(spark, sf, "documents").where("n_chars > 0").select(F.col("doc_id").cast("string").alias("file_id"), F.col("n_chars").alias("size_bytes"))
+    return A.compression_ratio(doc_lines(spark, sf), files)
+
+
+@register("file_profile")
+def _(spark, sf):
+    lines = doc_lines(spark, sf)
+    return _rounded(A.file_profile(lines, _doc_files(spark, sf), _ranges(lines)))
+
+
+@register("file_metrics", f"WITH {DL} SELECT file_id, max(strlen(line))::INT AS widest, count(*) FILTER (line LIKE '%the%') AS n_the FROM dl GROUP BY 1")
+def _(spark, sf):
+    return file_metrics(doc_lines(spark, sf), {"widest": F.max(F.octet_length("line")), "n_the": F.count_if(F.contains("line", F.lit("the")))})
+
+
+# Detectors
+
+
+@register("detect_traceback", f"WITH {OL} SELECT file_id, line_no, byte_start, CAST(0.9 AS DOUBLE) AS severity, 'traceback' AS detector FROM ol WHERE line LIKE 'ValueError:%'")
+def _(spark, sf):
+    return D.detect_traceback(order_lines(spark, sf))
+
+
+@register("detect_error_keyword", f"WITH {EL} SELECT file_id, line_no, byte_start, CAST(0.7 AS DOUBLE) AS severity, 'error_keyword' AS detector FROM el WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])error([^A-Za-z0-9_]|$)')")
+def _(spark, sf):
+    return D.detect_error_keyword(event_lines(spark, sf))
+
+
+@register("detect_warning_keyword", f"WITH {EL} SELECT file_id, line_no, byte_start, CAST(0.4 AS DOUBLE) AS severity, 'warning_keyword' AS detector FROM el WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])warn(ing)?([^A-Za-z0-9_]|$)')")
+def _(spark, sf):
+    return D.detect_warning_keyword(event_lines(spark, sf))
+
+
+@register(
+    "detect_length_spike",
+    f"""WITH {DL}, s AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, source FROM documents), l AS (SELECT source AS file_id, row_number() OVER (PARTITION BY source ORDER BY CAST(dl.file_id AS BIGINT), line_no) AS line_no, line FROM dl JOIN s ON dl.file_id = s.file_id),
+b AS (SELECT *, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, CASE WHEN trim(line) <> '' THEN length(rtrim(line)) END AS n FROM l),
+r AS (SELECT *, avg(n) OVER w AS m, sqrt(greatest(sum(n * n) OVER w / count(n) OVER w - (avg(n) OVER w) * (avg(n) OVER w), 0)) AS sd FROM b WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+SELECT file_id, line_no, byte_start, round(least(0.3 + ((n - m) / sd - 5) * 0.1, 0.7), 6) AS severity, 'line_length_spike' AS detector FROM r WHERE sd >= 40 AND n > m + 5 * sd""",
+)
+def _(spark, sf):
+    d = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "source", "doc_id")
+    return D.detect_length_spike(lines_from_rows(doc_lines(spark, sf).join(d, "file_id"), F.col("source"), ["doc_id", "line_no"], F.col("line")))
+
+
+@register(
+    "detect_indentation",
+    f"""WITH {OL}, d AS (SELECT *, CASE WHEN trim(replace(replace(line, chr(13), ''), chr(9), '')) = '' THEN 0 ELSE length(regexp_extract(line, '^[ \t]*')) + 3 * length(replace(regexp_extract(line, '^[ \t]*'), ' ', '')) END >= 4 AS deep FROM ol),
+l AS (SELECT *, lag(deep) OVER w AS a, lag(deep, 2) OVER w AS b FROM d WINDOW w AS (PARTITION BY file_id ORDER BY line_no)) SELECT file_id, line_no, byte_start, CAST(0.4 AS DOUBLE) AS severity, 'indentation_block' AS detector FROM l WHERE deep AND a AND b""",
+)
+def _(spark, sf):
+    return D.detect_indentation(order_lines(spark, sf))
+
+
+@register(
+    "detect_timestamp_gap",
+    f"""WITH {EL}, g AS (SELECT *, epoch(date_trunc('second', ts)) - lag(epoch(date_trunc('second', ts))) OVER (PARTITION BY file_id ORDER BY line_no) AS gap FROM el) SELECT file_id, line_no, byte_start, round(least(0.3 + gap / 3600 * 0.5, 0.8), 6) AS severity, 'timestamp_gap' AS detector FROM g WHERE gap >= 300""",
+)
+def _(spark, sf):
+    return D.detect_timestamp_gap(event_lines(spark, sf))
+
+
+@register("detect_high_entropy", f"""WITH {DL} SELECT file_id, line_no, byte_start, CAST(0.85 AS DOUBLE) AS severity, 'high_entropy' AS detector FROM dl WHERE regexp_matches(line, '(?i)(token|secret|api[_-]?key|private[_-]?key|credential)\\s*[=:]\\s*["'']?[A-Za-z0-9+/=_-]{{20,}}') OR regexp_matches(line, '(?i)(password|passwd|pwd)\\s*[=:]\\s*["'']?[^\\s"'']{{8,}}') OR regexp_matches(line, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches(line, '(?i)(bearer|authorization)[:\\s]+[A-Za-z0-9+/=_.-]{{20,}}')""")
+def _(spark, sf):
+    return D.detect_high_entropy(doc_lines(spark, sf))
+
+
+@register("shannon_entropy", "WITH c AS (SELECT doc_id, source, unnest(string_split(source, '')) AS ch FROM documents), k AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM k) SELECT doc_id, round(sum(-p * log2(p)), 6) AS entropy FROM t GROUP BY 1")
+def _(spark, sf):
+    return _table(spark, sf, "documents").where("source <> ''").select("doc_id", F.round(shannon_entropy(F.col("source")), 6).alias("entropy"))
+
+
+JL = """jl AS (SELECT file_id, line_no, line, CAST((line_no - 1) * 0 + coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start
+FROM (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS file_id, row_number() OVER (PARTITION BY l_orderkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no, CASE WHEN l_partkey % 50 = 0 THEN 'INFO part ' || l_partkey ELSE '{"order": ' || l_orderkey || ', "part": ' || l_partkey || ', "line": ' || l_linenumber || ', "note": "' || repeat('x', 20 * l_linenumber) || '"}' END AS line FROM lineitem))"""
+
+
+@register(
+    "detect_json_dump",
+    f"""WITH {JL}, w AS (SELECT *, sum(CASE WHEN line LIKE '{{%' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS n FROM jl)
+SELECT file_id, line_no, byte_start, CAST(CASE WHEN length(line) > 200 THEN 0.35 ELSE 0.3 END AS DOUBLE) AS severity, 'json_dump' AS detector FROM w WHERE line LIKE '{{%' AND length(line) >= 100 AND n >= 10""",
+)
+def _(spark, sf):
+    li = _table(spark, sf, "lineitem")
+    c = lambda x: F.col(x).cast("string")
+    line = F.concat(F.lit('{"order": '), c("l_orderkey"), F.lit(', "part": '), c("l_partkey"), F.lit(', "line": '), c("l_linenumber"), F.lit(', "note": "'), F.repeat(F.lit("x"), 20 * F.col("l_linenumber").cast("int")), F.lit('"}'))
+    line = F.when(F.col("l_partkey") % 50 == 0, F.concat(F.lit("INFO part "), c("l_partkey"))).otherwise(line)
+    return D.detect_json_dump(lines_from_rows(li, (F.col("l_orderkey") % 10).cast("string"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line))
+
+
+def break_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of all events, with a line of another format for each 97th."""
+    e = _table(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 97 == 0, F.lit("--- SYSTEM BREAK ---")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" INFO user="), F.col("user_id").cast("string")))
+    return lines_from_rows(e, F.lit("all"), ["ts", "event_id"], line)
+
+
+BL = """bl AS (SELECT 'all' AS file_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start
+FROM (SELECT row_number() OVER (ORDER BY ts, event_id) AS line_no, CASE WHEN event_id % 97 = 0 THEN '--- SYSTEM BREAK ---' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO user=' || user_id END AS line FROM events))"""
+
+
+@register("detect_format_deviation", f"WITH {BL} SELECT file_id, line_no, byte_start, CAST(0.5 AS DOUBLE) AS severity, 'format_deviation' AS detector FROM bl WHERE line_no >= 100 AND line LIKE '---%'")
+def _(spark, sf):
+    return D.detect_format_deviation(break_lines(spark, sf))
+
+
+@register("detect_prefix_deviation", f"WITH {BL} SELECT file_id, line_no, byte_start, CAST(0.3 AS DOUBLE) AS severity, 'prefix_deviation' AS detector FROM bl WHERE line LIKE '---%'")
+def _(spark, sf):
+    return P.detect_prefix_deviation(break_lines(spark, sf))
+
+
+@register("mask_tokens", f"WITH {EL} SELECT file_id, line_no, regexp_replace(regexp_replace(line, '^\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}} [A-Z]+', '<DATE> <TIME> <LEVEL>'), 'user=\\d+', CASE WHEN regexp_matches(line, 'user=\\d{{8,}} ') THEN 'user=<HEX>' ELSE 'user=<NUM>' END) AS masked FROM el")
+def _(spark, sf):
+    return event_lines(spark, sf).select("file_id", "line_no", mask_tokens(F.col("line")).alias("masked"))
+
+
+@register("dominant_prefix")
+def _(spark, sf):
+    return P.dominant_prefix(event_lines(spark, sf))
+
+
+@register("prefix_length", f"WITH {EL} SELECT DISTINCT file_id FROM el")
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    return P.prefix_length(lines, P.dominant_prefix(lines)).select("file_id")
+
+
+@register("detect_all")
+def _(spark, sf):
+    return D.detect_all(order_lines(spark, sf))
+
+
+# Ranges
+
+
+def _ranges(lines: DataFrame) -> DataFrame:
+    return M.merge_ranges(D.detect_rows(lines))
+
+
+MR = f"""{EL}, h AS (SELECT file_id, line_no, 'error_keyword' AS detector, 0.7 AS s FROM el WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])error([^A-Za-z0-9_]|$)') UNION ALL SELECT file_id, line_no, 'warning_keyword', 0.4 FROM el WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])WARN([^A-Za-z0-9_]|$)')),
+i AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY file_id, detector ORDER BY line_no) <= 2 THEN 0 ELSE 1 END AS n FROM h), j AS (SELECT *, sum(n) OVER (PARTITION BY file_id, detector ORDER BY line_no) AS g FROM i),
+mr AS (SELECT file_id, detector, min(line_no) AS start_line, max(line_no) AS end_line, CAST(max(s) AS DOUBLE) AS severity, count(*) AS n_hits FROM j GROUP BY file_id, detector, g)"""
+
+
+@register("merge_ranges", f"WITH {MR} SELECT * FROM mr")
+def _(spark, sf):
+    return _ranges(event_lines(spark, sf))
+
+
+@register("range_offsets", f"WITH {MR} SELECT mr.*, a.byte_start AS start_offset, b.byte_start + b.byte_len AS end_offset FROM mr JOIN el a ON a.file_id = mr.file_id AND a.line_no = start_line JOIN el b ON b.file_id = mr.file_id AND b.line_no = end_line")
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    return M.range_offsets(_ranges(lines), lines)
+
+
+@register("cap_hits", f"WITH {MR} SELECT file_id, line_no, CAST(s AS DOUBLE) AS severity, detector FROM h QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY s DESC, line_no, detector) <= 10")
+def _(spark, sf):
+    return M.cap_hits(D.detect_rows(event_lines(spark, sf)), 10).select("file_id", "line_no", "severity", "detector")
+
+
+@register("density_cap", f"WITH {MR}, t AS (SELECT file_id, count(*) AS n FROM el GROUP BY 1) SELECT mr.* FROM mr JOIN t USING (file_id) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY severity DESC, start_line, detector) <= greatest(50, floor(n * 0.05))")
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    return M.density_cap(_ranges(lines), R.total_lines(lines))
+
+
+@register("anomaly_report", f"WITH {MR} SELECT *, CASE detector WHEN 'error_keyword' THEN 'error' ELSE 'warning' END AS category, CASE WHEN severity >= 0.6 THEN 'high' ELSE 'medium' END AS label FROM mr")
+def _(spark, sf):
+    return M.anomaly_report(_ranges(event_lines(spark, sf)))
+
+
+@register("describe_ranges", f"WITH {MR} SELECT mr.*, CASE detector WHEN 'error_keyword' THEN CASE WHEN line LIKE '% ERROR %' THEN 'Error: ERROR' ELSE 'Error: error' END ELSE 'Warning: WARN' END AS description FROM mr JOIN el ON el.file_id = mr.file_id AND line_no = start_line")
+def _(spark, sf):
+    lines = event_lines(spark, sf)
+    return M.describe(_ranges(lines), lines)
+
+
+@register("anomaly_summary", f"WITH {MR}, c AS (SELECT file_id, CASE detector WHEN 'error_keyword' THEN 'error' ELSE 'warning' END AS category FROM mr) SELECT file_id, category, count(*) AS n, CAST(grouping_id(file_id, category) AS INT) AS level FROM c GROUP BY CUBE (file_id, category)")
+def _(spark, sf):
+    return A.anomaly_summary(M.anomaly_report(_ranges(event_lines(spark, sf)))).withColumn("level", F.col("level").cast("int"))
+
+
+@register("multiline_blocks", f"WITH {OL}, s AS (SELECT *, line LIKE 'ValueError:%' AS st, regexp_matches(line, '^\\s+\\S') AS go FROM ol), b AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS b FROM s), c AS (SELECT *, sum(CASE WHEN st OR go THEN 0 ELSE 1 END) OVER (PARTITION BY file_id, b ORDER BY line_no) AS stop FROM b) SELECT file_id, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS block FROM c WHERE b > 0 AND stop = 0 GROUP BY file_id, b")
+def _(spark, sf):
+    return M.multiline_blocks(order_lines(spark, sf), F.col("line").startswith("ValueError:"), F.col("line").rlike(r"^\s+\S"))
+
+
+# Reuse
+
+
+def _versions(spark, sf):
+    """The catalogue, and a store of an earlier one in which every third file had another size."""
+    files = _doc_files(spark, sf).select(F.col("file_id").alias("path"), "size_bytes", F.lit(0).cast("timestamp").alias("modified_at"))
+    old = files.withColumn("size_bytes", F.when(F.col("path").cast("long") % 3 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    return files, old
+
+
+@register("stale_files", "SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS size_bytes FROM documents WHERE doc_id % 3 = 0")
+def _(spark, sf):
+    files, old = _versions(spark, sf)
+    return I.stale_files(files, old).select("path", "size_bytes")
+
+
+@register("incremental_trace", f"WITH {DL} SELECT file_id AS path, 'p1' AS pattern_id, line_no, byte_start FROM dl WHERE regexp_matches(line, 'license')")
+def _(spark, sf):
+    files, old = _versions(spark, sf)
+    lines = doc_lines(spark, sf)
+    found = T.trace(lines, ["license"]).select(F.col("file_id").alias("path"), "pattern_id", "line_no", "byte_start")
+    store = old.join(found, "path", "left").withColumn("pattern_hash", F.lit(I.pattern_hash(["license"])))
+    return I.incremental_trace(lines, files, ["license"], store)[0].select("path", "pattern_id", "line_no", "byte_start")
+
+
+@register("incremental_index", "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def _(spark, sf):
+    files, old = _versions(spark, sf)
+    return I.incremental_index(files, old.withColumn("analysis_performed", F.col("path").cast("long") % 2 == 1), True).select("path")
+
+
+@register("rehydrate_matches", f"WITH {DL} SELECT file_id, line_no, line, len(regexp_extract_all(line, 'license')) AS n FROM dl WHERE regexp_matches(line, 'license')")
+def _(spark, sf):
+    lines = doc_lines(spark, sf)
+    store = T.trace(lines, ["license"]).select(F.col("file_id").alias("path"), "pattern_id", "line_no")
+    return I.rehydrate_matches(store, lines, ["license"])[0].select("file_id", "line_no", "line", F.size("submatches").alias("n"))
