@@ -15,7 +15,7 @@ from .common import lookup_join, mix64, randoms, slices, stash, table, utf8
 DEPTH = 200
 LEAD = 64
 #: Later digits of a suffix, each of DEPTH / DIGITS bytes.
-DIGITS = 4
+DIGITS = 2
 
 _BYTE = randoms(256, 83)
 _BASE = 0x9E3779B97F4A7C15 | 1
