@@ -151,8 +151,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stash(connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "line"))
     named = lookup_join(lines.select("doc_id", "pos", "line"), classes, "line", "left")
     named = named.select("doc_id", "pos", F.coalesce("component", "line").alias("class"))
-    kept = named.groupBy("class").agg(first.alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1).select("class", "kept")
-    gone = named.join(kept, "class").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("kept")))
+    kept = stash(named.groupBy("class").agg(first.alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1).select("class", "kept"))
+    gone = lookup_join(named, kept, "class").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("kept")))
     return stash(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
 
 
