@@ -24,7 +24,7 @@ MASKS = (
 def shannon_entropy(s: Column) -> Column:
     """Bits a character."""
     n = F.length(s)
-    share = lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n
+    share = lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / F.greatest(n, F.lit(1))
     parts = F.transform(F.array_distinct(F.split(s, "")), lambda c: -share(c) * F.log2(share(c)))
     return F.aggregate(F.filter(parts, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(0.0), lambda a, x: a + x)
 
