@@ -11,8 +11,8 @@ from logweave.llm.common import stash, table
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language ID rejects; the others stay as they are."""
-    found = langid.predict(docs, langid.train(docs), keep=docs.columns)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = langid.predict(docs, langid.train(docs), keep=docs.columns, names=("__lw_lang", "__lw_score", "__lw_rejected"))
+    return found.where(~F.col("__lw_rejected")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +22,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each class of near-duplicates; rows that share that id keep one."""
-    classes = stash(neardup.ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct())
-    kept = docs.join(classes, docs["doc_id"] == classes["gone"], "left_anti")
+    classes = stash(neardup.ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lw_gone")).distinct())
+    kept = docs.join(classes, docs["doc_id"] == classes["__lw_gone"], "left_anti")
     return kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone")).distinct()
+    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__lw_gone")).distinct()
     leaks = stash(leaks)
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["gone"]), "left_anti")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__lw_gone"]), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emit each document once for each copy that the mix takes, numbered from 1."""
-    copies = stash(mixing.mix_copies(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("mixed"), "copies").groupBy("mixed").agg(F.max("copies").alias("mix_copies")))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed"])).drop("mixed")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy"))
+    copies = stash(mixing.mix_copies(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("__lw_mixed"), "copies").groupBy("__lw_mixed").agg(F.max("copies").alias("__lw_copies")))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__lw_mixed"])).drop("__lw_mixed")
+    return taken.select(*[c for c in docs.columns if c != "mix_copy"], F.explode(F.sequence(F.lit(1), F.col("__lw_copies").cast("int"))).alias("mix_copy"))
 
 
 STAGES = [

@@ -41,8 +41,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -
     becomes the build side of a shuffled hash join. Either way no row is lost.
     """
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    small = small.withColumnRenamed(on, "lookup_key").hint("broadcast" if few else "shuffle_hash")
-    return big.join(small, big[on].eqNullSafe(small["lookup_key"]), how).drop("lookup_key")
+    small = small.withColumnRenamed(on, "__lw_key").hint("broadcast" if few else "shuffle_hash")
+    return big.join(small, big[on].eqNullSafe(small["__lw_key"]), how).drop("__lw_key")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -127,14 +127,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     ids = d.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("id").alias("pick")).distinct()
     rows = d.join(F.broadcast(ids), F.col("id") == F.col("pick")).select("id", "lang", "text").toPandas()
-    rows = rows[[bool(_LETTER.search(t)) for t in rows["text"]]].sort_values(["id", "lang", "text"])
+    rows = rows[rows["text"].map(lambda t: bool(_LETTER.search(t))).astype(bool)].sort_values(["id", "lang", "text"])
     return fit(list(rows["text"]), list(rows["lang"])) if len(rows) else Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0), 1.0, 0.0)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Each row's language and calibrated probability, from its whole text alone.
 
-    Returns the kept columns (the id if none are named) and lang_pred, score, rejected. A text that is null or has no letter is ``und`` with score 0
+    Returns the kept columns (the id if none are named) and lang_pred, score, rejected, under the names given. A text that is null or has no letter is ``und`` with score 0
     and is rejected, as are texts whose probability is under the model's bound. One row per input row; an empty
     table gives an empty result.
     """
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 )
 
     out = given.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "rejected"), names)])
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,15 +161,15 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Other columns stay; a column n_chars is set anew where lines went.
     """
-    removed = repeated_lines(docs, id_col, text_col, percent).select(F.col("doc_id").alias(id_col), F.col("removed").alias("removed_lines"))
+    removed = repeated_lines(docs, id_col, text_col, percent).select(F.col("doc_id").alias(id_col), F.col("removed").alias("__lw_removed"))
     joined = lookup_join(docs, removed, id_col, "left")
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("removed_lines", F.array().cast("array<int>")), i))
-    joined = joined.withColumn("kept_lines", F.when(F.col("removed_lines").isNotNull(), lines))
-    joined = joined.where(F.col("kept_lines").isNull() | (F.size("kept_lines") > 0))
-    changed = {text_col: F.when(F.col("kept_lines").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(F.col(text_col))}
+    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__lw_removed", F.array().cast("array<int>")), i))
+    joined = joined.withColumn("__lw_kept", F.when(F.col("__lw_removed").isNotNull(), lines))
+    joined = joined.where(F.col("__lw_kept").isNull() | (F.size("__lw_kept") > 0))
+    changed = {text_col: F.when(F.col("__lw_kept").isNotNull(), F.array_join("__lw_kept", "\n")).otherwise(F.col(text_col))}
     if "n_chars" in docs.columns:
-        n = F.length(F.array_join("kept_lines", "\n")).cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("kept_lines").isNotNull(), n).otherwise(F.col("n_chars"))
+        n = F.length(F.array_join("__lw_kept", "\n")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("__lw_kept").isNotNull(), n).otherwise(F.col("n_chars"))
     return joined.withColumns(changed).select(*docs.columns)
 
 
