@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A look-up side of at most this many (narrow) rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 #: Text handled at once by the array code, in bytes; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
