@@ -21,10 +21,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest id, of each class of near-duplicates; rows that share that id keep one."""
-    classes = stash(neardup.ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lw_gone")).distinct())
-    kept = docs.join(classes, docs["doc_id"] == classes["__lw_gone"], "left_anti")
-    return kept
+    """Keep one document, the smallest id, of each class of near-duplicates; of rows equal in id and text one stays. Rows without an id stay."""
+    gone = stash(neardup.ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = stash(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
