@@ -71,8 +71,8 @@ def scan_secrets(files: DataFrame, path_col: str = "doc_id", text_col: str = "te
     new = names.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         new = new.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    new = stash(new.select("blob", F.col("path").alias("first_path")))
-    texts = lookup_join(all_files, new, "blob").where(F.col("path").eqNullSafe(F.col("first_path")))
+    # A path and a blob together: a content that very many paths have is looked up at one of them.
+    texts = lookup_join(all_files, stash(new.select("blob", "path")), ["path", "blob"])
     scanned = scan_blobs(texts, rules).dropDuplicates(["blob"]).withColumn("rules", F.lit(version))
     scanned = stash(scanned.select("blob", "rules", "findings"))
     known = scanned if ledger is None else ledger.where(F.col("rules") == version).select("blob", "rules", "findings").unionByName(scanned)

@@ -195,3 +195,20 @@ def test_pipeline_stages(spark):
         assert kept.columns == docs.columns, name
         assert 0.5 * docs.count() < kept.count() <= docs.count(), name
         docs = kept
+
+
+def test_lookups_that_are_shuffled(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr("logweave.llm.common.BROADCAST_CELLS", -1)
+    short = [(r[0], r[1]) for r in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in neardup.ngram_join(docs).collect()}
+    assert got == brute.ngram_join(short)
+    want = {i: (a, b, c, hashlib.sha256(d).hexdigest()) for i, (a, b, c, d) in brute.repeated_bytes(short).items()}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in substrings.drop_repeats(docs).collect()} == want
+    test_secrets_and_ledger(spark, docs)
+
+
+def test_one_of_equal_rows_stays(spark):
+    text = prose(random.Random(5), 80)
+    df = spark.createDataFrame([(1, text, 1), (1, text, 1), (2, text, 2), (3, "other words", 3), (None, text, 4), (None, None, 5), (4, None, 6), (4, None, 6)], "doc_id long, text string, count int")
+    got = sorted((r.doc_id or 0, r["count"]) for r in corpus_pipeline.dedup_documents(spark, df, "").collect())
+    assert got == [(0, 4), (0, 5), (1, 1), (3, 3), (4, 6)]
