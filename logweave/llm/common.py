@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A look-up side of at most this many cells is broadcast, some 30 MB; a larger one is shuffled. A row is a cell, and so
+#: A look-up side of at most this many cells is broadcast, some 60 MB; a larger one is shuffled. A row is a cell, and so
 #: is each element of its arrays and each 16 bytes of its strings.
-BROADCAST_CELLS = 300_000
+BROADCAST_CELLS = 1_000_000
 
 #: Text handled at once by the array code, in bytes; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -46,18 +46,15 @@ def _cells(small: DataFrame) -> F.Column:
     return cells
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join a wide table with a narrower stashed one on columns of both; nulls meet nulls, and big's columns stay.
+def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join a wide table with a narrower stashed one on a column of both; nulls meet nulls, and big's column stays.
 
     The narrow side is broadcast if it is measured as BROADCAST_CELLS at most; beyond that it
     becomes the build side of a shuffled hash join. Either way no row is lost.
     """
-    on = [on] if isinstance(on, str) else on
     cells = small.select(_cells(small).alias("n")).agg(F.sum("n")).first()[0] or 0
-    keys = {c: f"__lw_key{i}" for i, c in enumerate(on)}
-    small = small.withColumnsRenamed(keys).hint("broadcast" if cells <= BROADCAST_CELLS else "shuffle_hash")
-    same = [big[c].eqNullSafe(small[k]) for c, k in keys.items()]
-    return big.join(small, same, how).drop(*keys.values())
+    small = small.withColumnRenamed(on, "__lw_key").hint("broadcast" if cells <= BROADCAST_CELLS else "shuffle_hash")
+    return big.join(small, big[on].eqNullSafe(small["__lw_key"]), how).drop("__lw_key")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, stash, table
+from .common import stash, table
 
 #: Kind, pattern, group whose length counts, least length. The first three are the base kinds.
 RULES = (
@@ -72,7 +72,8 @@ def scan_secrets(files: DataFrame, path_col: str = "doc_id", text_col: str = "te
     if ledger is not None:
         new = new.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
     # A path and a blob together: a content that very many paths have is looked up at one of them.
-    texts = lookup_join(all_files, stash(new.select("blob", "path")), ["path", "blob"])
+    new = stash(new.select(F.col("path").alias("new_path"), F.col("blob").alias("new_blob"))).hint("shuffle_hash")
+    texts = all_files.join(new, (F.col("blob") == F.col("new_blob")) & F.col("path").eqNullSafe(F.col("new_path"))).select("blob", "text")
     scanned = scan_blobs(texts, rules).dropDuplicates(["blob"]).withColumn("rules", F.lit(version))
     scanned = stash(scanned.select("blob", "rules", "findings"))
     known = scanned if ledger is None else ledger.where(F.col("rules") == version).select("blob", "rules", "findings").unionByName(scanned)
