@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, deal, jaccard_need, join_groups
-from .common import lookup_join, mix64, randoms, slices, stash, table
+from .common import discard, lookup_join, mix64, randoms, slices, stash, table
 from .components import connected_components, group_edges
 
 #: Characters of a shingle; lines under MIN_CHARS characters are not judged and always stay.
@@ -153,7 +153,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = named.select("doc_id", "pos", F.coalesce("component", "line").alias("class"))
     kept = stash(named.groupBy("class").agg(first.alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1).select("class", "kept"))
     gone = lookup_join(named, kept, "class").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("kept")))
-    return stash(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    removed = stash(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    discard(lines, groups, members, links, classes, kept)
+    return removed
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, mix64, randoms, slices, stash, table, utf8
+from .common import discard, lookup_join, mix64, randoms, slices, stash, table, utf8
 
 #: Length of a repeated string, and of the part of it by which suffixes are bucketed first.
 DEPTH = 200
@@ -249,7 +249,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     undecided = met.where((F.col("n_digit") > F.col("n_ctx")) & (F.col("place") == 1)).withColumn("known", F.col("n_ctx") > 1)
     found = _repeated_suffixes(_suffixes(d, undecided))
     again = anchors.where(F.col("n") == 0).select("doc_id", "lo", "hi")
-    return stash(_merge(again.unionByName(settled).unionByName(found)))
+    merged = stash(_merge(again.unionByName(settled).unionByName(found)))
+    discard(anchors, met)
+    return merged
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
