@@ -44,20 +44,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def shared_only(postings: DataFrame) -> DataFrame:
-    """The postings(key, node, salt) whose key has another node; those of salted, common keys all stay."""
-    others = F.count("*").over(Window.partitionBy("key", "salt"))
-    return postings.withColumn("others", others).where((F.col("others") > 1) | (F.col("salt") > 0)).drop("others")
+    """The postings(key, node, salt) whose key has another node, once each, with the smallest node of their key and salt as low.
+
+    Those of salted, common keys all stay. One shuffle, by key and salt, serves the window and the removal of repeated rows.
+    """
+    dealt = Window.partitionBy("key", "salt")
+    met = postings.select("key", "node", "salt").repartition("key", "salt").withColumns({"low": F.min("node").over(dealt), "high": F.max("node").over(dealt)})
+    return met.where((F.col("low") != F.col("high")) | (F.col("salt") > 0)).select("key", "node", "salt", "low").distinct()
 
 
-def group_edges(postings: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the nodes of each key of postings(key, node, salt) through its smallest node.
+def group_edges(shared: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes of each key of shared_only()'s rows through its smallest node.
 
     One edge a posting at most. Keys that are known to be common come with salts of 1 and more: their postings are split by it, and
     only the smallest nodes of the parts meet; all others have salt 0.
     """
-    low = F.min("node").over(Window.partitionBy("key", "salt"))
-    met = stash(postings.withColumn("low", low).where((F.col("node") != F.col("low")) | (F.col("salt") > 0)))
-    inside = met.where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    heads = met.where(F.col("salt") > 0).select("key", "low").distinct()
+    inside = shared.where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    heads = shared.where(F.col("salt") > 0).select("key", "low").distinct()
     across = heads.select(F.col("low").alias("a"), F.min("low").over(Window.partitionBy("key")).alias("b"))
     return inside.unionByName(across.where(F.col("a") != F.col("b")))

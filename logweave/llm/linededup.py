@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, deal, jaccard_need, join_groups
 from .common import discard, lookup_join, mix64, randoms, slices, stash, table
-from .components import connected_components, group_edges
+from .components import connected_components, group_edges, shared_only
 
 #: Characters of a shingle; lines under MIN_CHARS characters are not judged and always stay.
 WIDTH = 8
@@ -141,7 +141,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = stash(signatures(d))
     postings = lines.select(F.explode("bands").alias("key"), F.col("line").alias("node"), F.lit(0).alias("salt"))
-    groups = stash(connected_components(group_edges(postings)).withColumnRenamed("component", "grp"))
+    groups = stash(connected_components(group_edges(stash(shared_only(postings)))).withColumnRenamed("component", "grp"))
     first = F.min(F.struct("doc_id", "pos"))
     found = lookup_join(lines.select("doc_id", "pos", "size", F.col("line").alias("node")), groups, "node")
     members = stash(found.groupBy("node", "grp").agg(first.alias("first"), F.max("size").alias("size")))

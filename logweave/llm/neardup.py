@@ -125,7 +125,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = np.argsort(tokens)
     common = docs.sparkSession.sparkContext.broadcast((tokens[order], counts[order]))
     nodes = stash(names.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.max("n").alias("size")))
-    shared = stash(shared_only(_prefixes(d, width, percent, common).distinct()))
+    shared = stash(shared_only(_prefixes(d, width, percent, common)))
     # A partner has percent of the size at least.
     least = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / SHARED)
     for _ in range(PRUNING):
