@@ -20,8 +20,8 @@ PERCENT = 80
 COMMON_LIMIT = 200_000
 #: One more than a set's size divided by this is how many tokens two sets that link must share among their first ones.
 SHARED = 10
-#: Rounds of dropping nodes that cannot reach that number; they change the candidates only, and a second one drops next to none.
-PRUNING = 1
+#: Rounds of dropping nodes that cannot reach that number. The second drops few, but these tie groups together.
+PRUNING = 2
 #: Tasks into which a common token's nodes are split before their smallest nodes meet.
 SALTS = 64
 _COUNTED = 4_000_000
