@@ -49,8 +49,8 @@ def shared_only(postings: DataFrame) -> DataFrame:
     Those of salted, common keys all stay. One shuffle, by key and salt, serves the window and the removal of repeated rows.
     """
     dealt = Window.partitionBy("key", "salt")
-    met = postings.select("key", "node", "salt").repartition("key", "salt").withColumns({"low": F.min("node").over(dealt), "high": F.max("node").over(dealt)})
-    return met.where((F.col("low") != F.col("high")) | (F.col("salt") > 0)).select("key", "node", "salt", "low").distinct()
+    met = postings.repartition("key", "salt").withColumns({"low": F.min("node").over(dealt), "high": F.max("node").over(dealt)})
+    return met.where((F.col("low") != F.col("high")) | (F.col("salt") > 0)).drop("high").distinct()
 
 
 def group_edges(shared: DataFrame) -> DataFrame:

@@ -72,22 +72,23 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """(key, node, salt): the first tokens of each set in the global order; salt splits common tokens.
+    """(key, node, salt, lead): the first tokens of each set in the global order; salt splits common tokens.
 
     Of a set of n tokens there are n - ceil(n * percent / 100) + l with l = 1 + n // SHARED: two sets that link have the
-    smaller l of the two in common among them.
+    smaller l of the two in common among them, and one at least among those that l = 1 would give, marked lead.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = common.value
         done: set[int] = set()
         for _, sets in _sets(batches, width):
-            found, nodes, salts = [], [], []
+            found, nodes, salts, leads = [], [], [], []
             for s in sets:
                 if not len(s) or (node := _node(s)) in done:
                     continue
                 done.add(node)
-                n = len(s) - -(-len(s) * percent // 100) + 1 + len(s) // SHARED
+                lead = len(s) - -(-len(s) * percent // 100) + 1
+                n = min(lead + len(s) // SHARED, len(s))
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     often = np.where(tokens[at] == s, counts[at], 0)
@@ -98,17 +99,18 @@ def _prefixes(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
                 salts.append(np.where(often > 0, 1 + node % SALTS, 0).astype(np.int32))
                 found.append(s[:n].view(np.int64))
                 nodes.append(np.full(n, node, np.int64))
+                leads.append(np.arange(n) < lead)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(salts))], ["key", "node", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, salts, leads)], ["key", "node", "salt", "lead"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, salt int")
+    return docs.select("text").mapInArrow(run, "key long, node long, salt int, lead boolean")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Documents whose sets of word shingles have a Jaccard similarity of at least percent / 100, as classes.
 
     Equal sets are one node. Tokens have one global order, rare ones first, and two sets that link share a number of their
-    first tokens that follows from their sizes; nodes that cannot reach it are dropped, those left that share a first token are connected, and the sets of each
+    first tokens that follows from their sizes; nodes that cannot reach it are dropped, those left that share a leading token, the rarest of the first ones, are connected, and the sets of each
     connected group are shipped once and joined exactly over a trie, in blocks of bounded size (``blocks``, ``trie``).
     The links found make the classes by distributed union-find.
 
@@ -128,9 +130,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = stash(shared_only(_prefixes(d, width, percent, common)))
     # A partner has percent of the size at least.
     least = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / SHARED)
-    for _ in range(PRUNING):
+    for left in reversed(range(PRUNING)):
         able = shared.groupBy("node").agg(F.count("*").alias("met")).join(nodes, "node").where(F.col("met") >= least).select("node")
-        shared = stash(shared_only(shared.join(able, "node")))
+        kept = shared.drop("low").join(able, "node")
+        # The other tokens count; only the leading ones, the rarest, are needed to connect what links.
+        shared = stash(shared_only(kept if left else kept.where("lead")))
     edges = group_edges(shared)
     groups = connected_components(edges).withColumnRenamed("component", "grp")
     members = deal(groups.join(nodes, "node"))
