@@ -17,7 +17,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one line of each class of near-duplicate lines; documents left without any line go."""
-    return linededup.drop_repeated_lines(docs)
+    return linededup.drop_repeated_lines(docs, brief=True)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

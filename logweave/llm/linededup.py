@@ -13,9 +13,8 @@ from .blocks import block_pairs, deal, jaccard_need, join_groups
 from .common import discard, lookup_join, mix64, randoms, slices, stash, table
 from .components import connected_components, group_edges, shared_only
 
-#: Characters of a shingle; lines under MIN_CHARS characters are not judged and always stay.
+#: Characters of a shingle; a shorter line has none and can only be equal to others.
 WIDTH = 8
-MIN_CHARS = 32
 PERCENT = 80
 #: Two lines of similarity 0.8 share one of 8 bands of 3 values with probability 0.997.
 BANDS, ROWS = 8, 3
@@ -64,32 +63,47 @@ def _line_ids(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(np.add.reduceat(value, at) + n.astype(np.uint64)).view(np.int64)
 
 
-def _judged(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and position of every line long enough, the shingle hashes, and where the line's own start and end in them."""
+def _brief_ids(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each line under WIDTH characters, and whether it has more than white space."""
+    value, filled = (ends - starts).astype(np.uint64), np.zeros(len(starts), bool)
+    for k in range(WIDTH - 1):
+        c = np.where(starts + k < ends, codes[np.minimum(starts + k, len(codes) - 1)], 32)
+        value += c.astype(np.uint64) * _CHAR[k]
+        filled |= (c != 32) & ((c < 9) | (c > 13))
+    return mix64(mix64(value) + _CHAR[-1]).view(np.int64), filled
+
+
+def _judged(texts: list[str | None], brief: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and id of every line to judge, the shingle hashes, and where the line's own start and end in them; brief adds lines without any."""
     codes = _codes("\n".join(t or "" for t in texts) + "\n")
     stops = np.flatnonzero(codes == 10)
     begins = np.concatenate([[0], stops[:-1] + 1])
     per_row = np.array([(t or "").count("\n") + 1 for t in texts])
     row = np.repeat(np.arange(len(texts)), per_row)
     pos = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-    keep = stops - begins >= MIN_CHARS
-    return row[keep], pos[keep], _hashes(codes), begins[keep], stops[keep] - WIDTH + 1
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, size, bands) of every judged line; bands are null where the task has given them for the same line."""
+    ends = np.maximum(stops - WIDTH + 1, begins)
+    hashes, keep, line = _hashes(codes), ends > begins, np.zeros(len(row), np.int64)
+    if keep.any():
+        line[keep] = _line_ids(hashes, begins[keep], ends[keep])
+    if brief:
+        short = np.flatnonzero(~keep)
+        line[short], keep[short] = _brief_ids(codes, begins[short], stops[short])
+    return row[keep], pos[keep], line[keep], hashes, begins[keep], ends[keep]
+
+
+def signatures(docs: DataFrame, brief: bool = False) -> DataFrame:
+    """(doc_id, pos, line, size, bands) of every judged line; bands are empty where the task has given them for the same line, and for brief lines."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                row, pos, hashes, starts, ends = _judged(part.column("text").to_pylist())
+                row, pos, line, hashes, starts, ends = _judged(part.column("text").to_pylist(), brief)
                 if not len(row):
                     continue
-                line = _line_ids(hashes, starts, ends)
                 fresh = np.zeros(len(line), bool)
-                for i, name in enumerate(line.tolist()):
+                for i, name in zip(np.flatnonzero(ends > starts).tolist(), line[ends > starts].tolist()):
                     if name not in done:
                         done.add(name)
                         fresh[i] = True
@@ -112,9 +126,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, pos, hashes, starts, ends = _judged(part.column("text").to_pylist())
+                row, pos, line, hashes, starts, ends = _judged(part.column("text").to_pylist())
                 at = {(int(r), int(p)): i for i, (r, p) in enumerate(zip(row, pos))}
-                line = _line_ids(hashes, starts, ends) if len(row) else np.zeros(0, np.int64)
                 out: list[list] = [[], [], [], [], []]
                 for r, wants in enumerate(part.column("wants").to_pylist()):
                     for w in wants:
@@ -129,17 +142,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lookup_join(docs, per_doc, "doc_id").select("text", "wants").mapInArrow(run, "node long, grp long, blocks int, part int, tokens array<long>")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, brief: bool = False) -> DataFrame:
     """(doc_id, removed): positions, from 0, of the lines that another line stands for; only documents that have some.
 
-    Lines end at line feeds. Those of MIN_CHARS characters or more are judged; equal ones are one node. MinHash signatures of their
+    Lines end at line feeds. Those of WIDTH characters or more are judged, and with brief also shorter ones that have more than white
+    space, which are classes of equal lines; equal ones are one node. MinHash signatures of their
     character shingles are cut into bands, nodes that share a band are connected, and inside each connected group the sets of
     shingles are compared exactly, in blocks of bounded size. Links of the given similarity make
     classes by distributed union-find; of each class the line with the smallest document id, then position, stays. Null texts have one
     empty line; a null id comes before all others; rows that share an id keep and lose the same positions.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = stash(signatures(d))
+    lines = stash(signatures(d, brief))
     postings = lines.select(F.explode("bands").alias("key"), F.col("line").alias("node"), F.lit(0).alias("salt"))
     groups = stash(connected_components(group_edges(stash(shared_only(postings)))).withColumnRenamed("component", "grp"))
     first = F.min(F.struct("doc_id", "pos"))
@@ -158,12 +172,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return removed
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, brief: bool = False) -> DataFrame:
     """The documents without their repeated lines; those left without any line go, and untouched ones stay as they are.
 
     Other columns stay; a column n_chars is set anew where lines went.
     """
-    removed = repeated_lines(docs, id_col, text_col, percent).select(F.col("doc_id").alias(id_col), F.col("removed").alias("__lw_removed"))
+    removed = repeated_lines(docs, id_col, text_col, percent, brief).select(F.col("doc_id").alias(id_col), F.col("removed").alias("__lw_removed"))
     joined = lookup_join(docs, removed, id_col, "left")
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__lw_removed", F.array().cast("array<int>")), i))
     joined = joined.withColumn("__lw_kept", F.when(F.col("__lw_removed").isNotNull(), lines))
@@ -177,7 +191,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    removed = repeated_lines(docs)
+    removed = repeated_lines(docs, brief=True)
     lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     out = lookup_join(lines, removed, "doc_id", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))

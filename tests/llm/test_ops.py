@@ -212,3 +212,11 @@ def test_one_of_equal_rows_stays(spark):
     df = spark.createDataFrame([(1, text, 1), (1, text, 1), (2, text, 2), (3, "other words", 3), (None, text, 4), (None, None, 5), (4, None, 6), (4, None, 6)], "doc_id long, text string, count int")
     got = sorted((r.doc_id or 0, r["count"]) for r in corpus_pipeline.dedup_documents(spark, df, "").collect())
     assert got == [(0, 4), (0, 5), (1, 1), (3, 3), (4, 6)]
+
+
+def test_short_lines_are_judged(spark):
+    mit, tail = "Released under the MIT License.", "All rights reserved."
+    df = spark.createDataFrame([(1, f"{mit}\n{tail}\nYes\n\n \n\t"), (2, f"{mit}\nYes\n{tail[:-1]}\n\n \n\t"), (3, "yes\nYes \nsevench\nsevench")], "doc_id long, text string")
+    gone = {r.doc_id: r.removed for r in linededup.repeated_lines(df, brief=True).collect()}
+    assert gone == {2: [0, 1, 2], 3: [3]}
+    assert {r.doc_id: r.removed for r in linededup.repeated_lines(df).collect()} == {2: [0, 2]}
