@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import decontam, langid, linededup, mixing, neardup
-from logweave.llm.common import stash, table
+from logweave.llm.common import lookup_join, one_of_each, row_key, shared_keys, stash, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that language ID rejects; the others stay as they are."""
-    found = langid.predict(docs, langid.train(docs), keep=docs.columns, names=("__lw_lang", "__lw_score", "__lw_rejected"))
+    """Drop the documents that language ID rejects, or only those without a letter where no row could be learnt from; the others stay as they are."""
+    model = langid.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    found = langid.predict(docs, model, keep=docs.columns, names=("__lw_lang", "__lw_score", "__lw_rejected"))
     return found.where(~F.col("__lw_rejected")).select(*docs.columns)
 
 
@@ -22,26 +25,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each class of near-duplicates; of rows equal in id and text one stays. Rows without an id stay."""
-    gone = stash(neardup.ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = stash(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    rows = docs.withColumn("__lw_row", row_key("doc_id", "text"))
+    linked = neardup.ngram_join(rows, "__lw_row").where(F.col("n_links") > 0)
+    linked = stash(linked.select(F.col("doc_id").alias("__lw_row"), F.col("component_id").alias("class")).distinct())
+    named = stash(lookup_join(rows.where(F.col("doc_id").isNotNull()).select("doc_id", "__lw_row"), linked, "__lw_row"))
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "__lw_row")).alias("first"))
+    gone = stash(named.join(first, "class").where(F.col("__lw_row") != F.col("first.__lw_row")).select("__lw_row").distinct())
+    kept = rows.join(gone, "__lw_row", "left_anti").select(*rows.columns)
+    named = one_of_each(kept.where(F.col("doc_id").isNotNull()), "__lw_row", shared_keys(rows.where(F.col("doc_id").isNotNull()), "__lw_row"))
+    return named.unionByName(kept.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__lw_gone")).distinct()
-    leaks = stash(leaks)
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__lw_gone"]), "left_anti")
+    rows = docs.withColumn("__lw_row", row_key("doc_id", "text"))
+    leaks = stash(decontam.find_leaks(rows, table(spark, sf_dir, "benchmark"), "__lw_row").select(F.col("doc_id").alias("__lw_row")).distinct())
+    return rows.join(leaks, "__lw_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit each document once for each copy that the mix takes, numbered from 1."""
-    copies = stash(mixing.mix_copies(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("__lw_mixed"), "copies").groupBy("__lw_mixed").agg(F.max("copies").alias("__lw_copies")))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__lw_mixed"])).drop("__lw_mixed")
+    """Emit each document once for each copy that the mix takes, numbered from 1; rows equal in id, text and source are one document."""
+    rows = docs.withColumn("__lw_row", row_key("doc_id", "text", "source"))
+    copies = mixing.mix_copies(rows, row_col="__lw_row").where(F.col("copies") > 0).groupBy(F.col("row").alias("__lw_row")).agg(F.sum("copies").alias("__lw_copies"))
+    taken = one_of_each(rows, "__lw_row").join(stash(copies), "__lw_row")
     return taken.select(*[c for c in docs.columns if c != "mix_copy"], F.explode(F.sequence(F.lit(1), F.col("__lw_copies").cast("int"))).alias("mix_copy"))
 
 

@@ -66,6 +66,24 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -
     return big.join(small, big[on].eqNullSafe(small["__lw_key"]), how).drop("__lw_key")
 
 
+def row_key(*columns: str) -> F.Column:
+    """Hash that tells rows apart by the given columns, as ids may be null or shared; only rows equal in all of them have one key."""
+    return F.xxhash64(*columns)
+
+
+def shared_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key), stashed: the keys of more than one row."""
+    return stash(df.groupBy(key).count().where(F.col("count") > 1).select(key))
+
+
+def one_of_each(df: DataFrame, key: str, shared: DataFrame | None = None) -> DataFrame:
+    """df with one row of those that share a key; only the rows of such keys are shuffled."""
+    shared = shared_keys(df, key) if shared is None else shared
+    if shared.isEmpty():
+        return df
+    return df.join(shared, key, "left_anti").select(*df.columns).unionByName(df.join(shared, key, "left_semi").select(*df.columns).dropDuplicates([key]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

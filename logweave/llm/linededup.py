@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, deal, jaccard_need, join_groups
-from .common import discard, lookup_join, mix64, randoms, slices, stash, table
+from .common import discard, lookup_join, mix64, randoms, row_key, shared_keys, slices, stash, table
 from .components import connected_components, group_edges, shared_only
 
 #: Characters of a shingle; a shorter line has none and can only be equal to others.
@@ -92,7 +92,7 @@ def _judged(texts: list[str | None], brief: bool = False) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, brief: bool = False) -> DataFrame:
-    """(doc_id, pos, line, size, bands) of every judged line; bands are empty where the task has given them for the same line, and for brief lines."""
+    """(doc_id, row, pos, line, size, bands) of every judged line; bands are empty where the task has given them for the same line, and for brief lines."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,17 +111,17 @@ def signatures(docs: DataFrame, brief: bool = False) -> DataFrame:
                 keys = _bands(hashes, starts[fresh], ends[fresh]).ravel().view(np.int64) if fresh.any() else np.zeros(0, np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(line), pa.array((ends - starts).astype(np.int64)), bands],
-                    ["doc_id", "pos", "line", "size", "bands"],
+                    [*(part.column(c).take(pa.array(row)) for c in ("doc_id", "row")), pa.array(pos.astype(np.int32)), pa.array(line), pa.array((ends - starts).astype(np.int64)), bands],
+                    ["doc_id", "row", "pos", "line", "size", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, pos int, line long, size long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, pos int, line long, size long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sets of shingle hashes of the wanted(doc_id, pos, node, grp, blocks, part) lines."""
+    """Sets of shingle hashes of the wanted(row, pos, node, grp, blocks, part) lines."""
     names = ["node", "grp", "blocks", "part"]
-    per_doc = stash(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", *names)).alias("wants")))
+    per_doc = stash(wanted.groupBy("row").agg(F.collect_list(F.struct("pos", *names)).alias("wants")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,48 +139,65 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], [*names, "tokens"]
                 )
 
-    return lookup_join(docs, per_doc, "doc_id").select("text", "wants").mapInArrow(run, "node long, grp long, blocks int, part int, tokens array<long>")
+    return lookup_join(docs, per_doc, "row").select("text", "wants").mapInArrow(run, "node long, grp long, blocks int, part int, tokens array<long>")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, brief: bool = False) -> DataFrame:
-    """(doc_id, removed): positions, from 0, of the lines that another line stands for; only documents that have some.
+    """(doc_id, row, removed, twins): positions, from 0, of the lines that another line stands for; only documents that have some.
 
     Lines end at line feeds. Those of WIDTH characters or more are judged, and with brief also shorter ones that have more than white
     space, which are classes of equal lines; equal ones are one node. MinHash signatures of their
     character shingles are cut into bands, nodes that share a band are connected, and inside each connected group the sets of
     shingles are compared exactly, in blocks of bounded size. Links of the given similarity make
     classes by distributed union-find; of each class the line with the smallest document id, then position, stays. Null texts have one
-    empty line; a null id comes before all others; rows that share an id keep and lose the same positions.
+    empty line; a null id comes before all others. Rows with a null or a shared id are told apart by their texts: row is the row_key of id and
+    text. Of rows equal in both, one loses the positions removed and each other one those in twins, which are all that are judged.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     lines = stash(signatures(d, brief))
     postings = lines.select(F.explode("bands").alias("key"), F.col("line").alias("node"), F.lit(0).alias("salt"))
     groups = stash(connected_components(group_edges(stash(shared_only(postings)))).withColumnRenamed("component", "grp"))
-    first = F.min(F.struct("doc_id", "pos"))
-    found = lookup_join(lines.select("doc_id", "pos", "size", F.col("line").alias("node")), groups, "node")
+    first = F.min(F.struct("doc_id", "row", "pos"))
+    found = lookup_join(lines.select("doc_id", "row", "pos", "size", F.col("line").alias("node")), groups, "node")
     members = stash(found.groupBy("node", "grp").agg(first.alias("first"), F.max("size").alias("size")))
-    wanted = deal(members).select("first.doc_id", "first.pos", "node", "grp", "blocks", "part")
+    wanted = deal(members).select("first.row", "first.pos", "node", "grp", "blocks", "part")
     sets = _sets(d, wanted).withColumn("weight", F.lit(1).cast("long"))
     links = stash(join_groups(block_pairs(sets), jaccard_need(percent)))
     classes = stash(connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "line"))
-    named = lookup_join(lines.select("doc_id", "pos", "line"), classes, "line", "left")
-    named = named.select("doc_id", "pos", F.coalesce("component", "line").alias("class"))
+    named = lookup_join(lines.select("doc_id", "row", "pos", "line"), classes, "line", "left")
+    named = named.select("doc_id", "row", "pos", F.coalesce("component", "line").alias("class"))
     kept = stash(named.groupBy("class").agg(first.alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1).select("class", "kept"))
-    gone = lookup_join(named, kept, "class").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("kept")))
-    removed = stash(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    gone = lookup_join(named, kept, "class").where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("kept")))
+    gone = gone.select("doc_id", "row", "pos", F.lit(None).cast("int").alias("twin"))
+    shared = shared_keys(d.select("row"), "row")
+    if not shared.isEmpty():
+        gone = gone.unionByName(lookup_join(lines, shared, "row").select("doc_id", "row", F.lit(None).cast("int").alias("pos"), F.col("pos").alias("twin")))
+    removed = stash(gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("twin")).alias("twins")))
     discard(lines, groups, members, links, classes, kept)
     return removed
 
 
+def _with_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """docs(__lw_row, ...) with __lw_removed, the positions that each row loses; of equal rows, which one comes first is open."""
+    found = removed.select(F.col("row").alias("__lw_row"), F.col("removed").alias("__lw_removed"), F.col("twins").alias("__lw_twins"))
+    joined = lookup_join(docs, found, "__lw_row", "left")
+    equal = F.coalesce(F.size("__lw_twins") > 0, F.lit(False))
+    if found.where(equal).isEmpty():
+        return joined.drop("__lw_twins")
+    place = F.row_number().over(Window.partitionBy("__lw_row").orderBy("__lw_row"))
+    twins = joined.where(equal).withColumn("__lw_place", place)
+    twins = twins.withColumn("__lw_removed", F.when(F.col("__lw_place") > 1, F.col("__lw_twins")).otherwise(F.col("__lw_removed"))).drop("__lw_place")
+    return joined.where(~equal).unionByName(twins).drop("__lw_twins")
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, brief: bool = False) -> DataFrame:
     """The documents without their repeated lines; those left without any line go, and untouched ones stay as they are.
 
     Other columns stay; a column n_chars is set anew where lines went.
     """
-    removed = repeated_lines(docs, id_col, text_col, percent, brief).select(F.col("doc_id").alias(id_col), F.col("removed").alias("__lw_removed"))
-    joined = lookup_join(docs, removed, id_col, "left")
+    joined = _with_removed(docs.withColumn("__lw_row", row_key(id_col, text_col)), repeated_lines(docs, id_col, text_col, percent, brief))
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__lw_removed", F.array().cast("array<int>")), i))
-    joined = joined.withColumn("__lw_kept", F.when(F.col("__lw_removed").isNotNull(), lines))
+    joined = joined.withColumn("__lw_kept", F.when(F.size("__lw_removed") > 0, lines))
     joined = joined.where(F.col("__lw_kept").isNull() | (F.size("__lw_kept") > 0))
     changed = {text_col: F.when(F.col("__lw_kept").isNotNull(), F.array_join("__lw_kept", "\n")).otherwise(F.col(text_col))}
     if "n_chars" in docs.columns:
@@ -192,6 +209,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = repeated_lines(docs, brief=True)
-    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    out = lookup_join(lines, removed, "doc_id", "left")
+    lines = docs.select("doc_id", row_key("doc_id", "text").alias("__lw_row"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    out = _with_removed(lines, removed).withColumn("removed", F.when(F.size("__lw_removed") > 0, F.col("__lw_removed")))
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))

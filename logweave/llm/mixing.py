@@ -50,7 +50,7 @@ def _unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, row_col: str | None = None) -> DataFrame:
     """How many copies of each document the mix takes.
 
     Each document of a source expects target / source_size copies. Documents are laid out by size, their
@@ -62,10 +62,12 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns doc_id, source, size, source_size, target, copies, taken; one row for each input row.
     A null text has size 0; a null source is a source of its own, the last; null ids are kept; an
-    empty table gives an empty result. Equal rows share the copies of the stretch that they form.
+    empty table gives an empty result. Equal rows share the copies of the stretch that they form. A row_col tells
+    rows apart that share an id and a size, and is returned as row.
     """
+    row = [F.col(row_col).alias("row")] if row_col else []
     d = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        *row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -80,12 +82,12 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("a.source").alias("s_source"), F.col("a.band").alias("s_band"), F.col("a.slice").alias("s_slice"), "ahead", "source_size", "target",
         _unit(F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("a.source")), F.lit("none"))).alias("offset"),
     )
-    inside = Window.partitionBy("source", "band", "slice").orderBy("size", F.col("doc_id").asc_nulls_last())
+    inside = Window.partitionBy("source", "band", "slice").orderBy("size", F.col("doc_id").asc_nulls_last(), *["row"] * bool(row_col))
     d = d.withColumn("at", F.row_number().over(inside)).join(info, F.expr("source <=> s_source AND band = s_band AND slice = s_slice"))
     upto = lambda i: F.floor(i.cast("double") * F.col("target") / F.col("source_size") + F.col("offset"))
     here = F.col("ahead") + F.col("at")
     copies = F.when(F.col("source_size") > 0, upto(here) - upto(here - 1)).otherwise(F.lit(0)).cast("long")
-    return d.withColumn("copies", F.least(copies, F.lit(max_repeat).cast("long"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.withColumn("copies", F.least(copies, F.lit(max_repeat).cast("long"))).select(*["row"] * bool(row_col), "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

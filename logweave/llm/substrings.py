@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lookup_join, mix64, randoms, slices, stash, table, utf8
+from .common import discard, lookup_join, mix64, randoms, row_key, slices, stash, table, utf8
 
 #: Length of a repeated string, and of the part of it by which suffixes are bucketed first.
 DEPTH = 200
@@ -258,10 +258,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text without its repeated bytes, one row per input row.
 
     A null text is empty; texts under DEPTH bytes lose nothing; every copy of a repeated text of DEPTH bytes or more loses all of
-    it. Null ids are one id; an empty table gives an empty result.
+    it. Rows with a null or a shared id are told apart by their texts; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +277,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column("doc_id"), pa.array(n_bytes.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    joined = lookup_join(d, repeated_ranges(docs, id_col, text_col), "doc_id", "left").select("doc_id", "text", "starts", "ends")
+    ranges = repeated_ranges(d, "row").withColumnRenamed("doc_id", "row")
+    joined = lookup_join(d, ranges, "row", "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -220,3 +220,34 @@ def test_short_lines_are_judged(spark):
     gone = {r.doc_id: r.removed for r in linededup.repeated_lines(df, brief=True).collect()}
     assert gone == {2: [0, 1, 2], 3: [3]}
     assert {r.doc_id: r.removed for r in linededup.repeated_lines(df).collect()} == {2: [0, 2]}
+
+
+def test_rows_without_an_own_id_are_told_apart(spark):
+    rng = random.Random(8)
+    a, b, c = prose(rng, 60), prose(rng, 70), prose(rng, 80)
+    data = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (7, b), (7, c), (9, a), (9, a)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute.repeated_bytes(list(enumerate(t for _, t in data)))
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.drop_repeats(df).collect()) == sorted((data[i][0] or 0, *x) for i, x in want.items())
+    # Of each line one copy stays, in whichever of the two rows without an id the key orders first.
+    left = [r.text for r in linededup.drop_repeated_lines(df).collect()]
+    assert sorted("\n".join(left).split("\n")) == sorted([a, b, c]) and len(left) == 2
+    own = spark.createDataFrame([(9, b), (9, b), (9, c)], "doc_id long, text string")
+    assert sorted(r.text for r in linededup.drop_repeated_lines(own).collect()) == sorted([b, c])
+
+
+def test_stages_with_shared_ids(spark, tmp_path):
+    rng = random.Random(9)
+    a, b, c, item = prose(rng, 80), prose(rng, 90), prose(rng, 100), prose(rng, 30, 50)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    texts = lambda out: sorted(r.text for r in out.collect())
+    near = df([(1, a, "en", "s"), (2, a + " more", "en", "s"), (2, b, "en", "s")])
+    assert texts(corpus_pipeline.dedup_documents(spark, near, "")) == sorted([a, b])
+    leaky = df([(None, f"{a} {item}", "en", "s"), (None, b, "en", "s")])
+    assert texts(corpus_pipeline.decontaminate(spark, leaky, str(tmp_path))) == [b]
+    unlabelled = df([(None, a, None, "s"), (1, b, None, "s"), (2, "12 34", None, "s"), (3, None, None, "s")])
+    assert texts(corpus_pipeline.keep_languages(spark, unlabelled, "")) == sorted([a, b])
+    mixed = df([(None, a, "en", "s"), (None, b, "en", "s"), (None, c, "en", "t"), (None, c, "en", "t"), (5, c, "en", "t")])
+    want = sum(r.copies for r in mixing.mix_copies(mixed).collect())
+    assert corpus_pipeline.mix(spark, mixed, "").count() == want > 0
