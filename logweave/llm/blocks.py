@@ -21,10 +21,12 @@ def jaccard_need(percent: int):
     return lambda a, b: -(-percent * (a + b) // (100 + percent))
 
 
-def _links(nodes: np.ndarray, part: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, need) -> tuple[list, list, list]:
-    """(node, other, links) rows of a pair of blocks: a spanning set of links, and how many each node has here."""
-    right = np.flatnonzero(part == part.max())
-    left = right if part.min() == part.max() else np.flatnonzero(part != part.max())
+def _links(nodes: np.ndarray, part: np.ndarray, x: int, y: int, sets: list[np.ndarray], weights: np.ndarray, need) -> tuple[list, list, list]:
+    """(node, other, links) rows of the blocks x and y: a spanning set of links, and how many each node has here; none where one is empty."""
+    right = np.flatnonzero(part == y)
+    left = right if x == y else np.flatnonzero(part == x)
+    if not len(left) or not len(right):
+        return nodes[:0], nodes[:0], nodes[:0]
     found = join_block([sets[i] for i in left], [sets[j] for j in right], need)
     root = np.arange(len(nodes))
 
@@ -78,7 +80,7 @@ def join_groups(dealt: DataFrame, need) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1:
-                found = _links(np.array([r[1] for r in held]), np.array([r[0] for r in held]), [r[3] for r in held], np.array([r[2] for r in held]), need)
+                found = _links(np.array([r[1] for r in held]), np.array([r[0] for r in held]), key[1], key[2], [r[3] for r in held], np.array([r[2] for r in held]), need)
                 for column, values in zip(out, found):
                     column.append(values)
             held.clear()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logweave.llm import components, decontam, langid, licenses, linededup, mixing, neardup, secrets, substrings, tokens, topk
+from logweave.llm import blocks, components, decontam, langid, licenses, linededup, mixing, neardup, secrets, substrings, tokens, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, score double"
 
@@ -251,3 +251,10 @@ def test_stages_with_shared_ids(spark, tmp_path):
     mixed = df([(None, a, "en", "s"), (None, b, "en", "s"), (None, c, "en", "t"), (None, c, "en", "t"), (5, c, "en", "t")])
     want = sum(r.copies for r in mixing.mix_copies(mixed).collect())
     assert corpus_pipeline.mix(spark, mixed, "").count() == want > 0
+
+
+def test_a_block_that_is_empty_adds_no_links(spark):
+    same = list(range(1, 40))
+    sets = spark.createDataFrame([(1, 10, 1, 2, 1, same), (1, 11, 1, 2, 1, same), (2, 20, 1, 3, 0, same), (2, 21, 1, 3, 2, same)], "grp long, node long, weight long, blocks int, part int, tokens array<long>")
+    links = blocks.join_groups(blocks.block_pairs(sets), blocks.jaccard_need(80)).groupBy("node").agg(F.sum("links").alias("n"))
+    assert {r.node: r.n for r in links.collect()} == {10: 1, 11: 1, 20: 1, 21: 1}
