@@ -218,8 +218,10 @@ def detect_rows(lines: DataFrame, detectors: dict | None = None) -> DataFrame:
 
 
 def detect_all(lines: DataFrame, row: dict | None = None, window: dict | None = None) -> DataFrame:
-    """Union of all detectors' hits, or of the given ones in place of the defaults."""
+    """Union of all detectors' hits, prefix deviations among them, or of the given ones in place of the defaults."""
+    from .prefix import detect_prefix_deviation
+
     out = detect_rows(lines, row)
-    for fn in (WINDOW_DETECTORS if window is None else window).values():
+    for fn in ({**WINDOW_DETECTORS, "prefix_deviation": detect_prefix_deviation} if window is None else window).values():
         out = out.unionByName(fn(lines))
     return out

@@ -399,7 +399,7 @@ def _(spark, sf):
 @register("file_profile")
 def _(spark, sf):
     lines = doc_lines(spark, sf)
-    return _rounded(A.file_profile(lines, _doc_files(spark, sf), _ranges(lines)))
+    return _rounded(A.file_profile(lines, _doc_files(spark, sf), M.merge_ranges(D.detect_all(lines))))
 
 
 @register("file_metrics", f"WITH {DL} SELECT file_id, max(strlen(line))::INT AS widest, count(*) FILTER (line LIKE '%the%') AS n_the FROM dl GROUP BY 1")

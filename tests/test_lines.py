@@ -175,3 +175,8 @@ def test_own_detectors(spark):
         return 0.5 if state.count("boom") > 1 else None
 
     assert numbers(extend.stateful_detector(ls, "second", list, step)) == [(3,)]
+
+
+def test_all_detectors_include_prefix_deviations(spark):
+    log = ["--- BREAK ---" if i == 60 else f"2026-01-02 03:04:{i % 60:02d} INFO user={i}" for i in range(1, 101)]
+    assert [(r.line_no, r.severity) for r in D.detect_all(lines(spark, *log)).where("detector = 'prefix_deviation'").collect()] == [(60, 0.3)]
