@@ -95,13 +95,14 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all documents, from which a second batch withdraws those labelled toxic."""
+    """Counts of all documents, of which a second batch counts those labelled toxic anew; every document stays counted."""
     import uuid
 
     counts = stash(count_tokens(table(spark, sf_dir, "documents")))
     toxic = table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id").distinct()
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("load", inserts(counts))
-    rollup.commit("withdrawn", deletes(counts.join(toxic, "doc_id", "left_semi")))
+    labelled = counts.join(toxic, "doc_id", "left_semi")
+    rollup.commit("revised", revisions(labelled, labelled))
     rollup.commit("load", inserts(counts))  # a retry changes nothing
     return rollup.totals()

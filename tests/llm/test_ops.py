@@ -258,3 +258,8 @@ def test_a_block_that_is_empty_adds_no_links(spark):
     sets = spark.createDataFrame([(1, 10, 1, 2, 1, same), (1, 11, 1, 2, 1, same), (2, 20, 1, 3, 0, same), (2, 21, 1, 3, 2, same)], "grp long, node long, weight long, blocks int, part int, tokens array<long>")
     links = blocks.join_groups(blocks.block_pairs(sets), blocks.jaccard_need(80)).groupBy("node").agg(F.sum("links").alias("n"))
     assert {r.node: r.n for r in links.collect()} == {10: 1, 11: 1, 20: 1, 21: 1}
+
+
+def test_token_query_counts_every_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert tokens.op9_tokens(spark, "/root/testdata/sf0.001").agg(F.sum("n_docs")).first()[0] == docs.count()
