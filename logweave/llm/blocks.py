@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, lookup_join, stash
+from .components import connected_components
 from .trie import join_block
 
 #: A block holds about this many sets and this many tokens at most.
@@ -51,14 +53,24 @@ def _links(nodes: np.ndarray, part: np.ndarray, x: int, y: int, sets: list[np.nd
     return nodes[linked], nodes[[top(i) for i in linked]] if len(linked) else nodes[:0], count[linked]
 
 
+def _blocks(n: str = "n", tokens: str = "tokens"):
+    return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(tokens) / BLOCK_TOKENS)).cast("int")
+
+
+def large_groups(members: DataFrame) -> DataFrame:
+    """(grp, blocks), stashed: the groups of members(grp, size, ...) that are more than one block, and how many each is cut into."""
+    totals = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    return stash(totals.select("grp", _blocks().alias("blocks")).where(F.col("blocks") > 1))
+
+
 def deal(members: DataFrame) -> DataFrame:
     """Add blocks and part to members(grp, node, size, ...): into how many blocks a group is cut, and which one a node is in.
 
-    Groups within the bounds are one block; others are cut by a hash of the node.
+    Groups within the bounds are one block; others are cut by a hash of the node. Only these are looked up, so that no group
+    has to meet in one task.
     """
-    totals = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
-    totals = totals.select("grp", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    return members.join(totals, "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    found = lookup_join(members, large_groups(members), "grp", "left", salt="node").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def block_pairs(sets: DataFrame) -> DataFrame:
@@ -67,10 +79,17 @@ def block_pairs(sets: DataFrame) -> DataFrame:
     return m.withColumns({"x": F.least("part", "with"), "y": F.greatest("part", "with")})
 
 
-def join_groups(dealt: DataFrame, need) -> DataFrame:
+def token_lists(column: pa.Array) -> list[np.ndarray]:
+    """Sorted token hashes of each row of a list column."""
+    offs, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [np.sort(flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]
+
+
+def join_groups(dealt: DataFrame, need, sets_of=token_lists, given: str = "tokens") -> DataFrame:
     """(node, other, links) from dealt(grp, x, y, part, node, weight, tokens): links are found pair of blocks by pair of blocks.
 
-    Rows of a pair arrive together, sorted, and are joined as soon as the next pair begins. A node given twice counts once.
+    Rows of a pair arrive together, sorted, and are joined as soon as the next pair begins. A node given twice counts once. sets_of makes
+    the sets of a batch from the column given, in the task that joins them.
     """
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
@@ -93,20 +112,88 @@ def join_groups(dealt: DataFrame, need) -> DataFrame:
 
         for batch in batches:
             groups, xs, ys, parts, nodes, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            lists = batch.column(6)
-            offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(batch.num_rows):
+            for i, tokens in enumerate(sets_of(batch.column(6))):
                 if key != (now := (groups[i], xs[i], ys[i])):
                     close()
                     key = now
                 if held and held[-1][1] == nodes[i]:
                     continue
-                held.append((parts[i], nodes[i], weights[i], np.sort(flat[offs[i] : offs[i + 1]])))
+                held.append((parts[i], nodes[i], weights[i], tokens))
             if sum(map(len, out[0])) > 10_000:
                 yield ready()
         close()
         if out[0]:
             yield ready()
 
-    rows = dealt.select("grp", "x", "y", "part", "node", "weight", "tokens").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "part", "node")
+    rows = dealt.select("grp", "x", "y", "part", "node", "weight", given).repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "part", "node")
     return rows.mapInArrow(run, "node long, other long, links long")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, need, sets_of, given: str) -> DataFrame:
+    """The pairs(a, b) whose sets, looked up in sets(node, given), link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = sets_of(batch.column(2)), sets_of(batch.column(3))
+            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)])
+            sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+            yield batch.select([0, 1]).filter(pa.array(shared >= need(*sizes))) if len(shared) else batch.select([0, 1])
+
+    first = sets.select(F.col("node").alias("a"), F.col(given).alias("left"))
+    second = sets.select(F.col("node").alias("b"), F.col(given).alias("right"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _cut(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of members(grp, comp, node, size), and the pairs of blocks that may still hold a link between two components.
+
+    A component over the bounds of a block has blocks of its own, whose pairs are left out; all smaller ones of a
+    group share blocks and stay whole.
+    """
+    comps = members.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).withColumn("own", _blocks())
+    rest = comps.where(F.col("own") == 1).groupBy("grp").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).select("grp", _blocks().alias("shared"))
+    big = stash(comps.where(F.col("own") > 1).select("grp", "comp", "own"))
+    rest = stash(rest)
+    shared_from = 1 << 30
+    name = lambda owner, i: F.xxhash64("grp", owner, i.cast("long"))
+    none = F.lit(None).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("i")
+    listed = big.select("grp", F.col("comp").alias("owner"), each("own")).unionByName(rest.select("grp", none.alias("owner"), each("shared")))
+    number = F.when(F.col("owner").isNull(), F.col("i") + shared_from).otherwise(F.col("i"))
+    listed = stash(listed.select("grp", "owner", name(F.coalesce("owner", F.lit(0).cast("long")), number).alias("block")))
+    other = listed.select(F.col("grp").alias("g2"), F.col("owner").alias("o2"), F.col("block").alias("b2"))
+    may = (F.col("grp") == F.col("g2")) & (F.col("block") <= F.col("b2")) & F.coalesce(F.col("owner") != F.col("o2"), F.lit(True))
+    pairs = stash(listed.join(other, may).select("grp", F.col("block").alias("x"), F.col("b2").alias("y")))
+    placed = lookup_join(members, big.select("comp", "own"), "comp", "left", salt="node")
+    placed = lookup_join(placed, rest, "grp", "left", salt="node")
+    block = F.when(F.col("own").isNotNull(), name(F.col("comp"), F.pmod(F.xxhash64("node"), F.col("own")))).otherwise(
+        name(F.lit(0).cast("long"), F.pmod(F.xxhash64("comp"), F.col("shared")) + shared_from)
+    )
+    return placed.select("node", "grp", block.alias("part")), pairs
+
+
+def link_groups(sets: DataFrame, edges: DataFrame, large: DataFrame, need, sets_of, given: str) -> DataFrame:
+    """(a, b): links that connect what links in the groups of sets(grp, node, size, given).
+
+    A group that is one block is joined there. In the larger ones, which large(grp, blocks) lists, the edges(a, b) through which the
+    candidates met are verified first, a bounded number for each node; only what these leave in different components is joined in pairs of blocks. So a
+    group of near copies, however large, costs what its edges cost, and no link between two components is lost.
+    """
+    known = stash(lookup_join(sets.select("grp", "node", "size"), large, "grp", "inner", salt="node").select("grp", "node", "size"))
+    few = lookup_join(sets, large, "grp", "left", salt="node").where(F.col("blocks").isNull())
+    one = F.lit(0)
+    joined = few.select("grp", one.alias("x"), one.alias("y"), one.alias("part"), "node", F.lit(1).cast("long").alias("weight"), given)
+    links = stash(join_groups(joined, need, sets_of, given).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    if known.isEmpty():
+        return links
+    own = stash(sets.join(known.select("node"), "node").select("node", given))
+    inner = edges.join(known.select(F.col("node").alias("a")), "a").select("a", "b").distinct()
+    first = stash(linked_pairs(inner, own, need, sets_of, given))
+    comps = connected_components(first)
+    members = stash(known.join(comps, "node", "left").select("grp", "node", "size", F.coalesce("component", "node").alias("comp")))
+    placed, pairs = _cut(members)
+    meets = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    dealt = placed.join(meets, "part").join(own, "node").withColumn("weight", F.lit(1).cast("long"))
+    rest = stash(join_groups(dealt, need, sets_of, given).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    discard(own, known, members)
+    return links.unionByName(first).unionByName(rest)

@@ -55,15 +55,27 @@ def _cells(small: DataFrame) -> F.Column:
     return cells
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+#: Tasks that share the rows of one key of a salted look-up.
+SALTS = 16
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", salt: str | None = None) -> DataFrame:
     """Join a wide table with a narrower stashed one on a column of both; nulls meet nulls, and big's column stays.
 
     The narrow side is broadcast if it is measured as BROADCAST_CELLS at most; beyond that it
-    becomes the build side of a shuffled hash join. Either way no row is lost.
+    becomes the build side of a shuffled hash join. Where a key may have very many rows, salt names a column of big by whose hash they are
+    spread over SALTS tasks, each with a copy of the narrow side's row. Either way no row is lost.
     """
     cells = small.select(_cells(small).alias("n")).agg(F.sum("n")).first()[0] or 0
-    small = small.withColumnRenamed(on, "__lw_key").hint("broadcast" if cells <= BROADCAST_CELLS else "shuffle_hash")
-    return big.join(small, big[on].eqNullSafe(small["__lw_key"]), how).drop("__lw_key")
+    small = small.withColumnRenamed(on, "__lw_key")
+    if cells <= BROADCAST_CELLS:
+        return big.join(small.hint("broadcast"), big[on].eqNullSafe(small["__lw_key"]), how).drop("__lw_key")
+    if salt is None:
+        return big.join(small.hint("shuffle_hash"), big[on].eqNullSafe(small["__lw_key"]), how).drop("__lw_key")
+    dealt = big.withColumn("__lw_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("__lw_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
+    met = dealt["__lw_salt"] == copies["__lw_copy"]
+    return dealt.join(copies, met & dealt[on].eqNullSafe(copies["__lw_key"]), how).drop("__lw_key", "__lw_salt", "__lw_copy")
 
 
 def row_key(*columns: str) -> F.Column:

@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, deal, jaccard_need, join_groups
+from .blocks import jaccard_need, large_groups, link_groups
 from .common import discard, lookup_join, mix64, randoms, row_key, shared_keys, slices, stash, table
-from .components import connected_components, group_edges, shared_only
+from .components import connected_components
 
 #: Characters of a shingle; a shorter line has none and can only be equal to others.
 WIDTH = 8
 PERCENT = 80
-#: Two lines of similarity 0.8 share one of 8 bands of 3 values with probability 0.997.
-BANDS, ROWS = 8, 3
+#: Two lines of similarity 0.8 share one of 12 bands of 5 values with probability 0.991, two of similarity 0.3 with 0.03.
+BANDS, ROWS = 12, 5
+#: A band key met so often is common: its lines are dealt to SALTS tasks. A task reports keys that it meets a 16th as often.
+COMMON_KEY, COMMON_LIMIT, SALTS = 4096, 10_000, 64
 
 _CHAR = randoms(WIDTH, 53)
 _FLIP, _FACTOR = (randoms(BANDS * ROWS, seed).astype(np.uint32) for seed in (61, 67))
@@ -92,11 +94,26 @@ def _judged(texts: list[str | None], brief: bool = False) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, brief: bool = False) -> DataFrame:
-    """(doc_id, row, pos, line, size, bands) of every judged line; bands are empty where the task has given them for the same line, and for brief lines."""
+    """(doc_id, row, pos, line, size, bands) of every judged line; bands are empty where the task has given them for the same line, and for brief lines.
+
+    Rows without a pos tell a band key that the task has met often, as line, and how often, as size.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "row", "pos", "line", "size", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        pending: list[np.ndarray] = []
+
+        def often(like: pa.RecordBatch) -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(pending), return_counts=True)
+            pending.clear()
+            many = n >= COMMON_KEY // 16
+            m = int(many.sum())
+            empty = pa.ListArray.from_arrays(pa.array(np.zeros(m + 1, np.int32)), pa.array([], pa.int64()))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in (like.schema.field("doc_id").type, pa.int64(), pa.int32())), pa.array(keys[many]), pa.array(n[many].astype(np.int64)), empty], names)
+
+        part = None
         for batch in batches:
             for part in slices(batch, "text"):
                 row, pos, line, hashes, starts, ends = _judged(part.column("text").to_pylist(), brief)
@@ -109,37 +126,71 @@ def signatures(docs: DataFrame, brief: bool = False) -> DataFrame:
                         fresh[i] = True
                 offs = np.concatenate([[0], np.cumsum(fresh)]) * BANDS
                 keys = _bands(hashes, starts[fresh], ends[fresh]).ravel().view(np.int64) if fresh.any() else np.zeros(0, np.int64)
+                pending.append(keys)
                 bands = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(row)) for c in ("doc_id", "row")), pa.array(pos.astype(np.int32)), pa.array(line), pa.array((ends - starts).astype(np.int64)), bands],
-                    ["doc_id", "row", "pos", "line", "size", "bands"],
+                    [*(part.column(c).take(pa.array(row)) for c in ("doc_id", "row")), pa.array(pos.astype(np.int32)), pa.array(line), pa.array((ends - starts).astype(np.int64)), bands], names
                 )
+                if sum(map(len, pending)) > 2_000_000:
+                    yield often(part)
+        if pending:
+            yield often(part)
 
     return docs.mapInArrow(run, f"doc_id {kind}, row long, pos int, line long, size long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sets of shingle hashes of the wanted(row, pos, node, grp, blocks, part) lines."""
-    names = ["node", "grp", "blocks", "part"]
-    per_doc = stash(wanted.groupBy("row").agg(F.collect_list(F.struct("pos", *names)).alias("wants")))
+def candidate_edges(lines: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the lines of a band key whose sizes allow the similarity, stashed; two a posting at most.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, pos, line, hashes, starts, ends = _judged(part.column("text").to_pylist())
-                at = {(int(r), int(p)): i for i, (r, p) in enumerate(zip(row, pos))}
-                out: list[list] = [[], [], [], [], []]
-                for r, wants in enumerate(part.column("wants").to_pylist()):
-                    for w in wants:
-                        i = at.get((r, w["pos"]))
-                        if i is not None and line[i] == w["node"]:
-                            for column, value in zip(out, (*(w[c] for c in names), np.unique(hashes[starts[i] : ends[i]]).view(np.int64))):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], [*names, "tokens"]
-                )
-
-    return lookup_join(docs, per_doc, "row").select("text", "wants").mapInArrow(run, "node long, grp long, blocks int, part int, tokens array<long>")
+    In a key, lines are ordered by size and each is tied to the one before it if their sizes allow a link, so that what could link is
+    connected and no line gathers many edges. A common key is dealt to SALTS tasks, and the smallest
+    lines of each task and size class, the classes being such that lines that could link are in one or in neighbouring ones, are tied across.
+    """
+    common = lines.where(F.col("pos").isNull()).groupBy(F.col("line").alias("key")).agg(F.sum("size").alias("n")).where(F.col("n") >= COMMON_KEY)
+    common = stash(common.orderBy(F.desc("n"), "key").limit(COMMON_LIMIT).select("key", F.lit(True).alias("common")))
+    found = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), F.col("line").alias("node"), F.col("size").cast("int").alias("size"))
+    postings = lookup_join(found, common, "key", "left")
+    postings = postings.select("key", "node", "size", F.when(F.col("common"), 1 + F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    order = Window.partitionBy("key", "salt").orderBy("size", "node")
+    cell = F.floor(F.log("size") / F.log(F.lit(100 / percent))).cast("int")
+    before = F.lag(F.struct("node", "size")).over(order)
+    tied = postings.withColumns({"before": before, "cell": cell})
+    tied = stash(tied.where(F.col("before").isNotNull() & (F.col("before.node") != F.col("node")) & (F.col("size") * percent <= F.col("before.size") * 100) | (F.col("salt") > 0)))
+    inside = tied.where((F.col("before.node") != F.col("node")) & (F.col("size") * percent <= F.col("before.size") * 100)).select(F.col("node").alias("a"), F.col("before.node").alias("b"))
+    heads = tied.where(F.col("salt") > 0).groupBy("key", "salt", "cell").agg(F.min("node").alias("low"))
+    last = F.lag(F.struct("low", "cell")).over(Window.partitionBy("key").orderBy("cell", "salt"))
+    across = heads.withColumn("last", last).where((F.col("cell") - F.col("last.cell") <= 1) & (F.col("low") != F.col("last.low"))).select(F.col("low").alias("a"), F.col("last.low").alias("b"))
+    edges = stash(inside.unionByName(across).distinct())
+    discard(tied)
+    return edges
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, grp, size, line): the texts of the wanted(row, pos, node, grp, size) lines."""
+    per_doc = stash(wanted.groupBy("row").agg(F.collect_list(F.struct("pos", "node", "grp", "size")).alias("wants")))
+    cut = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    found = lookup_join(docs, per_doc, "row").select(cut.alias("lines"), F.explode("wants").alias("w"))
+    # Rows equal in id and text have the same lines.
+    return found.select("w.node", "w.grp", "w.size", F.get("lines", F.col("w.pos")).alias("line")).dropDuplicates(["node"])
+
+
+def line_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sorted shingle hashes of each line of a string column."""
+    return [np.unique(_hashes(_codes(t))) for t in column.to_pylist()]
+
+
+def line_classes(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(line, class) of the lines that link with another one, by exact Jaccard similarity of the candidates' shingles."""
+    edges = candidate_edges(lines, percent)
+    groups = stash(connected_components(edges).withColumnRenamed("component", "grp"))
+    spots = lines.where(F.col("pos").isNotNull()).groupBy(F.col("line").alias("node")).agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.max("size").alias("size"))
+    members = stash(lookup_join(spots, groups, "node").select("node", "grp", "size", "at.row", "at.pos"))
+    large = large_groups(members)
+    texts = stash(_texts(docs, members))
+    links = stash(link_groups(texts, edges, large, jaccard_need(percent), line_sets, "line"))
+    classes = stash(connected_components(links).select(F.col("node").alias("line"), F.col("component").alias("class")))
+    discard(edges, groups, members, large, texts, links)
+    return classes
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, brief: bool = False) -> DataFrame:
@@ -147,33 +198,30 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Lines end at line feeds. Those of WIDTH characters or more are judged, and with brief also shorter ones that have more than white
     space, which are classes of equal lines; equal ones are one node. MinHash signatures of their
-    character shingles are cut into bands, nodes that share a band are connected, and inside each connected group the sets of
+    character shingles are cut into bands, nodes that share a band and are alike in size are connected, and inside each connected group the sets of
     shingles are compared exactly, in blocks of bounded size. Links of the given similarity make
     classes by distributed union-find; of each class the line with the smallest document id, then position, stays. Null texts have one
     empty line; a null id comes before all others. Rows with a null or a shared id are told apart by their texts: row is the row_key of id and
     text. Of rows equal in both, one loses the positions removed and each other one those in twins, which are all that are judged.
+    Lines of any length are judged whole; an empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     lines = stash(signatures(d, brief))
-    postings = lines.select(F.explode("bands").alias("key"), F.col("line").alias("node"), F.lit(0).alias("salt"))
-    groups = stash(connected_components(group_edges(stash(shared_only(postings)))).withColumnRenamed("component", "grp"))
+    classes = line_classes(d, lines, percent)
     first = F.min(F.struct("doc_id", "row", "pos"))
-    found = lookup_join(lines.select("doc_id", "row", "pos", "size", F.col("line").alias("node")), groups, "node")
-    members = stash(found.groupBy("node", "grp").agg(first.alias("first"), F.max("size").alias("size")))
-    wanted = deal(members).select("first.row", "first.pos", "node", "grp", "blocks", "part")
-    sets = _sets(d, wanted).withColumn("weight", F.lit(1).cast("long"))
-    links = stash(join_groups(block_pairs(sets), jaccard_need(percent)))
-    classes = stash(connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "line"))
-    named = lookup_join(lines.select("doc_id", "row", "pos", "line"), classes, "line", "left")
-    named = named.select("doc_id", "row", "pos", F.coalesce("component", "line").alias("class"))
-    kept = stash(named.groupBy("class").agg(first.alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1).select("class", "kept"))
-    gone = lookup_join(named, kept, "class").where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("kept")))
+    placed = lines.where(F.col("pos").isNotNull()).select("doc_id", "row", "pos", "line")
+    spots = placed.groupBy("line").agg(first.alias("first"), F.count("*").alias("n"))
+    spots = stash(lookup_join(spots, classes, "line", "left").where((F.col("n") > 1) | F.col("class").isNotNull()))
+    heads = spots.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("first").alias("head"))
+    named = spots.join(heads, "class", "left").select("line", F.coalesce("head", "first").alias("kept"))
+    named = stash(named)
+    gone = lookup_join(placed, named, "line", salt="row").where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("kept")))
     gone = gone.select("doc_id", "row", "pos", F.lit(None).cast("int").alias("twin"))
     shared = shared_keys(d.select("row"), "row")
     if not shared.isEmpty():
-        gone = gone.unionByName(lookup_join(lines, shared, "row").select("doc_id", "row", F.lit(None).cast("int").alias("pos"), F.col("pos").alias("twin")))
+        gone = gone.unionByName(lookup_join(placed, shared, "row").select("doc_id", "row", F.lit(None).cast("int").alias("pos"), F.col("pos").alias("twin")))
     removed = stash(gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("twin")).alias("twins")))
-    discard(lines, groups, members, links, classes, kept)
+    discard(lines, classes, spots, named)
     return removed
 
 

@@ -62,3 +62,35 @@ def repeated_bytes(docs, window=200):
         spans = len(re.findall(b"\x01+", bytes(gone)))
         out[i] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g))
     return out
+
+
+def line_keys(text, brief=True, width=8):
+    """(position, line) of every judged line of a text."""
+    for pos, line in enumerate((text or "").split("\n")):
+        if len(line) >= width or (brief and line.strip(" \t\n\r\v\f")):
+            yield pos, line
+
+
+def repeated_lines(docs, percent=80, width=8):
+    """docs: (id, text) with distinct ids; doc_id to the positions of lines that another one stands for, and the pairs of texts that link."""
+    spots = defaultdict(list)
+    for i, t in docs:
+        for pos, line in line_keys(t):
+            spots[line].append((i, pos))
+    sets = {x: {x[k : k + width] for k in range(len(x) - width + 1)} for x in spots if len(x) >= width}
+    links = set()
+    names = sorted(sets)
+    for k, x in enumerate(names):
+        for y in names[k + 1 :]:
+            n = len(sets[x] & sets[y])
+            if 100 * n >= percent * (len(sets[x]) + len(sets[y]) - n):
+                links.add((x, y))
+    root = components(spots, links)
+    classes = defaultdict(list)
+    for x, where in spots.items():
+        classes[root[x]] += where
+    gone = defaultdict(list)
+    for where in classes.values():
+        for i, pos in sorted(where)[1:]:
+            gone[i].append(pos)
+    return {i: sorted(p) for i, p in gone.items()}, links

@@ -1,0 +1,70 @@
+"""Fuzzy line dedup against a brute-force version."""
+
+import random
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from logweave.llm import linededup
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"edit{rng.randrange(99)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    line = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    families = [line(rng.choice((3, 6, 9, 15, 40, 90))) for _ in range(40)]
+    lines = [edited(rng, f, rng.randrange(0, 1 + len(f) // 30)) + rng.choice(("", ".", "!", " ab", "ing")) for f in families for _ in range(8)]
+    lines += [" ".join(line(rng.randrange(3, 40))) for _ in range(150)] + ["Yes", "yes", "Yes", "seven c", "eight ch", "eight ch", " \t", "", "x" * 5000, "x" * 5000, "é" * 40, " ".join(line(9000))]
+    rng.shuffle(lines)
+    docs, at = [], 0
+    while at < len(lines):
+        n = rng.randrange(1, 7)
+        docs.append((len(docs), "\n".join(lines[at : at + n])))
+        at += n
+    return docs + [(len(docs), None), (len(docs) + 1, "")]
+
+
+@pytest.fixture(scope="module")
+def want(rows):
+    return brute.repeated_lines(rows)
+
+
+def found(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.removed for r in linededup.repeated_lines(df, brief=True).collect()}
+
+
+def test_equals_brute_force(spark, rows, want):
+    assert len(want[1]) > 300
+    assert found(spark, rows) == want[0]
+
+
+def test_large_groups_and_common_keys(spark, rows, want, monkeypatch):
+    """Blocks of three sets, and every band key of two lines dealt to three tasks."""
+    monkeypatch.setattr("logweave.llm.blocks.BLOCK_SETS", 3)
+    monkeypatch.setattr(linededup, "COMMON_KEY", 16)
+    monkeypatch.setattr(linededup, "SALTS", 3)
+    monkeypatch.setattr("logweave.llm.common.BROADCAST_CELLS", -1)
+    assert found(spark, rows) == want[0]
+
+
+def test_recall_of_pairs(spark, rows, want):
+    """Pairs of lines that link are candidates, short lines too, with a recall of 0.98 at least."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.col("doc_id"))
+    lines = linededup.signatures(df).cache()
+    name = {(r.doc_id, r.pos): r.line for r in lines.where("pos IS NOT NULL").collect()}
+    ids = {line: name[i, pos] for i, t in rows for pos, line in brute.line_keys(t, brief=False)}
+    keys = {}
+    for r in lines.where("size(bands) > 0").collect():
+        keys.setdefault(r.line, set()).update(r.bands)
+    met = sum(bool(keys[ids[a]] & keys[ids[b]]) for a, b in want[1])
+    assert met >= 0.98 * len(want[1])
