@@ -16,6 +16,8 @@ from .trie import join_block
 #: A block holds about this many sets and this many tokens at most.
 BLOCK_SETS = 512
 BLOCK_TOKENS = 1_000_000
+#: Cells of a membership matrix.
+CELLS = 2_000_000
 
 
 def jaccard_need(percent: int):
@@ -23,13 +25,39 @@ def jaccard_need(percent: int):
     return lambda a, b: -(-percent * (a + b) // (100 + percent))
 
 
-def _links(nodes: np.ndarray, part: np.ndarray, x: int, y: int, sets: list[np.ndarray], weights: np.ndarray, need) -> tuple[list, list, list]:
+def count_block(left: list[np.ndarray], right: list[np.ndarray], need) -> list[np.ndarray]:
+    """For each left set the right sets that it links with, by counting all overlaps of the block as a product of membership matrices.
+
+    Tokens are taken in runs, so that no matrix has more than CELLS cells.
+    """
+    n, m = len(left), len(right)
+    sizes = np.array([len(s) for s in (*left, *right)])
+    tokens = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(n + m), sizes)
+    _, name, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    many = count > 1
+    rank = np.cumsum(many) - 1
+    owner, name = owner[many[name]], rank[name[many[name]]]
+    width = max(CELLS // (n + m), 1)
+    order = np.argsort(name, kind="stable") if many.sum() > width else slice(None)
+    owner, name = owner[order], name[order]
+    overlap = np.zeros((n, m), np.int64)
+    for first in range(0, int(many.sum()), width):
+        a, b = (0, len(name)) if many.sum() <= width else np.searchsorted(name, [first, first + width])
+        member = np.zeros((n + m, min(width, int(many.sum()) - first)), np.float32)
+        member[owner[a:b], name[a:b] - first] = 1
+        overlap += np.rint(member[:n] @ member[n:].T).astype(np.int64)
+    found = (overlap > 0) & (overlap >= need(sizes[:n, None], sizes[None, n:]))
+    return [np.flatnonzero(row) for row in found]
+
+
+def _links(nodes: np.ndarray, part: np.ndarray, x: int, y: int, sets: list[np.ndarray], weights: np.ndarray, need, join=join_block) -> tuple[list, list, list]:
     """(node, other, links) rows of the blocks x and y: a spanning set of links, and how many each node has here; none where one is empty."""
     right = np.flatnonzero(part == y)
     left = right if x == y else np.flatnonzero(part == x)
     if not len(left) or not len(right):
         return nodes[:0], nodes[:0], nodes[:0]
-    found = join_block([sets[i] for i in left], [sets[j] for j in right], need)
+    found = join([sets[i] for i in left], [sets[j] for j in right], need)
     root = np.arange(len(nodes))
 
     def top(i: int) -> int:
@@ -85,11 +113,12 @@ def token_lists(column: pa.Array) -> list[np.ndarray]:
     return [np.sort(flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]
 
 
-def join_groups(dealt: DataFrame, need, sets_of=token_lists, given: str = "tokens") -> DataFrame:
+def join_groups(dealt: DataFrame, need, sets_of=token_lists, given: str = "tokens", join=join_block) -> DataFrame:
     """(node, other, links) from dealt(grp, x, y, part, node, weight, tokens): links are found pair of blocks by pair of blocks.
 
     Rows of a pair arrive together, sorted, and are joined as soon as the next pair begins. A node given twice counts once. sets_of makes
-    the sets of a batch from the column given, in the task that joins them.
+    the sets of a batch from the column given, in the task that joins them, and join compares the sets of two blocks. The number of tasks
+    is set, as the work of a few rows may be large.
     """
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
@@ -99,7 +128,7 @@ def join_groups(dealt: DataFrame, need, sets_of=token_lists, given: str = "token
 
         def close() -> None:
             if len(held) > 1:
-                found = _links(np.array([r[1] for r in held]), np.array([r[0] for r in held]), key[1], key[2], [r[3] for r in held], np.array([r[2] for r in held]), need)
+                found = _links(np.array([r[1] for r in held]), np.array([r[0] for r in held]), key[1], key[2], [r[3] for r in held], np.array([r[2] for r in held]), need, join)
                 for column, values in zip(out, found):
                     column.append(values)
             held.clear()
@@ -125,7 +154,8 @@ def join_groups(dealt: DataFrame, need, sets_of=token_lists, given: str = "token
         if out[0]:
             yield ready()
 
-    rows = dealt.select("grp", "x", "y", "part", "node", "weight", given).repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "part", "node")
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.select("grp", "x", "y", "part", "node", "weight", given).repartition(tasks, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "part", "node")
     return rows.mapInArrow(run, "node long, other long, links long")
 
 
@@ -183,7 +213,7 @@ def link_groups(sets: DataFrame, edges: DataFrame, large: DataFrame, need, sets_
     few = lookup_join(sets, large, "grp", "left", salt="node").where(F.col("blocks").isNull())
     one = F.lit(0)
     joined = few.select("grp", one.alias("x"), one.alias("y"), one.alias("part"), "node", F.lit(1).cast("long").alias("weight"), given)
-    links = stash(join_groups(joined, need, sets_of, given).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    links = stash(join_groups(joined, need, sets_of, given, count_block).select(F.col("node").alias("a"), F.col("other").alias("b")))
     if known.isEmpty():
         return links
     own = stash(sets.join(known.select("node"), "node").select("node", given))
@@ -194,6 +224,6 @@ def link_groups(sets: DataFrame, edges: DataFrame, large: DataFrame, need, sets_
     placed, pairs = _cut(members)
     meets = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
     dealt = placed.join(meets, "part").join(own, "node").withColumn("weight", F.lit(1).cast("long"))
-    rest = stash(join_groups(dealt, need, sets_of, given).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    rest = stash(join_groups(dealt, need, sets_of, given, count_block).select(F.col("node").alias("a"), F.col("other").alias("b")))
     discard(own, known, members)
     return links.unionByName(first).unionByName(rest)

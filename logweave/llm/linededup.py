@@ -20,9 +20,11 @@ PERCENT = 80
 BANDS, ROWS = 12, 5
 #: A band key met so often is common: its lines are dealt to SALTS tasks. A task reports keys that it meets a 16th as often.
 COMMON_KEY, COMMON_LIMIT, SALTS = 4096, 10_000, 64
+#: Shingles whose signatures are made at once.
+RUN = 1 << 16
 
 _CHAR = randoms(WIDTH, 53)
-_FLIP, _FACTOR = (randoms(BANDS * ROWS, seed).astype(np.uint32) for seed in (61, 67))
+_FACTOR = randoms(BANDS * ROWS, 67).astype(np.uint32)
 _BAND = randoms(ROWS, 71)
 
 
@@ -40,19 +42,24 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def _bands(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys from the MinHash signatures of the lines at hashes[start:end]."""
-    n = ends - starts
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    small = hashes[np.arange(n.sum()) + np.repeat(starts - at, n)].astype(np.uint32)
-    work, keys = np.empty_like(small), np.empty((len(n), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(n), b + 1, np.uint64)
-        for r in range(ROWS):
-            j = b * ROWS + r
-            np.bitwise_xor(small, _FLIP[j], out=work)
-            np.multiply(work, _FACTOR[j] | np.uint32(1), out=work)
-            key = mix64(key + np.minimum.reduceat(work, at).astype(np.uint64) * _BAND[r])
-        keys[:, b] = key
+    """(lines, BANDS) keys from the MinHash signatures of the lines at hashes[start:end]; lines are taken in runs whose arrays stay in the cache."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
+    upto = np.cumsum(ends - starts)
+    a = 0
+    while a < len(starts):
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + RUN, "right")))
+        n = ends[a:z] - starts[a:z]
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        # The shingle hashes are mixed already, so that each odd factor orders them anew.
+        small = hashes[np.arange(n.sum()) + np.repeat(starts[a:z] - at, n)].astype(np.uint32)
+        work = np.empty_like(small)
+        for b in range(BANDS):
+            key = np.full(z - a, b + 1, np.uint64)
+            for r in range(ROWS):
+                np.multiply(small, _FACTOR[b * ROWS + r], out=work)
+                key = mix64(key + np.minimum.reduceat(work, at).astype(np.uint64) * _BAND[r])
+            keys[a:z, b] = key
+        a = z
     return keys
 
 
@@ -212,16 +219,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = lines.where(F.col("pos").isNotNull()).select("doc_id", "row", "pos", "line")
     spots = placed.groupBy("line").agg(first.alias("first"), F.count("*").alias("n"))
     spots = stash(lookup_join(spots, classes, "line", "left").where((F.col("n") > 1) | F.col("class").isNotNull()))
-    heads = spots.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("first").alias("head"))
-    named = spots.join(heads, "class", "left").select("line", F.coalesce("head", "first").alias("kept"))
-    named = stash(named)
+    heads = stash(spots.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("first").alias("head")))
+    named = stash(lookup_join(spots, heads, "class", "left", salt="line").select("line", F.coalesce("head", "first").alias("kept")))
     gone = lookup_join(placed, named, "line", salt="row").where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("kept")))
     gone = gone.select("doc_id", "row", "pos", F.lit(None).cast("int").alias("twin"))
     shared = shared_keys(d.select("row"), "row")
     if not shared.isEmpty():
         gone = gone.unionByName(lookup_join(placed, shared, "row").select("doc_id", "row", F.lit(None).cast("int").alias("pos"), F.col("pos").alias("twin")))
     removed = stash(gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("twin")).alias("twins")))
-    discard(lines, classes, spots, named)
+    discard(lines, classes, spots, heads, named)
     return removed
 
 
