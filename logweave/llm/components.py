@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour, flattens the trees so made by pointer jumping, and maps
     the edges to their roots; at least half of the nodes that still have edges go in each
     round. Edges are kept distinct, so that a large star shrinks to nothing in one round. Everything stays in tables; self-loops and
-    repeated edges do no harm, and no edges give no rows.
+    repeated edges do no harm, and no edges give no rows. A node that very many edges share makes a skewed join, which adaptive
+    execution splits.
     """
     lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     edges = stash(edges.where(F.col("a") != F.col("b")).select(lo, hi).distinct())
@@ -26,13 +27,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             up = hooks.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
             # A root is a node too, and points to itself once its tree is flat.
             flat = stash(hooks.join(up, hooks["root"] == up["n2"]).select("node", F.col("r2").alias("root"), (F.col("r2") != F.col("root")).alias("moved")))
-            hooks = flat.select("node", "root")
+            discard(hooks)
+            hooks = flat
             if flat.where("moved").isEmpty():
                 break
+        hooks = hooks.select("node", "root")
         rounds.append(hooks)
         ra, rb = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra")), hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(ra, "a").join(rb, "b").where(F.col("ra") != F.col("rb"))
-        edges = stash(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        last, edges = edges, stash(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        discard(last)
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = rounds[0]
@@ -40,7 +44,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = later.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         labels = labels.join(up, labels["root"] == up["n2"], "left").select("node", F.coalesce("r2", "root").alias("root"))
     # The root of a contracted tree is its smallest node, so it is the smallest of the component.
-    return stash(labels.select("node", F.col("root").alias("component")))
+    out = stash(labels.select("node", F.col("root").alias("component")))
+    discard(*rounds)
+    return out
 
 
 def shared_only(postings: DataFrame) -> DataFrame:

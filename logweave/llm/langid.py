@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, table
+from .common import lookup_join, mix64, slices, stash, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -20,10 +19,13 @@ PER_LANGUAGE = 500
 SAMPLE_CHARS = 20_000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _clean(text: str) -> bytes:
     """Lower-cased text as bytes, ASCII other than letters as spaces, a space at either end."""
     return b" " + text.lower().encode("utf-8", "replace").translate(_SPACES) + b" "
@@ -64,7 +66,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        there = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        there = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if there and self.langs:
             p = softmax(self.logits([_clean(texts[i]) for i in there]) / self.temperature)
             for i, row in zip(there, p):
@@ -119,15 +121,19 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most per_language labelled rows of each language, taken in the order of their ids' hash.
 
-    Rows without id, text or label, held-out rows and rows over SAMPLE_CHARS characters are not sampled. The window runs on
-    ids and labels alone and keeps per_language rows of a group before the shuffle.
+    Rows without id, text or label, held-out rows and rows over SAMPLE_CHARS characters are not sampled. Labels are counted
+    first, and of a language with many rows only those whose hash is so small that some four times per_language pass are ordered, so that
+    no task gets more, however large a language is.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     d = d.where(~held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
+    counts = stash(d.groupBy("lang").agg(F.count("*").alias("n")))
+    # Hashes run from -2**63 to 2**63.
+    early = F.xxhash64("id").cast("double") + 2.0**63 <= F.lit(4.0 * per_language * 2.0**64) / F.col("n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = d.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("id").alias("pick")).distinct()
+    ids = lookup_join(d.select("id", "lang"), counts, "lang").where(early).withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("id").alias("pick")).distinct()
     rows = d.join(F.broadcast(ids), F.col("id") == F.col("pick")).select("id", "lang", "text").toPandas()
-    rows = rows[rows["text"].map(lambda t: bool(_LETTER.search(t))).astype(bool)].sort_values(["id", "lang", "text"])
+    rows = rows[rows["text"].map(has_letter).astype(bool)].sort_values(["id", "lang", "text"])
     return fit(list(rows["text"]), list(rows["lang"])) if len(rows) else Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0), 1.0, 0.0)
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import lookup_join, stash, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
 SLICES = 64
+#: A document over this share of its source's target is large: whether it is taken changes the words taken visibly.
+LARGE = 20
 
 #: Word count of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,13 +52,23 @@ def _unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _copies(at: Column, target: str, size: str, max_repeat: int) -> Column:
+    """Integers that the stretch of the at-th document crosses, each document being target / size long."""
+    upto = lambda i: F.floor(i.cast("double") * F.col(target) / F.col(size) + F.col("offset"))
+    crossed = F.when(F.col(size) > 0, upto(at) - upto(at - 1)).otherwise(F.lit(0))
+    return F.least(crossed, F.lit(max_repeat)).cast("long")
+
+
 def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, row_col: str | None = None) -> DataFrame:
     """How many copies of each document the mix takes.
 
     Each document of a source expects target / source_size copies. Documents are laid out by size, their
     expected copies summed along that order, one offset drawn for the source is added, and a
     document is emitted once for each integer that its stretch crosses. Order by size keeps the words
-    taken near the target. The running sum is made of counts: strata (size band, hash slice) are
+    taken near the target. Documents of more than 1 / LARGE of their source's target come first, and the others
+    expect an equal share of what these leave of the target, so that a few large texts don't lead away from it. There are at
+    most LARGE * source_size / target large ones in a source, whatever its number of rows. For the others the running sum is made
+    of counts: strata (size band, hash slice) are
     counted first, so that only positions inside a stratum need a sorted window and a source with a third of
     all rows is spread over many tasks.
 
@@ -66,6 +78,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows apart that share an id and a size, and is returned as row.
     """
     row = [F.col(row_col).alias("row")] if row_col else []
+    more = ["row"] * bool(row_col)
     d = docs.select(
         *row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -73,21 +86,32 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     band = F.length(F.bin("size")) * 4 + F.when(F.col("size") < 4, 0).otherwise(F.substring(F.bin("size"), 2, 2).cast("int").bitwiseAND(3))
     d = stash(d.withColumns({"band": band.cast("int"), "slice": F.conv(F.substring(key, 1, 4), 16, 10).cast("int") % SLICES}))
-    strata = d.groupBy("source", "band", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    strata = stash(strata)
-    targets = source_targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeat)
+    targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
+    drawn = _unit(F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none")))
+    targets = stash(targets.select("source", "source_size", "target", drawn.alias("offset")))
+    order = ["size", F.col("doc_id").asc_nulls_last(), *more]
+    named = lookup_join(d, targets, "source", salt="slice").withColumn("large", F.col("size") * LARGE > F.col("target"))
+
+    first = named.where("large").withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
+    first = stash(first.withColumn("copies", _copies(F.col("at"), "target", "source_size", max_repeat)))
+    met = first.groupBy("source").agg(F.sum("size").alias("large_size"), F.sum(F.col("copies") * F.col("size")).alias("large_taken"))
+    rest = targets.join(met.withColumnRenamed("source", "s2"), F.expr("source <=> s2"), "left").fillna(0, ["large_size", "large_taken"])
+    rest = rest.withColumn("rest_size", F.col("source_size") - F.col("large_size"))
+    left = F.greatest(F.lit(0.0), F.least(F.col("target") - F.col("large_taken"), (F.col("rest_size") * max_repeat).cast("double")))
+    rest = stash(rest.select("source", "rest_size", left.alias("rest_target")))
+
+    small = named.where(~F.col("large"))
+    strata = small.groupBy("source", "band", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("band", "slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strata = strata.withColumn("ahead", F.sum("n").over(before) - F.col("n"))
-    info = strata.alias("a").join(targets.alias("t"), F.expr("a.source <=> t.source")).select(
-        F.col("a.source").alias("s_source"), F.col("a.band").alias("s_band"), F.col("a.slice").alias("s_slice"), "ahead", "source_size", "target",
-        _unit(F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("a.source")), F.lit("none"))).alias("offset"),
+    info = strata.alias("a").join(rest.alias("t"), F.expr("a.source <=> t.source")).select(
+        F.col("a.source").alias("s_source"), F.col("a.band").alias("s_band"), F.col("a.slice").alias("s_slice"), "ahead", "rest_size", "rest_target"
     )
-    inside = Window.partitionBy("source", "band", "slice").orderBy("size", F.col("doc_id").asc_nulls_last(), *["row"] * bool(row_col))
-    d = d.withColumn("at", F.row_number().over(inside)).join(info, F.expr("source <=> s_source AND band = s_band AND slice = s_slice"))
-    upto = lambda i: F.floor(i.cast("double") * F.col("target") / F.col("source_size") + F.col("offset"))
-    here = F.col("ahead") + F.col("at")
-    copies = F.when(F.col("source_size") > 0, upto(here) - upto(here - 1)).otherwise(F.lit(0)).cast("long")
-    return d.withColumn("copies", F.least(copies, F.lit(max_repeat).cast("long"))).select(*["row"] * bool(row_col), "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    inside = Window.partitionBy("source", "band", "slice").orderBy(*order)
+    small = small.withColumn("at", F.row_number().over(inside)).join(info, F.expr("source <=> s_source AND band = s_band AND slice = s_slice"))
+    small = small.withColumn("copies", _copies(F.col("ahead") + F.col("at"), "rest_target", "rest_size", max_repeat))
+    kept = [*more, "doc_id", "source", "size", "source_size", "target", "copies"]
+    return first.select(*kept).unionByName(small.select(*kept)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +131,15 @@ g AS (SELECT *, cap * (all_weight - weights) > (all_size - caps) * weight AS fre
 l AS (SELECT all_size - caps AS lft, all_weight - weights AS shr FROM g WHERE free ORDER BY CAST(cap AS DOUBLE) / weight, source ASC NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN free THEN CAST((SELECT lft FROM l) * weight AS DOUBLE) / (SELECT shr FROM l) ELSE CAST(cap AS DOUBLE) END AS target,
   CAST(CAST('0x' || substr(md5('mix-1:' || coalesce('s' || source, 'none')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM g),
-r AS (SELECT k.*, source_size, target, u, row_number() OVER (PARTITION BY k.source ORDER BY band, slice, size, doc_id ASC NULLS LAST) AS i
-  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(CAST(i AS DOUBLE) * target / source_size + u) - floor(CAST(i - 1 AS DOUBLE) * target / source_size + u) AS BIGINT)) ELSE 0 END AS copies FROM r)
+n AS (SELECT k.*, source_size, target, u, size * 20 > target AS large FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id ASC NULLS LAST) AS i FROM n WHERE large),
+bc AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(CAST(i AS DOUBLE) * target / source_size + u) - floor(CAST(i - 1 AS DOUBLE) * target / source_size + u) AS BIGINT)) ELSE 0 END AS copies FROM b),
+m AS (SELECT source, sum(size) AS large_size, sum(copies * size) AS large_taken FROM bc GROUP BY source),
+e AS (SELECT t.source, CAST(source_size - coalesce(large_size, 0) AS BIGINT) AS rest_size,
+  greatest(CAST(0 AS DOUBLE), least(target - coalesce(large_taken, 0), CAST((source_size - coalesce(large_size, 0)) * 3 AS DOUBLE))) AS rest_target FROM t LEFT JOIN m ON t.source IS NOT DISTINCT FROM m.source),
+r AS (SELECT n.*, rest_size, rest_target, row_number() OVER (PARTITION BY n.source ORDER BY band, slice, size, doc_id ASC NULLS LAST) AS i
+  FROM n JOIN e ON n.source IS NOT DISTINCT FROM e.source WHERE NOT large),
+c AS (SELECT doc_id, size, source_size, target, CASE WHEN rest_size > 0 THEN least(3, CAST(floor(CAST(i AS DOUBLE) * rest_target / rest_size + u) - floor(CAST(i - 1 AS DOUBLE) * rest_target / rest_size + u) AS BIGINT)) ELSE 0 END AS copies FROM r
+  UNION ALL SELECT doc_id, size, source_size, target, copies FROM bc)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM c
 """

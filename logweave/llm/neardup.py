@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, deal, jaccard_need, join_groups
-from .common import lookup_join, mix64, slices, stash, table, utf8
+from .common import discard, lookup_join, mix64, slices, stash, table, utf8
 from .components import connected_components, group_edges, shared_only
 from .shingles import shingle_sets
 
@@ -40,35 +40,34 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, node, n) for the documents, and (null, token, n) with the count of tokens that a task meets often."""
-    kind = docs.schema["doc_id"].dataType
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["common", "doc_id", "node", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         seen: set[int] = set()
-        schema = pa.schema([("common", pa.bool_()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
-        def often() -> pa.RecordBatch:
+        def often(like: pa.RecordBatch) -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(pending), return_counts=True)
             pending.clear()
             keep = n >= 3
             tokens = tokens[keep].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), bool)), pa.nulls(len(tokens), pa.int64()), pa.array(tokens), pa.array(n[keep].astype(np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), bool)), pa.nulls(len(tokens), like.schema.field("doc_id").type), pa.array(tokens), pa.array(n[keep].astype(np.int64))], names)
 
         for part, sets in _sets(batches, width):
             n = np.array([len(s) for s in sets], np.int64)
             node = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), part.column("doc_id").cast(pa.int64()), node, pa.array(n)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), part.column("doc_id"), node, pa.array(n)], names)
             for s, name in zip(sets, node.to_pylist()):
                 if name is not None and name not in seen:
                     seen.add(name)
                     pending.append(s)
             if sum(map(len, pending)) > _COUNTED:
-                yield often()
+                yield often(part)
         if pending:
-            yield often()
+            yield often(part)
 
-    out = docs.mapInArrow(run, "common boolean, doc_id long, node long, n long")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return docs.mapInArrow(run, f"common boolean, doc_id {kind}, node long, n long")
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
@@ -117,7 +116,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns (doc_id, n_shingles, component_id, n_links), one row per input row: the smallest id of the class, and the number of
     other documents linked with. Words are split at ASCII white space, A-Z lower-cased. A text of fewer words than the
     width is one shingle; a null or wordless text has none, links with nothing and is its own component. A null id is
-    kept, and does not become a component id while its class has another. Repeated rows link with each other.
+    kept, and does not become a component id while its class has another. Repeated rows link with each other. Ids are of any type
+    with an order; an empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     profile = stash(_profile(d, width))
@@ -134,10 +134,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         able = shared.groupBy("node").agg(F.count("*").alias("met")).join(nodes, "node").where(F.col("met") >= least).select("node")
         kept = shared.drop("low").join(able, "node")
         # The other tokens count; only the leading ones, the rarest, are needed to connect what links.
-        shared = stash(shared_only(kept if left else kept.where("lead")))
-    edges = group_edges(shared)
+        last, shared = shared, stash(shared_only(kept if left else kept.where("lead")))
+        discard(last)
+    edges = stash(group_edges(shared))
     groups = connected_components(edges).withColumnRenamed("component", "grp")
-    members = deal(groups.join(nodes, "node"))
+    discard(shared, edges)
+    members = deal(stash(groups.join(nodes, "node")))
     wanted = stash(members.select("node", "weight", "grp", "blocks", "part", F.col("first").alias("doc_id")))
     rows = lookup_join(d, wanted, "doc_id")
     kept = ["node", "weight", "grp", "blocks", "part"]
