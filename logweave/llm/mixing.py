@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
 SLICES = 64
-#: A document over this share of its source's target is large: whether it is taken changes the words taken visibly.
-LARGE = 20
+#: Levels of large documents: those over 1 / 2 of their source's target, then those over 1 / 6, then those over 1 / 20. Whether one of them is
+#: taken changes the words taken visibly.
+LEVELS = (2, 6, 20)
 
 #: Word count of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,9 +68,9 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Each document of a source expects target / source_size copies. Documents are laid out by size, their
     expected copies summed along that order, one offset drawn for the source is added, and a
     document is emitted once for each integer that its stretch crosses. Order by size keeps the words
-    taken near the target. Documents of more than 1 / LARGE of their source's target come first, and the others
-    expect an equal share of what these leave of the target, so that a few large texts don't lead away from it. There are at
-    most LARGE * source_size / target large ones in a source, whatever its number of rows. For the others the running sum is made
+    taken near the target. Large documents come first, by LEVELS, and those of each level and at last all others
+    expect an equal share of what the levels before leave of the target, so that a few large texts don't lead away from it. A source has at
+    most 20 * source_size / target large ones, whatever its number of rows. For the others the running sum is made
     of counts: strata (size band, hash slice) are
     counted first, so that only positions inside a stratum need a sorted window and a source with a third of
     all rows is spread over many tasks.
@@ -90,17 +93,23 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = _unit(F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none")))
     targets = stash(targets.select("source", "source_size", "target", drawn.alias("offset")))
     order = ["size", F.col("doc_id").asc_nulls_last(), *more]
-    named = lookup_join(d, targets, "source", salt="slice").withColumn("large", F.col("size") * LARGE > F.col("target"))
-
-    first = named.where("large").withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
-    first = stash(first.withColumn("copies", _copies(F.col("at"), "target", "source_size", max_repeat)))
-    met = first.groupBy("source").agg(F.sum("size").alias("large_size"), F.sum(F.col("copies") * F.col("size")).alias("large_taken"))
-    rest = targets.join(met.withColumnRenamed("source", "s2"), F.expr("source <=> s2"), "left").fillna(0, ["large_size", "large_taken"])
-    rest = rest.withColumn("rest_size", F.col("source_size") - F.col("large_size"))
-    left = F.greatest(F.lit(0.0), F.least(F.col("target") - F.col("large_taken"), (F.col("rest_size") * max_repeat).cast("double")))
-    rest = stash(rest.select("source", "rest_size", left.alias("rest_target")))
-
-    small = named.where(~F.col("large"))
+    level = F.lit(len(LEVELS))
+    for i, share in reversed(list(enumerate(LEVELS))):
+        level = F.when(F.col("size") * share > F.col("target"), i).otherwise(level)
+    named = lookup_join(d, targets, "source", salt="slice").withColumn("level", level)
+    rest = targets.select("source", F.col("source_size").alias("rest_size"), F.col("target").alias("rest_target"))
+    kept = [*more, "doc_id", "source", "size", "source_size", "target", "copies"]
+    done = []
+    for i in range(len(LEVELS)):
+        here = lookup_join(named.where(F.col("level") == i), rest, "source").withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
+        here = stash(here.withColumn("copies", _copies(F.col("at"), "rest_target", "rest_size", max_repeat)).select(*kept))
+        done.append(here)
+        met = here.groupBy(F.col("source").alias("s2")).agg(F.sum("size").alias("met_size"), F.sum(F.col("copies") * F.col("size")).alias("met_taken"))
+        after = rest.join(met, F.expr("source <=> s2"), "left").fillna(0, ["met_size", "met_taken"]).withColumn("rest_size", F.col("rest_size") - F.col("met_size"))
+        left = F.greatest(F.lit(0.0), F.least(F.col("rest_target") - F.col("met_taken"), (F.col("rest_size") * max_repeat).cast("double")))
+        rest = stash(after.select("source", "rest_size", left.alias("rest_target")))
+
+    small = named.where(F.col("level") == len(LEVELS))
     strata = small.groupBy("source", "band", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("band", "slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strata = strata.withColumn("ahead", F.sum("n").over(before) - F.col("n"))
@@ -109,9 +118,8 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     inside = Window.partitionBy("source", "band", "slice").orderBy(*order)
     small = small.withColumn("at", F.row_number().over(inside)).join(info, F.expr("source <=> s_source AND band = s_band AND slice = s_slice"))
-    small = small.withColumn("copies", _copies(F.col("ahead") + F.col("at"), "rest_target", "rest_size", max_repeat))
-    kept = [*more, "doc_id", "source", "size", "source_size", "target", "copies"]
-    return first.select(*kept).unionByName(small.select(*kept)).withColumn("taken", F.col("copies") * F.col("size"))
+    small = small.withColumn("copies", _copies(F.col("ahead") + F.col("at"), "rest_target", "rest_size", max_repeat)).select(*kept)
+    return reduce(DataFrame.unionByName, done, small).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,15 +139,15 @@ g AS (SELECT *, cap * (all_weight - weights) > (all_size - caps) * weight AS fre
 l AS (SELECT all_size - caps AS lft, all_weight - weights AS shr FROM g WHERE free ORDER BY CAST(cap AS DOUBLE) / weight, source ASC NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN free THEN CAST((SELECT lft FROM l) * weight AS DOUBLE) / (SELECT shr FROM l) ELSE CAST(cap AS DOUBLE) END AS target,
   CAST(CAST('0x' || substr(md5('mix-1:' || coalesce('s' || source, 'none')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM g),
-n AS (SELECT k.*, source_size, target, u, size * 20 > target AS large FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id ASC NULLS LAST) AS i FROM n WHERE large),
-bc AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(CAST(i AS DOUBLE) * target / source_size + u) - floor(CAST(i - 1 AS DOUBLE) * target / source_size + u) AS BIGINT)) ELSE 0 END AS copies FROM b),
-m AS (SELECT source, sum(size) AS large_size, sum(copies * size) AS large_taken FROM bc GROUP BY source),
-e AS (SELECT t.source, CAST(source_size - coalesce(large_size, 0) AS BIGINT) AS rest_size,
-  greatest(CAST(0 AS DOUBLE), least(target - coalesce(large_taken, 0), CAST((source_size - coalesce(large_size, 0)) * 3 AS DOUBLE))) AS rest_target FROM t LEFT JOIN m ON t.source IS NOT DISTINCT FROM m.source),
-r AS (SELECT n.*, rest_size, rest_target, row_number() OVER (PARTITION BY n.source ORDER BY band, slice, size, doc_id ASC NULLS LAST) AS i
-  FROM n JOIN e ON n.source IS NOT DISTINCT FROM e.source WHERE NOT large),
-c AS (SELECT doc_id, size, source_size, target, CASE WHEN rest_size > 0 THEN least(3, CAST(floor(CAST(i AS DOUBLE) * rest_target / rest_size + u) - floor(CAST(i - 1 AS DOUBLE) * rest_target / rest_size + u) AS BIGINT)) ELSE 0 END AS copies FROM r
-  UNION ALL SELECT doc_id, size, source_size, target, copies FROM bc)
+n AS (SELECT k.*, source_size, target, u, CASE WHEN size * 2 > target THEN 0 WHEN size * 6 > target THEN 1 WHEN size * 20 > target THEN 2 ELSE 3 END AS level FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+e0 AS (SELECT source, source_size AS rest_size, target AS rest_target FROM t)@@,
+r AS (SELECT n.*, rest_size, rest_target, row_number() OVER (PARTITION BY n.source ORDER BY band, slice, size, doc_id ASC NULLS LAST) AS i FROM n JOIN e3 ON n.source IS NOT DISTINCT FROM e3.source WHERE level = 3),
+c AS (SELECT *, CASE WHEN rest_size > 0 THEN least(3, CAST(floor(CAST(i AS DOUBLE) * rest_target / rest_size + u) - floor(CAST(i - 1 AS DOUBLE) * rest_target / rest_size + u) AS BIGINT)) ELSE 0 END AS copies FROM r
+  UNION ALL SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM c
-"""
+""".replace("@@", "".join(f""",
+b{i} AS (SELECT n.*, rest_size, rest_target, row_number() OVER (PARTITION BY n.source ORDER BY size, doc_id ASC NULLS LAST) AS i FROM n JOIN e{i} ON n.source IS NOT DISTINCT FROM e{i}.source WHERE level = {i}),
+c{i} AS (SELECT *, CASE WHEN rest_size > 0 THEN least(3, CAST(floor(CAST(i AS DOUBLE) * rest_target / rest_size + u) - floor(CAST(i - 1 AS DOUBLE) * rest_target / rest_size + u) AS BIGINT)) ELSE 0 END AS copies FROM b{i}),
+m{i} AS (SELECT source, sum(size) AS met_size, sum(copies * size) AS met_taken FROM c{i} GROUP BY source),
+e{i + 1} AS (SELECT e.source, CAST(rest_size - coalesce(met_size, 0) AS BIGINT) AS rest_size,
+  greatest(CAST(0 AS DOUBLE), least(rest_target - coalesce(met_taken, 0), CAST((rest_size - coalesce(met_size, 0)) * 3 AS DOUBLE))) AS rest_target FROM e{i} e LEFT JOIN m{i} m ON e.source IS NOT DISTINCT FROM m.source)""" for i in range(3)))
