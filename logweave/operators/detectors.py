@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,9 @@ JSON_LINE = r"^\s*(?:[\{\}\[\]],?|\{\}|\[\]|[\}\]]\s*,?)\s*$"
 #: The parts of a line's format.
 FORMAT = (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", r"^\[\d{4}-\d{2}-\d{2}", r"^\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", r"(?i)\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b", r"^\[.*?\]")
 
+#: Lines that go on with a stack trace.
+CONTINUATION = (r"^  File \".*\", line \d+", r"^\s+at \w+", r"^\s+\.\.\. \d+ more", r"^\s+raise \w+", r"^\s+\d+:\s+0x", r"^\t")
+#: Least and greatest severity, and category, of each detector.
 SEVERITY = {"traceback": (0.9, 0.9), "error_keyword": (0.6, 0.9), "warning_keyword": (0.3, 0.4), "line_length_spike": (0.3, 0.7), "indentation_block": (0.4, 0.4), "timestamp_gap": (0.3, 0.8), "high_entropy": (0.5, 0.85), "json_dump": (0.3, 0.4), "format_deviation": (0.3, 0.6), "prefix_deviation": (0.24, 0.3)}
 CATEGORY = {"traceback": "traceback", "error_keyword": "error", "warning_keyword": "warning", "line_length_spike": "format", "indentation_block": "multiline", "timestamp_gap": "timing", "high_entropy": "security", "json_dump": "format", "format_deviation": "format", "prefix_deviation": "format"}
 
@@ -105,6 +109,23 @@ def detect_high_entropy(lines: DataFrame) -> DataFrame:
     return _hits(lines.withColumn("severity", entropy_severity(text())), "high_entropy")
 
 
+def _indent(line: Column) -> Column:
+    """Leading white space, tabs as four; none for blank lines."""
+    lead = F.regexp_extract(line, r"^[ \t]*", 0)
+    return F.when(~blank(line), F.length(lead) + 3 * (F.length(lead) - F.length(F.translate(lead, "\t", "")))).otherwise(0)
+
+
+def _json_like(line: Column) -> Column:
+    return line.rlike(JSON_PAIR) | line.rlike(JSON_LINE)
+
+
+def goes_on(detector: str, least: int = 4) -> Column:
+    """Whether a line continues what a detector found on the line before, for ``multiline_blocks``: traces, indented blocks and JSON."""
+    line = F.col("line")
+    rules = {"traceback": _any(line, CONTINUATION), "indentation_block": _indent(line) >= least, "json_dump": _json_like(line)}
+    return ~blank(line) & rules[detector]
+
+
 def detect_length_spike(lines: DataFrame, sigmas: float = 5.0, least_std: float = 40.0) -> DataFrame:
     """Length over the running mean plus five deviations, the line itself included, over lines that are not blank."""
     n = F.when(~blank(F.col("line")), F.length(_strip(F.col("line")))).cast("long")
@@ -119,12 +140,12 @@ def detect_length_spike(lines: DataFrame, sigmas: float = 5.0, least_std: float
 
 def detect_indentation(lines: DataFrame, least: int = 4) -> DataFrame:
     """Indented lines, tabs as four, after two lines that are indented too."""
-    lead = F.regexp_extract("line", r"^[ \t]*", 0)
-    indent = F.when(~blank(F.col("line")), F.length(lead) + 3 * (F.length(lead) - F.length(F.translate(lead, "\t", "")))).otherwise(0)
-    rows = with_halo(lines.withColumn("deep", indent >= least), 2)
-    w = in_block()
-    rows = rows.withColumn("severity", F.when(F.col("deep") & F.lag("deep", 1).over(w) & F.lag("deep", 2).over(w), 0.4)).where(~F.col("halo"))
-    return _hits(rows, "indentation_block")
+    rows = with_halo(lines.withColumn("deep", _indent(F.col("line")) >= least), 2)
+    return _hits(rows.withColumn("severity", _indentation(in_block())).where(~F.col("halo")), "indentation_block")
+
+
+def _indentation(w) -> Column:
+    return F.when(F.col("deep") & F.lag("deep", 1).over(w) & F.lag("deep", 2).over(w), 0.4)
 
 
 def _timestamps(lines: DataFrame) -> DataFrame:
@@ -149,6 +170,22 @@ def detect_timestamp_gap(lines: DataFrame, least_gap: float = 300.0, max_lines:
     A file locks to the format that is seen 50 times first; later lines are read in that format only. The previous
     timestamp is looked for in a halo of 500 lines, which is as far as the rule reaches.
     """
+    rows = with_halo(_locked(lines, lock_after).select("file_id", "line_no", "byte_start", "fmt", "ts"), max_lines).where(F.col("ts").isNotNull())
+    w = in_block()
+    rows = rows.withColumn("met", F.lag(F.struct("fmt", "ts", "line_no")).over(w)).where(~F.col("halo"))
+    return _hits(rows.withColumn("severity", _gap(least_gap, max_lines)), "timestamp_gap")
+
+
+def _gap(least_gap: float, max_lines: int) -> Column:
+    """Severity of a line with fmt and ts after met, the timestamp before it."""
+    gap = F.abs(F.col("ts") - F.col("met.ts"))
+    gap = F.when((F.col("fmt") == 3) & (gap > 43200), 86400 - gap).otherwise(gap)
+    ok = (F.col("met.fmt") == F.col("fmt")) & (F.col("line_no") - F.col("met.line_no") <= max_lines) & (gap >= least_gap)
+    return F.when(ok, F.least(0.3 + gap / 3600 * 0.5, F.lit(0.8)))
+
+
+def _locked(lines: DataFrame, lock_after: int) -> DataFrame:
+    """lines with fmt and ts, the timestamp in the format that the file is locked to, once it is."""
     kinds = range(4)
     rows = _timestamps(lines)
     first = F.coalesce(*[F.when(F.col(f"ts{i}").isNotNull(), F.lit(i)) for i in kinds])
@@ -160,27 +197,26 @@ def detect_timestamp_gap(lines: DataFrame, least_gap: float = 300.0, max_lines:
     locked = F.col("line_no") > F.col("lock_line")
     pick = lambda f: F.coalesce(*[F.when(f == i, F.col(f"ts{i}")) for i in kinds])
     fmt = F.when(locked, F.when(pick(F.col("lock_fmt")).isNotNull(), F.col("lock_fmt"))).otherwise(F.col("fmt0"))
-    rows = rows.withColumn("fmt", fmt).withColumn("ts", pick(F.col("fmt"))).select("file_id", "line_no", "byte_start", "fmt", "ts")
-    rows = with_halo(rows, max_lines).where(F.col("ts").isNotNull())
-    w = in_block()
-    rows = rows.withColumns({"f0": F.lag("fmt").over(w), "t0": F.lag("ts").over(w), "l0": F.lag("line_no").over(w)}).where(~F.col("halo"))
-    gap = F.abs(F.col("ts") - F.col("t0"))
-    gap = F.when((F.col("fmt") == 3) & (gap > 43200), 86400 - gap).otherwise(gap)
-    ok = (F.col("f0") == F.col("fmt")) & (F.col("line_no") - F.col("l0") <= max_lines) & (gap >= least_gap)
-    return _hits(rows.withColumn("severity", F.when(ok, F.least(0.3 + gap / 3600 * 0.5, F.lit(0.8)))), "timestamp_gap")
+    return rows.withColumn("fmt", fmt).withColumn("ts", pick(F.col("fmt"))).drop("fmt0", "lock_file", "lock_line", "lock_fmt", *[f"ts{i}" for i in kinds])
 
 
 def detect_json_dump(lines: DataFrame, window: int = 10) -> DataFrame:
     """Long lines of JSON among ten JSON-like lines, of the line and the ten before it."""
-    like = (F.col("line").rlike(JSON_PAIR) | F.col("line").rlike(JSON_LINE)).cast("int")
-    rows = with_halo(lines.withColumn("like", like), window)
-    w = in_block().rowsBetween(-window, 0)
+    rows = with_halo(_json_parts(lines), window)
+    return _hits(rows.withColumn("severity", _json(in_block(), window)).where(~F.col("halo")), "json_dump")
+
+
+def _json_parts(lines: DataFrame) -> DataFrame:
+    """lines with like, whether a line is JSON-like, and dump, its severity if the lines around it are."""
     stripped = _strip(F.col("line"))
     n = F.length(stripped)
     pairs = F.size(F.regexp_extract_all(stripped, F.lit(JSON_PAIR), F.lit(0))) >= 3
-    rows = rows.withColumn("around", F.sum("like").over(w)).where(~F.col("halo"))
-    severity = F.when((n >= 100) & stripped.rlike(JSON_START) & pairs & (F.col("around") >= window), F.when(n > 500, 0.4).when(n > 200, 0.35).otherwise(0.3))
-    return _hits(rows.withColumn("severity", severity), "json_dump")
+    dump = F.when((n >= 100) & stripped.rlike(JSON_START) & pairs, F.when(n > 500, 0.4).when(n > 200, 0.35).otherwise(0.3))
+    return lines.withColumns({"like": _json_like(F.col("line")).cast("int"), "dump": dump})
+
+
+def _json(w, window: int) -> Column:
+    return F.when(F.sum("like").over(w.rowsBetween(-window, 0)) >= window, F.col("dump"))
 
 
 def detect_format_deviation(lines: DataFrame, settle: int = 100, every: int = 1000) -> DataFrame:
@@ -207,21 +243,47 @@ def detect_format_deviation(lines: DataFrame, settle: int = 100, every: int = 10
 
 #: Detectors of one line alone; these share one pass.
 ROW_DETECTORS = {"traceback": traceback_severity, "error_keyword": error_severity, "warning_keyword": warning_severity, "high_entropy": entropy_severity}
-WINDOW_DETECTORS = {"line_length_spike": detect_length_spike, "indentation_block": detect_indentation, "timestamp_gap": detect_timestamp_gap, "json_dump": detect_json_dump, "format_deviation": detect_format_deviation}
+#: Detectors that look at a bounded number of lines before a line share a pass too; these do not.
+RUNNING_DETECTORS = {"line_length_spike": detect_length_spike, "format_deviation": detect_format_deviation}
 
 
 def detect_rows(lines: DataFrame, detectors: dict | None = None) -> DataFrame:
     """All row detectors in one scan: an array of hits, exploded."""
     chosen = ROW_DETECTORS if detectors is None else detectors
-    hits = F.filter(F.array(*[F.struct(fn(text()).alias("severity"), F.lit(n).alias("detector")) for n, fn in chosen.items()]), lambda h: h["severity"].isNotNull())
-    return lines.select("file_id", "line_no", "byte_start", F.explode(hits).alias("h")).select("file_id", "line_no", "byte_start", "h.severity", "h.detector")
+    return _exploded(lines, {n: fn(text()) for n, fn in chosen.items()})
+
+
+def _exploded(rows: DataFrame, severities: dict[str, Column]) -> DataFrame:
+    hits = F.filter(F.array(*[F.struct(F.round(s, 6).alias("severity"), F.lit(n).alias("detector")) for n, s in severities.items()]), lambda h: h["severity"].isNotNull())
+    return rows.select("file_id", "line_no", "byte_start", F.explode(hits).alias("h")).select("file_id", "line_no", "byte_start", "h.severity", "h.detector")
+
+
+def detect_near(lines: DataFrame, row: dict | None = None) -> DataFrame:
+    """The row detectors and those that look back a bounded number of lines (indentation, JSON, timestamp gaps) with their default bounds.
+
+    One scan, one exchange by blocks of lines and one order serve them all: what each needs of a line is a few narrow columns, made
+    before the lines are dealt with a halo of 500.
+    """
+    row = ROW_DETECTORS if row is None else row
+    parts = _json_parts(_locked(lines, 50).withColumn("deep", _indent(F.col("line")) >= 4)).withColumns({f"r_{n}": fn(text()) for n, fn in row.items()})
+    rows = with_halo(parts.select("file_id", "line_no", "byte_start", "fmt", "ts", "deep", "like", "dump", *[f"r_{n}" for n in row]), 500)
+    w = in_block()
+    met = F.last(F.when(F.col("ts").isNotNull(), F.struct("fmt", "ts", "line_no")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"met": met, "indented": _indentation(w), "json": _json(w, 10)}).where(~F.col("halo"))
+    found = {n: F.col(f"r_{n}") for n in row} | {"indentation_block": F.col("indented"), "timestamp_gap": _gap(300.0, 500), "json_dump": F.col("json")}
+    return _exploded(rows, found)
 
 
 def detect_all(lines: DataFrame, row: dict | None = None, window: dict | None = None) -> DataFrame:
-    """Union of all detectors' hits, prefix deviations among them, or of the given ones in place of the defaults."""
+    """Union of all detectors' hits, prefix deviations among them, or of the given ones in place of the defaults.
+
+    The lines are persisted, as the running statistics read them several times.
+    """
     from .prefix import detect_prefix_deviation
 
-    out = detect_rows(lines, row)
-    for fn in ({**WINDOW_DETECTORS, "prefix_deviation": detect_prefix_deviation} if window is None else window).values():
+    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+    more = {**RUNNING_DETECTORS, "prefix_deviation": detect_prefix_deviation} if window is None else window
+    out = detect_near(lines, row) if window is None else detect_rows(lines, row)
+    for fn in more.values():
         out = out.unionByName(fn(lines))
     return out

@@ -40,21 +40,28 @@ def _sample(lines: DataFrame, sample: int, skip: float) -> DataFrame:
 
 
 def dominant_prefix(lines: DataFrame, coverage: float = 0.9, max_tokens: int = 8, sample: int = 1000, skip: float = 0.05, fallback: float = 0.5) -> DataFrame:
-    """(file_id, prefix, token_count, coverage, regex): the longest run of masked leading tokens that enough of the sampled lines share."""
+    """(file_id, prefix, token_count, coverage, regex): the longest run of masked leading tokens that enough of the sampled lines share.
+
+    Below that, the commonest run of max_tokens tokens (all of a shorter line's), if the fallback share has it; else the file has none.
+    """
     rows = _sample(lines, sample, skip)
     tokens = F.filter(F.split(mask_tokens(text()), r"\s+", -1), lambda t: t != "")
     rows = rows.select("file_id", "r", tokens.alias("t")).withColumn("all", F.count("*").over(Window.partitionBy("file_id")))
     each = rows.select("file_id", "all", "t", F.explode(F.sequence(F.lit(1), F.lit(max_tokens))).alias("k")).where(F.size("t") >= F.col("k"))
     counts = each.groupBy("file_id", "k", F.array_join(F.slice("t", 1, F.col("k")), " ").alias("prefix")).agg(F.count("*").alias("n"), F.max("all").alias("all"))
     share = F.col("n") / F.col("all")
-    good = counts.withColumn("share", share).where(share >= fallback).withColumn("full", share >= coverage)
-    best = good.groupBy("file_id").agg(F.max_by(F.struct("prefix", "k", "share"), F.struct("full", F.when(F.col("full"), F.col("k")).otherwise(0), "share", "k", "prefix")).alias("x"))
+    good = counts.withColumn("share", share).where(share >= coverage).select("file_id", "prefix", "k", "share", F.lit(True).alias("full"))
+    # A file without such a prefix takes the commonest run of leading tokens whole, as far as max_tokens, if it is common enough.
+    whole = rows.where(F.size("t") > 0).groupBy("file_id", F.slice("t", 1, max_tokens).alias("p")).agg(F.count("*").alias("n"), F.max("all").alias("all"), F.min("r").alias("seen"))
+    whole = whole.groupBy("file_id").agg(F.max_by(F.struct("p", "n", "all"), F.struct("n", -F.col("seen"))).alias("x")).where(F.col("x.n") / F.col("x.all") >= fallback)
+    whole = whole.select("file_id", F.array_join("x.p", " ").alias("prefix"), F.size("x.p").alias("k"), (F.col("x.n") / F.col("x.all")).alias("share"), F.lit(False).alias("full"))
+    best = good.unionByName(whole).groupBy("file_id").agg(F.max_by(F.struct("prefix", "k", "share"), F.struct("full", "k", "share", "prefix")).alias("x"))
     return best.select("file_id", "x.prefix", F.col("x.k").alias("token_count"), F.round("x.share", 6).alias("coverage"), prefix_regex(F.col("x.prefix")).alias("regex"))
 
 
 def prefix_length(lines: DataFrame, prefixes: DataFrame, sample: int = 100) -> DataFrame:
     """Upper median of the length that the prefix takes in the first sampled lines that match it."""
-    rows = _sample(lines, sample, 0.05).join(F.broadcast(prefixes.select("file_id", "regex")), "file_id")
+    rows = _sample(lines, sample, 0.05).join(prefixes.select("file_id", "regex"), "file_id")
     n = F.length(F.regexp_substr(text(), F.col("regex")))
     lens = rows.withColumn("n", n).where(F.col("n").isNotNull()).groupBy("file_id").agg(F.sort_array(F.collect_list("n")).alias("a"))
     return lens.select("file_id", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("prefix_length"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import BLOCK_LINES, with_block
 from .detectors import CATEGORY, ERRORS, SECRETS, SEVERITY, WARNINGS
 
-#: Lower bound, label, meaning.
+#: Lower bound and label. The meanings are this library's own words.
 SCALE = (
-    (0.8, "critical", "Critical issues: FATAL errors, exposed secrets, system panics"),
-    (0.6, "high", "High severity: ERROR messages, crashes, large timestamp gaps"),
-    (0.4, "medium", "Medium severity: warnings, format deviations, potential issues"),
-    (0.0, "low", "Low severity: minor deviations, informational anomalies"),
+    (0.8, "critical", "the process or a secret is likely lost: look at once"),
+    (0.6, "high", "something failed or stood still for long"),
+    (0.4, "medium", "a warning, or lines of an unexpected kind"),
+    (0.0, "low", "unusual, and likely harmless"),
 )
 
 
@@ -39,24 +40,34 @@ def category_catalog(spark: SparkSession) -> DataFrame:
 def merge_ranges(hits: DataFrame, gap: int = 2, max_lines: int = 1000) -> DataFrame:
     """(file_id, detector, start_line, end_line, severity, n_hits): hits at most gap lines apart, in ranges of max_lines at most.
 
-    Islands come from a window; only islands of max_lines and more are cut by a fold over their own lines.
+    Islands come from one window over blocks of lines, so that a noisy file is many tasks. Those at the edge of a block, two a block at
+    most, are then stitched; islands of max_lines and more are cut by a fold over their own hits. Hits are read and shuffled once.
     """
-    w = Window.partitionBy("file_id", "detector").orderBy("line_no")
-    new = (F.col("line_no") - F.lag("line_no").over(w) > gap) | F.lag("line_no").over(w).isNull()
-    rows = hits.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    span = F.max("line_no").over(Window.partitionBy("file_id", "detector", "island")) - F.min("line_no").over(Window.partitionBy("file_id", "detector", "island"))
-    rows = rows.withColumn("long", span >= max_lines)
-    agg = [F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max("severity").alias("severity"), F.count("*").alias("n_hits")]
-    short = rows.where(~F.col("long")).groupBy("file_id", "detector", "island").agg(*agg).drop("island")
-    starts = F.aggregate(
-        F.array_sort(F.collect_list("line_no")), F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= max_lines), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    cuts = rows.where("long").groupBy("file_id", "detector", "island").agg(starts.alias("starts"))
-    cuts = cuts.select(F.col("file_id").alias("cf"), F.col("detector").alias("cd"), F.col("island").alias("ci"), "starts")
-    cut = rows.where("long").join(cuts, (F.col("file_id") == F.col("cf")) & (F.col("detector") == F.col("cd")) & (F.col("island") == F.col("ci")))
-    cut = cut.withColumn("piece", F.size(F.filter("starts", lambda s: s <= F.col("line_no")))).groupBy("file_id", "detector", "island", "piece").agg(*agg)
-    return short.unionByName(cut.drop("island", "piece"))
+    w = Window.partitionBy("file_id", "detector", "lblock").orderBy("line_no")
+    rows = with_block(hits).select("file_id", "detector", "lblock", "line_no", "severity")
+    rows = rows.withColumn("new", F.coalesce(F.col("line_no") - F.lag("line_no").over(w) > gap, F.lit(True)).cast("int"))
+    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = F.struct(F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), "severity", F.lit(1).cast("long").alias("n_hits"))
+    parts = rows.groupBy("file_id", "detector", "lblock", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.sort_array(F.collect_list(hit)).alias("hits"))
+    at_edge = ((F.col("start_line") - 1) % BLOCK_LINES < gap) | ((F.col("end_line") - 1) % BLOCK_LINES >= BLOCK_LINES - gap)
+    order = Window.partitionBy("file_id", "detector").orderBy("start_line")
+    edges = parts.where(at_edge)
+    edges = edges.withColumn("new", F.coalesce(F.col("start_line") - F.lag("end_line").over(order) > gap, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = edges.groupBy("file_id", "detector", "island").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    islands = parts.where(~at_edge).select("file_id", "detector", "hits").unionByName(stitched.select("file_id", "detector", "hits"))
+
+    def grown(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start_line"].alias("start_line"), x["end_line"].alias("end_line"), F.greatest(last["severity"], x["severity"]).alias("severity"), (last["n_hits"] + 1).alias("n_hits"))
+        apart = x["start_line"] - last["start_line"] >= max_lines
+        return F.when(F.size(acc) == 0, F.array(x)).when(apart, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
+
+    first, last = F.element_at("hits", 1)["start_line"], F.element_at("hits", -1)["end_line"]
+    whole = F.array(F.struct(first.alias("start_line"), last.alias("end_line"), F.array_max(F.transform("hits", lambda h: h["severity"])).alias("severity"), F.size("hits").cast("long").alias("n_hits")))
+    kind = "array<struct<start_line:bigint,end_line:bigint,severity:double,n_hits:bigint>>"
+    cut = F.aggregate(F.col("hits").cast(kind), F.array().cast(kind), grown)
+    pieces = F.when(last - first < max_lines, whole.cast(kind)).otherwise(cut)
+    return islands.select("file_id", "detector", F.explode(pieces).alias("p")).select("file_id", "detector", "p.*")
 
 
 def range_offsets(ranges: DataFrame, lines: DataFrame) -> DataFrame:
@@ -82,9 +93,14 @@ def density_cap(ranges: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def describe(ranges: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add a description, from the first line of each range and its length."""
+    """Add a description, from the first line of each range and its length; of JSON, from all its lines. The wordings are fixed values."""
     first = lines.select(F.col("file_id").alias("ff"), F.col("line_no").alias("fl"), F.col("line").alias("first"))
     rows = ranges.join(first, (F.col("file_id") == F.col("ff")) & (F.col("start_line") == F.col("fl"))).drop("ff", "fl")
+    inside = ranges.where(F.col("detector") == "json_dump").select("file_id", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    chars = inside.join(lines.select("file_id", "line_no", "line"), ["file_id", "line_no"]).groupBy("file_id", "start_line").agg(F.sum(F.length("line")).alias("chars"))
+    chars = chars.select(F.col("file_id").alias("cf"), F.col("start_line").alias("cs"), F.lit("json_dump").alias("cd"), "chars")
+    rows = rows.join(chars, (F.col("file_id") == F.col("cf")) & (F.col("start_line") == F.col("cs")) & (F.col("detector") == F.col("cd")), "left").drop("cf", "cs", "cd")
+    short = lambda k: F.concat(F.substring("first", 1, k), F.when(F.length("first") > k, "...").otherwise(""))
     f, n = F.trim("first"), F.col("end_line") - F.col("start_line") + 1
 
     def found(words, prefix: str, other: str) -> Column:
@@ -104,9 +120,13 @@ def describe(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     d = F.col("detector")
     text = (
         F.when(d == "traceback", trace).when(d == "error_keyword", found(ERRORS, "Error: ", "Error keyword detected")).when(d == "warning_keyword", found(WARNINGS, "Warning: ", "Warning keyword detected"))
-        .when(d == "high_entropy", secret.otherwise("High-entropy string detected")).otherwise(F.format_string("%s (%d lines)", d, n))
+        .when(d == "high_entropy", secret.otherwise("High-entropy string detected")).when(d == "line_length_spike", F.format_string("Unusually long line (%d chars)", F.length(F.regexp_replace("first", r"\s+$", ""))))
+        .when(d == "indentation_block", F.format_string("Indented block (%d lines)", n)).when(d == "timestamp_gap", "Timestamp gap detected")
+        .when(d == "json_dump", F.format_string("Embedded JSON (%d chars, %d lines)", F.coalesce("chars", F.length("first")), n)).when(d == "format_deviation", "Format deviation from dominant pattern")
+        .when((d == "prefix_deviation") & (n == 1), F.concat(F.lit("Line doesn't match expected prefix format: "), short(60)))
+        .when(d == "prefix_deviation", F.concat(F.format_string("Block of %d lines without expected prefix: ", n), short(40))).otherwise(F.format_string("%s (%d lines)", d, n))
     )
-    return rows.withColumn("description", text).drop("first")
+    return rows.withColumn("description", text).drop("first", "chars")
 
 
 def anomaly_report(ranges: DataFrame) -> DataFrame:

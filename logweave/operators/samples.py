@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 #: Bytes of a bucket by which offset look-ups are equi-joined.
 BUCKET = 1 << 20
+#: Lines of a bucket by which look-ups of lines are equi-joined.
+LINES = 1 << 12
+
+
+def _buckets(first: Column, last: Column, size: int) -> Column:
+    return F.sequence(F.floor(first / size), F.floor(last / size))
 
 
 def parse_spec(spec: Column) -> Column:
@@ -41,7 +47,11 @@ def sample_lines(lines: DataFrame, targets: DataFrame, before: int = 0, after: i
 
 def sample_line_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """Lines a..b of ranges(file_id, start, end), cut at the end of the file."""
-    joined = lines.join(ranges.withColumnRenamed("end", "stop"), "file_id").where(F.col("line_no").between(F.col("start"), F.col("stop")))
+    asked = ranges.withColumnRenamed("end", "stop").where(F.col("start") <= F.col("stop"))
+    sizes = lines.groupBy("file_id").agg(F.max("line_no").alias("n_lines"))
+    asked = asked.join(sizes, "file_id").where(F.col("start") <= F.col("n_lines"))
+    asked = asked.withColumn("bucket", F.explode(_buckets(F.greatest("start", F.lit(1)), F.least("stop", "n_lines"), LINES)))
+    joined = lines.withColumn("bucket", F.floor(F.col("line_no") / LINES)).join(asked, ["file_id", "bucket"]).where(F.col("line_no").between(F.col("start"), F.col("stop")))
     return joined.select("file_id", "start", F.col("stop").alias("end"), "line_no", "line")
 
 
@@ -65,7 +75,12 @@ def sample_byte_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """Lines that overlap [start, end]; nothing if either end is outside the file."""
     sizes = lines.groupBy("file_id").agg(F.max(F.col("byte_start") + F.col("byte_len") + 1).alias("size"))
     r = ranges.withColumnRenamed("end", "stop").join(sizes, "file_id").where((F.col("start") >= 0) & (F.col("stop") < F.col("size")) & (F.col("start") <= F.col("stop")))
-    hit = lines.join(r, "file_id").where((F.col("byte_start") <= F.col("stop")) & (F.col("byte_start") + F.col("byte_len") >= F.col("start")))
+    last = F.col("byte_start") + F.col("byte_len")
+    spread = lines.withColumn("bucket", F.explode(_buckets(F.col("byte_start"), last, BUCKET)))
+    r = r.withColumn("bucket", F.explode(_buckets(F.col("start"), F.col("stop"), BUCKET)))
+    # Of the buckets that a line and a range share the first counts.
+    once = F.col("bucket") == F.greatest(F.floor(F.col("byte_start") / BUCKET), F.floor(F.col("start") / BUCKET))
+    hit = spread.join(r, ["file_id", "bucket"]).where(once & (F.col("byte_start") <= F.col("stop")) & (last >= F.col("start")))
     return hit.select("file_id", "start", F.col("stop").alias("end"), "line_no", "line")
 
 
@@ -102,11 +117,18 @@ def approx_offset_to_line(checkpoints: DataFrame, offsets: DataFrame) -> DataFra
 
 def blocks_for_lines(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     """(file_id, block_no, lines): the wanted lines of each block."""
-    hit = targets.join(blocks, "file_id").where(F.col("target").between(F.col("first_line"), F.col("last_line")))
+    spread = blocks.withColumn("bucket", F.explode(_buckets(F.col("first_line"), F.col("last_line"), LINES)))
+    hit = targets.withColumn("bucket", F.floor(F.col("target") / LINES)).join(spread, ["file_id", "bucket"]).where(F.col("target").between(F.col("first_line"), F.col("last_line")))
     return hit.groupBy("file_id", "block_no").agg(F.array_sort(F.collect_set("target")).alias("lines"))
 
 
 def blocks_for_bytes(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Blocks that overlap [start, end); a point is a range of one byte."""
-    hit = ranges.withColumnRenamed("end", "stop").join(blocks, "file_id").where((F.col("start_offset") < F.col("stop")) & (F.col("end_offset") > F.col("start")))
+    sizes = blocks.groupBy("file_id").agg(F.max("end_offset").alias("size"))
+    asked = ranges.withColumnRenamed("end", "stop").join(sizes, "file_id").where((F.col("stop") > F.col("start")) & (F.col("start") < F.col("size")) & (F.col("stop") > 0))
+    first = F.greatest("start", F.lit(0))
+    asked = asked.withColumns({"bucket": F.explode(_buckets(first, F.least("stop", "size") - 1, BUCKET))})
+    spread = blocks.withColumn("bucket", F.explode(_buckets(F.col("start_offset"), F.col("end_offset") - 1, BUCKET)))
+    once = F.col("bucket") == F.greatest(F.floor(F.col("start_offset") / BUCKET), F.floor(first / BUCKET))
+    hit = asked.join(spread, ["file_id", "bucket"]).where(once & (F.col("start_offset") < F.col("stop")) & (F.col("end_offset") > F.col("start")))
     return hit.select("file_id", "start", F.col("stop").alias("end"), "block_no")

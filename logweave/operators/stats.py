@@ -29,13 +29,14 @@ def line_stats(lines: DataFrame, unit: str = "bytes", std: str = "sample") -> Da
 
 def line_stats_all(lines: DataFrame) -> DataFrame:
     """Statistics that include empty lines, with nearest-rank percentiles, to one decimal."""
-    rows = lines.select("file_id", F.length(text()).alias("n"))
-    order = Window.partitionBy("file_id").orderBy("n")
-    ranked = rows.withColumns({"k": F.row_number().over(order) - 1, "all": F.count("*").over(Window.partitionBy("file_id"))})
-    at = lambda p: F.max(F.when(F.col("k") == F.least(F.floor(F.col("all") * p), F.col("all") - 1), F.col("n")))
+    counts = lines.groupBy("file_id", F.length(text()).alias("n")).agg(F.count("*").alias("c"))
+    # Windows run over distinct lengths only.
+    upto = F.sum("c").over(Window.partitionBy("file_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"upto": upto, "all": F.sum("c").over(Window.partitionBy("file_id"))})
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * p), F.col("all") - 1), F.col("n")))
     return ranked.groupBy("file_id").agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("n") == 0).alias("n_empty"), F.max("n").alias("max_len"), F.round(F.avg("n"), 1).alias("avg_len"),
-        F.round(F.percentile("n", F.lit(0.5)), 1).alias("median_len"), at(0.95).alias("p95_len"), at(0.99).alias("p99_len"),
+        F.sum("c").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("c"))), F.lit(0)).alias("n_empty"), F.max("n").alias("max_len"), F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 1).alias("avg_len"),
+        F.round(F.percentile("n", F.lit(0.5), F.col("c")), 1).alias("median_len"), at(0.95).alias("p95_len"), at(0.99).alias("p99_len"),
     )
 
 
@@ -49,10 +50,10 @@ def longest_line(lines: DataFrame) -> DataFrame:
 def line_ending(lines: DataFrame, first_bytes: int | None = None) -> DataFrame:
     """LF, CRLF, CR or mixed, by all lines or those that start in the first bytes."""
     kept = lines if first_bytes is None else lines.where(F.col("byte_start") < first_bytes)
-    crlf, last = F.col("line").endswith("\r"), F.max("line_no").over(Window.partitionBy("file_id")) == F.col("line_no")
-    inner = F.regexp_like("line", F.lit(r"\r[^\r]"))
-    rows = kept.select("file_id", crlf.alias("crlf"), inner.alias("cr"), last.alias("last"))
-    a = rows.groupBy("file_id").agg(F.bool_or("crlf").alias("crlf"), F.bool_or(~F.col("crlf") & ~F.col("last")).alias("lf"), F.bool_or("cr").alias("cr"))
+    rows = kept.select("file_id", "line_no", F.col("line").endswith("\r").alias("crlf"), F.regexp_like("line", F.lit(r"\r[^\r]")).alias("cr"))
+    # The last line may lack its line feed and tells nothing.
+    plain = F.count_if(~F.col("crlf")) - (~F.max_by("crlf", "line_no")).cast("int")
+    a = rows.groupBy("file_id").agg(F.bool_or("crlf").alias("crlf"), (plain > 0).alias("lf"), F.bool_or("cr").alias("cr"))
     kinds = F.col("crlf").cast("int") + F.col("lf").cast("int") + F.col("cr").cast("int")
     return a.select("file_id", F.when(kinds > 1, "mixed").when(F.col("crlf"), "CRLF").when(F.col("cr"), "CR").otherwise("LF").alias("line_ending"))
 
@@ -93,7 +94,7 @@ def human_size(n: Column) -> Column:
     out = shown(len(units) - 1)
     for i in range(len(units) - 2, -1, -1):
         out = F.when(F.abs(n) < 1024.0 ** (i + 1), shown(i)).otherwise(out)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 def file_profile(lines: DataFrame, files: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:

@@ -118,7 +118,7 @@ def _(spark, sf):
     return _table(spark, sf, "pages").select("page_id", S.compression_of(F.concat(F.col("url"), ends)).alias("compression"))
 
 
-@register("text_files", f"WITH {DL} SELECT DISTINCT file_id, true AS is_text FROM dl")
+@register("text_files", f"WITH {DL} SELECT file_id, NOT bool_or(byte_start < 8192 AND contains(substr(line, 1, 8192), chr(0))) AS is_text FROM dl GROUP BY 1")
 def _(spark, sf):
     return S.text_files(doc_lines(spark, sf))
 
@@ -271,9 +271,9 @@ def _(spark, sf):
     return t.select("file_id", R.resolve_negative(F.lit(-3), F.col("n")).alias("line_no"), R.resolve_negative(F.lit(-100), F.col("b"), False).alias("byte"))
 
 
-@register("parse_spec", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id WHEN 1 THEN -doc_id WHEN 2 THEN doc_id ELSE 0 END AS \"start\", CASE doc_id % 4 WHEN 2 THEN doc_id + 5 ELSE 0 END AS \"end\", CASE doc_id % 4 WHEN 3 THEN 'reversed' ELSE 'ok' END AS status FROM documents WHERE doc_id > 0")
+@register("parse_spec", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id WHEN 1 THEN -doc_id WHEN 2 THEN doc_id ELSE 0 END AS \"start\", CASE doc_id % 4 WHEN 2 THEN doc_id + 5 ELSE 0 END AS \"end\", CASE doc_id % 4 WHEN 3 THEN 'reversed' ELSE 'ok' END AS status FROM documents")
 def _(spark, sf):
-    d = _table(spark, sf, "documents").where("doc_id > 0")
+    d = _table(spark, sf, "documents")
     s = F.col("doc_id").cast("string")
     spec = F.when(F.col("doc_id") % 4 == 0, s).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("-"), s)).when(F.col("doc_id") % 4 == 2, F.concat(s, F.lit("-"), (F.col("doc_id") + 5).cast("string"))).otherwise(F.concat(s, F.lit("-"), (F.col("doc_id") - 1).cast("string")))
     return d.select("doc_id", R.parse_spec(spec).alias("x")).select("doc_id", "x.*").fillna(0)
@@ -281,25 +281,29 @@ def _(spark, sf):
 
 @register(
     "nearest_checkpoint",
-    f"""WITH {EL}, t AS (SELECT file_id, line_no AS target FROM el WHERE line_no % 7 = 3) SELECT t.file_id, target, max(el.line_no) AS line_no, max(el.byte_start) AS byte_offset FROM t JOIN el ON el.file_id = t.file_id AND el.line_no <= target AND (el.line_no - 1) % 50 = 0 GROUP BY 1, 2""",
+    f"""WITH {EL} SELECT t.file_id, t.line_no AS target, c.line_no AS line_no, c.byte_start AS byte_offset FROM el t JOIN el c ON c.file_id = t.file_id AND c.line_no = (t.line_no - 1) // 50 * 50 + 1""",
 )
 def _(spark, sf):
     lines = event_lines(spark, sf)
-    t = lines.where("line_no % 7 = 3").select("file_id", F.col("line_no").alias("target"))
+    t = lines.select("file_id", F.col("line_no").alias("target"))
     return R.nearest_checkpoint(A.checkpoints_every(lines, 50), t).select("file_id", "target", "line_no", "byte_offset")
 
 
-@register("approx_offset_to_line")
+@register(
+    "approx_offset_to_line",
+    f"""WITH {EL} SELECT t.file_id, t.byte_start AS "offset", CAST(c.line_no + CASE WHEN n.line_no IS NULL THEN 0 ELSE greatest(round_even((t.byte_start - c.byte_start) / (n.byte_start - c.byte_start) * 50, 0), 0) END AS BIGINT) AS line_no
+FROM el t JOIN el c ON c.file_id = t.file_id AND c.line_no = (t.line_no - 1) // 50 * 50 + 1 LEFT JOIN el n ON n.file_id = t.file_id AND n.line_no = c.line_no + 50""",
+)
 def _(spark, sf):
     lines = event_lines(spark, sf)
     return R.approx_offset_to_line(A.checkpoints_every(lines, 50), lines.select("file_id", F.col("byte_start").alias("offset")))
 
 
-@register("blocks_for_lines", f"WITH {EL}, b AS (SELECT file_id, byte_start // 4096 AS block_no, min(line_no) AS a, max(line_no) AS z FROM el GROUP BY 1, 2) SELECT b.file_id, block_no, CAST(count(*) AS INT) AS n FROM b JOIN el ON el.file_id = b.file_id AND line_no BETWEEN a AND z WHERE line_no % 7 = 3 GROUP BY 1, 2")
+@register("blocks_for_lines", f"WITH {EL} SELECT file_id, byte_start // 4096 AS block_no, CAST(count(*) AS INT) AS n, string_agg(line_no, ',' ORDER BY line_no) AS lines FROM el GROUP BY 1, 2")
 def _(spark, sf):
     lines = event_lines(spark, sf)
-    t = lines.where("line_no % 7 = 3").select("file_id", F.col("line_no").alias("target"))
-    return R.blocks_for_lines(A.block_map(lines, 4096), t).select("file_id", "block_no", F.size("lines").alias("n"))
+    found = R.blocks_for_lines(A.block_map(lines, 4096), lines.select("file_id", F.col("line_no").alias("target")))
+    return found.select("file_id", "block_no", F.size("lines").alias("n"), F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
 @register("blocks_for_bytes", f"WITH {EL}, b AS (SELECT file_id, byte_start // 4096 AS block_no, min(byte_start) AS a, max(byte_start + byte_len + 1) AS z FROM el GROUP BY 1, 2) SELECT file_id, 1000 AS \"start\", 9000 AS \"end\", block_no FROM b WHERE a < 9000 AND z > 1000")
@@ -354,15 +358,16 @@ def _(spark, sf):
     return A.longest_line(doc_lines(spark, sf))
 
 
-@register("line_ending", f"WITH {OL} SELECT file_id, 'mixed' AS line_ending FROM ol GROUP BY 1 UNION ALL SELECT 'doc' || doc_id, 'LF' FROM documents")
+@register("line_ending", f"WITH {OL}, {DL}, a AS (SELECT file_id, line_no, line FROM ol UNION ALL SELECT 'doc' || file_id, line_no, line FROM dl), b AS (SELECT *, line LIKE '%' || chr(13) AS c, regexp_matches(line, '\\r[^\\r]') AS m, line_no = max(line_no) OVER (PARTITION BY file_id) AS last FROM a), k AS (SELECT file_id, bool_or(c) AS c, bool_or(NOT c AND NOT last) AS l, bool_or(m) AS m FROM b GROUP BY 1) SELECT file_id, CASE WHEN c::INT + l::INT + m::INT > 1 THEN 'mixed' WHEN c THEN 'CRLF' WHEN m THEN 'CR' ELSE 'LF' END AS line_ending FROM k")
 def _(spark, sf):
     docs = A.line_ending(doc_lines(spark, sf)).select(F.concat(F.lit("doc"), F.col("file_id")).alias("file_id"), "line_ending")
     return A.line_ending(order_lines(spark, sf)).unionByName(docs)
 
 
-@register("line_length_sample")
+@register("line_length_sample", f"WITH {OL}, n AS (SELECT file_id, length(rtrim(line, chr(13))) AS n FROM ol WHERE regexp_matches(line, '\\S')) SELECT file_id, quantile_cont(n, 0.5) AS median_len, quantile_cont(n, 0.95) AS p95_len, quantile_cont(n, 0.99) AS p99_len FROM n GROUP BY 1")
 def _(spark, sf):
-    return A.line_length_sample(order_lines(spark, sf), 500)
+    """At the default bound a file of this size is sampled whole; tests take smaller samples."""
+    return A.line_length_sample(order_lines(spark, sf))
 
 
 @register("checkpoints", f"WITH {EL} SELECT file_id, min(line_no) AS line_no, min(byte_start) AS byte_offset FROM el GROUP BY file_id, byte_start // 1024")
@@ -380,9 +385,11 @@ def _(spark, sf):
     return A.block_map(event_lines(spark, sf), 4096)
 
 
-@register("human_size", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.2f B', strlen(text)::DOUBLE) ELSE printf('%.2f KB', strlen(text) / 1024.0::DOUBLE) END AS size FROM documents WHERE strlen(text) < 1048576")
+@register("human_size", "SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', n) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576) WHEN n IS NOT NULL THEN printf('%.2f GB', n / 1073741824) END AS size FROM (SELECT doc_id, CAST(strlen(text) AS DOUBLE) * coalesce(doc_id, 1) AS n FROM documents)")
 def _(spark, sf):
-    return _table(spark, sf, "documents").where(F.octet_length("text") < 1048576).select("doc_id", A.human_size(F.octet_length("text")).alias("size"))
+    """Bytes of each text times its id, so that larger units come too."""
+    n = F.octet_length("text").cast("double") * F.coalesce("doc_id", F.lit(1))
+    return _table(spark, sf, "documents").select("doc_id", A.human_size(n).alias("size"))
 
 
 @register("corpus_profile", f"WITH {DL}, s AS (SELECT file_id, count(*) AS n, sum(byte_len + 1)::BIGINT AS b FROM dl GROUP BY 1) SELECT file_id AS dir, file_id, n AS n_lines, b AS n_bytes, 0 AS level FROM s UNION ALL SELECT file_id, NULL, n, b, 1 FROM s UNION ALL SELECT NULL, NULL, sum(n)::BIGINT, sum(b)::BIGINT, 3 FROM s")
@@ -390,9 +397,10 @@ def _(spark, sf):
     return A.corpus_profile(doc_lines(spark, sf))
 
 
-@register("compression_ratio", f"WITH {DL} SELECT file_id, sum(byte_len + 1) / n_chars AS ratio FROM dl JOIN documents ON file_id = CAST(doc_id AS VARCHAR) WHERE n_chars > 0 GROUP BY file_id, n_chars")
+@register("compression_ratio", f"WITH {DL} SELECT file_id, sum(byte_len + 1) / nullif(n_chars, 0) AS ratio FROM dl JOIN documents ON file_id = CAST(doc_id AS VARCHAR) GROUP BY file_id, n_chars")
 def _(spark, sf):
-    files = _table(spark, sf, "documents").where("n_chars > 0").select(F.col("doc_id").cast("string").alias("file_id"), F.col("n_chars").alias("size_bytes"))
+    """Bytes of each text by its characters, which stand for the stored size."""
+    files = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.nullif("n_chars", F.lit(0)).alias("size_bytes"))
     return A.compression_ratio(doc_lines(spark, sf), files)
 
 
@@ -459,9 +467,9 @@ def _(spark, sf):
     return D.detect_high_entropy(doc_lines(spark, sf))
 
 
-@register("shannon_entropy", "WITH c AS (SELECT doc_id, source, unnest(string_split(source, '')) AS ch FROM documents), k AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM k) SELECT doc_id, round(sum(-p * log2(p)), 6) AS entropy FROM t GROUP BY 1")
+@register("shannon_entropy", "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), k AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM k), e AS (SELECT doc_id, sum(-p * log2(p)) AS e FROM t GROUP BY 1) SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN round(coalesce(e, 0), 4) END AS entropy FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id")
 def _(spark, sf):
-    return _table(spark, sf, "documents").where("source <> ''").select("doc_id", F.round(shannon_entropy(F.col("source")), 6).alias("entropy"))
+    return _table(spark, sf, "documents").select("doc_id", F.round(shannon_entropy(F.col("text")), 4).alias("entropy"))
 
 
 JL = """jl AS (SELECT file_id, line_no, line, CAST((line_no - 1) * 0 + coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start
@@ -507,15 +515,20 @@ def _(spark, sf):
     return event_lines(spark, sf).select("file_id", "line_no", mask_tokens(F.col("line")).alias("masked"))
 
 
-@register("dominant_prefix")
+#: Lines that the prefix rules look at: after the first twentieth of the bytes, in order.
+PREFIXES = f"""{EL}, z AS (SELECT file_id, max(byte_start + byte_len + 1) AS size FROM el GROUP BY 1),
+s AS (SELECT el.*, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS r FROM el JOIN z USING (file_id) WHERE byte_start >= floor(size * 0.05))"""
+
+
+@register("dominant_prefix", f"WITH {PREFIXES} SELECT file_id, '<DATE> <TIME> <LEVEL> user=<NUM>' AS prefix, CAST(4 AS INT) AS token_count, round(avg(CASE WHEN regexp_matches(line, '^\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}} (INFO|WARN|ERROR) user=\\d{{1,7}} ') THEN 1 ELSE 0 END), 6) AS coverage FROM s WHERE r <= 1000 GROUP BY 1")
 def _(spark, sf):
-    return P.dominant_prefix(event_lines(spark, sf))
+    return P.dominant_prefix(event_lines(spark, sf)).drop("regex")
 
 
-@register("prefix_length", f"WITH {EL} SELECT DISTINCT file_id FROM el")
+@register("prefix_length", f"WITH {PREFIXES}, n AS (SELECT file_id, list_sort(list(length(regexp_extract(line, '^\\S+ \\S+ \\S+ user=\\d+')))) AS a FROM s WHERE r <= 100 GROUP BY 1) SELECT file_id, CAST(a[len(a) // 2 + 1] AS INT) AS prefix_length FROM n")
 def _(spark, sf):
     lines = event_lines(spark, sf)
-    return P.prefix_length(lines, P.dominant_prefix(lines)).select("file_id")
+    return P.prefix_length(lines, P.dominant_prefix(lines))
 
 
 @register("detect_all")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 EXTENSIONS = {"gz": "gzip", "gzip": "gzip", "zst": "zstd", "zstd": "zstd", "xz": "xz", "bz2": "bz2", "bzip2": "bz2"}
 MAGIC = {"1F8B": "gzip", "28B52FFD": "zstd", "FD377A585A00": "xz", "425A68": "bz2"}
 ARCHIVES = r"(?i)\.(tar\.gz|tgz|tar\.zst|tzst|tar\.xz|txz|tar\.bz2|tbz2|tbz)$"
+#: Compressions that Spark's text source does not decode.
+UNREAD = ("xz", "zstd")
 MAX_FILES = 1000
 #: Bytes in which a NUL marks a binary file.
 HEAD_BYTES = 8192
@@ -35,6 +37,12 @@ def file_catalog(spark: SparkSession, paths: str | list[str], recursive: bool =
     return files.select(*out, *([is_text(F.col("content")).alias("is_text")] if peek else []))
 
 
+def unread_files(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
+    """Files that read_lines leaves out, with their compression as the reason; contents are not read."""
+    files = file_catalog(spark, paths, recursive)
+    return files.where(F.col("compression").isin(*UNREAD)).withColumn("reason", F.concat(F.lit("compression "), F.col("compression")))
+
+
 def text_files(lines: DataFrame) -> DataFrame:
     """(file_id, is_text) from lines, without loading whole files: a NUL in the first bytes makes a file binary."""
     nul = F.contains(F.when(F.col("byte_start") < HEAD_BYTES, F.substring("line", 1, HEAD_BYTES)).otherwise(F.lit("")), F.lit("\x00"))

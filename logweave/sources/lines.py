@@ -6,20 +6,29 @@ is content.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import UNREAD, compression_of
+
 COLUMNS = ("file_id", "line_no", "byte_start", "byte_len", "line")
+#: Text cut into lines at once, in bytes; a longer text is cut alone.
+CUT_BYTES = 4 << 20
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = True, blocks: bool = False) -> DataFrame:
-    """Text files, plain or gzip or bzip2, as lines; offsets are in the decompressed text.
+    """Text files, plain or gzip or bzip2, as lines; offsets are in the decompressed text. Files in other compressions are left out (``unread_files``).
 
     Files are split and read in parallel. Counts and bytes of each split are summed first; their prefix sums, one
     row per split, number the lines without a sort over a whole file.
     """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
-    raw = reader.text(paths).select(
+    readable = ~F.coalesce(compression_of(F.col("_metadata.file_path")).isin(*UNREAD), F.lit(False))
+    raw = reader.text(paths).where(readable).select(
         F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), F.octet_length("value").alias("byte_len"), F.col("value").alias("line"),
     )
@@ -36,11 +45,41 @@ def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Tr
 
 def lines_from_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row's text as a file of its own; a null text has no lines, and a final line feed opens no further line."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("file_id"), F.posexplode(lines).alias("pos", "line"))
-    rows = rows.select("file_id", (F.col("pos") + 1).cast("long").alias("line_no"), F.octet_length("line").alias("byte_len"), "line")
-    return _with_offsets(rows)
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("file_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+            raw = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+            start = 0
+            while start < len(texts):
+                stop = min(max(int(np.searchsorted(offs, offs[start] + CUT_BYTES, "right")) - 1, start + 1), len(texts))
+                yield cut_lines(batch.column(0).slice(start, stop - start), raw[offs[start] : offs[stop]], offs[start : stop + 1] - offs[start])
+                start = stop
+
+    return rows.mapInArrow(run, "file_id string, line_no long, byte_start long, byte_len int, line string")
+
+
+def cut_lines(ids: pa.Array, raw: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+    """Lines of the texts raw[offs[i]:offs[i + 1]], found in one pass over the bytes: all lines of a text lie in one row, so that offsets need no shuffle."""
+    feeds = np.flatnonzero(raw == 10)
+    full = np.flatnonzero(np.diff(offs) > 0)
+    open_ended = full[raw[offs[full + 1] - 1] != 10]
+    end = np.concatenate([feeds, offs[open_ended + 1]])
+    row = np.concatenate([np.searchsorted(offs, feeds, "right") - 1, open_ended])
+    order = np.lexsort((end, row))
+    end, row = end[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] != row[:-1]
+    first = np.flatnonzero(new)
+    begin = np.where(new, offs[row], np.append(0, end[:-1] + 1)[: len(row)])
+    number = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) + 1
+    width = end - begin
+    at = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+    line = pa.StringArray.from_buffers(len(row), pa.py_buffer(at.tobytes()), pa.py_buffer(raw[raw != 10].tobytes()))
+    arrays = [ids.take(pa.array(row)), pa.array(number.astype(np.int64)), pa.array((begin - offs[row]).astype(np.int64)), pa.array(width.astype(np.int32)), line]
+    return pa.RecordBatch.from_arrays(arrays, list(COLUMNS))
 
 
 def lines_from_rows(df: DataFrame, file_expr: Column, order_cols: list, line_expr: Column) -> DataFrame:
