@@ -1,5 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
+import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -94,3 +96,87 @@ def repeated_lines(docs, percent=80, width=8):
         for i, pos in sorted(where)[1:]:
             gone[i].append(pos)
     return {i: sorted(p) for i, p in gone.items()}, links
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """sizes: source to words; source to its target, by resharing until no source is above its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    done, left = {}, sum(sizes.values())
+    while len(done) < len(order):
+        open_ = [s for s in order if s not in done]
+        all_weights = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] >= most * sizes[s] * all_weights]
+        if not over:
+            return done | {s: float(left * weight[s]) / all_weights for s in open_}
+        for s in over:
+            done[s] = float(most * sizes[s])
+        left -= sum(most * sizes[s] for s in over)
+    return done
+
+
+def mix(docs, seed="mix-1", levels=(2, 6, 20), most=3):
+    """docs: (id, text, source) with distinct ids; id to copies, one source after the other, without any strata."""
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in docs}
+    members = defaultdict(list)
+    for i, _, s in docs:
+        members[s].append(i)
+    sizes = {s: sum(words[i] for i in m) for s, m in members.items()}
+    goal, copies = targets(sizes), {}
+    for s, m in members.items():
+        u = int(hashlib.md5(f"{seed}:{'none' if s is None else 's' + s}".encode()).hexdigest()[:8], 16) / 2**32
+        level = {i: next((k for k, x in enumerate(levels) if words[i] * x > goal[s]), len(levels)) for i in m}
+        rest, wanted = sizes[s], goal[s]
+        for k in range(len(levels) + 1):
+            here = [i for i in m if level[i] == k]
+            if k == len(levels):
+                here.sort(key=lambda i: (len(f"{words[i]:b}") * 4 + (int(f"{words[i]:b}"[1:3], 2) if words[i] >= 4 else 0), int(hashlib.md5(str(i).encode()).hexdigest()[:4], 16) % 64, words[i], i))
+            else:
+                here.sort(key=lambda i: (words[i], i))
+            at = [math.floor(n * wanted / rest + u) if rest else 0 for n in range(len(here) + 1)]
+            for n, i in enumerate(here):
+                copies[i] = min(most, at[n + 1] - at[n])
+            rest -= sum(words[i] for i in here)
+            wanted = max(0.0, min(wanted - sum(copies[i] * words[i] for i in here), float(most * rest)))
+    return copies
+
+
+def language(model, text):
+    """(language, probability) of a text, gram by gram; None if it has no letter."""
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    raw = b"".join(b if b[0] > 127 or chr(b[0]).isalpha() else b" " for b in (c.encode("utf-8", "replace") for c in text.lower()))
+    raw, mask = b" " + raw + b" ", 2**64 - 1
+    total, n = [0.0] * len(model.langs), 0
+    for order in (1, 2, 3, 4):
+        for k in range(len(raw) - order + 1):
+            x = int.from_bytes(raw[k : k + order], "big") * 8 + order
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> shift)) * factor & mask
+            x = (x ^ (x >> 31)) % model.scores.shape[1]
+            n += 1
+            for c in range(len(total)):
+                total[c] += float(model.scores[c, x])
+    z = [(t / n + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    p = [math.exp(v - max(z)) for v in z]
+    best = max(range(len(p)), key=p.__getitem__)
+    return model.langs[best], p[best] / sum(p)
+
+
+def pipeline(docs, items, model):
+    """docs: (id, text, source) with distinct ids; what each stage keeps, and id to copies."""
+    kept = []
+    found = {i: language(model, t) for i, t, _ in docs}
+    docs = [d for d in docs if found[d[0]] and found[d[0]][1] >= model.reject_below]
+    kept.append(docs)
+    gone, _ = repeated_lines([d[:2] for d in docs])
+    lines = [(i, [x for k, x in enumerate(t.split("\n")) if k not in set(gone.get(i, ()))], s) for i, t, s in docs]
+    docs = [(i, "\n".join(x), s) for i, x, s in lines if x]
+    kept.append(docs)
+    joined = ngram_join([d[:2] for d in docs])
+    docs = [d for d in docs if joined[d[0]][1] == d[0]]
+    kept.append(docs)
+    tests = [x for x in map(shingles, items) if x]
+    docs = [d for d in docs if not any(5 * len(x & s) >= 4 * len(x) for s in (shingles(d[1]),) for x in tests)]
+    kept.append(docs)
+    return kept, mix(docs)
