@@ -23,6 +23,8 @@ from ..sources.lines import lines_from_column, lines_from_rows
 
 PATTERNS = {"p1": "the", "p2": "license"}
 LIMIT = 100
+#: Orders by key whose lines are numbered together.
+ORDERS_A_BLOCK = 100_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +40,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" user="), F.col("user_id").cast("string"), F.lit(" type="), F.col("event_type"))
-    return lines_from_rows(e, F.date_format("ts", "yyyy-MM-dd"), ["ts", "event_id"], line)
+    return lines_from_rows(e, F.date_format("ts", "yyyy-MM-dd"), ["ts", "event_id"], line, F.date_trunc("hour", "ts"))
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 4, F.concat(F.lit("\tat part "), F.col("l_partkey").cast("string"))).when(n == 5, F.concat(F.lit("      in supplier "), F.col("l_suppkey").cast("string")))
         .when(n == 6, F.lit("")).otherwise(F.concat(F.lit('{"order": '), ok, F.lit(', "part": '), F.col("l_partkey").cast("string"), F.lit(', "supplier": '), F.col("l_suppkey").cast("string"), F.lit(', "note": "'), F.repeat(F.lit("x"), 60), F.lit('"}')))
     )
-    return lines_from_rows(li, (k % 10).cast("string"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line)
+    return lines_from_rows(li, (k % 10).cast("string"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line, F.floor(k / ORDERS_A_BLOCK))
 
 
 DL = """dl AS (SELECT file_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, CAST(strlen(line) AS INT) AS byte_len
@@ -442,7 +444,7 @@ SELECT file_id, line_no, byte_start, round(least(0.3 + ((n - m) / sd - 5) * 0.1,
 )
 def _(spark, sf):
     d = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "source", "doc_id")
-    return D.detect_length_spike(lines_from_rows(doc_lines(spark, sf).join(d, "file_id"), F.col("source"), ["doc_id", "line_no"], F.col("line")))
+    return D.detect_length_spike(lines_from_rows(doc_lines(spark, sf).join(d, "file_id"), F.col("source"), ["doc_id", "line_no"], F.col("line"), F.floor(F.col("doc_id") / 1000)))
 
 
 @register(
@@ -486,14 +488,14 @@ def _(spark, sf):
     c = lambda x: F.col(x).cast("string")
     line = F.concat(F.lit('{"order": '), c("l_orderkey"), F.lit(', "part": '), c("l_partkey"), F.lit(', "line": '), c("l_linenumber"), F.lit(', "note": "'), F.repeat(F.lit("x"), 20 * F.col("l_linenumber").cast("int")), F.lit('"}'))
     line = F.when(F.col("l_partkey") % 50 == 0, F.concat(F.lit("INFO part "), c("l_partkey"))).otherwise(line)
-    return D.detect_json_dump(lines_from_rows(li, (F.col("l_orderkey") % 10).cast("string"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line))
+    return D.detect_json_dump(lines_from_rows(li, (F.col("l_orderkey") % 10).cast("string"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line, F.floor(F.col("l_orderkey") / ORDERS_A_BLOCK)))
 
 
 def break_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file of all events, with a line of another format for each 97th."""
     e = _table(spark, sf_dir, "events")
     line = F.when(F.col("event_id") % 97 == 0, F.lit("--- SYSTEM BREAK ---")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" INFO user="), F.col("user_id").cast("string")))
-    return lines_from_rows(e, F.lit("all"), ["ts", "event_id"], line)
+    return lines_from_rows(e, F.lit("all"), ["ts", "event_id"], line, F.date_trunc("hour", "ts"))
 
 
 BL = """bl AS (SELECT 'all' AS file_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start

@@ -32,15 +32,20 @@ def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Tr
         F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), F.octet_length("value").alias("byte_len"), F.col("value").alias("line"),
     )
+    return _numbered(raw, ["at"], *(["block"] if blocks else []))
+
+
+def _numbered(raw: DataFrame, order: list[str], *more: str) -> DataFrame:
+    """raw(file_id, block, byte_len, line, ...) as lines: a window inside each block, and prefix sums over one row per block."""
     totals = raw.groupBy("file_id", "block").agg(F.count("*").alias("n"), F.sum(F.col("byte_len").cast("long") + 1).alias("bytes"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("file_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"))
-    inside = Window.partitionBy("file_id", "block").orderBy("at")
+    carry = totals.select(F.col("file_id").alias("c_file"), F.col("block").alias("c_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"))
+    inside = Window.partitionBy("file_id", "block").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = raw.withColumns({"k": F.row_number().over(inside), "b": F.sum(F.col("byte_len").cast("long") + 1).over(upto)})
-    joined = numbered.join(carry, ["file_id", "block"])
-    out = joined.withColumns({"line_no": F.col("n0") + F.col("k"), "byte_start": F.col("b0") + F.col("b") - F.col("byte_len") - 1})
-    return out.select(*COLUMNS, *(["block"] if blocks else []))
+    numbered = raw.withColumns({"k": F.row_number().over(inside), "b": F.coalesce(F.sum(F.col("byte_len").cast("long") + 1).over(upto), F.lit(0))})
+    joined = numbered.join(carry, F.col("file_id").eqNullSafe(F.col("c_file")) & F.col("block").eqNullSafe(F.col("c_block")))
+    out = joined.withColumns({"line_no": F.col("n0") + F.col("k"), "byte_start": F.col("b0") + F.col("b") - F.coalesce(F.col("byte_len") + 1, F.lit(0))})
+    return out.select(*COLUMNS, *more)
 
 
 def lines_from_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,17 +87,16 @@ def cut_lines(ids: pa.Array, raw: np.ndarray, offs: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, list(COLUMNS))
 
 
-def lines_from_rows(df: DataFrame, file_expr: Column, order_cols: list, line_expr: Column) -> DataFrame:
-    """Rows rendered as log lines, numbered within a file in the given order."""
-    rows = df.select(file_expr.cast("string").alias("file_id"), line_expr.alias("line"), *[F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order_cols)])
-    order = [f"o{i}" for i in range(len(order_cols))]
-    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file_id").orderBy(*order)).cast("long"))
-    return _with_offsets(rows.select("file_id", "line_no", F.octet_length("line").alias("byte_len"), "line"))
+def lines_from_rows(df: DataFrame, file_expr: Column, order_cols: list, line_expr: Column, block_expr: Column | None = None) -> DataFrame:
+    """Rows rendered as log lines, numbered within a file in the given order.
 
-
-def _with_offsets(rows: DataFrame) -> DataFrame:
-    before = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("byte_start", F.coalesce(F.sum(F.col("byte_len").cast("long") + 1).over(before), F.lit(0))).select(*COLUMNS)
+    block_expr, if given, never falls along that order and cuts a file into blocks, such as the hours of a log: each block is
+    numbered by itself, so that a file of any length is many tasks. Without it a file is one block. A null line has no bytes and is numbered.
+    """
+    named = [(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order_cols)]
+    block = F.lit(0) if block_expr is None else block_expr
+    rows = df.select(file_expr.cast("string").alias("file_id"), line_expr.alias("line"), block.alias("block"), *named)
+    return _numbered(rows.withColumn("byte_len", F.octet_length("line")), [f"o{i}" for i in range(len(named))])
 
 
 def text(line: Column | str = "line") -> Column:

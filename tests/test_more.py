@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import detectors, prefix, ranges, samples, stats
 from logweave.sources import files
-from logweave.sources.lines import lines_from_column, read_lines
+from logweave.sources.lines import lines_from_column, lines_from_rows, read_lines
 
 
 def numbered(spark, rows, file="f1"):
@@ -149,3 +149,18 @@ def test_small_length_samples_are_repeatable(spark):
 def test_scales_and_catalogues(spark):
     assert [r.label for r in ranges.severity_scale(spark).orderBy(F.desc("min_severity")).collect()] == ["critical", "high", "medium", "low"]
     assert {r.category: r.detectors for r in ranges.category_catalog(spark).collect()}["multiline"] == ["indentation_block"]
+
+
+def test_rows_are_numbered_alike_in_any_blocks(spark):
+    data = [(None if i % 5 == 0 else "f" if i % 5 < 4 else "g", i, None if i % 11 == 0 else "é" * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(data, "name string, at long, said string").repartition(5)
+    want, sizes = [], {}
+    for name, _, said in data:
+        n, start = sizes.get(name, (0, 0))
+        width = None if said is None else len(said.encode())
+        want.append((name or "", n + 1, start, width, said))
+        sizes[name] = (n + 1, start + (0 if width is None else width + 1))
+    for block in (None, F.floor(F.col("at") / 7), F.col("at"), F.when(F.col("at") > 60, 1)):
+        got = [(r.file_id or "", r.line_no, r.byte_start, r.byte_len, r.line) for r in lines_from_rows(df, F.col("name"), ["at"], F.col("said"), block).collect()]
+        assert sorted(got, key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3])
+    assert lines_from_rows(df.where("false"), F.col("name"), ["at"], F.col("said")).collect() == []
