@@ -447,11 +447,13 @@ def _(spark, sf):
     return D.detect_length_spike(lines_from_rows(doc_lines(spark, sf).join(d, "file_id"), F.col("source"), ["doc_id", "line_no"], F.col("line"), F.floor(F.col("doc_id") / 1000)))
 
 
-@register(
-    "detect_indentation",
-    f"""WITH {OL}, d AS (SELECT *, CASE WHEN trim(replace(replace(line, chr(13), ''), chr(9), '')) = '' THEN 0 ELSE length(regexp_extract(line, '^[ \t]*')) + 3 * length(replace(regexp_extract(line, '^[ \t]*'), ' ', '')) END >= 4 AS deep FROM ol),
-l AS (SELECT *, lag(deep) OVER w AS a, lag(deep, 2) OVER w AS b FROM d WINDOW w AS (PARTITION BY file_id ORDER BY line_no)) SELECT file_id, line_no, byte_start, CAST(0.4 AS DOUBLE) AS severity, 'indentation_block' AS detector FROM l WHERE deep AND a AND b""",
-)
+#: Indented lines after two others: CTE l, and the hits among its rows.
+IL = f"""{OL}, d AS (SELECT *, CASE WHEN trim(replace(replace(line, chr(13), ''), chr(9), '')) = '' THEN 0 ELSE length(regexp_extract(line, '^[ \t]*')) + 3 * length(replace(regexp_extract(line, '^[ \t]*'), ' ', '')) END >= 4 AS deep FROM ol),
+l AS (SELECT *, lag(deep) OVER w AS a, lag(deep, 2) OVER w AS b FROM d WINDOW w AS (PARTITION BY file_id ORDER BY line_no))"""
+INDENTED = "SELECT file_id, line_no, byte_start, CAST(0.4 AS DOUBLE) AS severity, 'indentation_block' AS detector FROM l WHERE deep AND a AND b"
+
+
+@register("detect_indentation", f"WITH {IL} {INDENTED}")
 def _(spark, sf):
     return D.detect_indentation(order_lines(spark, sf))
 
@@ -533,7 +535,7 @@ def _(spark, sf):
     return P.prefix_length(lines, P.dominant_prefix(lines))
 
 
-@register("detect_all")
+@register("detect_all", f"WITH {IL} {INDENTED} UNION ALL SELECT file_id, line_no, byte_start, CAST(0.9 AS DOUBLE), 'traceback' FROM ol WHERE line LIKE 'ValueError:%'")
 def _(spark, sf):
     return D.detect_all(order_lines(spark, sf))
 
