@@ -148,7 +148,7 @@ def _indentation(w) -> Column:
     return F.when(F.col("deep") & F.lag("deep", 1).over(w) & F.lag("deep", 2).over(w), 0.4)
 
 
-def _timestamps(lines: DataFrame) -> DataFrame:
+def timestamps(lines: DataFrame) -> DataFrame:
     """Columns ts0..ts3: seconds by each format, from the first five words of a line."""
     prefix = F.array_join(F.slice(F.filter(F.split("line", r"\s+", -1), lambda w: w != ""), 1, 5), " ")
     iso = F.regexp_extract("head", r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})", 1)
@@ -187,7 +187,7 @@ def _gap(least_gap: float, max_lines: int) -> Column:
 def _locked(lines: DataFrame, lock_after: int) -> DataFrame:
     """lines with fmt and ts, the timestamp in the format that the file is locked to, once it is."""
     kinds = range(4)
-    rows = _timestamps(lines)
+    rows = timestamps(lines)
     first = F.coalesce(*[F.when(F.col(f"ts{i}").isNotNull(), F.lit(i)) for i in kinds])
     rows = rows.withColumn("fmt0", first)
     nth = F.row_number().over(Window.partitionBy("file_id", "fmt0").orderBy("line_no"))

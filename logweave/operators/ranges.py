@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import BLOCK_LINES, with_block
+from ..functions.windows import BLOCK_LINES, running_sums, with_block
 from .detectors import CATEGORY, ERRORS, SECRETS, SEVERITY, WARNINGS
 
 #: Lower bound and label. The meanings are this library's own words.
@@ -136,12 +136,14 @@ def anomaly_report(ranges: DataFrame) -> DataFrame:
 
 
 def multiline_blocks(lines: DataFrame, start: Column, goes_on: Column) -> DataFrame:
-    """(file_id, start_line, end_line, n_lines, block): each start line with the lines after it that continue it."""
-    w = Window.partitionBy("file_id").orderBy("line_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumns({"s": start, "g": goes_on & ~start})
-    rows = rows.withColumns({"b": F.sum(F.col("s").cast("int")).over(upto), "stop": F.sum((~F.col("s") & ~F.col("g")).cast("int")).over(upto)})
-    rows = rows.withColumn("at", F.first(F.when(F.col("s"), F.col("stop")), True).over(Window.partitionBy("file_id", "b").orderBy("line_no")))
-    kept = rows.where((F.col("b") > 0) & (F.col("stop") == F.col("at")))
-    blocks = kept.groupBy("file_id", "b").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
-    return blocks.select("file_id", "start_line", "end_line", "n_lines", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("block"))
+    """(file_id, start_line, end_line, n_lines, block): each start line with the lines after it that continue it.
+
+    Starts and breaks are counted by blocks of lines, so that a file is many tasks; a start and what continues it are the lines that have
+    both counts alike. A line that is null, or for which a rule is, ends a block.
+    """
+    s = F.coalesce(start, F.lit(False))
+    rows = lines.select("file_id", "line_no", "line", s.alias("s"), (s | F.coalesce(goes_on, F.lit(False))).alias("g"))
+    rows = running_sums(rows, {"b": F.col("s").cast("int"), "stop": (~F.col("g")).cast("int")})
+    text = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    blocks = rows.where((F.col("b") > 0) & F.col("g")).groupBy("file_id", "b", "stop").agg(F.bool_or("s").alias("s"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"), text.alias("x"))
+    return blocks.where("s").select("file_id", "start_line", "end_line", "n_lines", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("block"))

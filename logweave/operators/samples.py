@@ -93,16 +93,28 @@ def line_to_offset(lines: DataFrame, targets: DataFrame) -> DataFrame:
 def nearest_checkpoint(checkpoints: DataFrame, targets: DataFrame, by: str = "line_no") -> DataFrame:
     """As-of join: the last checkpoint at or before each target; the first one before all, (1, 0) without any.
 
-    ``by`` is line_no or byte_offset. Both sides are merged and a window carries the last checkpoint forward.
+    ``by`` is line_no or byte_offset. Checkpoints and targets meet in buckets of lines or bytes, where a window carries the checkpoint before and
+    the one after; what lies in other buckets comes from one row per bucket. A null target has no row.
     """
-    marks = checkpoints.select("file_id", F.col(by).alias("k"), F.struct("line_no", "byte_offset").alias("cp"), F.lit(None).cast("long").alias("target"))
+    size = LINES if by == "line_no" else BUCKET
+    marks = checkpoints.select("file_id", F.col(by).cast("long").alias("k"), F.struct("line_no", "byte_offset").alias("cp"), F.lit(None).cast("long").alias("target"))
     asked = targets.select("file_id", F.col("target").cast("long").alias("k"), F.lit(None).cast(marks.schema["cp"].dataType).alias("cp"), F.col("target").cast("long").alias("target"))
-    w = Window.partitionBy("file_id").orderBy("k", F.col("target").asc_nulls_first())
-    whole = Window.partitionBy("file_id")
-    last = F.last("cp", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("cp", True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = marks.unionByName(asked).withColumns({"cp0": F.coalesce(last, F.min("cp").over(whole)), "cp1": following, "before": last.isNull()})
-    rows = rows.where(F.col("target").isNotNull())
+    rows = marks.unionByName(asked).where(F.col("k").isNotNull()).withColumn("bucket", F.floor(F.col("k") / size))
+    at = F.when(F.col("target").isNull(), F.struct("k", "cp"))
+    buckets = rows.groupBy("file_id", "bucket").agg(F.max(at).alias("hi"), F.min(at).alias("lo"))
+    up, down = Window.partitionBy("file_id").orderBy("bucket"), Window.partitionBy("file_id").orderBy(F.desc("bucket"))
+    earlier = Window.unboundedPreceding, -1
+    far = buckets.select(
+        F.col("file_id").alias("far_file"), F.col("bucket").alias("far_bucket"), F.last("hi.cp", True).over(up.rowsBetween(*earlier)).alias("far_last"),
+        F.last("lo.cp", True).over(down.rowsBetween(*earlier)).alias("far_next"), F.min("lo").over(Window.partitionBy("file_id"))["cp"].alias("lowest"),
+    )
+    near = Window.partitionBy("file_id", "bucket")
+    last = F.last("cp", True).over(near.orderBy("k", F.col("target").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    following = F.last("cp", True).over(near.orderBy(F.desc("k"), F.col("target").desc_nulls_last()).rowsBetween(*earlier))
+    rows = rows.withColumns({"near_last": last, "near_next": following}).where(F.col("target").isNotNull())
+    rows = rows.join(far, F.col("file_id").eqNullSafe(F.col("far_file")) & (F.col("bucket") == F.col("far_bucket")))
+    before = F.coalesce("near_last", "far_last")
+    rows = rows.select("file_id", "target", before.isNull().alias("before"), F.coalesce(before, F.col("lowest")).alias("cp0"), F.coalesce("near_next", "far_next").alias("cp1"))
     return rows.select("file_id", "target", F.coalesce("cp0.line_no", F.lit(1)).alias("line_no"), F.coalesce("cp0.byte_offset", F.lit(0)).alias("byte_offset"), F.when(~F.col("before"), F.col("cp1")).alias("next"), F.col("cp0").isNotNull().alias("found"))
 
 

@@ -51,15 +51,19 @@ def trace(lines: DataFrame, patterns: list[str] | dict[str, str], flags: str = "
 
 
 def submatches(line: Column, pattern: str) -> Column:
-    """array<struct<text,start,end>> of all matches, in bytes; the pattern must not match the empty string."""
+    """array<struct<text,start,end>> of all matches, in bytes; matches of the empty string have equal start and end."""
 
-    def spans(x: Column) -> Column:
+    def spans(parts: Column) -> Column:
         # The text between matches and the matches themselves alternate.
-        before = lambda i: F.octet_length(F.concat(F.array_join(F.slice(x["gaps"], 1, i + 1), ""), F.array_join(F.slice(x["found"], 1, i), "")))
-        return F.transform(x["found"], lambda m, i: F.struct(m.alias("text"), before(i).alias("start"), (before(i) + F.octet_length(m)).alias("end")))
-
+        before = lambda i: F.octet_length(F.array_join(F.slice(parts, 1, 2 * i + 1), ""))
+        return F.transform(F.filter(parts, lambda _, i: i % 2 == 1), lambda m, i: F.struct(m.alias("text"), before(i).alias("start"), (before(i) + F.octet_length(m)).alias("end")))
+
+    marked = F.split(F.regexp_replace(line, F.lit(pattern), F.lit("\n$0\n")), "\n", -1)
+    # Text with line feeds of its own, which lines from rows may have, cannot be marked by them; there matches must not be empty.
+    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    pairs = F.flatten(F.transform(F.split(line, pattern, -1), lambda g, i: F.array(g, F.coalesce(F.get(found, i), F.lit("")))))
+    parts = F.when(F.contains(line, F.lit("\n")), F.slice(pairs, 1, F.size(pairs) - 1)).otherwise(marked)
     # One element, so that the regex runs once a line and not once a match.
-    parts = F.struct(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("found"), F.split(line, pattern, -1).alias("gaps"))
     return F.element_at(F.transform(F.array(parts), spans), 1)
 
 

@@ -164,6 +164,17 @@ def _(spark, sf):
     return x.select("file_id", "line_no", (F.col("pos") + 1).cast("long").alias("n"), "s.text", "s.start", F.element_at("offsets", F.col("pos") + 1).alias("offset"))
 
 
+@register(
+    "empty_submatches",
+    f"""WITH {OL}, t AS (SELECT file_id, line_no, unnest(range(0, length(rtrim(line, chr(13))) + 1)) AS i, rtrim(line, chr(13)) AS x FROM ol)
+SELECT file_id, line_no, CAST(i AS INT) AS "start", CAST(i + length(regexp_extract(substr(x, i + 1), '^1*')) AS INT) AS "end" FROM t WHERE NOT (i > 0 AND substr(x, i, 1) = '1' AND substr(x, i + 1, 1) = '1')""",
+)
+def _(spark, sf):
+    """Runs of a digit, the empty ones between other characters too."""
+    m = T.with_submatches(T.trace(order_lines(spark, sf), ["1*"]), ["1*"])
+    return m.select("file_id", "line_no", F.explode("submatches").alias("s")).select("file_id", "line_no", "s.start", "s.end")
+
+
 @register("match_context", f"WITH {DL}, {TR} SELECT pattern_id, tr.file_id, tr.line_no AS match_line, dl.line_no AS ctx_line, dl.byte_start, dl.line FROM tr JOIN dl ON dl.file_id = tr.file_id AND dl.line_no BETWEEN tr.line_no - 1 AND tr.line_no + 2 WHERE pattern_id = 'p2'")
 def _(spark, sf):
     lines = doc_lines(spark, sf)
@@ -382,6 +393,16 @@ def _(spark, sf):
     return A.checkpoints_every(event_lines(spark, sf), 50)
 
 
+@register(
+    "checkpoint_chain",
+    f"""WITH RECURSIVE {EL}, c AS (SELECT file_id, line_no, byte_start FROM el WHERE line_no = 1
+UNION ALL SELECT c.file_id, min(el.line_no), min(el.byte_start) FROM c JOIN el ON el.file_id = c.file_id AND el.byte_start >= c.byte_start + 1024 GROUP BY c.file_id)
+SELECT file_id, line_no, byte_start AS byte_offset FROM c""",
+)
+def _(spark, sf):
+    return A.checkpoint_chain(event_lines(spark, sf), 1024)
+
+
 @register("block_map", f"WITH {EL} SELECT file_id, byte_start // 4096 AS block_no, min(line_no) AS first_line, max(line_no) AS last_line, min(byte_start) AS start_offset, max(byte_start + byte_len + 1) AS end_offset, count(*) AS n_lines FROM el GROUP BY 1, 2")
 def _(spark, sf):
     return A.block_map(event_lines(spark, sf), 4096)
@@ -579,6 +600,20 @@ def _(spark, sf):
     return M.anomaly_report(_ranges(event_lines(spark, sf)))
 
 
+@register(
+    "report_all",
+    f"""WITH {IL}, h AS ({INDENTED} UNION ALL SELECT file_id, line_no, byte_start, CAST(0.9 AS DOUBLE), 'traceback' FROM ol WHERE line LIKE 'ValueError:%'),
+i AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY file_id, detector ORDER BY line_no) <= 2 THEN 0 ELSE 1 END AS n FROM h), j AS (SELECT *, sum(n) OVER (PARTITION BY file_id, detector ORDER BY line_no) AS g FROM i),
+r AS (SELECT file_id, detector, min(line_no) AS start_line, max(line_no) AS end_line, max(severity) AS severity, count(*) AS n_hits FROM j GROUP BY file_id, detector, g)
+SELECT *, CASE detector WHEN 'traceback' THEN 'traceback' ELSE 'multiline' END AS category, CASE detector WHEN 'traceback' THEN 'critical' ELSE 'medium' END AS label,
+CASE detector WHEN 'traceback' THEN 'Stack trace (' ELSE 'Indented block (' END || (end_line - start_line + 1) || ' lines)' AS description FROM r""",
+)
+def _(spark, sf):
+    """Hits of all detectors as ranges, labelled and described."""
+    lines = order_lines(spark, sf)
+    return M.describe(M.anomaly_report(M.merge_ranges(D.detect_all(lines))), lines)
+
+
 @register("describe_ranges", f"WITH {MR} SELECT mr.*, CASE detector WHEN 'error_keyword' THEN CASE WHEN line LIKE '% ERROR %' THEN 'Error: ERROR' ELSE 'Error: error' END ELSE 'Warning: WARN' END AS description FROM mr JOIN el ON el.file_id = mr.file_id AND line_no = start_line")
 def _(spark, sf):
     lines = event_lines(spark, sf)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.detectors import error_severity, warning_severity
+from ..operators.detectors import error_severity, timestamps, warning_severity
 from ..operators.trace import identify_patterns, match_events, named
 
 
@@ -25,11 +25,21 @@ def stream_trace(lines: DataFrame, patterns: list[str], flags: str = "") -> Data
     return lines.withColumn("pattern_id", F.explode(identify_patterns(named(patterns, flags))))
 
 
-def stream_match_sink(matches: DataFrame, handler: Callable[[DataFrame, int], None], max_per_batch: int, checkpoint: str) -> StreamingQuery:
-    """Hand the match_found records of each micro-batch to a handler, at most max_per_batch of them."""
+def stream_match_sink(
+    matches: DataFrame, handler: Callable[[DataFrame, int], None], max_per_batch: int, checkpoint: str, report: Callable[[int, int], None] | None = None
+) -> StreamingQuery:
+    """Hand the match_found records of each micro-batch to a handler: the first max_per_batch by file, place and pattern.
+
+    report, if given, is called with the number of the batch and how many records are beyond the cap.
+    """
 
     def deliver(batch: DataFrame, epoch: int) -> None:
-        handler(match_events(batch).limit(max_per_batch), epoch)
+        batch = batch.persist() if report else batch
+        events = match_events(batch)
+        handler(events.orderBy("file_id", "offset", "line_no", "pattern_id", "line_text").limit(max_per_batch), epoch)
+        if report:
+            report(epoch, max(events.count() - max_per_batch, 0))
+            batch.unpersist()
 
     return matches.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).start()
 
@@ -62,3 +72,43 @@ def stream_timestamp_gap(rows: DataFrame, least_gap: float = 300.0) -> DataFrame
         yield pd.DataFrame({"file_id": key[0], "ts": ts[hit], "gap": gap[hit], "severity": severity})
 
     return rows.groupBy("file_id").applyInPandasWithState(step, "file_id string, ts timestamp, gap double, severity double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_line_gaps(lines: DataFrame, least_gap: float = 300.0, max_lines: int = 500, lock_after: int = 50, idle_ms: int | None = None) -> DataFrame:
+    """Hits of ``detect_timestamp_gap`` over a stream of lines(file_id, line_no, byte_start, line), by the same rules.
+
+    Timestamps are read by Spark's own functions; the state of a file is the count of each format, the format it is locked to, and the last
+    timestamp with its line. Lines of a batch are put in order; a line that comes in a later batch than lines after it counts
+    as the next one. With idle_ms a file that is silent for so many milliseconds
+    loses its state; such a query runs batches without data too, so give it a trigger.
+    """
+    kinds = [f"ts{i}" for i in range(4)]
+    rows = timestamps(lines.select("file_id", "line_no", "byte_start", "line")).select("file_id", "line_no", "byte_start", *kinds).where(F.coalesce(*kinds).isNotNull())
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *counts, lock, fmt, ts, line = state.get if state.exists else (0, 0, 0, 0, -1, -1, 0.0, 0)
+        out = []
+        for row in pd.concat(list(batches)).sort_values("line_no").itertuples(index=False):
+            readings = row[3:]
+            now = lock if lock >= 0 else next(i for i, t in enumerate(readings) if pd.notna(t))
+            if pd.isna(readings[now]):
+                continue
+            counts[now] += 1
+            if lock < 0 and counts[now] >= lock_after:
+                lock = now
+            gap = abs(readings[now] - ts)
+            gap = 86400 - gap if now == 3 and gap > 43200 else gap
+            if now == fmt and row.line_no - line <= max_lines and gap >= least_gap:
+                out.append((key[0], row.line_no, row.byte_start, round(min(0.3 + gap / 3600 * 0.5, 0.8), 6), "timestamp_gap"))
+            fmt, ts, line = now, readings[now], row.line_no
+        state.update((*counts, lock, fmt, float(ts), int(line)))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["file_id", "line_no", "byte_start", "severity", "detector"])
+
+    kept = "c0 long, c1 long, c2 long, c3 long, lock int, fmt int, ts double, line long"
+    hits = "file_id string, line_no long, byte_start long, severity double, detector string"
+    return rows.groupBy("file_id").applyInPandasWithState(step, hits, kept, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
