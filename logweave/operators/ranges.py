@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +94,11 @@ def density_cap(ranges: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def describe(ranges: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add a description, from the first line of each range and its length; of JSON, from all its lines. The wordings are fixed values."""
+    """Add a description, from the first line of each range and its length; of JSON, from all its lines. The wordings are fixed values.
+
+    The ranges are persisted, as they are read twice.
+    """
+    ranges = ranges.persist(StorageLevel.MEMORY_AND_DISK)
     first = lines.select(F.col("file_id").alias("ff"), F.col("line_no").alias("fl"), F.col("line").alias("first"))
     rows = ranges.join(first, (F.col("file_id") == F.col("ff")) & (F.col("start_line") == F.col("fl"))).drop("ff", "fl")
     inside = ranges.where(F.col("detector") == "json_dump").select("file_id", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))

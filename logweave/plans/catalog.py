@@ -166,12 +166,12 @@ def _(spark, sf):
 
 @register(
     "empty_submatches",
-    f"""WITH {OL}, t AS (SELECT file_id, line_no, unnest(range(0, length(rtrim(line, chr(13))) + 1)) AS i, rtrim(line, chr(13)) AS x FROM ol)
-SELECT file_id, line_no, CAST(i AS INT) AS "start", CAST(i + length(regexp_extract(substr(x, i + 1), '^1*')) AS INT) AS "end" FROM t WHERE NOT (i > 0 AND substr(x, i, 1) = '1' AND substr(x, i + 1, 1) = '1')""",
+    f"""WITH {OL}, x AS (SELECT file_id, line_no, length(rtrim(line, chr(13))) AS n, length(regexp_extract(rtrim(line, chr(13)), '[0-9]*$')) AS k FROM ol)
+SELECT file_id, line_no, CAST(n - k AS INT) AS "start", CAST(n AS INT) AS "end" FROM x WHERE k > 0 UNION ALL SELECT file_id, line_no, CAST(n AS INT), CAST(n AS INT) FROM x""",
 )
 def _(spark, sf):
-    """Runs of a digit, the empty ones between other characters too."""
-    m = T.with_submatches(T.trace(order_lines(spark, sf), ["1*"]), ["1*"])
+    """Digits at the end of lines, and the empty string there."""
+    m = T.with_submatches(T.trace(order_lines(spark, sf), ["[0-9]*$"]), ["[0-9]*$"])
     return m.select("file_id", "line_no", F.explode("submatches").alias("s")).select("file_id", "line_no", "s.start", "s.end")
 
 
@@ -611,7 +611,7 @@ CASE detector WHEN 'traceback' THEN 'Stack trace (' ELSE 'Indented block (' END
 def _(spark, sf):
     """Hits of all detectors as ranges, labelled and described."""
     lines = order_lines(spark, sf)
-    return M.describe(M.anomaly_report(M.merge_ranges(D.detect_all(lines))), lines)
+    return M.anomaly_report(M.describe(M.merge_ranges(D.detect_all(lines)), lines))
 
 
 @register("describe_ranges", f"WITH {MR} SELECT mr.*, CASE detector WHEN 'error_keyword' THEN CASE WHEN line LIKE '% ERROR %' THEN 'Error: ERROR' ELSE 'Error: error' END ELSE 'Warning: WARN' END AS description FROM mr JOIN el ON el.file_id = mr.file_id AND line_no = start_line")
