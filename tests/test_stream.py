@@ -1,4 +1,5 @@
 import random
+import time
 
 from logweave.operators import trace as T
 from logweave.operators.detectors import detect_timestamp_gap
@@ -73,3 +74,17 @@ def test_stream_line_gaps_equal_those_of_a_batch(spark, tmp_path):
     q.stop()
     got = sorted(tuple(r) for r in spark.table("line_gaps").collect())
     assert got == want and len(want) > 100 and batches == 3
+
+
+def test_stream_line_gaps_with_states_that_expire(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    schema = "file_id string, line_no long, byte_start long, line string"
+    spark.createDataFrame([("f", 1, 0, "2024-01-01 00:00:00 a"), ("f", 2, 22, "2024-01-01 00:10:00 b")], schema).write.parquet(path)
+    q = X.stream_line_gaps(spark.readStream.schema(schema).parquet(path), idle_ms=1).writeStream.format("memory").queryName("brief").trigger(processingTime="1 second").start()
+    # A query with timeouts always has another batch, so its end is not waited for.
+    end = time.time() + 40
+    while time.time() < end and not any(p["stateOperators"] and p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress):
+        time.sleep(0.5)
+    removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress if p["stateOperators"])
+    q.stop()
+    assert [(r.line_no, r.severity) for r in spark.table("brief").collect()] == [(2, 0.383333)] and removed == 1
