@@ -63,6 +63,27 @@ def _bands(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return keys
 
 
+def _sizes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Number of distinct shingles of each line at hashes[start:end], in runs whose arrays stay in the cache.
+
+    One sort of (line, 44 bits of the hash) finds the lines that may have repeats; these alone are counted by whole hashes.
+    """
+    sizes = (ends - starts).astype(np.int64)
+    upto = np.cumsum(sizes)
+    a = 0
+    while a < len(starts):
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + RUN, "right")))
+        n = ends[a:z] - starts[a:z]
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        owner = np.repeat(np.arange(z - a), n)
+        keys = np.sort((hashes[np.arange(n.sum()) + np.repeat(starts[a:z] - at, n)] >> np.uint64(20)) | (owner.astype(np.uint64) << np.uint64(44)))
+        twice = np.unique((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)).astype(np.int64))
+        for i in twice.tolist():
+            sizes[a + i] = len(np.unique(hashes[starts[a + i] : ends[a + i]]))
+        a = z
+    return sizes
+
+
 def _line_ids(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each line as a sequence of shingles."""
     n = ends - starts
@@ -101,9 +122,9 @@ def _judged(texts: list[str | None], brief: bool = False) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, brief: bool = False) -> DataFrame:
-    """(doc_id, row, pos, line, size, bands) of every judged line; bands are empty where the task has given them for the same line, and for brief lines.
+    """(doc_id, row, pos, line, size, bands) of every judged line; bands are empty and size is 0 where the task has given them for the same line, and for brief lines.
 
-    Rows without a pos tell a band key that the task has met often, as line, and how often, as size.
+    The size is the number of distinct shingles, by which lines are compared. Rows without a pos tell a band key that the task has met often, as line, and how often, as size.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "row", "pos", "line", "size", "bands"]
@@ -131,12 +152,14 @@ def signatures(docs: DataFrame, brief: bool = False) -> DataFrame:
                     if name not in done:
                         done.add(name)
                         fresh[i] = True
+                size = np.zeros(len(line), np.int64)
+                size[fresh] = _sizes(hashes, starts[fresh], ends[fresh])
                 offs = np.concatenate([[0], np.cumsum(fresh)]) * BANDS
                 keys = _bands(hashes, starts[fresh], ends[fresh]).ravel().view(np.int64) if fresh.any() else np.zeros(0, np.int64)
                 pending.append(keys)
                 bands = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(row)) for c in ("doc_id", "row")), pa.array(pos.astype(np.int32)), pa.array(line), pa.array((ends - starts).astype(np.int64)), bands], names
+                    [*(part.column(c).take(pa.array(row)) for c in ("doc_id", "row")), pa.array(pos.astype(np.int32)), pa.array(line), pa.array(size), bands], names
                 )
                 if sum(map(len, pending)) > 2_000_000:
                     yield often(part)

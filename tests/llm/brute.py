@@ -180,3 +180,24 @@ def pipeline(docs, items, model):
     docs = [d for d in docs if not any(5 * len(x & s) >= 4 * len(x) for s in (shingles(d[1]),) for x in tests)]
     kept.append(docs)
     return kept, mix(docs)
+
+
+def linked_texts(texts, width=8, percent=80):
+    """Pairs (i, j), i < j, of texts whose character shingles have that similarity: exact, by prefixes of rare shingles."""
+    sets = [{x[k : k + width] for k in range(len(x) - width + 1)} for x in texts]
+    often = defaultdict(int)
+    for s in sets:
+        for x in s:
+            often[x] += 1
+    met, pairs = defaultdict(list), set()
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        s = sets[i]
+        found = set()
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]:
+            found.update(met[x])
+            met[x].append(i)
+        for j in found:
+            n = len(s & sets[j])
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                pairs.add((min(i, j), max(i, j)))
+    return pairs

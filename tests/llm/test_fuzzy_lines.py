@@ -68,3 +68,42 @@ def test_recall_of_pairs(spark, rows, want):
         keys.setdefault(r.line, set()).update(r.bands)
     met = sum(bool(keys[ids[a]] & keys[ids[b]]) for a, b in want[1])
     assert met >= 0.98 * len(want[1])
+
+
+def test_lines_with_repeated_shingles(spark):
+    """Rules, refrains and tables: the similarity is that of the distinct shingles, however often each one comes."""
+    pairs = [("-" * 20, "-" * 40), ("ha " * 10, "ha " * 30), ("=-" * 15, "=-" * 40), ("| 0.5 | 0.25 " * 4, "| 0.5 | 0.25 " * 90), ("abcdefghijk", "abcdefghijk" * 3000)]
+    rows = [(i, x) for i, x in enumerate(x for p in pairs for x in p)]
+    rows += [(100 + i, "\n".join(x * 2 for x in p)) for i, p in enumerate(pairs)]
+    assert found(spark, rows) == brute.repeated_lines(rows)[0]
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.col("doc_id").alias("row"))
+    texts = sorted({line for r in docs.collect() for _, line in brute.line_keys(r.text, brief=False)})
+    return docs, texts, brute.linked_texts(texts)
+
+
+def test_recall_of_edges(spark, given):
+    """Over all lines of the table, pairs that link lie in one group of candidates with a recall of 0.98 at least, repeated shingles and all."""
+    docs, texts, links = given
+    lines = linededup.signatures(docs).cache()
+    name = {}
+    text = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
+    for r in lines.where("pos IS NOT NULL").collect():
+        name[text[r.doc_id][r.pos]] = r.line
+    edges = [(r.a, r.b) for r in linededup.candidate_edges(lines, 80).collect()]
+    group = brute.components({x for e in edges for x in e} | set(name.values()), edges)
+    met = sum(group[name[texts[i]]] == group[name[texts[j]]] for i, j in links)
+    assert len(links) > 200
+    assert met >= 0.98 * len(links)
+
+
+def test_near_limit_pair_of_given_lines(spark, given):
+    """A line of 234 and one of 186 characters with J = 0.80 link by distinct shingles, not by positions; alone in two documents the later one goes."""
+    _, texts, links = given
+    near = [(texts[i], texts[j]) for i, j in links if {len(texts[i]), len(texts[j])} == {234, 186}]
+    assert near
+    for a, b in near:
+        assert found(spark, [(1, a), (2, b)]) == {2: [0]}
