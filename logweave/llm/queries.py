@@ -8,6 +8,7 @@ from .licenses import op1_licenses
 from .linededup import op5_line_dedup
 from .mixing import OP10_SQL, op10_mix
 from .neardup import op2_ngram_join
+from .pages import op11_html_text
 from .secrets import OP6_SQL, op6_secrets
 from .substrings import op3_suffix_dedup
 from .tokens import op9_tokens
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_tokens": op9_tokens,
     "op10_mix": op10_mix,
+    "op11_html_text": op11_html_text,
 }
 SQL = {
     "op4_decontam": OP4_SQL,
