@@ -146,8 +146,8 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, reached: objec
                         break
                     # 0 in the table stands for a phrase that has not reached the threshold.
                     served = tables[k - 1][keys[0] & np.uint64(SLOTS - 1)]
-                    served = np.where(served == 0, np.uint8(NEVER), served)
-                    served[steps == NEVER] = NEVER
+                    # Nor does one serve longer ones before it is counted itself, whoever else has its slot.
+                    served = np.maximum(np.where(served == 0, np.uint8(NEVER), served), steps)
 
     return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, start int, n long")
 
@@ -156,23 +156,26 @@ def _length() -> Column:
     return F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
 
 
-def _slots(fresh: DataFrame, k: int) -> np.ndarray:
-    """Slots of the phrases of k words in fresh(lang, phrase); they come to the driver as bitmaps of the table's fixed size."""
+def _slots(fresh: DataFrame, longest: int) -> np.ndarray:
+    """(lengths, slots) whether a phrase of fresh(lang, phrase, k) has a slot; they come to the driver as bitmaps of the table's fixed size, in one job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for langs, raw, offs in _runs(batch):
-                words = _Words(raw, offs)
+                words, tongue = _Words(raw, offs), _tongues(langs)
                 heads = np.searchsorted(words.doc, np.arange(len(langs)))
-                yield pa.RecordBatch.from_arrays([pa.array((words.keys(k, _tongues(langs))[0][heads] & np.uint64(SLOTS - 1)).astype(np.int64) + 1)], ["slot"])
+                sizes = np.diff(np.append(heads, len(words.at)))
+                for k in np.unique(sizes).tolist():
+                    slots = words.keys(k, tongue)[0][heads[sizes == k]] & np.uint64(SLOTS - 1)
+                    # Numbered from 1, as bit i of bucket b, from 1, is number 32768 (b - 1) + i + 1.
+                    yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64) + (k - 1) * SLOTS + 1)], ["slot"])
 
-    slots = fresh.select("lang", F.col("phrase").alias("text")).mapInArrow(run, "slot long")
+    slots = fresh.where(F.col("k") < longest).select("lang", F.col("phrase").alias("text")).mapInArrow(run, "slot long")
     maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
-    found = np.zeros(SLOTS, bool)
+    found = np.zeros((longest - 1) * SLOTS, bool)
     for row in maps.collect():
-        # Bit i of bucket b, from 1, is slot 32768 (b - 1) + i, as the slots are numbered from 1 for this.
         found[(row.b - 1) << 15 : row.b << 15] = np.unpackbits(np.frombuffer(row.m, np.uint8), bitorder="little")
-    return np.flatnonzero(found)
+    return found.reshape(longest - 1, SLOTS)
 
 
 def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
@@ -192,7 +195,7 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     rows.write.partitionBy("shard").parquet(path)
     corpus = spark.read.schema("lang string, text string, shard long").parquet(path)
-    tables = [np.zeros(SLOTS, np.uint8) for _ in range(longest - 1)]
+    tables = np.zeros((longest - 1, SLOTS), np.uint8)
     counts, step, last = None, 0, 0
     while step < last + shards:
         sent = spark.sparkContext.broadcast(tables)
@@ -208,13 +211,10 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             discard(counts)
         counts = after
         step += 1
-        fresh = counts.where("fresh")
-        for k in range(1, longest):
-            slots = _slots(fresh.where(F.col("k") == k), k)
-            slots = slots[tables[k - 1][slots] == 0]
-            if len(slots):
-                tables[k - 1][slots] = step
-                last = step
+        new = _slots(counts.where("fresh"), longest) & (tables == 0)
+        if new.any():
+            tables[new] = step
+            last = step
     discard(corpus)
     return counts.where((F.col("n") >= least) | (F.col("k") == 0)).select("lang", "phrase", "k", "n")
 

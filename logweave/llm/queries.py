@@ -9,6 +9,7 @@ from .linededup import op5_line_dedup
 from .mixing import OP10_SQL, op10_mix
 from .neardup import op2_ngram_join
 from .pages import op11_html_text
+from .phrases import OP12_SQL, op12_collocations
 from .secrets import OP6_SQL, op6_secrets
 from .substrings import op3_suffix_dedup
 from .tokens import op9_tokens
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_tokens": op9_tokens,
     "op10_mix": op10_mix,
     "op11_html_text": op11_html_text,
+    "op12_collocations": op12_collocations,
 }
 SQL = {
     "op4_decontam": OP4_SQL,
     "op6_secrets": OP6_SQL,
     "op7_topk": OP7_SQL,
     "op10_mix": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
