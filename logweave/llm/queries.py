@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP4_SQL, op4_decontam
+from .dialogues import op13_dialogues
 from .langid import op8_langid
 from .licenses import op1_licenses
 from .linededup import op5_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mix": op10_mix,
     "op11_html_text": op11_html_text,
     "op12_collocations": op12_collocations,
+    "op13_dialogues": op13_dialogues,
 }
 SQL = {
     "op4_decontam": OP4_SQL,
