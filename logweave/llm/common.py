@@ -30,10 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, which cuts its lineage."""
+def stash(df: DataFrame, **options: str) -> DataFrame:
+    """Write df as Parquet, with the given options, in the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

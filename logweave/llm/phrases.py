@@ -8,6 +8,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,28 +54,29 @@ class _Words:
         self.doc = np.searchsorted(offs, self.at, "right") - 1
         self.piece = np.cumsum(part)[self.at] + self.doc
         length = self.end - self.at
-        head = np.cumsum(length) - length
-        letters = np.flatnonzero(inside)
-        place = np.arange(len(letters)) - np.repeat(head, length)
-        widest = int(length.max(initial=0))
-        self.hashes = []
-        for byte, factor, seed in zip(_BYTE, _PLACE, (113, 127)):
-            factor = factor if widest <= len(factor) else randoms(widest, seed)
+        self._head = np.cumsum(length) - length
+        self._letters = np.flatnonzero(inside)
+        self._place = np.arange(len(self._letters)) - np.repeat(self._head, length)
+        self._widest = int(length.max(initial=0))
+        self._hashes: dict[int, np.ndarray] = {}
+
+    def hashed(self, which: int) -> np.ndarray:
+        """The first or second hash of each word, made when it is first asked for."""
+        if which not in self._hashes:
+            byte, seed = _BYTE[which], 113 + 14 * which
             # The first places have the same factors, however long the longest word of a run is.
-            factor = np.concatenate([_PLACE[0 if seed == 113 else 1], factor[len(_PLACE[0]) :]]) if widest > len(_PLACE[0]) else factor
-            value = byte[raw[letters]] * factor[place]
-            self.hashes.append(mix64(np.add.reduceat(value, head) + length.astype(np.uint64)) if len(head) else np.zeros(0, np.uint64))
-
-    def keys(self, k: int, tongue: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of the k words that start at each word, with those of the language of its text."""
-        n = max(len(self.at) - k + 1, 0)
-        out = []
-        for h, seed in zip(self.hashes, (131, 137)):
-            total = tongue[self.doc[:n]] + np.uint64(k)
-            for j, factor in enumerate(randoms(k, seed)):
-                total = total + h[j : j + n] * factor
-            out.append(mix64(total))
-        return out
+            factor = np.concatenate([_PLACE[which], randoms(self._widest, seed)[_PLACE.shape[1] :]])
+            value = byte[self.raw[self._letters]] * factor[self._place]
+            self._hashes[which] = mix64(np.add.reduceat(value, self._head) + (self.end - self.at).astype(np.uint64)) if len(self._head) else np.zeros(0, np.uint64)
+        return self._hashes[which]
+
+    def keys(self, k: int, tongue: np.ndarray, which: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+        """The first or second hash of the k words that start at each word, or at the given ones, with that of the language of its text."""
+        at = np.arange(max(len(self.at) - k + 1, 0)) if at is None else at
+        h, total = self.hashed(which), tongue[self.doc[at]] + np.uint64(k)
+        for j, factor in enumerate(randoms(k, 131 + 6 * which)):
+            total = total + h[at + j] * factor
+        return mix64(total)
 
     def whole(self, k: int) -> np.ndarray:
         """Whether the k words that start at each word are of one piece."""
@@ -109,22 +111,27 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray, np.nda
 
 
 def _scan(shard: DataFrame, step: int, shards: int, longest: int, reached: object) -> DataFrame:
-    """(lang, phrase, start, n): the phrases that are being counted in this step, pre-counted by runs of text; the empty phrase counts all words.
+    """(phrase, start, n): the phrases that are being counted in this step, each after its language and a line feed, pre-counted by runs of text; the empty phrase counts all words.
 
     reached holds, for each length, the step from which on a phrase of it serves longer ones, by slot. Single words start at step 0; a longer phrase starts at
     the later of the steps of its two parts and is counted for as many steps as there are shards. A slot that several phrases share
     may start a phrase too early, which is then counted in a full cycle all the same.
     """
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("start", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("phrase", pa.string()), ("start", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = reached.value
         for batch in batches:
             for langs, raw, offs in _runs(batch):
-                words, names, tongue = _Words(raw, offs), np.array(langs, object), _tongues(langs)
+                words, names, tongue = _Words(raw, offs), pa.array(langs, pa.string()), _tongues(langs)
+
+                def counted(doc: np.ndarray, phrase: pa.Array, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+                    named = pc.binary_join_element_wise(names.take(pa.array(doc)), phrase, "\n")
+                    return pa.RecordBatch.from_arrays([named, pa.array(start.astype(np.int32)), pa.array(n)], schema=schema)
+
                 if step < shards and len(words.at):
-                    per_doc = np.bincount(words.doc, minlength=len(langs))
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int32)), pa.array(per_doc)], schema=schema)
+                    n = np.bincount(words.doc, minlength=len(langs))
+                    yield counted(np.arange(len(n)), pa.array([""] * len(n)), np.zeros(len(n)), n)
                 steps = np.zeros(len(words.at), np.uint8)
                 for k in range(1, longest + 1):
                     if k > 1:
@@ -134,30 +141,32 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, reached: objec
                     keys = words.keys(k, tongue)
                     active = np.flatnonzero((steps != NEVER) & (steps <= step) & (steps.astype(np.int64) + shards > step))
                     if len(active):
-                        order = active[np.argsort(keys[0][active], kind="stable")]
+                        order = active[np.argsort(keys[active], kind="stable")]
+                        first, second = keys[order], words.keys(k, tongue, 1, order)
                         new = np.ones(len(order), bool)
-                        new[1:] = (keys[0][order[1:]] != keys[0][order[:-1]]) | (keys[1][order[1:]] != keys[1][order[:-1]])
+                        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
                         at = np.flatnonzero(new)
-                        first = order[at]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(names[words.doc[first]], pa.string()), words.phrases(first, k), pa.array(steps[first].astype(np.int32)), pa.array(np.diff(np.append(at, len(order))))], schema=schema
-                        )
+                        yield counted(words.doc[order[at]], words.phrases(order[at], k), steps[order[at]], np.diff(np.append(at, len(order))))
                     if k == longest or not tables[k - 1].any():
                         break
                     # 0 in the table stands for a phrase that has not reached the threshold.
-                    served = tables[k - 1][keys[0] & np.uint64(SLOTS - 1)]
+                    served = tables[k - 1][keys & np.uint64(SLOTS - 1)]
                     # Nor does one serve longer ones before it is counted itself, whoever else has its slot.
                     served = np.maximum(np.where(served == 0, np.uint8(NEVER), served), steps)
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, start int, n long")
+    return shard.select("lang", "text").mapInArrow(run, "phrase string, start int, n long")
 
 
-def _length() -> Column:
-    return F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
+def _named() -> list[Column]:
+    """Language, phrase and number of words of what _scan counts by."""
+    phrase = F.substring_index("phrase", "\n", -1)
+    lang = F.left("phrase", F.length("phrase") - F.length(phrase) - 1)
+    k = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.translate(phrase, " ", "")) + 1)
+    return [lang.alias("lang"), phrase.alias("phrase"), k.cast("int").alias("k")]
 
 
 def _slots(fresh: DataFrame, longest: int) -> np.ndarray:
-    """(lengths, slots) whether a phrase of fresh(lang, phrase, k) has a slot; they come to the driver as bitmaps of the table's fixed size, in one job."""
+    """(lengths, slots) whether a phrase of fresh(lang, phrase) has a slot; they come to the driver as bitmaps of the table's fixed size, in one job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +174,12 @@ def _slots(fresh: DataFrame, longest: int) -> np.ndarray:
                 words, tongue = _Words(raw, offs), _tongues(langs)
                 heads = np.searchsorted(words.doc, np.arange(len(langs)))
                 sizes = np.diff(np.append(heads, len(words.at)))
-                for k in np.unique(sizes).tolist():
-                    slots = words.keys(k, tongue)[0][heads[sizes == k]] & np.uint64(SLOTS - 1)
+                for k in range(1, longest):
+                    slots = words.keys(k, tongue, 0, heads[sizes == k]) & np.uint64(SLOTS - 1)
                     # Numbered from 1, as bit i of bucket b, from 1, is number 32768 (b - 1) + i + 1.
                     yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64) + (k - 1) * SLOTS + 1)], ["slot"])
 
-    slots = fresh.where(F.col("k") < longest).select("lang", F.col("phrase").alias("text")).mapInArrow(run, "slot long")
+    slots = fresh.select("lang", F.col("phrase").alias("text")).mapInArrow(run, "slot long")
     maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
     found = np.zeros((longest - 1) * SLOTS, bool)
     for row in maps.collect():
@@ -201,22 +210,23 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         sent = spark.sparkContext.broadcast(tables)
         found = _scan(corpus.where(F.col("shard") == step % shards), step, shards, longest, sent).withColumn("known", F.lit(False))
         both = found if counts is None else counts.select(*found.columns).unionByName(found)
-        total = both.groupBy("lang", "phrase").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.bool_or("known").alias("seen"))
-        open_ = F.col("start") + shards > step + 1
-        kept = total.where(open_ | (F.col("n") >= least) | (F.col("phrase") == ""))
-        known = (F.col("n") >= least) & (F.col("phrase") != "")
-        after = stash(kept.select("lang", "phrase", "start", "n", known.alias("known"), (known & ~F.col("seen")).alias("fresh"), _length().cast("int").alias("k")))
+        total = both.groupBy("phrase").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.bool_or("known").alias("seen"))
+        words, open_ = F.endswith("phrase", F.lit("\n")), F.col("start") + shards > step + 1
+        known = (F.col("n") >= least) & ~words
+        # Phrases are all different, so that a dictionary of them would be in vain.
+        after = total.where(open_ | (F.col("n") >= least) | words).select("phrase", "start", "n", known.alias("known"), (known & ~F.col("seen")).alias("fresh"))
+        after = stash(after, **{"parquet.enable.dictionary": "false"})
         sent.destroy()
         if counts is not None:
             discard(counts)
         counts = after
         step += 1
-        new = _slots(counts.where("fresh"), longest) & (tables == 0)
+        new = _slots(counts.where("fresh").select(*_named()), longest) & (tables == 0)
         if new.any():
             tables[new] = step
             last = step
     discard(corpus)
-    return counts.where((F.col("n") >= least) | (F.col("k") == 0)).select("lang", "phrase", "k", "n")
+    return counts.where("known").unionByName(counts.where(F.endswith("phrase", F.lit("\n")))).select(*_named(), "n")
 
 
 def _key(phrase: Column | str) -> Column:
