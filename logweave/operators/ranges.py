@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.chains import chain_starts
 from ..functions.windows import BLOCK_LINES, running_sums, with_block
 from .detectors import CATEGORY, ERRORS, SECRETS, SEVERITY, WARNINGS
 
@@ -41,34 +42,12 @@ def category_catalog(spark: SparkSession) -> DataFrame:
 def merge_ranges(hits: DataFrame, gap: int = 2, max_lines: int = 1000) -> DataFrame:
     """(file_id, detector, start_line, end_line, severity, n_hits): hits at most gap lines apart, in ranges of max_lines at most.
 
-    Islands come from one window over blocks of lines, so that a noisy file is many tasks. Those at the edge of a block, two a block at
-    most, are then stitched; islands of max_lines and more are cut by a fold over their own hits. Hits are read and shuffled once.
+    Where a range may start rests on where the one before did; ``chain_starts`` finds that in blocks of lines, so that a file in which each line hits is
+    many tasks and no hits are gathered. Hits are shuffled once for it, and pre-aggregated by the start of their range.
     """
-    w = Window.partitionBy("file_id", "detector", "lblock").orderBy("line_no")
-    rows = with_block(hits).select("file_id", "detector", "lblock", "line_no", "severity")
-    rows = rows.withColumn("new", F.coalesce(F.col("line_no") - F.lag("line_no").over(w) > gap, F.lit(True)).cast("int"))
-    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = F.struct(F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), "severity", F.lit(1).cast("long").alias("n_hits"))
-    parts = rows.groupBy("file_id", "detector", "lblock", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.sort_array(F.collect_list(hit)).alias("hits"))
-    at_edge = ((F.col("start_line") - 1) % BLOCK_LINES < gap) | ((F.col("end_line") - 1) % BLOCK_LINES >= BLOCK_LINES - gap)
-    order = Window.partitionBy("file_id", "detector").orderBy("start_line")
-    edges = parts.where(at_edge)
-    edges = edges.withColumn("new", F.coalesce(F.col("start_line") - F.lag("end_line").over(order) > gap, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = edges.groupBy("file_id", "detector", "island").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
-    islands = parts.where(~at_edge).select("file_id", "detector", "hits").unionByName(stitched.select("file_id", "detector", "hits"))
-
-    def grown(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start_line"].alias("start_line"), x["end_line"].alias("end_line"), F.greatest(last["severity"], x["severity"]).alias("severity"), (last["n_hits"] + 1).alias("n_hits"))
-        apart = x["start_line"] - last["start_line"] >= max_lines
-        return F.when(F.size(acc) == 0, F.array(x)).when(apart, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
-
-    first, last = F.element_at("hits", 1)["start_line"], F.element_at("hits", -1)["end_line"]
-    whole = F.array(F.struct(first.alias("start_line"), last.alias("end_line"), F.array_max(F.transform("hits", lambda h: h["severity"])).alias("severity"), F.size("hits").cast("long").alias("n_hits")))
-    kind = "array<struct<start_line:bigint,end_line:bigint,severity:double,n_hits:bigint>>"
-    cut = F.aggregate(F.col("hits").cast(kind), F.array().cast(kind), grown)
-    pieces = F.when(last - first < max_lines, whole.cast(kind)).otherwise(cut)
-    return islands.select("file_id", "detector", F.explode(pieces).alias("p")).select("file_id", "detector", "p.*")
+    started = chain_starts(hits.select("file_id", "detector", "line_no", "severity"), ["file_id", "detector"], "line_no", max_lines, gap)
+    ranges = started.groupBy("file_id", "detector", F.col("chain_start").alias("start_line"))
+    return ranges.agg(F.max("line_no").alias("end_line"), F.max("severity").alias("severity"), F.count("*").alias("n_hits"))
 
 
 def range_offsets(ranges: DataFrame, lines: DataFrame) -> DataFrame:
@@ -79,18 +58,32 @@ def range_offsets(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     return ranges.join(first, ["file_id", "start_line"]).join(last, ["file_id", "end_line"])
 
 
+def _ranked(rows: DataFrame, line: str) -> DataFrame:
+    """rows with __rank, from 1, in the order of severity, the highest first, line and detector within a file.
+
+    What comes before is summed up by severity and block of lines; rows are ordered only inside these, so that a file is many tasks.
+    """
+    more = () if line == "line_no" else ("line_no",)
+    rows = with_block(rows.withColumn("line_no", F.col(line)), BLOCK_LINES).withColumnRenamed("lblock", "__block").drop(*more)
+    sizes = rows.groupBy("file_id", "severity", "__block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file_id").orderBy(F.desc("severity"), "__block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("file_id").alias("s_file"), F.col("severity").alias("s_severity"), F.col("__block").alias("s_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("file_id", "severity", "__block").orderBy(line, "detector")
+    on = F.col("file_id").eqNullSafe(F.col("s_file")) & F.col("severity").eqNullSafe(F.col("s_severity")) & F.col("__block").eqNullSafe(F.col("s_block"))
+    placed = rows.withColumn("__rank", F.row_number().over(inside)).join(sizes, on)
+    return placed.withColumn("__rank", F.col("__rank") + F.col("__before")).drop("s_file", "s_severity", "s_block", "__before", "__block")
+
+
 def cap_hits(hits: DataFrame, k: int = 100_000) -> DataFrame:
     """The k most severe hits of each file; ties by line, then detector."""
-    w = Window.partitionBy("file_id").orderBy(F.desc("severity"), "line_no", "detector")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    return _ranked(hits, "line_no").where(F.col("__rank") <= k).drop("__rank")
 
 
 def density_cap(ranges: DataFrame, totals: DataFrame) -> DataFrame:
-    """The most severe ranges of each file, as many as its totals(file_id, n_lines) allow."""
-    w = Window.partitionBy("file_id").orderBy(F.desc("severity"), "start_line", "detector")
+    """The most severe ranges of each file, as many as its totals(file_id, n_lines) allow; ties by start, then detector."""
     n = F.col("n_lines")
     most = F.greatest(F.lit(50), F.floor(n * 0.0001), F.floor(n * 0.05))
-    return ranges.join(totals, "file_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank", "n_lines")
+    return _ranked(ranges, "start_line").join(totals, "file_id").where(F.col("__rank") <= most).drop("__rank", "n_lines")
 
 
 def describe(ranges: DataFrame, lines: DataFrame) -> DataFrame:

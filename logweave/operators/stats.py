@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chains import chain_starts
 from ..sources.files import parent
 from ..sources.lines import byte_end, text
 
@@ -78,28 +75,11 @@ def checkpoints(lines: DataFrame, step: int = STEP) -> DataFrame:
 def checkpoint_chain(lines: DataFrame, step: int = STEP) -> DataFrame:
     """(file_id, line_no, byte_offset): the first line, then each first line that starts step bytes or more after the one before.
 
-    Each choice rests on the one before, so the starts of a file are read in order by one task: Spark sorts them, and the task holds one batch and
-    the last choice. ``checkpoints`` needs no order. An entry behind the last line is left out.
+    Each choice rests on the one before; ``chain_starts`` makes them in blocks of bytes, so that a file is many tasks.
+    An entry behind the last line is left out.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, due = None, None
-        for batch in batches:
-            ids, starts = batch["file_id"].to_numpy(object), batch["byte_start"].to_numpy()
-            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)] if len(ids) else [0]
-            kept = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if due is None or ids[a] != file:
-                    file, due = ids[a], starts[a]
-                at = a + int(np.searchsorted(starts[a:b], due))
-                while at < b:
-                    kept.append(at)
-                    due = starts[at] + step
-                    at = a + int(np.searchsorted(starts[a:b], due))
-            yield batch.iloc[kept].rename(columns={"byte_start": "byte_offset"})
-
-    ordered = lines.select("file_id", "line_no", "byte_start").repartition("file_id").sortWithinPartitions("file_id", "byte_start")
-    return ordered.mapInPandas(run, "file_id string, line_no long, byte_offset long")
+    kept = chain_starts(lines.select("file_id", "line_no", "byte_start"), ["file_id"], "byte_start", step, opening=True)
+    return kept.select("file_id", "line_no", F.col("byte_start").alias("byte_offset"))
 
 
 def checkpoints_every(lines: DataFrame, n: int = 1000) -> DataFrame:
