@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.commits import MOST_FOLDERS, CommitLog
+from ..sources.lines import read_lines
 from .trace import match_context, trace, with_submatches
 
 KEY = ("path", "size_bytes", "modified_at")
@@ -40,6 +43,48 @@ def incremental_trace(lines: DataFrame, files: DataFrame, patterns: list[str], s
     return kept.unionByName(new).where(F.col("line_no").isNotNull()), new
 
 
+MATCHES = "path string, size_bytes long, modified_at timestamp, pattern_id string, line_no long, byte_start long"
+
+
+def refresh_matches(log: CommitLog, files: DataFrame, read: Callable[[DataFrame], DataFrame], patterns: list[str], flags: str = "") -> DataFrame:
+    """(path, size_bytes, modified_at, pattern_id, line_no, byte_start, scanned): matches of all files(path, size_bytes, modified_at), from a store that this call brings up to date.
+
+    read gets the files that the store does not hold as they are, and gives their lines; it is where the source is cut down to them, so that
+    texts of other files are not read (``stale_lines`` for text files). What it finds is written aside and then committed as a whole: a run that ends before leaves the store as
+    it was, and a run that another one has overtaken fails with Conflict. Each file is in the store with its size and time, and one without a match as a
+    row without a line; older states of a file stay until the folders of a pattern set, MOST_FOLDERS at most, are written anew. scanned marks what this call has searched.
+    """
+    digest = pattern_hash(patterns, flags)
+    store = log.read(digest, MATCHES)
+    files = files.select(*KEY)
+    stale = stale_files(files, store)
+    fresh = store.join(files, list(KEY), "left_semi")
+    folders = log.folders.get(digest, [])
+    if not stale.isEmpty():
+        found = trace(read(stale), patterns, flags).select(F.col("file_id").alias("path"), "pattern_id", "line_no", "byte_start")
+        new = stale.join(found, "path", "left").select(*[c.split()[0] for c in MATCHES.split(", ")])
+        added = log.stage(new)
+        if len(folders) + 1 > MOST_FOLDERS:
+            both = fresh.unionByName(log.spark.read.schema(MATCHES).parquet(f"{log.path}/data/{added}"))
+            log.commit(digest, [log.stage(both)])
+        else:
+            log.commit(digest, [*folders, added])
+        scanned = log.spark.read.schema(MATCHES).parquet(f"{log.path}/data/{added}")
+    else:
+        scanned = log.spark.createDataFrame([], MATCHES)
+    out = fresh.withColumn("scanned", F.lit(False)).unionByName(scanned.withColumn("scanned", F.lit(True)))
+    return out.where(F.col("line_no").isNotNull())
+
+
+def stale_lines(log: CommitLog) -> Callable[[DataFrame], DataFrame]:
+    """For refresh_matches over text files: reads the given files only. Their paths go to the driver, as those of any files that Spark reads do."""
+
+    def read(stale: DataFrame) -> DataFrame:
+        return read_lines(log.spark, [r.path for r in stale.select("path").collect()])
+
+    return read
+
+
 def rehydrate_matches(store: DataFrame, lines: DataFrame, patterns: list[str], before: int = 0, after: int = 0, flags: str = "") -> tuple[DataFrame, DataFrame]:
     """Text, submatches and context of stored matches, from the lines."""
     m = store.where(F.col("line_no").isNotNull()).select(F.col("path").alias("file_id"), "pattern_id", "line_no")

@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.extend import file_metrics
+from ..functions.scratch import scratch
 from ..functions.text import mask_tokens, shannon_entropy
 from ..operators import detectors as D
 from ..operators import incremental as I
 from ..operators import prefix as P
 from ..operators import ranges as M
 from ..operators import samples as R
+from ..operators import search_index as X
 from ..operators import stats as A
 from ..operators import trace as T
 from ..sources import files as S
+from ..sources.commits import CommitLog
 from ..sources.lines import lines_from_column, lines_from_rows
 
 PATTERNS = {"p1": "the", "p2": "license"}
@@ -216,6 +219,17 @@ def _(spark, sf):
     return T.pattern_profile(doc_lines(spark, sf), PATTERNS)
 
 
+@register(
+    "indexed_trace",
+    f"WITH {DL} SELECT dl.*, p.pattern_id FROM dl JOIN (VALUES ('p1', 'Apache License'), ('p2', 'token = '), ('p3', 'MIT|GPL')) p(pattern_id, re) ON regexp_matches(line, re)",
+)
+def _(spark, sf):
+    """An index of all texts, then a search that reads the blocks which may match."""
+    where = scratch(spark, "index")
+    X.write_search_index(doc_lines(spark, sf), where)
+    return X.indexed_trace(spark, where, ["Apache License", "token = ", "MIT|GPL"])
+
+
 @register("highlight", f"WITH {DL} SELECT file_id, line_no, regexp_replace(line, '(license)', '<<\\1>>', 'g') AS marked FROM dl WHERE regexp_matches(line, 'license')")
 def _(spark, sf):
     return T.trace(doc_lines(spark, sf), ["license"]).select("file_id", "line_no", T.highlight(F.col("line"), "license").alias("marked"))
@@ -655,6 +669,21 @@ def _(spark, sf):
     return I.incremental_trace(lines, files, ["license"], store)[0].select("path", "pattern_id", "line_no", "byte_start")
 
 
+@register("refresh_matches", f"WITH {DL} SELECT file_id AS path, 'p1' AS pattern_id, line_no, byte_start, CAST(file_id AS BIGINT) % 3 = 0 AS scanned FROM dl WHERE regexp_matches(line, 'license')")
+def _(spark, sf):
+    """A store filled from the earlier catalogue, then brought up to date: only the texts of changed documents are cut into lines."""
+    files, old = _versions(spark, sf)
+    docs = _table(spark, sf, "documents")
+
+    def read(stale: DataFrame) -> DataFrame:
+        wanted = stale.select(F.col("path").cast("long").alias("doc_id"))
+        return lines_from_column(docs.join(wanted, "doc_id", "left_semi"), "doc_id", "text")
+
+    log = CommitLog(spark, scratch(spark, "matches"))
+    I.refresh_matches(log, old, read, ["license"])
+    return I.refresh_matches(log, files, read, ["license"]).select("path", "pattern_id", "line_no", "byte_start", "scanned")
+
+
 @register("incremental_index", "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
 def _(spark, sf):
     files, old = _versions(spark, sf)
