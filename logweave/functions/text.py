@@ -22,11 +22,15 @@ MASKS = (
 
 
 def shannon_entropy(s: Column) -> Column:
-    """Bits a character."""
+    """Bits a character: characters are sorted once and their runs counted, so that the work does not grow with the number of different ones."""
+    chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
+    spent = lambda a: a["acc"] + F.when(a["n"] > 1, a["n"] * F.log2(a["n"])).otherwise(0.0)
+    start = F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("acc"))
+    same = lambda a: F.struct(a["c"].alias("c"), (a["n"] + 1).alias("n"), a["acc"].alias("acc"))
+    other = lambda a, x: F.struct(x.alias("c"), F.lit(1).cast("long").alias("n"), spent(a).alias("acc"))
+    runs = F.aggregate(chars, start, lambda a, x: F.when(a["c"] == x, same(a)).otherwise(other(a, x)), spent)
     n = F.length(s)
-    share = lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / F.greatest(n, F.lit(1))
-    parts = F.transform(F.array_distinct(F.split(s, "")), lambda c: -share(c) * F.log2(share(c)))
-    return F.aggregate(F.filter(parts, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n > 0, F.greatest(F.log2(n) - runs / n, F.lit(0.0))).when(n == 0, 0.0)
 
 
 def mask_tokens(line: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_tokens
+from ..functions.windows import BLOCK_LINES, with_block
 from ..sources.lines import text
 from .detectors import _hits
 from .stats import blank
@@ -34,9 +35,18 @@ def prefix_regex(prefix: Column) -> Column:
 
 
 def _sample(lines: DataFrame, sample: int, skip: float) -> DataFrame:
-    size = F.max(F.col("byte_start") + F.col("byte_len") + 1).over(Window.partitionBy("file_id"))
-    kept = lines.withColumn("size", size).where((F.col("byte_start") >= F.floor(F.col("size") * skip)) & ~blank(F.col("line")))
-    return kept.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy("line_no"))).where(F.col("r") <= sample)
+    """The first lines of each file, sample at most and numbered as r, that are not blank and start behind the share skip of its bytes.
+
+    Sizes and counts by block of lines are aggregated; only lines of blocks that the sample reaches are numbered, inside their block.
+    """
+    sizes = lines.groupBy(F.col("file_id").alias("z_file")).agg(F.max(F.col("byte_start") + F.col("byte_len") + 1).alias("size"))
+    kept = with_block(lines, BLOCK_LINES).join(sizes, F.col("file_id").eqNullSafe(F.col("z_file"))).where((F.col("byte_start") >= F.floor(F.col("size") * skip)) & ~blank(F.col("line")))
+    counts = kept.groupBy(F.col("file_id").alias("c_file"), F.col("lblock").alias("c_block")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c_file").orderBy("c_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before).where(F.col("before") < sample)
+    met = kept.join(counts, F.col("file_id").eqNullSafe(F.col("c_file")) & (F.col("lblock") == F.col("c_block")))
+    inside = F.row_number().over(Window.partitionBy("file_id", "lblock").orderBy("line_no"))
+    return met.withColumn("r", (F.col("before") + inside).cast("int")).where(F.col("r") <= sample).drop("z_file", "size", "c_file", "c_block", "n", "before", "lblock")
 
 
 def dominant_prefix(lines: DataFrame, coverage: float = 0.9, max_tokens: int = 8, sample: int = 1000, skip: float = 0.05, fallback: float = 0.5) -> DataFrame:
