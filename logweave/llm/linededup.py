@@ -66,20 +66,26 @@ def _bands(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 def _sizes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Number of distinct shingles of each line at hashes[start:end], in runs whose arrays stay in the cache.
 
-    One sort of (line, 44 bits of the hash) finds the lines that may have repeats; these alone are counted by whole hashes.
+    One sort of the lines' numbers and the leading bits of the hashes, all that a word has room for, tells them apart; a line that is a run of its own is counted by whole hashes.
     """
-    sizes = (ends - starts).astype(np.int64)
-    upto = np.cumsum(sizes)
+    sizes = np.empty(len(starts), np.int64)
+    upto = np.cumsum(ends - starts)
     a = 0
     while a < len(starts):
         z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + RUN, "right")))
-        n = ends[a:z] - starts[a:z]
-        at = np.concatenate([[0], np.cumsum(n)[:-1]])
-        owner = np.repeat(np.arange(z - a), n)
-        keys = np.sort((hashes[np.arange(n.sum()) + np.repeat(starts[a:z] - at, n)] >> np.uint64(20)) | (owner.astype(np.uint64) << np.uint64(44)))
-        twice = np.unique((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)).astype(np.int64))
-        for i in twice.tolist():
-            sizes[a + i] = len(np.unique(hashes[starts[a + i] : ends[a + i]]))
+        if z == a + 1:
+            sizes[a] = len(np.unique(hashes[starts[a] : ends[a]]))
+        else:
+            n = ends[a:z] - starts[a:z]
+            bits = np.uint64(int(z - a).bit_length())
+            keys = np.concatenate([hashes[i:j] for i, j in zip(starts[a:z].tolist(), ends[a:z].tolist())])
+            keys >>= bits
+            keys |= np.repeat(np.arange(z - a, dtype=np.uint64) << (np.uint64(64) - bits), n)
+            keys.sort()
+            new = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            sizes[a:z] = 1 + np.bincount((keys[new] >> (np.uint64(64) - bits)).astype(np.int64), minlength=z - a)
+            # The first key of a line differs from the last one of the line before.
+            sizes[a + 1 : z] -= 1
         a = z
     return sizes
 
