@@ -215,8 +215,11 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         known = (F.col("n") >= least) & ~words
         # Phrases are all different, so that a dictionary of them would be in vain.
         after = total.where(open_ | (F.col("n") >= least) | words).select("phrase", "start", "n", known.alias("known"), (known & ~F.col("seen")).alias("fresh"))
-        after = stash(after, **{"parquet.enable.dictionary": "false"})
+        after = stash(after, **{"parquet.enable.dictionary#phrase": "false"})
         sent.destroy()
+        # The shuffle files of a step are deleted once the driver has collected its plan.
+        del found, both, total
+        spark._jvm.System.gc()
         if counts is not None:
             discard(counts)
         counts = after
