@@ -81,8 +81,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", s
 
 
 def row_key(*columns: str) -> F.Column:
-    """Hash that tells rows apart by the given columns, as ids may be null or shared; only rows equal in all of them have one key."""
-    return F.xxhash64(*columns)
+    """Hash that tells rows apart by the given columns, as ids may be null or shared; nulls count, wherever they stand."""
+    return F.xxhash64(*[F.col(c).isNull() for c in columns], *columns)
 
 
 def shared_keys(df: DataFrame, key: str) -> DataFrame:

@@ -20,8 +20,10 @@ DIGITS = 2
 _BYTE = randoms(256, 83)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Anchors that a task gathers before it looks for equal ones among them.
+#: Anchors, or suffixes, that a task gathers before it looks for equal ones among them.
 _GATHERED = 500_000
+#: Different surroundings of a digit, among the anchors gathered at once, from which it counts as hot everywhere.
+_HOT = 64
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -87,7 +89,10 @@ def find_anchors(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """All anchors; those equal to an earlier one of the same task are marked repeated and counted with the first."""
+    """All anchors; those equal to an earlier one of the same task are marked repeated and counted with the first.
+
+    n is the count of a first one, else 0; near is the number of different surroundings that its digit has among those gathered with it.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["digit", "ctx", "lo", "hi", "at"]
 
@@ -104,8 +109,11 @@ def _anchors(docs: DataFrame) -> DataFrame:
             heads = np.flatnonzero(~same)
             n = np.zeros(len(order), np.int32)
             n[order[heads]] = np.diff(np.append(heads, len(order)))
-            arrays = [ids, *(pa.array(col[c].view(np.int64)) for c in ("digit", "ctx")), *(pa.array(col[c].astype(np.int32)) for c in ("lo", "hi", "at")), pa.array(n)]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "n"])
+            near = np.zeros(len(order), np.int32)
+            _, of, count = np.unique(col["digit"][order[heads]], return_inverse=True, return_counts=True)
+            near[order[heads]] = count[of]
+            arrays = [ids, *(pa.array(col[c].view(np.int64)) for c in ("digit", "ctx")), *(pa.array(col[c].astype(np.int32)) for c in ("lo", "hi", "at")), pa.array(n), pa.array(near)]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "n", "near"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -117,7 +125,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield ready()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, digit long, ctx long, lo int, hi int, at int, n int")
+    return docs.mapInArrow(run, f"doc_id {kind}, digit long, ctx long, lo int, hi int, at int, n int, near int")
 
 
 def radix_groups(digits: list[np.ndarray]) -> np.ndarray:
@@ -141,43 +149,68 @@ def radix_groups(digits: list[np.ndarray]) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
-    """(key, d1.., doc_id, start, known): the window starts of the anchors, with their digits."""
+    """(key, d1.., doc_id, start, known, sent): the window starts of the anchors, with their digits.
+
+    Suffixes that a task finds equal among those it gathers are known to be repeated; only the first of them is sent on to meet those of other tasks,
+    so that a passage in very many surroundings is a few rows a task.
+    """
     per_doc = stash(open_anchors.groupBy("doc_id").agg(F.collect_list(F.struct("digit", "lo", "hi", "at", "known")).alias("wants")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     step = DEPTH // DIGITS
+    names = ["key", *[f"d{k}" for k in range(1, DIGITS)]]
+
+    def of_slice(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        raw, offs = utf8(part.column("text"))
+        rows, starts, keys, known = [], [], [], []
+        for r, wants in enumerate(part.column("wants").to_pylist()):
+            for w in wants:
+                if offs[r] + w["hi"] + DEPTH > offs[r + 1]:
+                    continue  # another text with the same id
+                s = np.arange(w["lo"], w["hi"] + 1)
+                rows.append(np.full(len(s), r))
+                starts.append(s)
+                keys.append(mix64(np.uint64(w["digit"] & (2**64 - 1)) + (w["at"] - s).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
+                known.append(np.full(len(s), w["known"]))
+        if not rows:
+            return None
+        row, start = np.concatenate(rows), np.concatenate(starts)
+        hashes = Hasher(raw[offs[0] : offs[-1]])
+        at = offs[row] - offs[0] + start
+        digits = [hashes(at + k * step, at + (k + 1) * step) for k in range(DIGITS)]
+        key = mix64(np.concatenate(keys) + digits[0])
+        arrays = [pa.array(x.view(np.int64)) for x in (key, *digits[1:])]
+        return pa.RecordBatch.from_arrays([*arrays, part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.concatenate(known))], [*names, "doc_id", "start", "known"])
+
+    def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        group = radix_groups([rows.column(c).to_numpy() for c in names])
+        many = group >= 0
+        sent = ~many
+        sent[np.flatnonzero(many)[np.unique(group[many], return_index=True)[1]]] = True
+        known = rows.column("known").to_numpy(zero_copy_only=False)
+        found = many & ~known
+        arrays = [*rows.columns[:-1], pa.array(known | many), pa.array(sent), pa.array(found)]
+        return pa.RecordBatch.from_arrays(arrays, [*rows.schema.names, "sent", "found"]).filter(pa.array(sent | found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                raw, offs = utf8(part.column("text"))
-                rows, starts, keys, known = [], [], [], []
-                for r, wants in enumerate(part.column("wants").to_pylist()):
-                    for w in wants:
-                        if offs[r] + w["hi"] + DEPTH > offs[r + 1]:
-                            continue  # another text with the same id
-                        s = np.arange(w["lo"], w["hi"] + 1)
-                        rows.append(np.full(len(s), r))
-                        starts.append(s)
-                        keys.append(mix64(np.uint64(w["digit"] & (2**64 - 1)) + (w["at"] - s).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
-                        known.append(np.full(len(s), w["known"]))
-                if not rows:
-                    continue
-                row, start = np.concatenate(rows), np.concatenate(starts)
-                hashes = Hasher(raw[offs[0] : offs[-1]])
-                at = offs[row] - offs[0] + start
-                digits = [hashes(at + k * step, at + (k + 1) * step) for k in range(DIGITS)]
-                key = mix64(np.concatenate(keys) + digits[0])
-                arrays = [pa.array(x.view(np.int64)) for x in (key, *digits[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*arrays, part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.concatenate(known))], ["key", *[f"d{k}" for k in range(1, DIGITS)], "doc_id", "start", "known"]
-                )
+                found = of_slice(part)
+                if found is not None:
+                    held.append(found)
+                if sum(b.num_rows for b in held) > _GATHERED:
+                    yield met(held)
+                    held = []
+        if held:
+            yield met(held)
 
     later = ", ".join(f"d{k} long" for k in range(1, DIGITS))
-    return lookup_join(docs, per_doc, "doc_id").select("doc_id", "text", "wants").mapInArrow(run, f"key long, {later}, doc_id {kind}, start int, known boolean")
+    return lookup_join(docs, per_doc, "doc_id").select("doc_id", "text", "wants").mapInArrow(run, f"key long, {later}, doc_id {kind}, start int, known boolean, sent boolean, found boolean")
 
 
 def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): starts of the suffixes that are equal to another one to full depth."""
+    """(doc_id, lo, hi): starts of the suffixes that are equal to another one to full depth; those found in their own tasks take no part in the passes."""
     kind = suffixes.schema["doc_id"].dataType.simpleString()
     names = ["key", *[f"d{k}" for k in range(1, DIGITS)]]
 
@@ -185,26 +218,35 @@ def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
-            group = radix_groups([rows.column(c).to_numpy() for c in names])
-            known = rows.column("known").to_numpy(zero_copy_only=False)
-            keep = pa.array(np.flatnonzero((group >= 0) & ~known))
+            sent, known, found = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sent", "known", "found"))
+            equal = np.zeros(rows.num_rows, bool)
+            equal[sent] = radix_groups([rows.column(c).to_numpy()[sent] for c in names]) >= 0
+            keep = pa.array(np.flatnonzero(found | (equal & ~known)))
             start = rows.column("start").take(keep)
             return pa.RecordBatch.from_arrays([rows.column("doc_id").take(keep), start, start], ["doc_id", "lo", "hi"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            last = batch.column("key")[batch.num_rows - 1] if batch.num_rows else None
-            if last is None or held[0].column("key")[0] == last or sum(b.num_rows for b in held) < 100_000:
+            if sum(b.num_rows for b in held) < 100_000:
                 continue
             rows = pa.concat_batches(held)
-            # The last key may go on in the next batch.
-            cut = int(np.searchsorted(rows.column("key").to_numpy(), last.as_py(), "left"))
-            yield settle(rows.slice(0, cut))
+            # The last digits may go on in the next batch.
+            same = np.ones(rows.num_rows, bool)
+            for c in ("sent", *names):
+                column = rows.column(c).to_numpy(zero_copy_only=False)
+                same &= column == column[-1]
+            cut = rows.num_rows - int(same.sum())
+            if cut:
+                yield settle(rows.slice(0, cut))
             held = [rows.slice(cut)]
         if held:
             yield settle(pa.concat_batches(held))
 
-    rows = suffixes.repartition("key").sortWithinPartitions("key")
+    # By all digits, so that suffixes that share the first one only are many tasks.
+    dealt = {c: F.when(F.col("sent"), F.col(c)).otherwise(F.xxhash64("doc_id") if c == "key" else F.lit(0)) for c in names}
+    rows = suffixes.withColumns(dealt).repartition("sent", *names).sortWithinPartitions("sent", *names)
     return rows.mapInArrow(run, f"doc_id {kind}, lo int, hi int")
 
 
@@ -234,23 +276,26 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     LEAD-byte string inside the window, so chosen that equal windows choose alike, which stands for all windows around it
     (``find_anchors``). Buckets of one are dropped. In a bucket, anchors with equal bytes around are settled at once; of the others, one for
     each surrounding, every window is a suffix of its own, and further passes sort these by their digits and drop what is
-    alone, until the groups left are exactly the repeated windows. Anchors that a task sees twice are counted before the shuffle.
+    alone, until the groups left are exactly the repeated windows. Anchors and suffixes that a task sees twice are reduced to one before the shuffle.
+    A digit with very many surroundings is hot: its anchors are dealt by digit and surroundings, as such a digit is in no bucket of one.
     Digits are 64-bit hashes of their bytes. Matches never cross texts; rows must not share an id unless they are equal.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     anchors = stash(_anchors(d))
-    heads = anchors.where(F.col("n") > 0)
-    in_digit, in_ctx = Window.partitionBy("digit"), Window.partitionBy("digit", "ctx")
+    hot = stash(anchors.where(F.col("near") >= _HOT).select("digit").distinct().withColumn("hot", F.lit(True)))
+    heads = lookup_join(anchors.where(F.col("n") > 0).drop("near"), hot, "digit", "left", salt="ctx").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    heads = heads.withColumn("part", F.when(F.col("hot"), F.col("ctx")).otherwise(0))
+    in_digit, in_ctx = Window.partitionBy("digit", "part"), Window.partitionBy("digit", "part", "ctx")
     first = F.row_number().over(in_ctx.orderBy("doc_id", "lo"))
-    met = heads.withColumns({"n_digit": F.sum("n").over(in_digit), "n_ctx": F.sum("n").over(in_ctx), "place": first}).where(F.col("n_digit") > 1)
-    met = stash(met)
+    met = heads.withColumns({"n_digit": F.sum("n").over(in_digit), "n_ctx": F.sum("n").over(in_ctx), "place": first})
+    met = stash(met.where(F.col("hot") | (F.col("n_digit") > 1)))
     settled = met.where(F.col("n_ctx") > 1).select("doc_id", "lo", "hi")
     # A digit with one surrounding only has nothing left to decide.
-    undecided = met.where((F.col("n_digit") > F.col("n_ctx")) & (F.col("place") == 1)).withColumn("known", F.col("n_ctx") > 1)
+    undecided = met.where((F.col("hot") | (F.col("n_digit") > F.col("n_ctx"))) & (F.col("place") == 1)).withColumn("known", F.col("n_ctx") > 1)
     found = _repeated_suffixes(_suffixes(d, undecided))
     again = anchors.where(F.col("n") == 0).select("doc_id", "lo", "hi")
     merged = stash(_merge(again.unionByName(settled).unionByName(found)))
-    discard(anchors, met)
+    discard(anchors, hot, met)
     return merged
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logweave.llm import blocks, components, decontam, langid, licenses, linededup, mixing, neardup, secrets, substrings, tokens, topk
+from logweave.llm import blocks, common, components, decontam, langid, licenses, linededup, mixing, neardup, secrets, substrings, tokens, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, score double"
 
@@ -70,6 +70,26 @@ def test_substrings_equal_brute_force(docs, rows, empty):
     assert substrings.drop_repeats(empty).collect() == []
 
 
+def test_a_passage_in_very_many_surroundings_is_no_hot_key(spark):
+    """One passage in every text, with other bytes around: few rows of a key are sent on, and the result is that of brute force."""
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    data = [(i, f"{prose(rng, 30, 10**6)} {passage} {prose(rng, 30, 10**6)}") for i in range(600)] + [(600, passage[:150]), (601, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.drop_repeats(df).collect()}
+    assert got == brute.repeated_bytes(data)
+    anchors = substrings._anchors(df).where("n > 0")
+    assert anchors.where(F.col("near") >= substrings._HOT).count() > 0
+    wants = anchors.withColumn("known", F.lit(False))
+    sent = substrings._suffixes(df, wants).where("sent").groupBy("key", "d1").count()
+    assert sent.agg(F.max("count")).first()[0] <= 4
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("abc", None), (None, "abc"), ("", "abc"), (None, None)], "a string, b string")
+    assert df.select(common.row_key("a", "b")).distinct().count() == 4
+
+
 def test_radix_groups_are_the_equal_rows():
     rng = np.random.default_rng(1)
     digits = [rng.integers(0, 4, 500) for _ in range(4)]
