@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +29,43 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where it stands inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running_ends(steps: Column) -> Column:
+    """steps(step, n, counts) as (end, n, counts), end being the sum of all steps up to it.
+
+    Sums run inside chunks of about the square root of their number, then over the chunks, so that a text of
+    very many matches costs little more than their number and not its square, as appending to one array does.
+    """
+    one, chunk = "array<struct<end:int,n:int,counts:int>>", "array<struct<base:int,ends:array<struct<end:int,n:int,counts:int>>>>"
+    width = lambda s: F.greatest(F.ceil(F.sqrt(F.size(s))).cast("int"), F.lit(1))
+    pieces = _let(steps, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / width(s)).cast("int")), lambda i: F.slice(s, i * width(s) + 1, width(s))))
+    inside = lambda piece: F.aggregate(
+        piece, F.struct(F.lit(0).alias("base"), F.array().cast(one).alias("ends")),
+        lambda acc, x: F.struct(
+            (acc["base"] + x["step"]).alias("base"),
+            F.concat(acc["ends"], F.array(F.struct((acc["base"] + x["step"]).alias("end"), x["n"].alias("n"), x["counts"].alias("counts")))).alias("ends"),
+        ),
+    )
+    chunks = F.aggregate(
+        F.transform(pieces, inside), F.struct(F.lit(0).alias("base"), F.array().cast(chunk).alias("chunks")),
+        lambda acc, c: F.struct((acc["base"] + c["base"]).alias("base"), F.concat(acc["chunks"], F.array(F.struct(acc["base"].alias("base"), c["ends"].alias("ends")))).alias("chunks")),
+        lambda acc: acc["chunks"],
+    )
+    return F.flatten(F.transform(chunks, lambda c: F.transform(c["ends"], lambda x: F.struct((c["base"] + x["end"]).alias("end"), x["n"].alias("n"), x["counts"].alias("counts")))))
+
+
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
     """Spans of a rule in code points: the gaps between matches and the matches alternate through the text."""
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    ends = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g")),
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["g"]) + F.length(x["m"]))),
-    )
-    parts = F.arrays_zip(
-        F.slice(ends, 2, F.size(found)).alias("end"), F.transform(found, F.length).alias("n"),
-        F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length).alias("counts"),
-    )
+    parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"))
+    steps = F.transform(parts, lambda x: F.struct((F.length(x["g"]) + F.length(x["m"])).alias("step"), F.length(x["m"]).alias("n"), F.length(x["v"]).alias("counts")))
     spans = F.transform(
-        F.filter(parts, lambda x: x["counts"] >= least),
+        F.filter(_running_ends(steps), lambda x: x["counts"] >= least),
         lambda x: F.struct((x["end"] - x["n"]).alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")),
     )
     return F.when(F.regexp_like(text, p), spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
@@ -87,7 +110,10 @@ def _joined(spans: Column) -> Column:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_secrets(table(spark, sf_dir, "documents"))
+    """Two runs over one ledger: the English documents first, then all of them, of which only unseen blobs are scanned."""
+    docs = table(spark, sf_dir, "documents")
+    _, ledger = scan_secrets(docs.where(F.col("lang") == "en"))
+    found, _ = scan_secrets(docs, ledger=ledger)
     base = F.filter("findings", lambda x: x["rank"] < len(BASE))
     of = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k))
     counts = [of(k).cast("long").alias(f"n_{k}") for k in BASE]

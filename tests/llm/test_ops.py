@@ -147,6 +147,31 @@ def test_secrets_and_ledger(spark, docs):
     assert secrets.scan_secrets(df, ledger=new, rules=secrets.RULES[:2])[1].count() == 5  # other rules: all blobs again
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    rng = random.Random(6)
+    text = " ".join(f"é token={'a' * rng.randrange(1, 12)}{' ' * rng.randrange(3)}" for _ in range(5000))
+    found = secrets.scan_blobs(spark.createDataFrame([("x", text), ("y", ""), ("z", "token=abcdef")], "blob string, text string"))
+    got = {r.blob: [(s.start, s.end) for s in r.findings if s.kind == "assign"] for r in found.collect()}
+    assert got == {"x": [m.span() for m in re.finditer(secrets.RULES[0][1], text) if len(m[2]) >= 6], "y": [], "z": [(0, 12)]}
+
+
+def test_secrets_query_scans_unseen_blobs_only(spark, tmp_path, monkeypatch):
+    """The second run of the query scans what the first, over the English documents, has not."""
+    rows = [(1, "token=abcdef", "en"), (2, "token=abcdef", "fr"), (3, "secret=123456", "fr"), (4, "secret=123456", None), (5, None, "en"), (6, "plain", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts, scan = [], secrets.scan_secrets
+
+    def counted(*args, **kwargs):
+        out = scan(*args, **kwargs)
+        counts.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(secrets, "scan_secrets", counted)
+    got = {r.doc_id: r.spans for r in secrets.op6_secrets(spark, str(tmp_path)).collect()}
+    assert counts == [2, 2]  # four blobs of six documents, each once
+    assert got == {1: "assign:0:12", 2: "assign:0:12", 3: "assign:0:13", 4: "assign:0:13", 5: "", 6: ""}
+
+
 def test_topk_with_ties_and_bad_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [-1.0, 2.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (50, [0.1, 0.9]), (7, [3.0])]
     v = topk.quantize(spark.createDataFrame(rows, "vec_id long, e array<float>"), "vec_id", "e", 256.0)
