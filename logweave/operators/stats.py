@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chains import chain_starts
+from ..functions.windows import with_block
 from ..sources.files import parent
 from ..sources.lines import byte_end, text
 
@@ -66,6 +67,24 @@ def line_length_sample(lines: DataFrame, n: int = 1_000_000) -> DataFrame:
     return kept.groupBy("file_id").agg(F.percentile("n", F.lit(0.5)).alias("median_len"), F.percentile("n", F.lit(0.95)).alias("p95_len"), F.percentile("n", F.lit(0.99)).alias("p99_len"))
 
 
+def length_sketches(lines: DataFrame, unit: str = "chars", k: int = 800) -> DataFrame:
+    """(file_id, lblock, n, sketch): a KLL sketch of the lengths of a block's lines that are not blank; blocks without such lines have none.
+
+    Store these beside the lines: ``sketch_percentiles`` merges those of any files, so that a file that has grown adds blocks and nothing is read again.
+    A task sends one small row a block. The rank of a percentile is off by about 1.3 / k ** 0.9 at most, in 99 of 100 cases; up to k lines it is exact.
+    """
+    n = (F.octet_length(text()) if unit == "bytes" else F.length(text())).cast("long")
+    kept = with_block(lines).where(~blank(F.col("line"))).select("file_id", "lblock", n.alias("n"))
+    return kept.groupBy("file_id", "lblock").agg(F.count("*").alias("n"), F.kll_sketch_agg_bigint("n", k).alias("sketch"))
+
+
+def sketch_percentiles(sketches: DataFrame, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), k: int = 800) -> DataFrame:
+    """(by.., n_lines, then one column a percentile, such as p95_len): from merged ``length_sketches``; with no column to group by, of all."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n_lines"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    quantile = lambda p: F.when(F.col("n_lines") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(p))).alias(f"p{p * 100:g}_len")
+    return merged.select(*by, "n_lines", *[quantile(p) for p in at])
+
+
 def checkpoints(lines: DataFrame, step: int = STEP) -> DataFrame:
     """(file_id, line_no, byte_offset): the first line that starts in each step of bytes; found in parallel."""
     first = F.min_by(F.struct("line_no", "byte_start"), "byte_start")

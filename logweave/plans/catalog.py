@@ -22,10 +22,12 @@ from ..operators import stats as A
 from ..operators import trace as T
 from ..sources import files as S
 from ..sources.commits import CommitLog
-from ..sources.lines import lines_from_column, lines_from_rows
+from ..sources.lines import lines_from_column, lines_from_rows, text
+from ..streaming import ordered as O
 
 PATTERNS = {"p1": "the", "p2": "license"}
 LIMIT = 100
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 #: Orders by key whose lines are numbered together.
 ORDERS_A_BLOCK = 100_000
 
@@ -69,6 +71,9 @@ FROM (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS file_id, row_number() OVER (PAR
 CASE l_linenumber WHEN 1 THEN 'INFO order ' || l_orderkey || chr(13) WHEN 2 THEN 'ValueError: order ' || l_orderkey WHEN 3 THEN '    at step ' || l_orderkey WHEN 4 THEN chr(9) || 'at part ' || l_partkey WHEN 5 THEN '      in supplier ' || l_suppkey WHEN 6 THEN ''
 ELSE '{"order": ' || l_orderkey || ', "part": ' || l_partkey || ', "supplier": ' || l_suppkey || ', "note": "' || repeat('x', 60) || '"}' END AS line FROM lineitem))"""
 TR = "tr AS (SELECT dl.*, p.pattern_id FROM dl JOIN (VALUES ('p1', 'the'), ('p2', 'license')) p(pattern_id, re) ON regexp_matches(line, re))"
+MR = f"""{EL}, h AS (SELECT file_id, line_no, 'error_keyword' AS detector, 0.7 AS s FROM el WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])error([^A-Za-z0-9_]|$)') UNION ALL SELECT file_id, line_no, 'warning_keyword', 0.4 FROM el WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])WARN([^A-Za-z0-9_]|$)')),
+i AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY file_id, detector ORDER BY line_no) <= 2 THEN 0 ELSE 1 END AS n FROM h), j AS (SELECT *, sum(n) OVER (PARTITION BY file_id, detector ORDER BY line_no) AS g FROM i),
+mr AS (SELECT file_id, detector, min(line_no) AS start_line, max(line_no) AS end_line, CAST(max(s) AS DOUBLE) AS severity, count(*) AS n_hits FROM j GROUP BY file_id, detector, g)"""
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -397,6 +402,22 @@ def _(spark, sf):
     return A.line_length_sample(order_lines(spark, sf))
 
 
+@register(
+    "length_sketches",
+    f"WITH {DL} SELECT source, count(*) AS n_lines, true AS p50_close, true AS p95_close, true AS p99_close FROM dl JOIN documents ON file_id = CAST(doc_id AS VARCHAR) WHERE trim(replace(replace(line, chr(13), ''), chr(9), '')) <> '' GROUP BY 1",
+)
+def _(spark, sf):
+    """Percentiles of each source from the merged sketches of its files, held against the lengths themselves: is their rank within 0.01?"""
+    lines = doc_lines(spark, sf)
+    source = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "source")
+    found = A.sketch_percentiles(A.length_sketches(lines).join(source, "file_id"), ["source"])
+    lengths = lines.where(~A.blank(F.col("line"))).select("file_id", F.length(text()).alias("n")).join(source, "file_id").groupBy("source", "n").agg(F.count("*").alias("c"))
+    near = lengths.withColumnRenamed("source", "of").join(found, F.col("of").eqNullSafe(F.col("source"))).groupBy("source", "n_lines")
+    upto = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0)) / F.col("n_lines")
+    close = lambda p: (upto(F.col("n") < F.col(f"p{p}_len")) <= p / 100 + 0.01) & (upto(F.col("n") <= F.col(f"p{p}_len")) >= p / 100 - 0.01)
+    return near.agg(*[close(p).alias(f"p{p}_close") for p in (50, 95, 99)])
+
+
 @register("checkpoints", f"WITH {EL} SELECT file_id, min(line_no) AS line_no, min(byte_start) AS byte_offset FROM el GROUP BY file_id, byte_start // 1024")
 def _(spark, sf):
     return A.checkpoints(event_lines(spark, sf), 1024)
@@ -447,6 +468,50 @@ def _(spark, sf):
     return _rounded(A.file_profile(lines, _doc_files(spark, sf), M.merge_ranges(D.detect_all(lines))))
 
 
+@register(
+    "file_profile_ranges",
+    f"""WITH {MR}, s AS ({_stats_sql("", "el", "strlen", "stddev_samp").removeprefix("WITH  ")}),
+l AS (SELECT file_id, line_no, byte_start FROM el QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY length(line) DESC, line_no) = 1),
+f AS (SELECT file_id, 'log/' || file_id AS path, CAST(sum(byte_len + 1) AS BIGINT) AS size_bytes FROM el GROUP BY 1)
+SELECT f.*, s.* EXCLUDE (file_id), l.line_no AS longest_line_no, l.byte_start AS longest_offset, 'LF' AS line_ending, coalesce(n, 0) AS n_anomalies
+FROM f JOIN s USING (file_id) JOIN l USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS n FROM mr GROUP BY 1) USING (file_id)""",
+)
+def _(spark, sf):
+    """Profiles of the daily logs, with the ranges of their error and warning lines."""
+    lines = event_lines(spark, sf)
+    files = lines.groupBy("file_id").agg(F.sum(F.col("byte_len") + 1).alias("size_bytes")).select("file_id", F.concat(F.lit("log/"), "file_id").alias("path"), "size_bytes")
+    return _rounded(A.file_profile(lines, files, _ranges(lines)))
+
+
+@register(
+    "hit_sessions",
+    """WITH h AS (SELECT strftime(ts, '%Y-%m-%d') AS file_id, CASE event_type WHEN 'error' THEN 'error_keyword' ELSE 'warning_keyword' END AS detector, ts, event_id, CASE event_type WHEN 'error' THEN 0.7 ELSE 0.4 END AS s FROM events WHERE event_type IN ('error', 'signup')),
+i AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 900000000 THEN 0 ELSE 1 END AS n FROM h WINDOW w AS (PARTITION BY file_id, detector ORDER BY ts, event_id)),
+j AS (SELECT *, sum(n) OVER (PARTITION BY file_id, detector ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM i)
+SELECT file_id, detector, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS "end", min(event_id) AS first_line, max(event_id) AS last_line, CAST(max(s) AS DOUBLE) AS severity, count(*) AS n_hits FROM j GROUP BY file_id, detector, g""",
+)
+def _(spark, sf):
+    """Error and warning events at most 15 minutes apart as one range; the event's id stands for its line."""
+    error = F.col("event_type") == "error"
+    hits = _table(spark, sf, "events").where(F.col("event_type").isin("error", "signup")).select(
+        F.date_format("ts", "yyyy-MM-dd").alias("file_id"), F.when(error, "error_keyword").otherwise("warning_keyword").alias("detector"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("line_no"), F.when(error, F.lit(0.7)).otherwise(F.lit(0.4)).alias("severity"),
+    )
+    found = O.hit_sessions(hits, "15 minutes")
+    return found.select("file_id", "detector", *[F.date_format(c, MICROS).alias(c) for c in ("start", "end")], "first_line", "last_line", "severity", "n_hits")
+
+
+@register(
+    "timestamp_gaps",
+    """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS file_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS gap FROM events WHERE ts IS NOT NULL)
+SELECT file_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(gap, 6) AS gap, round(least(0.3 + gap / 3600 * 0.5, 0.8), 6) AS severity FROM g WHERE gap >= 300""",
+)
+def _(spark, sf):
+    """Gaps between the events of a user."""
+    rows = _table(spark, sf, "events").select(F.col("user_id").cast("string").alias("file_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return _rounded(O.timestamp_gaps(rows).select("file_id", F.date_format("ts", MICROS).alias("ts"), "gap", "severity"))
+
+
 @register("file_metrics", f"WITH {DL} SELECT file_id, max(strlen(line))::INT AS widest, count(*) FILTER (line LIKE '%the%') AS n_the FROM dl GROUP BY 1")
 def _(spark, sf):
     return file_metrics(doc_lines(spark, sf), {"widest": F.max(F.octet_length("line")), "n_the": F.count_if(F.contains("line", F.lit("the")))})
@@ -582,11 +647,6 @@ def _ranges(lines: DataFrame) -> DataFrame:
     return M.merge_ranges(D.detect_rows(lines))
 
 
-MR = f"""{EL}, h AS (SELECT file_id, line_no, 'error_keyword' AS detector, 0.7 AS s FROM el WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])error([^A-Za-z0-9_]|$)') UNION ALL SELECT file_id, line_no, 'warning_keyword', 0.4 FROM el WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])WARN([^A-Za-z0-9_]|$)')),
-i AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY file_id, detector ORDER BY line_no) <= 2 THEN 0 ELSE 1 END AS n FROM h), j AS (SELECT *, sum(n) OVER (PARTITION BY file_id, detector ORDER BY line_no) AS g FROM i),
-mr AS (SELECT file_id, detector, min(line_no) AS start_line, max(line_no) AS end_line, CAST(max(s) AS DOUBLE) AS severity, count(*) AS n_hits FROM j GROUP BY file_id, detector, g)"""
-
-
 @register("merge_ranges", f"WITH {MR} SELECT * FROM mr")
 def _(spark, sf):
     return _ranges(event_lines(spark, sf))
