@@ -149,10 +149,10 @@ def radix_groups(digits: list[np.ndarray]) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
-    """(key, d1.., doc_id, start, known, sent): the window starts of the anchors, with their digits.
+    """(key, d1.., doc_id, start, stop, known, sent): the window starts of the anchors, with their digits.
 
     Suffixes that a task finds equal among those it gathers are known to be repeated; only the first of them is sent on to meet those of other tasks,
-    so that a passage in very many surroundings is a few rows a task.
+    so that a passage in very many surroundings is a few rows a task. All that were so found come as runs start..stop that are not sent.
     """
     per_doc = stash(open_anchors.groupBy("doc_id").agg(F.collect_list(F.struct("digit", "lo", "hi", "at", "known")).alias("wants")))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -179,7 +179,7 @@ def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
         digits = [hashes(at + k * step, at + (k + 1) * step) for k in range(DIGITS)]
         key = mix64(np.concatenate(keys) + digits[0])
         arrays = [pa.array(x.view(np.int64)) for x in (key, *digits[1:])]
-        return pa.RecordBatch.from_arrays([*arrays, part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.concatenate(known))], [*names, "doc_id", "start", "known"])
+        return pa.RecordBatch.from_arrays([*arrays, part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.concatenate(known)), pa.array(row)], [*names, "doc_id", "start", "known", "row"])
 
     def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.concat_batches(held)
@@ -188,9 +188,18 @@ def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
         sent = ~many
         sent[np.flatnonzero(many)[np.unique(group[many], return_index=True)[1]]] = True
         known = rows.column("known").to_numpy(zero_copy_only=False)
-        found = many & ~known
-        arrays = [*rows.columns[:-1], pa.array(known | many), pa.array(sent), pa.array(found)]
-        return pa.RecordBatch.from_arrays(arrays, [*rows.schema.names, "sent", "found"]).filter(pa.array(sent | found))
+        at, start = np.flatnonzero(many & ~known), rows.column("start").to_numpy()
+        # Texts count from 0 in each slice, so that they are told apart by slice too.
+        text = rows.column("row").to_numpy() + np.repeat(np.arange(len(held)) << 40, [len(b) for b in held])
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (np.diff(start[at]) != 1) | (np.diff(text[at]) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1 if len(at) else first
+        on, ends = np.flatnonzero(sent), np.concatenate([start[sent], start[at[last]]])
+        kept = rows.take(pa.array(np.concatenate([on, at[first]])))
+        is_sent = np.arange(len(kept)) < len(on)
+        arrays = [*[kept.column(c) for c in (*names, "doc_id", "start")], pa.array(ends), pa.array(np.append((known | many)[on], np.ones(len(first), bool))), pa.array(is_sent)]
+        return pa.RecordBatch.from_arrays(arrays, [*names, "doc_id", "start", "stop", "known", "sent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -206,7 +215,7 @@ def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
             yield met(held)
 
     later = ", ".join(f"d{k} long" for k in range(1, DIGITS))
-    return lookup_join(docs, per_doc, "doc_id").select("doc_id", "text", "wants").mapInArrow(run, f"key long, {later}, doc_id {kind}, start int, known boolean, sent boolean, found boolean")
+    return lookup_join(docs, per_doc, "doc_id").select("doc_id", "text", "wants").mapInArrow(run, f"key long, {later}, doc_id {kind}, start int, stop int, known boolean, sent boolean")
 
 
 def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
@@ -218,12 +227,11 @@ def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
-            sent, known, found = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sent", "known", "found"))
+            sent, known = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sent", "known"))
             equal = np.zeros(rows.num_rows, bool)
             equal[sent] = radix_groups([rows.column(c).to_numpy()[sent] for c in names]) >= 0
-            keep = pa.array(np.flatnonzero(found | (equal & ~known)))
-            start = rows.column("start").take(keep)
-            return pa.RecordBatch.from_arrays([rows.column("doc_id").take(keep), start, start], ["doc_id", "lo", "hi"])
+            keep = pa.array(np.flatnonzero(~sent | (equal & ~known)))
+            return pa.RecordBatch.from_arrays([rows.column(c).take(keep) for c in ("doc_id", "start", "stop")], ["doc_id", "lo", "hi"])
 
         for batch in batches:
             if not batch.num_rows:
