@@ -149,10 +149,10 @@ def radix_groups(digits: list[np.ndarray]) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
-    """(key, d1.., doc_id, start, stop, known, sent): the window starts of the anchors, with their digits.
+    """(key, d1.., doc_id, start, kind): the window starts of the anchors, with their digits; kind is 1, or 2 for those known to be repeated.
 
     Suffixes that a task finds equal among those it gathers are known to be repeated; only the first of them is sent on to meet those of other tasks,
-    so that a passage in very many surroundings is a few rows a task. All that were so found come as runs start..stop that are not sent.
+    so that a passage in very many surroundings is a few rows a task. All that were so found come as runs of kind 0, from start to d1; their key deals them by text.
     """
     per_doc = stash(open_anchors.groupBy("doc_id").agg(F.collect_list(F.struct("digit", "lo", "hi", "at", "known")).alias("wants")))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -195,11 +195,13 @@ def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
         new[1:] = (np.diff(at) != 1) | (np.diff(start[at]) != 1) | (np.diff(text[at]) != 0)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1 if len(at) else first
-        on, ends = np.flatnonzero(sent), np.concatenate([start[sent], start[at[last]]])
-        kept = rows.take(pa.array(np.concatenate([on, at[first]])))
-        is_sent = np.arange(len(kept)) < len(on)
-        arrays = [*[kept.column(c) for c in (*names, "doc_id", "start")], pa.array(ends), pa.array(np.append((known | many)[on], np.ones(len(first), bool))), pa.array(is_sent)]
-        return pa.RecordBatch.from_arrays(arrays, [*names, "doc_id", "start", "stop", "known", "sent"])
+        on, head = np.flatnonzero(sent), at[first]
+        kept = rows.take(pa.array(np.concatenate([on, head])))
+        col = {c: kept.column(c).to_numpy().copy() for c in names}
+        col["key"][len(on) :] = mix64(text[head].astype(np.uint64)).view(np.int64)
+        col["d1"][len(on) :] = start[at[last]]
+        kind = np.append(np.where((known | many)[on], 2, 1), np.zeros(len(head))).astype(np.int8)
+        return pa.RecordBatch.from_arrays([*(pa.array(col[c]) for c in names), kept.column("doc_id"), kept.column("start"), pa.array(kind)], [*names, "doc_id", "start", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,7 +217,7 @@ def _suffixes(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
             yield met(held)
 
     later = ", ".join(f"d{k} long" for k in range(1, DIGITS))
-    return lookup_join(docs, per_doc, "doc_id").select("doc_id", "text", "wants").mapInArrow(run, f"key long, {later}, doc_id {kind}, start int, stop int, known boolean, sent boolean")
+    return lookup_join(docs, per_doc, "doc_id").select("doc_id", "text", "wants").mapInArrow(run, f"key long, {later}, doc_id {kind}, start int, kind tinyint")
 
 
 def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
@@ -227,11 +229,13 @@ def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
-            sent, known = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sent", "known"))
+            kind, d1 = rows.column("kind").to_numpy(), rows.column("d1").to_numpy()
             equal = np.zeros(rows.num_rows, bool)
-            equal[sent] = radix_groups([rows.column(c).to_numpy()[sent] for c in names]) >= 0
-            keep = pa.array(np.flatnonzero(~sent | (equal & ~known)))
-            return pa.RecordBatch.from_arrays([rows.column(c).take(keep) for c in ("doc_id", "start", "stop")], ["doc_id", "lo", "hi"])
+            equal[kind > 0] = radix_groups([rows.column(c).to_numpy()[kind > 0] for c in names]) >= 0
+            keep = np.flatnonzero((kind == 0) | (equal & (kind == 1)))
+            lo = rows.column("start").to_numpy()[keep]
+            hi = np.where(kind[keep] == 0, d1[keep], lo).astype(np.int32)
+            return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(keep)), pa.array(lo), pa.array(hi)], ["doc_id", "lo", "hi"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -242,8 +246,8 @@ def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
             rows = pa.concat_batches(held)
             # The last digits may go on in the next batch.
             same = np.ones(rows.num_rows, bool)
-            for c in ("sent", *names):
-                column = rows.column(c).to_numpy(zero_copy_only=False)
+            for c in names:
+                column = rows.column(c).to_numpy()
                 same &= column == column[-1]
             cut = rows.num_rows - int(same.sum())
             if cut:
@@ -253,8 +257,7 @@ def _repeated_suffixes(suffixes: DataFrame) -> DataFrame:
             yield settle(pa.concat_batches(held))
 
     # By all digits, so that suffixes that share the first one only are many tasks.
-    dealt = {c: F.when(F.col("sent"), F.col(c)).otherwise(F.xxhash64("doc_id") if c == "key" else F.lit(0)) for c in names}
-    rows = suffixes.withColumns(dealt).repartition("sent", *names).sortWithinPartitions("sent", *names)
+    rows = suffixes.repartition(*names).sortWithinPartitions(*names)
     return rows.mapInArrow(run, f"doc_id {kind}, lo int, hi int")
 
 
