@@ -10,7 +10,7 @@ from re import _parser
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lines import COLUMNS, text
@@ -160,7 +160,21 @@ def _within(pairs: DataFrame, total: int) -> list[tuple[int, int]]:
         part = F.floor(part / F.lit(-(-tasks // RANGES)))
     wide = F.greatest(F.ceil(F.lit(total / tasks / zones)), F.lit(1))
     found = pairs.groupBy(part.alias("p"), F.least(F.floor(number / wide), F.lit(zones - 1)).alias("z")).agg(F.min("block").alias("a"), F.max("block").alias("b"))
-    return sorted((r.a, r.b) for r in found.collect())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((r.a, r.b) for r in found.collect()):
+        if out and a == out[-1][1] + 1:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _any_of(ranges: list[tuple[int, int]]) -> Column:
+    """Whether a block is in one of the ranges, as a balanced tree: a chain of as many terms overflows the stack of Catalyst."""
+    if len(ranges) <= 1:
+        return F.col("block").between(*ranges[0]) if ranges else F.lit(False)
+    half = len(ranges) // 2
+    return _any_of(ranges[:half]) | _any_of(ranges[half:])
 
 
 def indexed_trace(spark: SparkSession, path: str, patterns: list[str] | dict[str, str], flags: str = "") -> DataFrame:
@@ -176,10 +190,7 @@ def indexed_trace(spark: SparkSession, path: str, patterns: list[str] | dict[str
     n_pairs = pairs.count()
     ranges = _within(pairs, total)
     pairs.unpersist()
-    kept = F.lit(False)
-    for a, b in ranges:
-        kept = kept | F.col("block").between(a, b)
-    lines = lines.where(kept)
+    lines = lines.where(_any_of(ranges))
     finished = named(patterns, flags)
     if len(finished) <= FEW:
         return trace(lines.drop("block"), patterns, flags)

@@ -108,3 +108,12 @@ def test_edges(spark):
     X.write_search_index(spark.createDataFrame(data, kinds), where, 1)
     assert sorted(((r.file_id, r.line_no) for r in X.indexed_trace(spark, where, ["needle"]).collect()), key=str) == [("f", 3), (None, 1)]
     assert [r.line for r in X.indexed_trace(spark, where, ["^ab$"]).collect()] == ["ab"]
+
+
+def test_candidates_in_very_many_ranges(spark):
+    """Every other block is a candidate, so that the ranges do not touch and are as many as allowed."""
+    data = [("f", n, n * 7, 6, "needle" if n % 2 else "zzzzzz") for n in range(1, 1 + 4 * X.RANGES)]
+    where = scratch(spark, "index")
+    X.write_search_index(spark.createDataFrame(data, "file_id string, line_no long, byte_start long, byte_len int, line string"), where, 1)
+    assert len(X._within(X.candidate_blocks(spark, where, ["needle"]), len(data))) > 400
+    assert sorted(r.line_no for r in X.indexed_trace(spark, where, ["needle"]).collect()) == list(range(1, 1 + 4 * X.RANGES, 2))
