@@ -11,6 +11,8 @@ from ..sources.files import parent
 from ..sources.lines import byte_end, text
 
 STEP = 1 << 20
+#: Leading bits of the hash by which a sample of lines is counted.
+SAMPLE_BITS = 12
 
 
 def blank(line: Column) -> Column:
@@ -19,14 +21,19 @@ def blank(line: Column) -> Column:
 
 def line_stats(lines: DataFrame, unit: str = "bytes", std: str = "sample") -> DataFrame:
     """Lines, blank lines, and length statistics of the lines that are not blank: one aggregation, exact percentiles."""
+    aggs, columns = _stats(unit, std)
+    return lines.groupBy("file_id").agg(*aggs).select("file_id", *columns)
+
+
+def _stats(unit: str, std: str) -> tuple[list[Column], list[Column]]:
     n = F.octet_length(text()) if unit == "bytes" else F.length(text())
     n = F.when(~blank(F.col("line")), n)
     spread = F.stddev_samp(n) if std == "sample" else F.stddev_pop(n)
     spread = F.when(F.count(n) > 1, spread).when(F.count(n) == 1, F.lit(0.0))
-    return lines.groupBy("file_id").agg(
-        F.count("*").alias("n_lines"), F.count_if(blank(F.col("line"))).alias("n_empty"), F.max(n).alias("max_len"), F.avg(n).alias("avg_len"),
-        F.percentile(n, F.lit(0.5)).alias("median_len"), F.percentile(n, F.lit(0.95)).alias("p95_len"), F.percentile(n, F.lit(0.99)).alias("p99_len"), spread.alias("std_len"),
-    )
+    # One buffer of lengths serves all percentiles.
+    at = F.percentile(n, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    aggs = [F.count("*").alias("n_lines"), F.count_if(blank(F.col("line"))).alias("n_empty"), F.max(n).alias("max_len"), F.avg(n).alias("avg_len"), at.alias("at"), spread.alias("std_len")]
+    return aggs, [F.col(c) for c in ("n_lines", "n_empty", "max_len", "avg_len")] + [F.get("at", F.lit(i)).alias(f"{c}_len") for i, c in enumerate(("median", "p95", "p99"))] + [F.col("std_len")]
 
 
 def line_stats_all(lines: DataFrame) -> DataFrame:
@@ -44,27 +51,57 @@ def line_stats_all(lines: DataFrame) -> DataFrame:
 
 def longest_line(lines: DataFrame) -> DataFrame:
     """Number, offset and length of the first longest line that is not blank."""
-    n = F.length(text())
-    kept = lines.where(~blank(F.col("line"))).groupBy("file_id").agg(F.max_by(F.struct("line_no", "byte_start", n.alias("len")), F.struct(n, -F.col("line_no"))).alias("x"))
+    kept = lines.where(~blank(F.col("line"))).groupBy("file_id").agg(_longest().alias("x"))
     return kept.select("file_id", "x.line_no", "x.byte_start", "x.len")
 
 
+def _longest() -> Column:
+    n = F.length(text())
+    key = F.when(~blank(F.col("line")), F.struct(n, -F.col("line_no")))
+    return F.max_by(F.struct("line_no", "byte_start", n.alias("len")), key)
+
+
 def line_ending(lines: DataFrame, first_bytes: int | None = None) -> DataFrame:
     """LF, CRLF, CR or mixed, by all lines or those that start in the first bytes."""
     kept = lines if first_bytes is None else lines.where(F.col("byte_start") < first_bytes)
-    rows = kept.select("file_id", "line_no", F.col("line").endswith("\r").alias("crlf"), F.regexp_like("line", F.lit(r"\r[^\r]")).alias("cr"))
+    return kept.groupBy("file_id").agg(*_ending_kinds()).select("file_id", _ending())
+
+
+def _ending_kinds() -> list[Column]:
+    crlf = F.col("line").endswith("\r")
     # The last line may lack its line feed and tells nothing.
-    plain = F.count_if(~F.col("crlf")) - (~F.max_by("crlf", "line_no")).cast("int")
-    a = rows.groupBy("file_id").agg(F.bool_or("crlf").alias("crlf"), (plain > 0).alias("lf"), F.bool_or("cr").alias("cr"))
+    plain = F.count_if(~crlf) - (~F.max_by(crlf, "line_no")).cast("int")
+    return [F.bool_or(crlf).alias("crlf"), (plain > 0).alias("lf"), F.bool_or(F.regexp_like("line", F.lit(r"\r[^\r]"))).alias("cr")]
+
+
+def _ending() -> Column:
     kinds = F.col("crlf").cast("int") + F.col("lf").cast("int") + F.col("cr").cast("int")
-    return a.select("file_id", F.when(kinds > 1, "mixed").when(F.col("crlf"), "CRLF").when(F.col("cr"), "CR").otherwise("LF").alias("line_ending"))
+    return F.when(kinds > 1, "mixed").when(F.col("crlf"), "CRLF").when(F.col("cr"), "CR").otherwise("LF").alias("line_ending")
+
+
+def line_length_sample(lines: DataFrame, n: int | None = 1_000_000) -> DataFrame:
+    """Percentiles from at most n lines of a file, a uniform and repeatable choice by a hash of the line number; with n of None from all lines.
+
+    Lines are counted by ranges of the hash; those of ranges below the bound are taken whole, and only the range that meets it is ordered. Percentiles
+    are of counts by length, so that no file is one task.
+    """
+    kept = lines.where(~blank(F.col("line"))).select("file_id", F.length(text()).alias("n"), *([] if n is None else ["line_no", F.xxhash64("file_id", "line_no").alias("h")]))
+    if n is not None:
+        kept = _fewest(kept.withColumn("cell", F.shiftright("h", 64 - SAMPLE_BITS)), n)
+    counts = kept.groupBy("file_id", "n").agg(F.count("*").alias("c"))
+    at = counts.groupBy("file_id").agg(F.percentile("n", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("c")).alias("at"))
+    return at.select("file_id", *[F.col("at")[i].alias(f"{c}_len") for i, c in enumerate(("median", "p95", "p99"))])
 
 
-def line_length_sample(lines: DataFrame, n: int = 1_000_000) -> DataFrame:
-    """Percentiles from at most n lines of a file, a uniform and repeatable choice by a hash of the line number."""
-    pick = F.row_number().over(Window.partitionBy("file_id").orderBy(F.xxhash64("file_id", "line_no")))
-    kept = lines.where(~blank(F.col("line"))).select("file_id", "line_no", F.length(text()).alias("n")).withColumn("r", pick).where(F.col("r") <= n)
-    return kept.groupBy("file_id").agg(F.percentile("n", F.lit(0.5)).alias("median_len"), F.percentile("n", F.lit(0.95)).alias("p95_len"), F.percentile("n", F.lit(0.99)).alias("p99_len"))
+def _fewest(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of each file that are first by (h, line_no), or all."""
+    cells = rows.groupBy(F.col("file_id").alias("c_file"), F.col("cell").alias("c_cell")).agg(F.count("*").alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("c_file").orderBy("c_cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("upto", upto).withColumn("free", n - F.col("upto") + F.col("held")).where(F.col("free") > 0)
+    met = rows.join(cells, F.col("file_id").eqNullSafe(F.col("c_file")) & (F.col("cell") == F.col("c_cell")))
+    rank = F.row_number().over(Window.partitionBy("file_id", "cell").orderBy("h", "line_no"))
+    cut = met.where(F.col("upto") > n).withColumn("r", rank).where(F.col("r") <= F.col("free")).select("file_id", "n")
+    return met.where(F.col("upto") <= n).select("file_id", "n").unionByName(cut)
 
 
 def length_sketches(lines: DataFrame, unit: str = "chars", k: int = 800) -> DataFrame:
@@ -128,9 +165,11 @@ def human_size(n: Column) -> Column:
 
 
 def file_profile(lines: DataFrame, files: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
-    """One wide row per file: catalogue, statistics, longest line, line ending and anomalies."""
-    longest = longest_line(lines).select("file_id", F.col("line_no").alias("longest_line_no"), F.col("byte_start").alias("longest_offset"))
-    out = files.join(line_stats(lines), "file_id", "left").join(longest, "file_id", "left").join(line_ending(lines), "file_id", "left")
+    """One wide row per file: catalogue, statistics, longest line, line ending and anomalies; one pass over the lines gives all but the latter."""
+    aggs, columns = _stats("bytes", "sample")
+    one = lines.groupBy("file_id").agg(*aggs, _longest().alias("x"), *_ending_kinds())
+    one = one.select("file_id", *columns, F.col("x.line_no").alias("longest_line_no"), F.col("x.byte_start").alias("longest_offset"), _ending())
+    out = files.join(one, "file_id", "left")
     if anomalies is not None:
         out = out.join(anomalies.groupBy("file_id").agg(F.count("*").alias("n_anomalies")), "file_id", "left").fillna({"n_anomalies": 0})
     return out

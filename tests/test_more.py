@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logweave.operators import detectors, prefix, ranges, samples, stats
@@ -164,3 +165,37 @@ def test_rows_are_numbered_alike_in_any_blocks(spark):
         got = [(r.file_id or "", r.line_no, r.byte_start, r.byte_len, r.line) for r in lines_from_rows(df, F.col("name"), ["at"], F.col("said"), block).collect()]
         assert sorted(got, key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3])
     assert lines_from_rows(df.where("false"), F.col("name"), ["at"], F.col("said")).collect() == []
+
+
+def test_length_samples_of_any_bound(spark):
+    """The lines first by hash, of files above and below the bound; without one all lines."""
+    data = [(f, i, i * 9, 1 + i * 7 % 50, "x" * (1 + i * 7 % 50) if i % 5 else "  ") for f, k in (("a", 3000), ("b", 40), (None, 100)) for i in range(1, k)]
+    lines = spark.createDataFrame(data, "file_id string, line_no long, byte_start long, byte_len int, line string")
+    for n in (1, 37, 1000, 100_000, None):
+        kept = lines.where(F.trim("line") != "").select("file_id", F.length("line").alias("n"), F.row_number().over(Window.partitionBy("file_id").orderBy(F.xxhash64("file_id", "line_no"))).alias("r"))
+        want = kept.where(F.col("r") <= (n or 10**9)).groupBy("file_id").agg(*[F.percentile("n", F.lit(p)) for p in (0.5, 0.95, 0.99)])
+        assert sorted(map(tuple, stats.line_length_sample(lines, n).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_one_pass_profiles(spark):
+    """The wide row has what the single operators give, also of files that are blank or have no lines."""
+    rows = [("a", 1, 0, 3, "xy\r"), ("a", 2, 4, 2, "ab"), ("a", 3, 7, 0, ""), ("b", 1, 0, 1, " "), ("c", 1, 0, 4, "long")]
+    lines = spark.createDataFrame(rows, "file_id string, line_no long, byte_start long, byte_len int, line string")
+    files = spark.createDataFrame([(f, 9) for f in "abcd"], "file_id string, size_bytes long")
+    longest = stats.longest_line(lines).select("file_id", F.col("line_no").alias("longest_line_no"), F.col("byte_start").alias("longest_offset"))
+    want = files.join(stats.line_stats(lines), "file_id", "left").join(longest, "file_id", "left").join(stats.line_ending(lines), "file_id", "left")
+    got = stats.file_profile(lines, files)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_deviations_of_many_files(spark):
+    """Spikes and formats in files among others that can have neither; halo rows come once."""
+    rows = [f"2024-01-01 10:00:{i % 60:02d} INFO ok {'y' * (i % 90)}" for i in range(300)]
+    rows[150], rows[250] = "--- break", "z" * 4000
+    odd, plain = numbered(spark, rows, "odd"), numbered(spark, [f"INFO {i}" if i % 2 else "plain" for i in range(300)], "plain")
+    for fn in (detectors.detect_length_spike, detectors.detect_format_deviation):
+        alone = sorted(map(tuple, fn(odd).collect()))
+        assert alone and sorted(map(tuple, fn(odd.unionByName(plain)).collect())) == alone
+    both = sorted(map(tuple, detectors.detect_all(odd.unionByName(plain)).collect()))
+    assert both == sorted([*map(tuple, detectors.detect_all(odd).collect()), *map(tuple, detectors.detect_all(plain).collect())])
+    assert {(r[1], r[4]) for r in both if r[0] == "odd"} >= {(151, "format_deviation"), (251, "line_length_spike")}
