@@ -29,9 +29,10 @@ def running_sums(lines: DataFrame, sums: dict[str, Column], keys: tuple[str, ...
 def with_halo(lines: DataFrame, k: int, size: int = BLOCK_LINES) -> DataFrame:
     """Copy the last k lines of each block to the next one, marked halo; windows over (file_id, lblock) then see k lines back."""
     lines = with_block(lines, size)
-    own = lines.withColumn("halo", F.lit(False))
-    tail = lines.where((F.col("line_no") - 1) % size >= size - k).withColumns({"lblock": F.col("lblock") + 1, "halo": F.lit(True)})
-    return own.unionByName(tail)
+    # Dealt by one scan: a union would read the lines, and shuffle what they are made of, twice.
+    own, next_ = F.struct("lblock", F.lit(False).alias("halo")), F.struct((F.col("lblock") + 1).alias("lblock"), F.lit(True).alias("halo"))
+    at = F.when((F.col("line_no") - 1) % size >= size - k, F.array(own, next_)).otherwise(F.array(own))
+    return lines.withColumn("__at", F.explode(at)).withColumns({"lblock": F.col("__at.lblock"), "halo": F.col("__at.halo")}).drop("__at")
 
 
 def in_block() -> object:

@@ -21,6 +21,9 @@ ERRORS = (
     (r"(?i)\bFATAL\b", 0.9), (r"(?i)\bCRITICAL\b", 0.85), (r"(?i)\bERROR\b", 0.7), (r"\bException\b", 0.7), (r"(?i)\bFailed\b", 0.6), (r"(?i)\bFailure\b", 0.6),
     (r"(?i)\bAborted\b", 0.6), (r"(?i)\bCrash(?:ed)?\b", 0.7), (r"(?i)\bSegmentation fault\b", 0.9), (r"\bOOM\b", 0.8), (r"(?i)\bOut of memory\b", 0.8),
 )
+#: A line without any of these, lower-cased, has none of the keywords.
+ERROR_STEMS = ("fatal", "critical", "error", "exception", "fail", "abort", "crash", "fault", "oom", "memory")
+WARNING_STEMS = ("warn", "[w]", "caution", "deprecat")
 WARNINGS = ((r"(?i)\bWARNING\b", 0.4), (r"(?i)\bWARN\b", 0.4), (r"\[W\]", 0.4), (r"(?i)\bCaution\b", 0.35), (r"(?i)\bDeprecated\b", 0.3), (r"(?i)\bDeprecation\b", 0.3))
 #: Secrets with their context; hashes and tokens without.
 SECRETS = (
@@ -64,18 +67,27 @@ def traceback_severity(line: Column) -> Column:
     return F.when(line.rlike("^(?:" + "|".join(TRACEBACK) + ")"), F.lit(0.9))
 
 
-def _keywords(line: Column, words) -> Column:
-    """The highest severity among the words found; a cheap alternation guards the single tests."""
+def _holds(line: Column, stems) -> Column:
+    """Whether a line has one of the stems in any case: far cheaper than a regex, which is then run on few lines."""
+    low = F.lower(line)
+    some = F.contains(low, F.lit(stems[0]))
+    for s in stems[1:]:
+        some = some | F.contains(low, F.lit(s))
+    return some
+
+
+def _keywords(line: Column, words, stems) -> Column:
+    """The highest severity among the words found; their stems and a cheap alternation guard the single tests."""
     best = F.greatest(*[F.when(line.rlike(p), F.lit(s)) for p, s in words])
-    return F.when(_any(line, [p for p, _ in words]), best)
+    return F.when(_holds(line, stems) & _any(line, [p for p, _ in words]), best)
 
 
 def error_severity(line: Column) -> Column:
-    return _keywords(line, ERRORS)
+    return _keywords(line, ERRORS, ERROR_STEMS)
 
 
 def warning_severity(line: Column) -> Column:
-    return _keywords(line, WARNINGS)
+    return _keywords(line, WARNINGS, WARNING_STEMS)
 
 
 def entropy_severity(line: Column) -> Column:
@@ -126,13 +138,29 @@ def goes_on(detector: str, least: int = 4) -> Column:
     return ~blank(line) & rules[detector]
 
 
+def _length(line: Column) -> Column:
+    """Length without white space at the end; none for blank lines."""
+    return F.when(~blank(line), F.length(_strip(line))).cast("long")
+
+
+def _of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows whose file is among files(s_file)."""
+    return rows.join(files, F.col("file_id").eqNullSafe(F.col("s_file")), "left_semi")
+
+
 def detect_length_spike(lines: DataFrame, sigmas: float = 5.0, least_std: float = 40.0) -> DataFrame:
     """Length over the running mean plus five deviations, the line itself included, over lines that are not blank."""
-    n = F.when(~blank(F.col("line")), F.length(_strip(F.col("line")))).cast("long")
-    rows = running_sums(lines.withColumn("len", n), {"k": F.when(F.col("len").isNotNull(), 1).otherwise(0), "s": F.coalesce("len", F.lit(0)), "q": F.coalesce(F.col("len") * F.col("len"), F.lit(0))})
+    return _spikes(lines.select("file_id", "line_no", "byte_start", _length(F.col("line")).alias("len")), sigmas, least_std)
+
+
+def _spikes(rows: DataFrame, sigmas: float = 5.0, least_std: float = 40.0) -> DataFrame:
+    """Hits of rows(file_id, line_no, byte_start, len). A hit is longer than sigmas times the least deviation, so that files without such a line are left out first."""
+    files = rows.where(F.col("len") > sigmas * least_std).select(F.col("file_id").alias("s_file")).distinct()
+    rows = _of_files(rows.where(F.col("len").isNotNull()).select("file_id", "line_no", "byte_start", "len"), files)
+    rows = running_sums(rows, {"k": F.lit(1), "s": F.col("len"), "q": F.col("len") * F.col("len")})
     mean = F.col("s") / F.col("k")
     std = F.sqrt(F.greatest(F.col("q") / F.col("k") - mean * mean, F.lit(0.0)))
-    rows = rows.where(F.col("len").isNotNull()).withColumns({"mean": mean, "std": std})
+    rows = rows.withColumns({"mean": mean, "std": std})
     z = (F.col("len") - F.col("mean")) / F.col("std")
     severity = F.when((F.col("std") >= least_std) & (F.col("len") > F.col("mean") + sigmas * F.col("std")), F.least(0.3 + (z - sigmas) * 0.1, F.lit(0.7)))
     return _hits(rows.withColumn("severity", severity), "line_length_spike")
@@ -156,7 +184,9 @@ def timestamps(lines: DataFrame) -> DataFrame:
     unix = F.regexp_extract("head", r"\b(\d{10,13})\b", 1).try_cast("double")
     clock = F.regexp_extract("head", r"(\d{2}:\d{2}:\d{2})", 1)
     part = lambda i: F.substring(clock, i, 2).try_cast("int")
-    return lines.withColumn("head", prefix).withColumns({
+    # No format does without one of these; lines that have neither are not cut into words.
+    head = F.when(F.col("line").rlike(r"\d{2}:\d{2}:\d{2}|\d{10}"), prefix)
+    return lines.withColumn("head", head).withColumns({
         "ts0": F.unix_timestamp(F.try_to_timestamp(F.translate(iso, "T", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("double"),
         "ts1": F.unix_timestamp(F.try_to_timestamp(clf, F.lit("dd/MMM/yyyy:HH:mm:ss"))).cast("double"),
         "ts2": F.when(unix > 1e12, unix / 1000).otherwise(unix),
@@ -186,8 +216,12 @@ def _gap(least_gap: float, max_lines: int) -> Column:
 
 def _locked(lines: DataFrame, lock_after: int) -> DataFrame:
     """lines with fmt and ts, the timestamp in the format that the file is locked to, once it is."""
+    return _lock(timestamps(lines), lock_after)
+
+
+def _lock(rows: DataFrame, lock_after: int) -> DataFrame:
+    """rows of ``timestamps`` with fmt and ts in place of the single formats."""
     kinds = range(4)
-    rows = timestamps(lines)
     first = F.coalesce(*[F.when(F.col(f"ts{i}").isNotNull(), F.lit(i)) for i in kinds])
     rows = rows.withColumn("fmt0", first)
     nth = F.row_number().over(Window.partitionBy("file_id", "fmt0").orderBy("line_no"))
@@ -221,11 +255,25 @@ def _json(w, window: int) -> Column:
 
 def detect_format_deviation(lines: DataFrame, settle: int = 100, every: int = 1000) -> DataFrame:
     """Rare formats that differ in two parts and more from the dominant one, which is set at line 100 and anew each 1000 lines."""
-    # The three forms of a timestamp are parts of their own.
-    sig = F.array_join(F.array(*[F.when(F.col("line").rlike(p), "1").otherwise("0") for p in FORMAT]), "")
-    rows = with_block(lines).where(~blank(F.col("line"))).withColumn("sig", sig).select("file_id", "lblock", "line_no", "byte_start", "sig")
+    rows = lines.select("file_id", "line_no", "byte_start", _signature(F.col("line")).alias("sig"))
+    return _deviations(rows, settle, every)
+
+
+def _signature(line: Column) -> Column:
+    """One digit for each part of a format, whether the line has it; none for blank lines. The three forms of a timestamp are parts of their own."""
+    return F.when(~blank(line), F.concat(*[F.when(line.rlike(p), "1").otherwise("0") for p in FORMAT]))
+
+
+def _deviations(rows: DataFrame, settle: int = 100, every: int = 1000) -> DataFrame:
+    """Hits of rows(file_id, line_no, byte_start, sig). Files in which no two formats differ in two parts have none and are left out first."""
+    rows = with_block(rows.where(F.col("sig").isNotNull()).select("file_id", "line_no", "byte_start", "sig"))
+    kinds = rows.groupBy("file_id").agg(F.collect_set("sig").alias("all"))
+    apart = lambda a, b: sum(((F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int") for i in range(1, len(FORMAT) + 1)), F.lit(0)) >= 2
+    odd = F.exists("all", lambda a: F.exists("all", lambda b: apart(a, b)))
+    rows = _of_files(rows, kinds.where(odd).select(F.col("file_id").alias("s_file")))
     rows = running_sums(rows, {"n": F.lit(1)})
-    rows = running_sums(rows, {"c": F.lit(1)}, ("file_id", "sig"))
+    # Read three times below; narrow, and empty for most tables.
+    rows = running_sums(rows, {"c": F.lit(1)}, ("file_id", "sig")).persist(StorageLevel.MEMORY_AND_DISK)
     upto = F.when(F.col("n") <= settle, F.lit(settle)).otherwise(F.ceil(F.col("n") / every) * every).cast("long")
     counts = rows.groupBy("file_id", "sig", upto.alias("mark")).agg(F.count("*").alias("k"), F.min("line_no").alias("seen"))
     marks = counts.select("file_id", "mark").distinct()
@@ -258,6 +306,13 @@ def _exploded(rows: DataFrame, severities: dict[str, Column]) -> DataFrame:
     return rows.select("file_id", "line_no", "byte_start", F.explode(hits).alias("h")).select("file_id", "line_no", "byte_start", "h.severity", "h.detector")
 
 
+def _features(lines: DataFrame, row: dict) -> DataFrame:
+    """What the detectors need of each line, in narrow columns, so that each regex is run once and no text is shuffled."""
+    parts = _json_parts(timestamps(lines)).withColumns({"deep": _indent(F.col("line")) >= 4, "len": _length(F.col("line")), "sig": _signature(F.col("line"))})
+    parts = parts.withColumn("t", text()).withColumns({f"r_{n}": fn(F.col("t")) for n, fn in row.items()})
+    return parts.select("file_id", "line_no", "byte_start", "byte_len", *[f"ts{i}" for i in range(4)], "deep", "like", "dump", "len", "sig", *[f"r_{n}" for n in row])
+
+
 def detect_near(lines: DataFrame, row: dict | None = None) -> DataFrame:
     """The row detectors and those that look back a bounded number of lines (indentation, JSON, timestamp gaps) with their default bounds.
 
@@ -265,7 +320,11 @@ def detect_near(lines: DataFrame, row: dict | None = None) -> DataFrame:
     before the lines are dealt with a halo of 500.
     """
     row = ROW_DETECTORS if row is None else row
-    parts = _json_parts(_locked(lines, 50).withColumn("deep", _indent(F.col("line")) >= 4)).withColumns({f"r_{n}": fn(text()) for n, fn in row.items()})
+    return _near(_features(lines, row), row)
+
+
+def _near(features: DataFrame, row: dict) -> DataFrame:
+    parts = _lock(features.drop("len", "sig", "byte_len"), 50)
     rows = with_halo(parts.select("file_id", "line_no", "byte_start", "fmt", "ts", "deep", "like", "dump", *[f"r_{n}" for n in row]), 500)
     w = in_block()
     met = F.last(F.when(F.col("ts").isNotNull(), F.struct("fmt", "ts", "line_no")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -277,13 +336,19 @@ def detect_near(lines: DataFrame, row: dict | None = None) -> DataFrame:
 def detect_all(lines: DataFrame, row: dict | None = None, window: dict | None = None) -> DataFrame:
     """Union of all detectors' hits, prefix deviations among them, or of the given ones in place of the defaults.
 
-    The lines are persisted, as the running statistics read them several times.
+    By default each line is reduced to narrow columns once, which are persisted in place of the texts and read by all detectors; only the rules on
+    prefixes read the lines again, the first ones of each file and those of files that have a dominant prefix.
     """
-    from .prefix import detect_prefix_deviation
-
-    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    more = {**RUNNING_DETECTORS, "prefix_deviation": detect_prefix_deviation} if window is None else window
-    out = detect_near(lines, row) if window is None else detect_rows(lines, row)
-    for fn in more.values():
-        out = out.unionByName(fn(lines))
-    return out
+    from .prefix import detect_prefix_deviation, dominant_prefix
+
+    if window is not None:
+        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+        out = detect_rows(lines, row)
+        for fn in window.values():
+            out = out.unionByName(fn(lines))
+        return out
+    row = ROW_DETECTORS if row is None else row
+    features = _features(lines, row).persist(StorageLevel.MEMORY_AND_DISK)
+    places = features.select("file_id", "line_no", "byte_start", "byte_len", F.col("len").isNull().alias("empty"))
+    out = _near(features, row).unionByName(_spikes(features)).unionByName(_deviations(features))
+    return out.unionByName(detect_prefix_deviation(lines, dominant_prefix(lines, places=places)))

@@ -34,29 +34,34 @@ def prefix_regex(prefix: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(out, " ", r"\\s+"))
 
 
-def _sample(lines: DataFrame, sample: int, skip: float) -> DataFrame:
-    """The first lines of each file, sample at most and numbered as r, that are not blank and start behind the share skip of its bytes.
+def _sample(lines: DataFrame, sample: int, skip: float, values: dict[str, Column] | None = None, places: DataFrame | None = None) -> DataFrame:
+    """The first lines of each file, sample at most and numbered as r, that are not blank and start behind the share skip of its bytes; values of them in place of the line.
 
-    Sizes and counts by block of lines are aggregated; only lines of blocks that the sample reaches are numbered, inside their block.
+    Sizes and counts by block of lines are aggregated, from places(file_id, line_no, byte_start, byte_len, empty) where the caller has these; only lines of blocks that the sample
+    reaches meet their text, and are numbered inside their block.
     """
-    sizes = lines.groupBy(F.col("file_id").alias("z_file")).agg(F.max(F.col("byte_start") + F.col("byte_len") + 1).alias("size"))
-    kept = with_block(lines, BLOCK_LINES).join(sizes, F.col("file_id").eqNullSafe(F.col("z_file"))).where((F.col("byte_start") >= F.floor(F.col("size") * skip)) & ~blank(F.col("line")))
-    counts = kept.groupBy(F.col("file_id").alias("c_file"), F.col("lblock").alias("c_block")).agg(F.count("*").alias("n"))
+    if places is None:
+        places = lines.select("file_id", "line_no", "byte_start", "byte_len", blank(F.col("line")).alias("empty"))
+    sizes = places.groupBy(F.col("file_id").alias("z_file")).agg(F.max(F.col("byte_start") + F.col("byte_len") + 1).alias("size")).select("z_file", F.floor(F.col("size") * skip).alias("from"))
+    kept = with_block(places, BLOCK_LINES).join(sizes, F.col("file_id").eqNullSafe(F.col("z_file"))).where((F.col("byte_start") >= F.col("from")) & ~F.col("empty"))
+    counts = kept.groupBy(F.col("file_id").alias("c_file"), F.col("lblock").alias("c_block")).agg(F.count("*").alias("n"), F.first("from").alias("from"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("c_file").orderBy("c_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("before", before).where(F.col("before") < sample)
-    met = kept.join(counts, F.col("file_id").eqNullSafe(F.col("c_file")) & (F.col("lblock") == F.col("c_block")))
+    met = with_block(lines, BLOCK_LINES).join(counts, F.col("file_id").eqNullSafe(F.col("c_file")) & (F.col("lblock") == F.col("c_block")))
+    met = met.where((F.col("byte_start") >= F.col("from")) & ~blank(F.col("line")))
+    if values is not None:
+        met = met.select("file_id", "lblock", "line_no", "before", *[c.alias(n) for n, c in values.items()])
     inside = F.row_number().over(Window.partitionBy("file_id", "lblock").orderBy("line_no"))
-    return met.withColumn("r", (F.col("before") + inside).cast("int")).where(F.col("r") <= sample).drop("z_file", "size", "c_file", "c_block", "n", "before", "lblock")
+    return met.withColumn("r", (F.col("before") + inside).cast("int")).where(F.col("r") <= sample).drop("c_file", "c_block", "from", "n", "before", "lblock")
 
 
-def dominant_prefix(lines: DataFrame, coverage: float = 0.9, max_tokens: int = 8, sample: int = 1000, skip: float = 0.05, fallback: float = 0.5) -> DataFrame:
+def dominant_prefix(lines: DataFrame, coverage: float = 0.9, max_tokens: int = 8, sample: int = 1000, skip: float = 0.05, fallback: float = 0.5, places: DataFrame | None = None) -> DataFrame:
     """(file_id, prefix, token_count, coverage, regex): the longest run of masked leading tokens that enough of the sampled lines share.
 
     Below that, the commonest run of max_tokens tokens (all of a shorter line's), if the fallback share has it; else the file has none.
     """
-    rows = _sample(lines, sample, skip)
-    tokens = F.filter(F.split(mask_tokens(text()), r"\s+", -1), lambda t: t != "")
-    rows = rows.select("file_id", "r", tokens.alias("t")).withColumn("all", F.count("*").over(Window.partitionBy("file_id")))
+    tokens = F.slice(F.filter(F.split(mask_tokens(text()), r"\s+", -1), lambda t: t != ""), 1, max_tokens)
+    rows = _sample(lines, sample, skip, {"t": tokens}, places).select("file_id", "r", "t").withColumn("all", F.count("*").over(Window.partitionBy("file_id")))
     each = rows.select("file_id", "all", "t", F.explode(F.sequence(F.lit(1), F.lit(max_tokens))).alias("k")).where(F.size("t") >= F.col("k"))
     counts = each.groupBy("file_id", "k", F.array_join(F.slice("t", 1, F.col("k")), " ").alias("prefix")).agg(F.count("*").alias("n"), F.max("all").alias("all"))
     share = F.col("n") / F.col("all")
