@@ -166,10 +166,17 @@ def _spikes(rows: DataFrame, sigmas: float = 5.0, least_std: float = 40.0) -> Da
     return _hits(rows.withColumn("severity", severity), "line_length_spike")
 
 
+def deep(line: Column, least: int = 4) -> Column:
+    """Whether a line is indented by least, tabs as four; sources may add it as a column ``deep``, so that texts need not be dealt."""
+    return _indent(line) >= least
+
+
 def detect_indentation(lines: DataFrame, least: int = 4) -> DataFrame:
-    """Indented lines, tabs as four, after two lines that are indented too."""
-    rows = with_halo(lines.withColumn("deep", _indent(F.col("line")) >= least), 2)
-    return _hits(rows.withColumn("severity", _indentation(in_block())).where(~F.col("halo")), "indentation_block")
+    """Indented lines, tabs as four, after two lines that are indented too. Only indented lines are shuffled: those before have the numbers right before. Lines may come with ``deep``."""
+    rows = lines.where(F.col("deep") if "deep" in lines.columns else deep(F.col("line"), least))
+    rows, w = with_halo(rows.select("file_id", "line_no", "byte_start"), 2), in_block()
+    follows = (F.lag("line_no", 1).over(w) == F.col("line_no") - 1) & (F.lag("line_no", 2).over(w) == F.col("line_no") - 2)
+    return _hits(rows.withColumn("severity", F.when(follows, 0.4)).where(~F.col("halo")), "indentation_block")
 
 
 def _indentation(w) -> Column:

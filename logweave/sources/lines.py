@@ -87,16 +87,18 @@ def cut_lines(ids: pa.Array, raw: np.ndarray, offs: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, list(COLUMNS))
 
 
-def lines_from_rows(df: DataFrame, file_expr: Column, order_cols: list, line_expr: Column, block_expr: Column | None = None) -> DataFrame:
+def lines_from_rows(df: DataFrame, file_expr: Column, order_cols: list, line_expr: Column, block_expr: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """Rows rendered as log lines, numbered within a file in the given order.
 
     block_expr, if given, never falls along that order and cuts a file into blocks, such as the hours of a log: each block is
     numbered by itself, so that a file of any length is many tasks. Without it a file is one block. A null line has no bytes and is numbered.
+    more are further columns, of the line: made before it is dealt, so that a query which needs these alone does not shuffle texts.
     """
     named = [(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order_cols)]
     block = F.lit(0) if block_expr is None else block_expr
     rows = df.select(file_expr.cast("string").alias("file_id"), line_expr.alias("line"), block.alias("block"), *named)
-    return _numbered(rows.withColumn("byte_len", F.octet_length("line")), [f"o{i}" for i in range(len(named))])
+    rows = rows.withColumns({"byte_len": F.octet_length("line"), **(more or {})})
+    return _numbered(rows, [f"o{i}" for i in range(len(named))], *(more or {}))
 
 
 def text(line: Column | str = "line") -> Column:
