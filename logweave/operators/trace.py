@@ -47,7 +47,8 @@ def trace(lines: DataFrame, patterns: list[str] | dict[str, str], flags: str = "
     some = text().rlike(next(iter(p.values())))
     for other in list(p.values())[1:]:
         some = some | text().rlike(other)
-    return lines.where(some).withColumn("pattern_id", F.explode(identify_patterns(p)))
+    # One pattern need not be looked for again.
+    return lines.where(some).withColumn("pattern_id", F.lit(*p) if len(p) == 1 else F.explode(identify_patterns(p)))
 
 
 def submatches(line: Column, pattern: str) -> Column:
@@ -56,7 +57,8 @@ def submatches(line: Column, pattern: str) -> Column:
     def spans(parts: Column) -> Column:
         # The text between matches and the matches themselves alternate.
         before = lambda i: F.octet_length(F.array_join(F.slice(parts, 1, 2 * i + 1), ""))
-        return F.transform(F.filter(parts, lambda _, i: i % 2 == 1), lambda m, i: F.struct(m.alias("text"), before(i).alias("start"), (before(i) + F.octet_length(m)).alias("end")))
+        span = lambda m, i: F.get(F.transform(F.array(before(i)), lambda b: F.struct(m.alias("text"), b.alias("start"), (b + F.octet_length(m)).alias("end"))), 0)
+        return F.transform(F.filter(parts, lambda _, i: i % 2 == 1), span)
 
     marked = F.split(F.regexp_replace(line, F.lit(pattern), F.lit("\n$0\n")), "\n", -1)
     # Text with line feeds of its own, which lines from rows may have, cannot be marked by them; there matches must not be empty.

@@ -109,3 +109,20 @@ def test_metrics_sets_and_stores(spark, tmp_path):
     files.write_file_index({"stats": stats.line_stats(lines), "checkpoints": stats.checkpoints(lines)}, str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index" / "stats")).first().n_lines == 3
     assert pd.Series([r.json for r in files.index_json(spark.createDataFrame([("f", 2)], "file_id string, n long")).collect()]).tolist() == ['{"file_id":"f","n":2}']
+
+
+def test_texts_are_not_dealt_for_indents_and_regexes_run_once(spark):
+    """Indents are found before lines are numbered, and an exploded list of submatches is not made twice."""
+    from logweave.plans import catalog
+
+    plan = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    windows = [n.output().mkString(",") for n in nodes(plan("detect_indentation")) if n.nodeName() == "Window"]
+    assert len(windows) >= 2 and all(not re.search(r"\bline#", w) for w in windows)
+    for name in ("submatches", "empty_submatches"):
+        assert plan(name).toString().count("regexp_replace(regexp_replace") == 1
