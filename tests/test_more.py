@@ -199,3 +199,11 @@ def test_deviations_of_many_files(spark):
     both = sorted(map(tuple, detectors.detect_all(odd.unionByName(plain)).collect()))
     assert both == sorted([*map(tuple, detectors.detect_all(odd).collect()), *map(tuple, detectors.detect_all(plain).collect())])
     assert {(r[1], r[4]) for r in both if r[0] == "odd"} >= {(151, "format_deviation"), (251, "line_length_spike")}
+
+
+def test_texts_are_not_kept_for_all_detectors(spark):
+    """What is persisted is narrow; the texts are read again."""
+    lines = numbered(spark, ["2024-01-01 10:00:00 INFO ok", "    at x"] * 10)
+    plan = detectors.detect_all(lines)._jdf.queryExecution().withCachedData().toString()
+    kept = [x for x in plan.split("\n") if "InMemoryRelation" in x]
+    assert kept and all("sig#" in x and " line#" not in x.replace("[line#", "[ line#") for x in kept)
