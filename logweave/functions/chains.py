@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,10 +93,12 @@ def chain_starts(rows: DataFrame, keys: list[str], place: str, step: int, gap: i
     """
     span = SPAN * step
     named = [f"k{i}" for i in range(len(keys))]
-    taken = rows.where(F.col(place).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.floor(F.col(place) / F.lit(span)).cast("long").alias("block"), F.col(place).cast("long").alias("at"), F.struct("*").alias("row"))
-    # The two passes read one exchange.
-    dealt = taken.repartition(*named, "block")
-    kinds = ", ".join(f"{n} {taken.schema[n].dataType.simpleString()}" for n in named)
+    block = F.floor(F.col(place) / F.lit(span)).cast("long")
+    key = F.struct(*[F.col(k).alias(n) for k, n in zip(keys, named)], block.alias("block"))
+    taken = rows.where(F.col(place).isNotNull()).select(key.alias("key"), F.col(place).cast("long").alias("at"), F.struct(*[c for c in rows.columns if c not in keys]).alias("row"))
+    # Persisted, since the two passes would each make the rows and deal them; the key is never null.
+    dealt = taken.repartition("key").persist(StorageLevel.MEMORY_AND_DISK).select("key", *[f"key.{n}" for n in (*named, "block")], "at", "row")
+    kinds = ", ".join(f"{n} {dealt.schema[n].dataType.simpleString()}" for n in named)
     n_keys = len(named)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +109,7 @@ def chain_starts(rows: DataFrame, keys: list[str], place: str, step: int, gap: i
             values = [pa.array([int(places[0])]), pa.array([int(places[-1])]), pa.array([bounds.tolist()], pa.list_(pa.int64())), pa.array([opened.tolist()], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*head, *values], [*named, "block", "first", "last", "bounds", "opened"])
 
-    blocks = dealt.sortWithinPartitions(*named, "block", "at").mapInArrow(summed, f"{kinds}, block long, first long, last long, bounds array<long>, opened array<long>")
+    blocks = dealt.sortWithinPartitions("key", "at").select(*named, "block", "at").mapInArrow(summed, f"{kinds}, block long, first long, last long, bounds array<long>, opened array<long>")
     shape = f"{kinds}, block long, due long"
     schema = to_arrow_schema(StructType.fromDDL(shape))
 
@@ -126,15 +129,14 @@ def chain_starts(rows: DataFrame, keys: list[str], place: str, step: int, gap: i
             yield pa.RecordBatch.from_pylist(out, schema)
 
     due = blocks.repartition(*named).sortWithinPartitions(*named, "block").mapInArrow(folded, shape)
-    due = due.select(*[F.col(n).alias(f"d_{n}") for n in (*named, "block")], "due")
-    on = [dealt[n].eqNullSafe(due[f"d_{n}"]) for n in (*named, "block")]
-    met = dealt.join(due, on, "left").select(*named, "block", "at", "row", "due").sortWithinPartitions(*named, "block", "at")
+    due = due.select(F.struct(*named, "block").alias("d_key"), "due")
+    met = dealt.join(due, F.col("key") == F.col("d_key"), "left").sortWithinPartitions("key", "at").select(*named, "block", "at", "row", "due")
 
     def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, n_keys + 1):
             places = group.column("at").to_numpy()
             start = _Block(places, step, gap).starts(group.column("due")[0].as_py())
-            out = pa.table({"row": group.column("row"), "chain_start": pa.array(start)})
+            out = pa.table({**{n: group.column(n) for n in named}, "row": group.column("row"), "chain_start": pa.array(start)})
             if opening:
                 # Of rows at one place the first one opens the link.
                 new = np.ones(len(places), bool)
@@ -142,5 +144,6 @@ def chain_starts(rows: DataFrame, keys: list[str], place: str, step: int, gap: i
                 out = out.filter(pa.array((start == places) & new))
             yield from out.combine_chunks().to_batches()
 
-    out = StructType().add("row", taken.schema["row"].dataType).add("chain_start", "long")
-    return met.mapInArrow(started, out).select("row.*", "chain_start")
+    out = StructType([*[dealt.schema[n] for n in named], dealt.schema["row"]]).add("chain_start", "long")
+    names = dict(zip(keys, named))
+    return met.mapInArrow(started, out).select(*[F.col(names.get(c, f"row.`{c}`")).alias(c) for c in rows.columns], "chain_start")

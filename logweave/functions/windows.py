@@ -15,15 +15,15 @@ def with_block(lines: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
 def running_sums(lines: DataFrame, sums: dict[str, Column], keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """Add sums over all earlier lines of the keys and the line itself: a window inside each block, plus the totals of the blocks before."""
     lines = lines if "lblock" in lines.columns else with_block(lines)
-    lines = lines.withColumns({f"x_{n}": c for n, c in sums.items()})
-    totals = lines.groupBy(*keys, "lblock").agg(*[F.sum(f"x_{n}").alias(f"t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("lblock").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*[F.col(k).alias(f"c_{k}") for k in (*keys, "lblock")], *[F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"p_{n}") for n in sums])
-    inside = Window.partitionBy(*keys, "lblock").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumns({n: F.sum(f"x_{n}").over(inside) for n in sums})
-    on = [rows[k].eqNullSafe(carry[f"c_{k}"]) for k in (*keys, "lblock")]
-    rows = rows.join(carry, on)
-    return rows.withColumns({n: F.col(n) + F.col(f"p_{n}") for n in sums}).select(*[c for c in lines.columns if not c.startswith("x_")], *sums)
+    columns = lines.columns
+    # One key that is never null: the window and the join share its exchange, which they do not with a null-safe equality of each key.
+    lines = lines.withColumns({"__key": F.struct(*keys, "lblock"), **{f"x_{n}": c for n, c in sums.items()}})
+    totals = lines.groupBy("__key").agg(*[F.sum(f"x_{n}").alias(f"t_{n}") for n in sums])
+    before = Window.partitionBy(*[f"__key.{k}" for k in keys]).orderBy("__key.lblock").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(F.col("__key").alias("__carry"), *[F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"p_{n}") for n in sums])
+    inside = Window.partitionBy("__key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumns({n: F.sum(f"x_{n}").over(inside) for n in sums}).join(carry, F.col("__key") == F.col("__carry"))
+    return rows.withColumns({n: F.col(n) + F.col(f"p_{n}") for n in sums}).select(*columns, *sums)
 
 
 def with_halo(lines: DataFrame, k: int, size: int = BLOCK_LINES) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +24,14 @@ ERRORS = (
     (r"(?i)\bFATAL\b", 0.9), (r"(?i)\bCRITICAL\b", 0.85), (r"(?i)\bERROR\b", 0.7), (r"\bException\b", 0.7), (r"(?i)\bFailed\b", 0.6), (r"(?i)\bFailure\b", 0.6),
     (r"(?i)\bAborted\b", 0.6), (r"(?i)\bCrash(?:ed)?\b", 0.7), (r"(?i)\bSegmentation fault\b", 0.9), (r"\bOOM\b", 0.8), (r"(?i)\bOut of memory\b", 0.8),
 )
+#: A line without any of these starts no stack trace.
+TRACEBACK_STEMS = ("Traceback", "Error:", "Exception", "Caused by:", "panic", "goroutine", "stack backtrace:")
 #: A line without any of these, lower-cased, has none of the keywords.
 ERROR_STEMS = ("fatal", "critical", "error", "exception", "fail", "abort", "crash", "fault", "oom", "memory")
 WARNING_STEMS = ("warn", "[w]", "caution", "deprecat")
+#: The same of secrets, and of the levels of a format.
+SECRET_STEMS = ("key", "secret", "passw", "pwd", "token", "bearer", "authorization", "credential", "-----begin")
+LEVEL_STEMS = ("debug", "info", "warn", "error", "fatal", "trace")
 WARNINGS = ((r"(?i)\bWARNING\b", 0.4), (r"(?i)\bWARN\b", 0.4), (r"\[W\]", 0.4), (r"(?i)\bCaution\b", 0.35), (r"(?i)\bDeprecated\b", 0.3), (r"(?i)\bDeprecation\b", 0.3))
 #: Secrets with their context; hashes and tokens without.
 SECRETS = (
@@ -64,7 +72,8 @@ def _strip(line: Column) -> Column:
 
 
 def traceback_severity(line: Column) -> Column:
-    return F.when(line.rlike("^(?:" + "|".join(TRACEBACK) + ")"), F.lit(0.9))
+    some = reduce(or_, [line.contains(s) for s in TRACEBACK_STEMS])
+    return F.when(some & line.rlike("^(?:" + "|".join(TRACEBACK) + ")"), F.lit(0.9))
 
 
 def _holds(line: Column, stems) -> Column:
@@ -97,8 +106,9 @@ def entropy_severity(line: Column) -> Column:
     for h in hashes[1:]:
         some = some | h
     token = lambda p: F.exists(F.regexp_extract_all(line, F.lit(p), F.lit(0)), lambda t: ~t.rlike(NOT_SECRET))
-    guess = F.when(line.rlike("[a-fA-F0-9]{32}") & some, 0.6).when(line.rlike(JWT) & token(JWT), 0.7).when(line.rlike(AWS_KEY) & token(AWS_KEY), 0.85)
-    return F.when(_any(line, SECRETS), F.lit(0.85)).otherwise(guess)
+    guess = F.when((F.length(line) >= 32) & line.rlike("[a-fA-F0-9]{32}") & some, 0.6)
+    guess = guess.when(line.contains("eyJ") & line.rlike(JWT) & token(JWT), 0.7).when(line.contains("AKIA") & line.rlike(AWS_KEY) & token(AWS_KEY), 0.85)
+    return F.when(_holds(line, SECRET_STEMS) & _any(line, SECRETS), F.lit(0.85)).otherwise(guess)
 
 
 def _hits(rows: DataFrame, detector: str) -> DataFrame:
@@ -128,7 +138,7 @@ def _indent(line: Column) -> Column:
 
 
 def _json_like(line: Column) -> Column:
-    return line.rlike(JSON_PAIR) | line.rlike(JSON_LINE)
+    return (line.contains('"') & line.rlike(JSON_PAIR)) | line.rlike(JSON_LINE)
 
 
 def goes_on(detector: str, least: int = 4) -> Column:
@@ -140,7 +150,11 @@ def goes_on(detector: str, least: int = 4) -> Column:
 
 def _length(line: Column) -> Column:
     """Length without white space at the end; none for blank lines."""
-    return F.when(~blank(line), F.length(_strip(line))).cast("long")
+    return _width(line, _strip(line))
+
+
+def _width(line: Column, stripped: Column) -> Column:
+    return F.when(~blank(line), F.length(stripped)).cast("long")
 
 
 def _of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -180,7 +194,9 @@ def detect_indentation(lines: DataFrame, least: int = 4) -> DataFrame:
 
 
 def _indentation(w) -> Column:
-    return F.when(F.col("deep") & F.lag("deep", 1).over(w) & F.lag("deep", 2).over(w), 0.4)
+    """Severity of a deep line after two such lines, of rows with all deep lines among them."""
+    before = lambda k: F.lag(F.when(F.col("deep"), F.col("line_no")), k).over(w) == F.col("line_no") - k
+    return F.when(F.col("deep") & before(1) & before(2), 0.4)
 
 
 def timestamps(lines: DataFrame) -> DataFrame:
@@ -243,21 +259,22 @@ def _lock(rows: DataFrame, lock_after: int) -> DataFrame:
 
 def detect_json_dump(lines: DataFrame, window: int = 10) -> DataFrame:
     """Long lines of JSON among ten JSON-like lines, of the line and the ten before it."""
-    rows = with_halo(_json_parts(lines), window)
+    rows = with_halo(_json_parts(lines).where(F.col("like") == 1).select("file_id", "line_no", "byte_start", "like", "dump"), window)
     return _hits(rows.withColumn("severity", _json(in_block(), window)).where(~F.col("halo")), "json_dump")
 
 
-def _json_parts(lines: DataFrame) -> DataFrame:
-    """lines with like, whether a line is JSON-like, and dump, its severity if the lines around it are."""
-    stripped = _strip(F.col("line"))
+def _json_parts(lines: DataFrame, stripped: Column | None = None) -> DataFrame:
+    """lines with like, whether a line is JSON-like, and dump, its severity if the lines around it are; it is JSON-like itself."""
+    stripped = _strip(F.col("line")) if stripped is None else stripped
     n = F.length(stripped)
     pairs = F.size(F.regexp_extract_all(stripped, F.lit(JSON_PAIR), F.lit(0))) >= 3
-    dump = F.when((n >= 100) & stripped.rlike(JSON_START) & pairs, F.when(n > 500, 0.4).when(n > 200, 0.35).otherwise(0.3))
+    dump = F.when((F.length("line") >= 100) & F.col("line").contains('"') & (n >= 100) & stripped.rlike(JSON_START) & pairs, F.when(n > 500, 0.4).when(n > 200, 0.35).otherwise(0.3))
     return lines.withColumns({"like": _json_like(F.col("line")).cast("int"), "dump": dump})
 
 
 def _json(w, window: int) -> Column:
-    return F.when(F.sum("like").over(w.rowsBetween(-window, 0)) >= window, F.col("dump"))
+    """By numbers of lines, not rows: only JSON-like lines need be there."""
+    return F.when(F.sum("like").over(w.rangeBetween(-window, 0)) >= window, F.col("dump"))
 
 
 def detect_format_deviation(lines: DataFrame, settle: int = 100, every: int = 1000) -> DataFrame:
@@ -268,13 +285,14 @@ def detect_format_deviation(lines: DataFrame, settle: int = 100, every: int = 10
 
 def _signature(line: Column) -> Column:
     """One digit for each part of a format, whether the line has it; none for blank lines. The three forms of a timestamp are parts of their own."""
-    return F.when(~blank(line), F.concat(*[F.when(line.rlike(p), "1").otherwise("0") for p in FORMAT]))
+    has = lambda p: _holds(line, LEVEL_STEMS) & line.rlike(p) if "DEBUG" in p else line.rlike(p)
+    return F.when(~blank(line), F.concat(*[F.when(has(p), "1").otherwise("0") for p in FORMAT]))
 
 
 def _deviations(rows: DataFrame, settle: int = 100, every: int = 1000) -> DataFrame:
     """Hits of rows(file_id, line_no, byte_start, sig). Files in which no two formats differ in two parts have none and are left out first."""
     rows = with_block(rows.where(F.col("sig").isNotNull()).select("file_id", "line_no", "byte_start", "sig"))
-    kinds = rows.groupBy("file_id").agg(F.collect_set("sig").alias("all"))
+    kinds = rows.select("file_id", "sig").distinct().groupBy("file_id").agg(F.collect_set("sig").alias("all"))
     apart = lambda a, b: sum(((F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int") for i in range(1, len(FORMAT) + 1)), F.lit(0)) >= 2
     odd = F.exists("all", lambda a: F.exists("all", lambda b: apart(a, b)))
     rows = _of_files(rows, kinds.where(odd).select(F.col("file_id").alias("s_file")))
@@ -309,35 +327,41 @@ def detect_rows(lines: DataFrame, detectors: dict | None = None) -> DataFrame:
 
 
 def _exploded(rows: DataFrame, severities: dict[str, Column]) -> DataFrame:
+    if not severities:
+        return rows.select("file_id", "line_no", "byte_start", F.lit(None).cast("double").alias("severity"), F.lit("").alias("detector")).where("false")
+    found = [s.isNotNull() for s in severities.values()]
+    rows = rows.where(reduce(or_, found))
     hits = F.filter(F.array(*[F.struct(F.round(s, 6).alias("severity"), F.lit(n).alias("detector")) for n, s in severities.items()]), lambda h: h["severity"].isNotNull())
     return rows.select("file_id", "line_no", "byte_start", F.explode(hits).alias("h")).select("file_id", "line_no", "byte_start", "h.severity", "h.detector")
 
 
 def _features(lines: DataFrame, row: dict) -> DataFrame:
     """What the detectors need of each line, in narrow columns, so that each regex is run once and no text is shuffled."""
-    parts = _json_parts(timestamps(lines)).withColumns({"deep": _indent(F.col("line")) >= 4, "len": _length(F.col("line")), "sig": _signature(F.col("line"))})
-    parts = parts.withColumn("t", text()).withColumns({f"r_{n}": fn(F.col("t")) for n, fn in row.items()})
+    line, stripped = F.col("line"), F.col("stripped")
+    parts = timestamps(lines).withColumns({"t": text(), "stripped": _strip(line)})
+    parts = _json_parts(parts, stripped).withColumns({"deep": _indent(line) >= 4, "len": _width(line, stripped), "sig": _signature(line)}).withColumns({f"r_{n}": fn(F.col("t")) for n, fn in row.items()})
     return parts.select("file_id", "line_no", "byte_start", "byte_len", *[f"ts{i}" for i in range(4)], "deep", "like", "dump", "len", "sig", *[f"r_{n}" for n in row])
 
 
 def detect_near(lines: DataFrame, row: dict | None = None) -> DataFrame:
     """The row detectors and those that look back a bounded number of lines (indentation, JSON, timestamp gaps) with their default bounds.
 
-    One scan, one exchange by blocks of lines and one order serve them all: what each needs of a line is a few narrow columns, made
-    before the lines are dealt with a halo of 500.
+    Those that look back share one exchange by blocks of lines and one order: what each needs of a line is a few narrow columns, made before the
+    lines are dealt with a halo of 500, and only lines that are indented or JSON-like or have a timestamp are dealt. Hits of the row detectors stay where they are found.
     """
     row = ROW_DETECTORS if row is None else row
     return _near(_features(lines, row), row)
 
 
 def _near(features: DataFrame, row: dict) -> DataFrame:
-    parts = _lock(features.drop("len", "sig", "byte_len"), 50)
-    rows = with_halo(parts.select("file_id", "line_no", "byte_start", "fmt", "ts", "deep", "like", "dump", *[f"r_{n}" for n in row]), 500)
+    times = [f"ts{i}" for i in range(4)]
+    near = features.where(F.col("deep") | (F.col("like") == 1) | F.coalesce(*times).isNotNull()).select("file_id", "line_no", "byte_start", *times, "deep", "like", "dump")
+    rows = with_halo(_lock(near, 50), 500)
     w = in_block()
     met = F.last(F.when(F.col("ts").isNotNull(), F.struct("fmt", "ts", "line_no")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({"met": met, "indented": _indentation(w), "json": _json(w, 10)}).where(~F.col("halo"))
-    found = {n: F.col(f"r_{n}") for n in row} | {"indentation_block": F.col("indented"), "timestamp_gap": _gap(300.0, 500), "json_dump": F.col("json")}
-    return _exploded(rows, found)
+    found = _exploded(rows, {"indentation_block": F.col("indented"), "timestamp_gap": _gap(300.0, 500), "json_dump": F.col("json")})
+    return _exploded(features, {n: F.col(f"r_{n}") for n in row}).unionByName(found)
 
 
 def detect_all(lines: DataFrame, row: dict | None = None, window: dict | None = None) -> DataFrame:

@@ -62,15 +62,17 @@ def dominant_prefix(lines: DataFrame, coverage: float = 0.9, max_tokens: int = 8
     """
     tokens = F.slice(F.filter(F.split(mask_tokens(text()), r"\s+", -1), lambda t: t != ""), 1, max_tokens)
     rows = _sample(lines, sample, skip, {"t": tokens}, places).select("file_id", "r", "t").withColumn("all", F.count("*").over(Window.partitionBy("file_id")))
-    each = rows.select("file_id", "all", "t", F.explode(F.sequence(F.lit(1), F.lit(max_tokens))).alias("k")).where(F.size("t") >= F.col("k"))
-    counts = each.groupBy("file_id", "k", F.array_join(F.slice("t", 1, F.col("k")), " ").alias("prefix")).agg(F.count("*").alias("n"), F.max("all").alias("all"))
-    share = F.col("n") / F.col("all")
-    good = counts.withColumn("share", share).where(share >= coverage).select("file_id", "prefix", "k", "share", F.lit(True).alias("full"))
+    # One pass for both ways: a run of tokens taken whole is the prefix of all its tokens.
+    runs = rows.groupBy("file_id", "t").agg(F.count("*").alias("n"), F.max("all").alias("all"), F.min("r").alias("seen"))
+    each = runs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_tokens)))).where(F.size("t") >= F.col("k"))
+    whole = F.size("t") == F.col("k")
+    counts = each.groupBy("file_id", "k", F.array_join(F.slice("t", 1, F.col("k")), " ").alias("prefix")).agg(F.sum("n").alias("n"), F.max("all").alias("all"), F.sum(F.when(whole, F.col("n"))).alias("w"), F.min(F.when(whole, F.col("seen"))).alias("seen"))
+    good = F.when(F.col("n") / F.col("all") >= coverage, F.struct("k", F.col("n") / F.col("all"), "prefix"))
     # A file without such a prefix takes the commonest run of leading tokens whole, as far as max_tokens, if it is common enough.
-    whole = rows.where(F.size("t") > 0).groupBy("file_id", F.slice("t", 1, max_tokens).alias("p")).agg(F.count("*").alias("n"), F.max("all").alias("all"), F.min("r").alias("seen"))
-    whole = whole.groupBy("file_id").agg(F.max_by(F.struct("p", "n", "all"), F.struct("n", -F.col("seen"))).alias("x")).where(F.col("x.n") / F.col("x.all") >= fallback)
-    whole = whole.select("file_id", F.array_join("x.p", " ").alias("prefix"), F.size("x.p").alias("k"), (F.col("x.n") / F.col("x.all")).alias("share"), F.lit(False).alias("full"))
-    best = good.unionByName(whole).groupBy("file_id").agg(F.max_by(F.struct("prefix", "k", "share"), F.struct("full", "k", "share", "prefix")).alias("x"))
+    other = F.when(F.col("w").isNotNull(), F.struct("w", -F.col("seen")))
+    found = lambda n: F.struct("prefix", "k", (F.col(n) / F.col("all")).alias("share"))
+    best = counts.groupBy("file_id").agg(F.max_by(found("n"), good).alias("g"), F.max_by(found("w"), other).alias("o"))
+    best = best.select("file_id", F.coalesce("g", F.when(F.col("o.share") >= fallback, F.col("o"))).alias("x")).where(F.col("x").isNotNull())
     return best.select("file_id", "x.prefix", F.col("x.k").alias("token_count"), F.round("x.share", 6).alias("coverage"), prefix_regex(F.col("x.prefix")).alias("regex"))
 
 

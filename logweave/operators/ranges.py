@@ -19,6 +19,10 @@ SCALE = (
 )
 
 
+#: Detectors whose descriptions take words or lengths from texts.
+WORDED = ("traceback", "error_keyword", "warning_keyword", "high_entropy", "line_length_spike", "json_dump", "prefix_deviation")
+
+
 def severity_label(severity: Column) -> Column:
     out = F.lit(SCALE[-1][1])
     for bound, label, _ in reversed(SCALE[:-1]):
@@ -89,15 +93,17 @@ def density_cap(ranges: DataFrame, totals: DataFrame) -> DataFrame:
 def describe(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     """Add a description, from the first line of each range and its length; of JSON, from all its lines. The wordings are fixed values.
 
-    The ranges are persisted, as they are read twice.
+    The ranges are persisted, as they are read several times. Ranges whose wording takes nothing from a text do not meet the lines; the others and the lines of JSON read one exchange of these.
     """
     ranges = ranges.persist(StorageLevel.MEMORY_AND_DISK)
     first = lines.select(F.col("file_id").alias("ff"), F.col("line_no").alias("fl"), F.col("line").alias("first"))
-    rows = ranges.join(first, (F.col("file_id") == F.col("ff")) & (F.col("start_line") == F.col("fl"))).drop("ff", "fl")
+    worded = F.coalesce(F.col("detector").isin(*WORDED), F.lit(False))
+    rows = ranges.where(worded).join(first, (F.col("file_id") == F.col("ff")) & (F.col("start_line") == F.col("fl"))).drop("ff", "fl")
     inside = ranges.where(F.col("detector") == "json_dump").select("file_id", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    chars = inside.join(lines.select("file_id", "line_no", "line"), ["file_id", "line_no"]).groupBy("file_id", "start_line").agg(F.sum(F.length("line")).alias("chars"))
+    chars = inside.join(first, (F.col("file_id") == F.col("ff")) & (F.col("line_no") == F.col("fl"))).groupBy("file_id", "start_line").agg(F.sum(F.length("first")).alias("chars"))
     chars = chars.select(F.col("file_id").alias("cf"), F.col("start_line").alias("cs"), F.lit("json_dump").alias("cd"), "chars")
     rows = rows.join(chars, (F.col("file_id") == F.col("cf")) & (F.col("start_line") == F.col("cs")) & (F.col("detector") == F.col("cd")), "left").drop("cf", "cs", "cd")
+    rows = rows.unionByName(ranges.where(~worded), allowMissingColumns=True)
     short = lambda k: F.concat(F.substring("first", 1, k), F.when(F.length("first") > k, "...").otherwise(""))
     f, n = F.trim("first"), F.col("end_line") - F.col("start_line") + 1
 

@@ -37,14 +37,16 @@ def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Tr
 
 def _numbered(raw: DataFrame, order: list[str], *more: str) -> DataFrame:
     """raw(file_id, block, byte_len, line, ...) as lines: a window inside each block, and prefix sums over one row per block."""
-    totals = raw.groupBy("file_id", "block").agg(F.count("*").alias("n"), F.sum(F.col("byte_len").cast("long") + 1).alias("bytes"))
-    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(F.col("file_id").alias("c_file"), F.col("block").alias("c_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"))
-    inside = Window.partitionBy("file_id", "block").orderBy(*order)
+    # One key that is never null, so that the window and the join share one exchange of the texts.
+    raw = raw.withColumn("key", F.struct("file_id", "block")).drop("file_id", "block")
+    totals = raw.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("byte_len").cast("long") + 1).alias("bytes"))
+    before = Window.partitionBy("key.file_id").orderBy("key.block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(F.col("key").alias("c_key"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"))
+    inside = Window.partitionBy("key").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = raw.withColumns({"k": F.row_number().over(inside), "b": F.coalesce(F.sum(F.col("byte_len").cast("long") + 1).over(upto), F.lit(0))})
-    joined = numbered.join(carry, F.col("file_id").eqNullSafe(F.col("c_file")) & F.col("block").eqNullSafe(F.col("c_block")))
-    out = joined.withColumns({"line_no": F.col("n0") + F.col("k"), "byte_start": F.col("b0") + F.col("b") - F.coalesce(F.col("byte_len") + 1, F.lit(0))})
+    joined = numbered.join(carry, F.col("key") == F.col("c_key"))
+    out = joined.withColumns({"file_id": F.col("key.file_id"), "block": F.col("key.block"), "line_no": F.col("n0") + F.col("k"), "byte_start": F.col("b0") + F.col("b") - F.coalesce(F.col("byte_len") + 1, F.lit(0))})
     return out.select(*COLUMNS, *more)
 
 

@@ -207,3 +207,36 @@ def test_texts_are_not_kept_for_all_detectors(spark):
     plan = detectors.detect_all(lines)._jdf.queryExecution().withCachedData().toString()
     kept = [x for x in plan.split("\n") if "InMemoryRelation" in x]
     assert kept and all("sig#" in x and " line#" not in x.replace("[line#", "[ line#") for x in kept)
+
+
+def test_texts_are_dealt_once_to_be_numbered(spark):
+    """The join with what lies before a block uses the exchange of the window, null files and blocks too."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("f" if i % 3 else None, i, f"line {i}") for i in range(40)], "name string, at long, said string")
+        lines = lines_from_rows(df, F.col("name"), ["at"], F.col("said"), F.floor(F.col("at") / 7))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert lines.count() == 40 and not [x for x in plan.split("\n") if "Exchange" in x and "isnull(" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_hits_are_made_once_to_be_merged(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    hits = spark.createDataFrame([("f", "d", i, 0.5) for i in (1, 2, 9)], "file_id string, detector string, line_no long, severity double")
+    hits = hits.withColumn("line_no", F.udf(seen, "long").asNondeterministic()("line_no"))
+    assert sorted((r.start_line, r.end_line) for r in ranges.merge_ranges(hits).collect()) == [(1, 2), (9, 9)]
+    assert made.value == 3
+
+
+def test_only_worded_ranges_meet_the_lines(spark):
+    found = spark.createDataFrame([("f", d, 1, 3, 0.4, 3) for d in ("indentation_block", "timestamp_gap", "traceback")], "file_id string, detector string, start_line long, end_line long, severity double, n_hits long")
+    lines = numbered(spark, ["panic: x"], "f")
+    assert {r.description for r in ranges.describe(found, lines).collect()} == {"Indented block (3 lines)", "Timestamp gap detected", "Go panic"}
+    assert {r.detector for r in ranges.describe(found, lines.where("false")).collect()} == {"indentation_block", "timestamp_gap"}
