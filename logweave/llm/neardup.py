@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, deal, jaccard_need, join_groups
+from .blocks import block_pairs, deal, jaccard_need, join_groups, large_groups
 from .common import discard, lookup_join, mix64, slices, stash, table, utf8
 from .components import connected_components, group_edges, shared_only
 from .shingles import shingle_sets
@@ -24,6 +24,8 @@ SHARED = 10
 PRUNING = 2
 #: Tasks into which a common token's nodes are split before their smallest nodes meet.
 SALTS = 64
+#: Nodes of a token up to which its pairs are counted one by one; the nodes of a longer list are tied through the smallest.
+LISTED = 32
 _COUNTED = 4_000_000
 
 
@@ -105,6 +107,48 @@ def _prefixes(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long, salt int, lead boolean")
 
 
+def _split(members: DataFrame, large: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The members(node, grp, size, ...), those of the large(grp) groups in smaller groups of nodes that may link with one another; others of these are left out.
+
+    Nodes that share a token or two with each of several others, as happens by chance, are one group that grows with the corpus. Here the first tokens that two
+    nodes share are counted pair by pair, of shared(key, node), and held against the number that a link takes. Pairs of a list of more than LISTED nodes are not
+    made: such tokens count as if both nodes had them in common, and tie the nodes of like size that have as many of them as a link takes.
+    """
+    own = stash(lookup_join(members, large.select("grp"), "grp", "inner", salt="node").select(*members.columns))
+    # Tokens that two groups share are told apart; a clash of hashes adds pairs to compare and loses none.
+    met = lookup_join(shared.select("key", "node"), own.select("node", "grp", "size"), "node")
+    met = stash(met.select(F.xxhash64("grp", "key").alias("key"), "node", F.col("size").cast("int").alias("size")))
+    long = stash(met.groupBy("key").count().where(F.col("count") > LISTED).select("key"))
+    tied = stash(lookup_join(met, long, "key", salt="node"))
+    heat = stash(tied.groupBy("node").agg(F.count("*").cast("int").alias("heat"), F.first("size").alias("size")))
+    listed = lookup_join(met, long.withColumn("long", F.lit(True)), "key", "left", salt="node").where(F.col("long").isNull())
+    listed = lookup_join(listed, heat.select("node", "heat"), "node", "left")
+    lists = listed.groupBy("key").agg(F.collect_list(F.struct("node", "size", F.coalesce("heat", F.lit(0)).alias("heat"))).alias("l"))
+    a, size = F.col("a"), lambda x: x["size"]
+    like = lambda b: (a["node"] < b["node"]) & (100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b)))
+    pairs = lists.where(F.size("l") > 1).select("l", F.explode("l").alias("a")).select("a", F.explode(F.filter("l", like)).alias("b"))
+    need = 1 + F.floor(F.least("a.size", "b.size") / SHARED) - F.least("a.heat", "b.heat")
+    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), need.cast("int").alias("need"))
+    found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need")).select("a", "b")
+    # Sizes of two nodes that link are in one band or in two that follow one another; bands are a little wider than that takes.
+    band = F.floor(F.log("size") / F.log(F.lit(100.1 / percent)))
+    able = stash(heat.where(F.col("heat") >= _least_shared(F.col("size"), percent)).select("node", band.alias("band")))
+    tied = lookup_join(tied.select("key", "node"), able, "node").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    tied = stash(tied.select(F.xxhash64("key", "band").alias("key"), "node"))
+    low = stash(tied.groupBy("key").agg(F.min("node").alias("low")))
+    across = lookup_join(tied, low, "key", salt="node").where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    parts = connected_components(found.unionByName(across)).withColumnRenamed("component", "grp")
+    rest = lookup_join(members, large.select("grp", F.lit(True).alias("cut")), "grp", "left", salt="node").where(F.col("cut").isNull())
+    out = stash(rest.select(*members.columns).unionByName(own.drop("grp").join(parts, "node").select(*members.columns)))
+    discard(own, met, long, heat, able, tied, low)
+    return out
+
+
+def _least_shared(size, percent: int):
+    """How many of its first tokens a node of this size shares with each partner at least, as these have percent of its size or more."""
+    return 1 + F.floor(F.ceil(size * percent / 100) / SHARED)
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Documents whose sets of word shingles have a Jaccard similarity of at least percent / 100, as classes.
 
@@ -128,18 +172,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = docs.sparkSession.sparkContext.broadcast((tokens[order], counts[order]))
     nodes = stash(names.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.max("n").alias("size")))
     shared = stash(shared_only(_prefixes(d, width, percent, common)))
-    # A partner has percent of the size at least.
-    least = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / SHARED)
+    least = _least_shared(F.col("size"), percent)
     for left in reversed(range(PRUNING)):
         able = shared.groupBy("node").agg(F.count("*").alias("met")).join(nodes, "node").where(F.col("met") >= least).select("node")
         kept = shared.drop("low").join(able, "node")
         # The other tokens count; only the leading ones, the rarest, are needed to connect what links.
         last, shared = shared, stash(shared_only(kept if left else kept.where("lead")))
-        discard(last)
+        if left:
+            discard(last)
     edges = stash(group_edges(shared))
     groups = connected_components(edges).withColumnRenamed("component", "grp")
     discard(shared, edges)
-    members = deal(stash(groups.join(nodes, "node")))
+    members = stash(groups.join(nodes, "node"))
+    large = large_groups(members)
+    if not large.isEmpty():
+        members = _split(members, large, last, percent)
+    discard(last)
+    members = deal(members)
     wanted = stash(members.select("node", "weight", "grp", "blocks", "part", F.col("first").alias("doc_id")))
     rows = lookup_join(d, wanted, "doc_id")
     kept = ["node", "weight", "grp", "blocks", "part"]

@@ -62,6 +62,31 @@ def test_ngram_join_in_small_blocks(docs, rows, monkeypatch):
     assert got == brute.ngram_join([(r[0], r[1]) for r in rows])
 
 
+@pytest.mark.parametrize("listed", [32, 3])
+def test_texts_that_share_a_sentence_with_several_others_are_no_group(spark, monkeypatch, listed):
+    """Each sentence is in two texts, which ties nearly all texts; three families of near copies and some short texts among them link."""
+    rng = random.Random(5)
+    sentences = [f"{i}s " + prose(rng, 9, 10_000) for i in range(600)] * 2
+    rng.shuffle(sentences)
+    texts = [" ".join(sentences[i : i + 8]) for i in range(0, len(sentences), 8)]
+    for base in (0, 1, 2):
+        texts += [f"{texts[base]} copy {i} of {base}" for i in range((6, 2, 12)[base])]
+    texts += ["a b c d e f", "a b c d e f g", "A b c d e", "a b c d e"]
+    monkeypatch.setattr(blocks, "BLOCK_SETS", 8)
+    monkeypatch.setattr(neardup, "LISTED", listed)
+    if listed == 3:
+        monkeypatch.setattr(common, "BROADCAST_CELLS", 0)
+    sent, send = [], neardup.block_pairs
+    monkeypatch.setattr(neardup, "block_pairs", lambda sets: sent.append(send(sets)) or sent[-1])
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in neardup.ngram_join(df).collect()}
+    want = brute.ngram_join(rows)
+    assert got == want and sum(n > 0 for _, _, n in want.values()) > 20
+    # A set is sent once for each block of its group; with all texts in one group that was 2886 rows.
+    assert sent[0].count() < 2 * len(texts)
+
+
 def test_substrings_equal_brute_force(docs, rows, empty):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in substrings.drop_repeats(docs).collect()}
     short = [(r[0], r[1]) for r in rows]
