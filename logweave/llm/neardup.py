@@ -50,11 +50,12 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
         seen: set[int] = set()
 
         def often(like: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(pending), return_counts=True)
+            met = np.concatenate(pending)
             pending.clear()
-            keep = n >= 3
-            tokens = tokens[keep].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), bool)), pa.nulls(len(tokens), like.schema.field("doc_id").type), pa.array(tokens), pa.array(n[keep].astype(np.int64))], names)
+            met.sort()
+            tokens = np.unique(met[2:][met[2:] == met[:-2]])
+            n = np.searchsorted(met, tokens, "right") - np.searchsorted(met, tokens)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), bool)), pa.nulls(len(tokens), like.schema.field("doc_id").type), pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names)
 
         for part, sets in _sets(batches, width):
             n = np.array([len(s) for s in sets], np.int64)
